@@ -90,7 +90,7 @@ class Model:
             self.table[k, at[lang]] = c
             kind[k] = n
         # A small language's missing words must not look likelier than a large one's.
-        least = MISSING / size.max(axis=1, keepdims=True)
+        least = MISSING / size.max(axis=1, keepdims=True, initial=1)
         self.table = np.log(np.maximum(self.table / size[kind], least[kind]))
 
     def scorer(self):
