@@ -115,7 +115,7 @@ _SELECTIONS = {
     "sel_protein": _PROTEIN, "sel_backbone": f"{_PROTEIN} and name in ('C','CA','N','O')", "sel_sidechain": f"{_PROTEIN} and name not in ('C','CA','N','O')", "sel_nucleic": "res_name = 'DA'",
     "sel_hetatm": "record_name = 'HETATM'", "sel_charged": "res_name in ('ASP','LYS','HIS')", "sel_hydrophobic": "res_name in ('ALA','PHE','GLY')", "sel_aromatic": "res_name in ('PHE','HIS')",
     "sel_acidic": "res_name = 'ASP'", "sel_basic": "res_name in ('LYS','HIS')", "sel_polar": "res_name in ('SER','CYX')", "sel_all": "true", "sel_none": "false",
-    "sel_glob": "(name like 'C%' or name like 'N%' or name like 'O%') and (res_name in ('GLY','CYX','LYS') or regexp_matches(res_name, '^[A-D].*$'))".replace("'GLY','CYX','LYS'", "'LYS','CYX'"),
+    "sel_glob": "(name like 'C%' or regexp_matches(name, '^[NO].+$')) and (res_name in ('LYS', 'CYX') or regexp_matches(res_name, '^[A-D].*$'))",
     "sel_resid": "res_seq between 3 and 9 or res_seq between 20 and 25 or res_seq = 44", "sel_bool": "not (chain_id in ('A','B') or res_name = 'ALA') and name = 'CA' or record_name = 'HETATM'",
 }
 _RULES = ", ".join("('{}', '{}', {})".format(*x.split()) for x in DEFAULT_RULES.strip().splitlines())
@@ -146,11 +146,11 @@ ORACLE_SQL = {
     ),
     "per_ball": geometry(f"select b.structure_id, b.ball_id, {_r('sas_area', 'volume', places=3)} from balls b left join cell c on b.structure_id = c.structure_id and b.ball_id = c.index"),
     "network_edges": geometry(
-        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, l[3] as ball_2, l[3] is null as is_on_sas from (select structure_id, list_sort([a, b, c], 'asc', 'nulls last') as l from piece semi join con using (structure_id, a, b, image) "
+        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, l[3] is null as is_on_sas from (select structure_id, list_sort([a, b, c], 'asc', 'nulls last') as l from piece semi join con using (structure_id, a, b, image) "
         "union all select structure_id, list_sort([a, b, cast(null as bigint)], 'asc', 'nulls last') from arc semi join con using (structure_id, a, b, image))"
     ),
     "network_vertices": geometry(
-        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, l[3] as ball_2, l[4] as ball_3, l[4] is null as is_on_sas from (select structure_id, list_sort([a, b, c, lo_by], 'asc', 'nulls last') as l "
+        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, coalesce(l[4], -1) as ball_3, l[4] is null as is_on_sas from (select structure_id, list_sort([a, b, c, lo_by], 'asc', 'nulls last') as l "
         "from piece semi join con using (structure_id, a, b, image) union all select structure_id, list_sort([a, b, c, hi_by], 'asc', 'nulls last') from piece semi join con using (structure_id, a, b, image))"
     ),
     "periodic_images": geometry(

@@ -129,14 +129,19 @@ def per_ball(spark, sf_dir):
     return _rounded(rows, "sas_area", "volume", places=3)
 
 
+def _named_balls(n: int) -> list:
+    """The balls of an edge or vertex; -1 for the surface."""
+    return [F.coalesce(F.get("ball_indices", i), F.lit(-1)).alias(f"ball_{i}") for i in range(n)]
+
+
 def network_edges(spark, sf_dir):
     rows = tess(spark, sf_dir).edges
-    return rows.select("structure_id", *[F.get("ball_indices", i).alias(f"ball_{i}") for i in range(3)], "is_on_sas")
+    return rows.select("structure_id", *_named_balls(3), "is_on_sas")
 
 
 def network_vertices(spark, sf_dir):
     rows = tess(spark, sf_dir).vertices
-    return rows.select("structure_id", *[F.get("ball_indices", i).alias(f"ball_{i}") for i in range(4)], "is_on_sas")
+    return rows.select("structure_id", *_named_balls(4), "is_on_sas")
 
 
 def periodic_images(spark, sf_dir):
