@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is read as UTF-8 bytes. Of its k-mers, the closed syncmers are those whose smallest s-mer, by hash,
+A text is a sequence of tokens: words between white space, and single characters in scripts that have no
+such words. Of its k-mers, runs of k tokens, the closed syncmers are those whose smallest s-mer, by hash,
 stands at the first or the last place: whether a k-mer is one depends on nothing around it, so an
 unchanged passage keeps its anchors wherever it moves. A fingerprint is the bottom sketch of the anchors'
 hashes: its ``SKETCH`` smallest different ones, all of them where there are fewer.
@@ -9,39 +10,46 @@ hashes: its ``SKETCH`` smallest different ones, all of them where there are fewe
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 20
-S = 8
+K = 5
+S = 2
 SKETCH = 64
+#: Runs of Latin letters, digits and signs, or one other character.
+TOKEN = r"[!-~\u00A1-\u024F]+|[^\s\x00-\x20]"
 
 
-def _hash32(x: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(x), 32)
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """array<struct<pos, hash>> of the closed syncmers of a text; pos counts tokens from 0 and hashes have 32
+    bits. A text of fewer than k tokens, but not none, is one anchor."""
+    w = k - s + 1
 
+    def of_tokens(t):
+        # t has the tokens' hashes.
+        def smer(i):
+            return F.xxhash64(*[F.get(t, i + j) for j in range(s)])
 
-def anchors(data: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<pos, hash>> of the closed syncmers of a binary column; pos counts bytes from 1.
+        n = F.size(t)
 
-    Data shorter than k is one anchor of its own, empty data has none, null gives null.
-    """
-    n, w = F.octet_length(data), k - s + 1
-    smers = F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.xxhash64(F.substring(data, i, F.lit(s))))
-    # The lambda of transform binds the array of hashes once, so that it is made once for each text.
-    found = F.flatten(
-        F.transform(
-            F.array(smers),
-            lambda h: F.filter(
-                F.sequence(F.lit(0), n - k),
-                lambda i: F.least(F.get(h, i), F.get(h, i + (w - 1))) == F.array_min(F.slice(h, i + 1, F.lit(w))),
-            ),
-        )
-    )
-    whole = F.struct(F.lit(1).alias("pos"), _hash32(data).alias("hash"))
-    each = F.transform(found, lambda i: F.struct((i + 1).alias("pos"), _hash32(F.substring(data, i + 1, F.lit(k))).alias("hash")))
-    return F.when(n >= k, each).when(n > 0, F.array(whole)).otherwise(F.array().cast(f"array<struct<pos:int,hash:bigint>>"))
+        def closed(h):
+            def is_closed(i):
+                inner = [F.get(h, i + j) for j in range(1, w - 1)]
+                ends = F.least(F.get(h, i), F.get(h, i + (w - 1)))
+                return reduce(lambda a, b: a & b, (ends <= x for x in inner), F.lit(True))
+
+            kmer = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(t, i + j) for j in range(k)]), 32)
+            return F.transform(F.filter(F.sequence(F.lit(0), n - k), is_closed), lambda i: F.struct(i.alias("pos"), kmer(i).alias("hash")))
+
+        each = F.flatten(F.transform(F.array(F.transform(F.sequence(F.lit(0), n - s), smer)), closed))
+        whole = F.array(F.struct(F.lit(0).alias("pos"), F.shiftrightunsigned(F.xxhash64(t), 32).alias("hash")))
+        return F.when(n >= k, each).when(n > 0, whole).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+
+    # transform() over an array of one binds its element, so that tokens are made once for each text.
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
+    return F.flatten(F.transform(F.array(tokens), of_tokens))
 
 
 def sketch(hashes: Column, size: int = SKETCH) -> Column:
@@ -62,7 +70,7 @@ def fingerprint_text(sk: Column) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, s: int = S, size: int = SKETCH) -> DataFrame:
     """docs with anchors and sketch; a null text counts as empty. Columns named like a result are replaced."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("anchors", "sketch")]
-    out = docs.select(*kept, anchors(F.coalesce(F.col(text), F.lit("")).cast("binary"), k, s).alias("anchors"))
+    out = docs.select(*kept, anchors(F.coalesce(F.col(text), F.lit("")), k, s).alias("anchors"))
     return out.withColumn("sketch", sketch(F.transform("anchors", lambda a: a["hash"]), size))
 
 
@@ -126,27 +134,18 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     replaced by as many first code points (or all) of the next document.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. A null
-    text is empty. Anchors that lie wholly in the unedited part are not computed again: they depend on
-    nothing outside it.
+    text is empty, and texts without tokens have an empty fingerprint.
     """
     docs = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, window, own = next_to(docs, id, "text")
     n = F.length("text")
     rows = rows.withColumn("next", F.lead("text").over(window))
     cut = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("head", F.substring("text", F.lit(1), n - cut)).withColumn("tail", F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
-    rows = rows.withColumn("own", anchors(F.col("text").cast("binary"), k, s))
-    head, tail = F.octet_length("head"), F.octet_length("tail")
-    junction = F.concat(F.substring(F.col("head").cast("binary"), F.greatest(head - k + 2, F.lit(1)), F.lit(k - 1)), F.col("tail").cast("binary"))
-    rows = rows.withColumn("junction", junction)
-    # Text that the junction holds in full has all its anchors there.
-    later = F.when((head + tail < k) | (F.octet_length("junction") >= k), anchors(F.col("junction"), k, s)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
-    earlier = F.when(F.octet_length("text") >= k, F.filter("own", lambda x: x["pos"] + (k - 1) <= head)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
+    of = lambda c: sketch(F.transform(anchors(F.col(c), k, s), lambda x: x["hash"]), size)
     rows = rows.select(
-        id, "__b", "__guest", "__tie", n.cast("long").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
-        sketch(F.transform("own", lambda x: x["hash"]), size).alias("a"),
-        sketch(F.transform(F.concat(earlier, later), lambda x: x["hash"]), size).alias("e"),
-    )
+        id, "__b", "__guest", "__tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of("text").alias("a"), of("edited").alias("e")
+    )
     rows = rows.withColumn("x", F.lead("a").over(window)).where(own)
     return rows.select(
         id, "n_chars", "edited_sha256", fingerprint_text(F.col("a")).alias("fingerprint"), fingerprint_text(F.col("e")).alias("edited_fingerprint"),

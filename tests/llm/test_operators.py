@@ -147,22 +147,29 @@ def test_cascade_is_exact_over_its_universe(spark):
 # syncmers
 
 
-def plain_anchors(data, k=syncmers.K, s=syncmers.S):
-    h = lambda b: xxhash.xxh64_intdigest(b, 42)
+def plain_anchors(text, k=syncmers.K, s=syncmers.S):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    if len(data) < k:
-        return [h(data) >> 32] if data else []
-    small = [signed(h(data[i : i + s])) for i in range(len(data) - s + 1)]
+
+    def chain(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return seed
+
+    t = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall("[!-~\u00a1-\u024f]+|[^\\s\x00-\x20]", text, re.A)]
+    if len(t) < k:
+        return [chain(t) >> 32] if t else []
+    small = [signed(chain(t[i : i + s])) for i in range(len(t) - s + 1)]
     w = k - s + 1
-    return [h(data[i : i + k]) >> 32 for i in range(len(data) - k + 1) if min(small[i], small[i + w - 1]) == min(small[i : i + w])]
+    return [chain(t[i : i + k]) >> 32 for i in range(len(t) - k + 1) if min(small[i], small[i + w - 1]) == min(small[i : i + w])]
 
 
 def test_syncmers(spark, odd, empty, docs):
-    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text").where("doc_id is null or doc_id not in (8, 9)")):
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
         got = sorted(syncmers.edited_fingerprints(df).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
         assert len(got) == len(rows)
-        sketches = [sorted(set(plain_anchors(t.encode())))[: syncmers.SKETCH] for _, t in rows]
+        sketches = [sorted(set(plain_anchors(t)))[: syncmers.SKETCH] for _, t in rows]
 
         def alike(a, b):
             union = sorted({*a, *b})[: syncmers.SKETCH]
@@ -172,7 +179,7 @@ def test_syncmers(spark, odd, empty, docs):
             j = (i + 1) % len(rows)
             cut = len(t) // 4
             edited = t[: len(t) - cut] + rows[j][1][:cut]
-            e = sorted(set(plain_anchors(edited.encode())))[: syncmers.SKETCH]
+            e = sorted(set(plain_anchors(edited)))[: syncmers.SKETCH]
             text = lambda x: "".join(f"{v:08x}" for v in x)
             assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (d, len(t), hashlib.sha256(edited.encode()).hexdigest())
             assert (r["fingerprint"], r["edited_fingerprint"]) == (text(sketches[i]), text(e))
@@ -182,7 +189,7 @@ def test_syncmers(spark, odd, empty, docs):
 
 def test_matches_find_a_moved_passage(spark, docs):
     passage = next(r["text"] for r in docs.collect() if len(r["text"]) > 1500)[:1000]
-    df = spark.createDataFrame([(passage, "x" * 300 + passage)], "p string, q string")
+    df = spark.createDataFrame([(passage, "x " * 300 + passage)], "p string, q string")
     df = syncmers.fingerprints(df, "p").withColumnRenamed("anchors", "a").drop("sketch")
     df = syncmers.fingerprints(df, "q").withColumnRenamed("anchors", "b")
     assert syncmers.matches(df, "a", "b").first()["matches"][0]["shift"] == 300
@@ -409,5 +416,5 @@ def test_language_id(spark, odd, empty, docs):
 def test_words_go_first_and_grams_get_shorter():
     rows = [("en", 0, "the", 9), ("de", 0, "der", 9), ("en", 3, "ing", 5), ("de", 3, "ung", 5), ("en", 1, "w", 3), ("de", 1, "z", 3)]
     totals = {(x, n): 20 for x in ("en", "de") for n in (0, 1, 3)}
-    predict = langid.Model(rows, totals).scorer()
+    predict = langid.Model.of(rows, totals).scorer()
     assert predict(["the der the", "ring", "zung", "w", "z", "qqq"])[0] == ["en", "en", "de", "en", "de", "de"]
