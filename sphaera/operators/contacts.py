@@ -14,6 +14,8 @@ from sphaera.functions.geometry import EPSILON, TAU, Vec, any_normal, circle_rad
 
 #: Below this, a piece of a line or an arc is a rounding error of one that is not there.
 SLIVER = 1e-9
+#: Lines of the first, rough look.
+NEAREST = 10
 PAIR = ["structure_id", "a", "b", "bimage"]
 
 
@@ -150,8 +152,25 @@ def _total(array: Column, value) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
 
 
+def relevant(found: DataFrame, first: int = NEAREST) -> DataFrame:
+    """Discs with only those cuts that can matter; discs of which nothing is left are gone.
+
+    What the ``first`` lines nearest to the centre leave of a disc holds all of the contact: a line that
+    passes outside of it cuts nothing. The loop over pairs of lines, which takes the square of their number,
+    then sees a few of them.
+    """
+    ordered = F.array_sort(F.transform("cuts", lambda q: F.struct(q["dist"].alias("dist"), q["n1"].alias("n1"), q["n2"].alias("n2"), q["phi"].alias("phi"), q["c"].alias("c"), q["cimage"].alias("cimage"))))
+    rows = let(found, few=F.slice(ordered, 1, first))
+    rows = let(rows, rough=_pieces(F.col("few"), F.col("disc_r")), open=_arcs(F.col("few"), F.col("disc_r")))
+    rows = rows.where((F.size("rough") > 0) | (F.size("open") > 0))
+    corner = F.array_max(F.transform("rough", lambda s: s["dist"] * s["dist"] + F.greatest(s["lo"] * s["lo"], s["hi"] * s["hi"])))
+    rows = let(rows, reach=F.when(F.size("open") > 0, F.col("disc_r")).otherwise(F.sqrt(corner) + SLIVER))
+    return let(rows, cuts=F.filter("cuts", lambda q: q["dist"] <= F.col("reach"))).drop("few", "rough", "open", "reach")
+
+
 def boundaries(found: DataFrame) -> DataFrame:
     """Discs with the pieces and arcs of their boundary, arc_sum and area. Contacts without area are gone."""
+    found = relevant(found)
     rows = let(found, pieces=_pieces(F.col("cuts"), F.col("disc_r")), arcs=_arcs(F.col("cuts"), F.col("disc_r")))
     rows = let(rows, arc_sum=_total(F.col("arcs"), lambda g: g["length"]), inner=_total(F.col("pieces"), lambda s: s["dist"] * (s["hi"] - s["lo"])))
     rows = let(rows, area=(F.col("disc_r") * F.col("disc_r") * F.col("arc_sum") + F.col("inner")) * 0.5).drop("inner")
