@@ -15,7 +15,7 @@ from sphaera.functions.geometry import EPSILON, TAU, Vec, any_normal, circle_rad
 #: Below this, a piece of a line or an arc is a rounding error of one that is not there.
 SLIVER = 1e-9
 #: Lines of the first, rough look.
-NEAREST = 10
+NEAREST = 6
 PAIR = ["structure_id", "a", "b", "bimage"]
 
 
