@@ -147,6 +147,8 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     found = staged(found.select("id", F.explode("keys").alias("key")).distinct(), "suspects")
     # max() skips nulls, so a null id keeps a line only if it is alone.
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Written first, so that both sides of the join shuffle for it alone and a very common line can be split.
+    often = staged(often.select("key", "keeper"), "often")
     return found.join(often, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key")
 
 
