@@ -27,7 +27,7 @@ LONGEST = 6
 #: A frequency that a language lacks counts as this share of one occurrence.
 MISSING = 0.1
 #: Unknown words that a task remembers.
-CACHE = 200_000
+CACHE = 50_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,39 +72,55 @@ def _counts(batches):
 
 
 class Model:
-    """Log frequencies: rows of ``table`` are features, columns languages."""
-
-    def __init__(self, rows, totals):
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.number: dict[tuple, int] = {}
-        for _, n, f, _ in rows:
-            self.number.setdefault((n, f), len(self.number))
-        self.table = np.zeros((len(self.number), len(self.langs)))
-        size = np.ones((LONGEST + 1, len(self.langs)))
-        for (lang, n), c in totals.items():
-            size[n, at[lang]] = c
-        kind = np.zeros(len(self.number), np.int64)
-        for lang, n, f, c in rows:
-            k = self.number[n, f]
-            self.table[k, at[lang]] = c
-            kind[k] = n
-        # A small language's missing words must not look likelier than a large one's.
-        least = MISSING / size.max(axis=1, keepdims=True, initial=1)
-        self.table = np.log(np.maximum(self.table / size[kind], least[kind]))
+    """Counts of words (n is 0) and n-grams by language, as one Arrow table (lang, n, feature, count), and the
+    totals of each language and n. Tasks make log frequencies of them."""
 
-    def scorer(self):
-        words = {f: k for (n, f), k in self.number.items() if n == 0}
-        grams = [None] + [{f: k for (m, f), k in self.number.items() if m == n} for n in range(1, LONGEST + 1)]
-        cache: dict[str, list[int]] = {}
+    def __init__(self, rows: pa.Table, totals: dict[tuple[str, int], int]):
+        self.rows, self.totals = rows, totals
+        self._made = None
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]) -> "Model":
+        return cls(pa.table(dict(zip(("lang", "n", "feature", "count"), map(list, zip(*rows))))), totals)
 
-        def features(word: str) -> list[int]:
+    def scorer(self):
+        """A function from texts to their languages and scores, made once in each Python worker."""
+        if self._made is None:
+            self._made = self._scorer()
+        return self._made
+
+    def _scorer(self):
+        columns = [self.rows.column(c).to_pylist() for c in ("lang", "n", "feature", "count")]
+        names = sorted(set(columns[0]))
+        at = {x: i for i, x in enumerate(names)}
+        known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        size = 0
+        for n, f in zip(columns[1], columns[2]):
+            if f not in known[n]:
+                known[n][f] = size
+                size += 1
+        total = np.ones((LONGEST + 1, len(names)))
+        for (lang, n), c in self.totals.items():
+            total[n, at[lang]] = c
+        # A small language's missing words must not look likelier than a large one's.
+        least = MISSING / total.max(axis=1, keepdims=True, initial=1)
+        table = np.zeros((size, len(names)))
+        floor = np.zeros((size, 1))
+        for lang, n, f, c in zip(*columns):
+            k = known[n][f]
+            table[k, at[lang]] = c / total[n, at[lang]]
+            floor[k] = least[n]
+        table = np.log(np.maximum(table, floor))
+        words, grams = known[0], known
+        cache: dict[str, tuple[int, ...]] = {}
+
+        def features(word: str) -> tuple[int, ...]:
             k = words.get(word)
             if k is not None:
-                return [k]
+                return (k,)
             found = cache.get(word)
             if found is None:
-                found = []
+                found = ()
                 for n in range(min(LONGEST, len(word) + 2), 0, -1):
                     get = grams[n].get
                     found = [k for k in map(get, grams_of(word, n)) if k is not None]
@@ -112,27 +128,27 @@ class Model:
                         break
                 if len(cache) >= CACHE:
                     cache.clear()
-                cache[word] = found
+                cache[word] = found = tuple(found)
             return found
 
         def predict(texts):
             langs, scores = [], []
             for text in texts:
                 counts = Counter(words_of(text))
-                at, weight, total = [], [], 0
+                at, weight, seen = [], [], 0
                 for w, c in counts.items():
                     f = features(w)
                     if f:
-                        total += c
+                        seen += c
                         at.extend(f)
                         weight.extend([c / len(f)] * len(f))
-                if not counts or not self.langs:
+                if not counts or not names:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                mean = np.array(weight) @ self.table[at] / total if total else np.zeros(len(self.langs))
+                mean = np.array(weight) @ table[at] / seen if seen else np.zeros(len(names))
                 best = int(np.argmax(mean))
-                langs.append(self.langs[best])
+                langs.append(names[best])
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))
             return langs, scores
 
@@ -151,7 +167,8 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "feature"))
     bound = F.when(F.col("n") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
     top = counts.withColumn("rank", rank).where(F.col("rank") <= bound)
-    return Model([(r["lang"], r["n"], r["feature"], r["count"]) for r in top.select("lang", "n", "feature", "count").collect()], totals)
+    # As Arrow, the model is a few megabytes on the driver, where rows would be hundreds.
+    return Model(top.select("lang", "n", "feature", "count").toArrow(), totals)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
