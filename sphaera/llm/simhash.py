@@ -111,7 +111,11 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _bucket_links(radius: int, limit: int):
     """Links of the buckets of one partition, read in order of the bucket; members of a bucket beyond the
-    limit come out as (fp, null) instead. Memory holds one bucket up to the limit."""
+    limit come out as (fp, null) instead. Memory holds one bucket up to the limit.
+
+    A forest leaves a pair that shares a bucket of an earlier table to that table, which connects it in any
+    case; small buckets give all their links whatever other tables do."""
+    earlier = np.array(covering_masks(radius), np.uint64)
 
     def run(batches):
         key, members, over = None, [], False
@@ -122,7 +126,13 @@ def _bucket_links(radius: int, limit: int):
                 out.extend((m, None) for m in members)
             elif len(members) > 1:
                 values = np.array(members, np.int64)
-                out.extend((members[i], members[j]) for i, j in _forest(values, radius))
+                links = _forest(values, radius)
+                if len(members) > ALL_LINKS and links:
+                    i, j = np.array(links).T
+                    apart = values.view(np.uint64)[i] ^ values.view(np.uint64)[j]
+                    shared = ((apart[:, None] & earlier[None, : key[0]]) == 0).any(axis=1)
+                    links = [x for x, known in zip(links, shared.tolist()) if not known]
+                out.extend((members[i], members[j]) for i, j in links)
 
         def table(out):
             return pa.RecordBatch.from_arrays(
