@@ -14,6 +14,7 @@ fingerprints that near.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -236,43 +237,135 @@ def fp_hex(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _shingle_hashes(text: str | None, shingle: int) -> list[int]:
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct unsigned hashes of the word shingles, sorted; one hash for a shorter text, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return []
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
     if len(words) <= shingle:
-        return [_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))]
-    return sorted({_signed(xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED)) for i in range(len(words) - shingle + 1)})
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
+
+
+def _common_shingles(source: DataFrame, shingle: int, sample: int = 5000, least: int = 3, most: int = 100_000) -> np.ndarray:
+    """Shingles that several of about ``sample`` texts have, sorted. They only order the index: what the
+    sample misses makes longer lists and no other result."""
+    share = F.pmod(F.xxhash64("text"), F.lit(max(1, source.count() // sample))) == 0
+
+    def make():
+        return lambda texts: [pa.array([_shingle_hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+
+    sets = with_arrow_columns(source.where(share).select("text").distinct(), ["text"], [("set", T.ArrayType(T.LongType()))], make)
+    found = sets.select(F.explode("set").alias("t")).groupBy("t").count().where(F.col("count") >= least).orderBy(F.desc("count"), "t").limit(most)
+    return np.sort(np.array([r["t"] for r in found.select("t").collect()], np.int64).view(np.uint64))
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, common ones last; two sets of this
+    similarity have one of them in common."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    tokens = (hashes >> np.uint64(1)).view(np.int64)
+    rare = np.ones(n, bool) if not len(common) else common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
+    return np.sort(np.where(rare, ~tokens, tokens))[: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def _list_pairs(limit: int):
+    """Pairs (t, a, b) of the lists of one partition, read in order of t; members of a list beyond the limit
+    come out as (t, a, null). Memory holds one list up to the limit."""
+
+    def run(batches):
+        key, members, over = None, [], False
+
+        def close(out):
+            if over:
+                out.extend((key, m, None) for m in members)
+            elif len(members) > 1:
+                out.extend((key, a, b) if a < b else (key, b, a) for a, b in combinations(members, 2) if a != b)
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["t", "a", "b"])
+
+        for batch in batches:
+            tokens, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            n = len(tokens)
+            if not n:
+                continue
+            cuts = np.nonzero(tokens[1:] != tokens[:-1])[0] + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [n]))
+            # Only runs of two or more and the two at the edges of the batch need a look.
+            look = np.nonzero((ends - starts > 1) | (starts == 0) | (ends == n))[0]
+            out: list[tuple[int, int, int | None]] = []
+            for s, e in zip(starts[look].tolist(), ends[look].tolist()):
+                if int(tokens[s]) != key:
+                    close(out)
+                    key, members, over = int(tokens[s]), [], False
+                members.extend(nodes[s:e].tolist())
+                over = over or len(members) > limit
+                if over:
+                    close(out)
+                    members = []
+            yield table(out)
+        out = []
+        close(out)
+        yield table(out)
+
+    return run
+
+
+def _enough(similarity: float, have: Column) -> Column:
+    """Whether sets x and y can be alike when ``have`` of the prefix shingles are common to both: what the
+    prefix that ends first has in common with the other set is all in the other prefix."""
+    first = F.col("x_end") <= F.col("y_end")
+    rest = F.when(first, F.col("x_size") - F.col("x_len")).otherwise(F.col("y_size") - F.col("y_len"))
+    least = F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    near = F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size") - 1e-6
+    return near & (have + rest >= least)
 
 
 def near_copy_groups(
-    df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, radius: int = RADIUS
-) -> DataFrame:
+    df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, radius: int = RADIUS,
+    list_limit: int = ALL_LINKS, stars: int = 2,
+) -> DataFrame:
     """(id, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
 
     words is a digest of the sequence of words and group the smallest such digest of the group. Exact
-    copies (the same words) collapse first. Candidates come from ``fingerprints`` SimHashes of the
-    distinct words, with different seeds, through the covering tables; a candidate link counts when the
-    Jaccard similarity of the two shingle sets is at least ``similarity``, computed in full. Texts without
-    words form one group.
+    copies (the same words) collapse first. Groups are the connected components of all pairs whose Jaccard
+    similarity is at least ``similarity``, computed in full. Candidates come from two sources:
+
+    * ``fingerprints`` SimHashes of the distinct words, with different seeds, through the covering tables.
+    * An index of the first shingles of each set (rare ones first), which all pairs that are alike share.
+      Lists of up to ``list_limit`` documents give all pairs, counted and filtered by what the sets can still
+      have in common. Longer ones first test all members with one of them, ``stars`` times; then all pairs
+      of members that are still in different components.
+
+    Texts without words form one group.
     """
+    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    common = _common_shingles(source, shingle)
 
     def make():
         def work(texts):
             joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
             keys = [xxhash.xxh128_digest(j) for j in joined]
             prints = [[_signed(simhash(t, 1, SEED + s, True)) for s in range(fingerprints)] for t in texts]
-            return [pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
+            sets = [_shingle_hashes(t, shingle) for t in texts]
+            prefixes = [_prefix(x, common, similarity) for x in sets]
+            return [pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
 
         return work
 
-    base = with_arrow_columns(
-        df.select(F.col(id).alias("id"), F.col(text).alias("text")), ["text"],
-        [("words", T.BinaryType()), ("fps", T.ArrayType(T.LongType()))], make,
-    ).drop("text")
-    base = staged(base, "prints")
+    longs = T.ArrayType(T.LongType())
+    full = staged(with_arrow_columns(source, ["text"], [("words", T.BinaryType()), ("fps", longs), ("size", T.LongType()), ("prefix", longs)], make).drop("text"), "prints")
+    base = full.select("id", "words")
     # Each distinct sequence of words is one node.
-    nodes = staged(base.groupBy("words").agg(F.min("id").alias("low"), F.first("fps").alias("fps")), "texts")
+    same = [F.first(c).alias(c) for c in ("fps", "size", "prefix")]
+    nodes = staged(full.groupBy("words").agg(F.min("id").alias("low"), *same).withColumn("n", F.xxhash64("words")), "texts")
     links = None
     for s in range(fingerprints):
         fps = nodes.select(F.col("fps")[s].alias("fp"), "words")
@@ -282,31 +375,78 @@ def near_copy_groups(
         same = fps.join(of, "fp").select(F.col("low").alias("x"), F.col("words").alias("y"))
         here = across.select("x", "y").unionByName(same.where("x <> y"))
         links = here if links is None else links.unionByName(here)
-    links = staged(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    ends = links.select(F.col("x").alias("words")).unionByName(links.select(F.col("y").alias("words"))).distinct()
+
+    # Nodes go by 64 bits of their digests here.
+    lists = nodes.select(F.explode("prefix").alias("t"), "n").repartition("t").sortWithinPartitions("t")
+    found = staged(lists.mapInArrow(_list_pairs(list_limit), "t long, a long, b long"), "lists")
+    long = found.where("b is null").select("t", F.col("a").alias("n"))
+    shape = nodes.select("n", "words", "size", F.size("prefix").alias("len"), F.element_at("prefix", -1).alias("end")).where("size > 0")
+    shape = staged(shape.join(long.groupBy("n").agg(F.count("*").alias("long")), "n", "left").fillna(0, ["long"]), "shape")
+
+    def of(side, key):
+        return shape.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in shape.columns if c != key])
+
+    met = found.where("b is not null").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count("*").alias("m"))
+    met = met.join(of("x", "n"), "x").join(of("y", "n"), "y").where(_enough(similarity, F.col("m") + F.least("x_long", "y_long")))
+    links = links.unionByName(met.select(F.col("x_words").alias("x"), F.col("y_words").alias("y")))
+    links = staged(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "candidates")
+    long = staged(long.join(shape.select("n", "words"), "n").select("t", "words"), "long")
+    ends = links.select(F.col("x").alias("words")).unionByName(links.select(F.col("y").alias("words"))).unionByName(long.select("words")).distinct()
     ends = staged(nodes.join(ends, "words", "left_semi").select("low"), "ends")
-    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     source = source.join(ends, source["id"].eqNullSafe(ends["low"]), "left_semi")
 
     def shingles():
         def work(texts):
             joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-            sets = [_shingle_hashes(t, shingle) for t in texts]
+            sets = [_shingle_hashes(t, shingle).view(np.int64) for t in texts]
             return [pa.array([xxhash.xxh128_digest(j) for j in joined], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
 
         return work
 
     fields = [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))]
     sets = staged(with_arrow_columns(source, ["text"], fields, shingles).select("words", "set").dropDuplicates(["words"]), "sets")
-    alike = (
-        links.join(sets.select(F.col("words").alias("x"), F.col("set").alias("xs")), "x")
-        .join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y")
-        .withColumn("common", F.size(F.array_intersect("xs", "ys")))
-        .where(F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common")))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    groups = components(alike).withColumnRenamed("node", "words")
-    return base.select("id", "words").join(groups, "words", "left").select(F.col("id").alias(id), "words", F.coalesce("component", "words").alias("group"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(sets.select(F.col("words").alias("x"), F.col("set").alias("xs")), "x")
+            .join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y")
+            .withColumn("common", F.size(F.array_intersect("xs", "ys")))
+            .where(F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common")))
+            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        )
+
+    def settled(alike: DataFrame) -> DataFrame:
+        return staged(components(alike).withColumnRenamed("node", "words"), "components")
+
+    def unsettled(groups: DataFrame) -> DataFrame:
+        """Members of the long lists that lie in several components."""
+        rows = long.join(groups, "words", "left").select("t", "words", F.coalesce("component", "words").alias("component"))
+        mixed = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
+        return staged(rows.join(mixed, "t", "left_semi"), "unsettled")
+
+    alike = staged(verified(links), "alike")
+    groups = settled(alike)
+    if not long.isEmpty():
+        rows = unsettled(groups)
+        for turn in range(stars):
+            if rows.isEmpty():
+                break
+            lead = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("words", F.lit(turn)).alias("h"), "words", "component")).alias("lead"))
+            pairs = rows.join(lead, "t").where("component <> lead.component")
+            pairs = pairs.select(F.least("words", "lead.words").alias("x"), F.greatest("words", "lead.words").alias("y")).distinct()
+            pairs = staged(pairs.join(links, ["x", "y"], "left_anti"), "stars")
+            links = links.unionByName(pairs)
+            alike = staged(alike.unionByName(verified(pairs)), "alike")
+            groups = settled(alike)
+            rows = unsettled(groups)
+        if not rows.isEmpty():
+            x, y = (rows.select("t", F.col("words").alias(k), F.col("component").alias(f"{k}_component")) for k in "xy")
+            pairs = x.join(y, "t").where("x < y and x_component <> y_component").groupBy("x", "y").agg(F.count("*").alias("m"))
+            pairs = pairs.join(of("x", "words"), "x").join(of("y", "words"), "y")
+            pairs = pairs.where(_enough(similarity, F.col("m") + F.least(F.col("x_len") - F.col("x_long"), F.col("y_len") - F.col("y_long"))))
+            pairs = staged(pairs.select("x", "y").join(links, ["x", "y"], "left_anti"), "crossing")
+            groups = settled(alike.unionByName(verified(pairs)))
+    return base.join(groups, "words", "left").select(F.col("id").alias(id), "words", F.coalesce("component", "words").alias("group"))
 
 
 def without_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import json
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -313,6 +314,45 @@ def test_near_copies(spark, docs):
     assert simhash.without_near_copies(df.where("false")).count() == 0
 
 
+def plain_groups(texts, similarity=0.8):
+    """Components of all pairs of five-word similarity, each as the set of its ids; and how many pairs."""
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.split()]}
+    group, pairs = {i: {i} for i in sets}, 0
+    for a, b in combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+            pairs += 1
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+    return {frozenset(g) for g in group.values()}, pairs
+
+
+@pytest.mark.parametrize("limits", [{}, {"list_limit": 2, "stars": 1}, {"list_limit": 1, "stars": 0}])
+def test_near_copies_with_replaced_passages(spark, limits):
+    pick = random.Random(7)
+    fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (40, 200, 1200):
+        for i in range(8):
+            base = fresh(n)
+            texts.append(base)
+            for share in (0.02, 0.04, 0.06, 0.09):
+                k, at = max(1, round(n * share)), pick.randrange(n // 2)
+                texts.append(base[:at] + fresh(k) + base[at + k :])
+    passage = fresh(60)
+    texts += [passage + fresh(15) for _ in range(30)]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    want, pairs = plain_groups(texts)
+    assert pairs > 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in simhash.near_copy_groups(df, **limits).collect():
+        got[r["group"]].add(r["doc_id"])
+    assert set(map(frozenset, got.values())) == want
+
+
 # pages
 
 
