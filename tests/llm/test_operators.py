@@ -353,6 +353,18 @@ def test_near_copies_with_replaced_passages(spark, limits):
     assert set(map(frozenset, got.values())) == want
 
 
+def test_near_copies_beside_a_reordering(spark):
+    """Texts of the same distinct words have one fingerprint; the two alike are found whichever is smallest."""
+    rows, pick = [], random.Random(3)
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(120)]
+        mixed = words[:]
+        pick.shuffle(mixed)
+        rows += [(3 * g, " ".join(mixed)), (3 * g + 1, " ".join(words)), (3 * g + 2, " ".join(words + words[:8]))]
+    got = {r["doc_id"]: r["group"] for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[3 * g + 1] == got[3 * g + 2] != got[3 * g] for g in range(8))
+
+
 # pages
 
 
