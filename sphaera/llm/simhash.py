@@ -261,7 +261,7 @@ def _common_shingles(source: DataFrame, shingle: int, sample: int = 5000, least:
 
     sets = with_arrow_columns(source.where(share).select("text").distinct(), ["text"], [("set", T.ArrayType(T.LongType()))], make)
     found = sets.select(F.explode("set").alias("t")).groupBy("t").count().where(F.col("count") >= least).orderBy(F.desc("count"), "t").limit(most)
-    return np.sort(np.array([r["t"] for r in found.select("t").collect()], np.int64).view(np.uint64))
+    return np.sort(found.select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
