@@ -43,6 +43,8 @@ SKIP_NAMES = frozenset(
     "pager footer masthead comment comments commentlist discussion disqus respond reply replies widget toolbar "
     "contentinfo complementary search dialog paywall".split()
 )
+#: Words that make a compound say how a container is laid out.
+LAYOUT_NAMES = frozenset("no not has have with without is show hide hidden wrap wrapper container layout content main".split())
 ARTICLE_NAMES = frozenset("main article articlebody".split())
 #: A text is part of the template if at least so many pages of its host all have it at its place.
 TEMPLATE_PAGES = 3
@@ -53,10 +55,12 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 class Node:
     """An element, or a text where ``tag`` is "#"."""
 
-    __slots__ = ("tag", "names", "skip", "article", "children", "text")
+    __slots__ = ("tag", "names", "skip", "named", "article", "children", "text")
 
     def __init__(self, tag: str, names: str = "", skip: bool = False, article: bool = False, text: str = ""):
         self.tag, self.names, self.skip, self.article, self.text = tag, names, skip, article, text
+        #: Skipped by a class, id or role alone.
+        self.named = False
         self.children: list[Node] = []
 
     @property
@@ -88,13 +92,12 @@ def parse(page: str | None) -> Node:
         if tag in VOID:
             stack[-1].children.append(Node("#", text=" ") if tag in ("br", "wbr") else Node(tag))
             continue
-        names, skip, article = "", tag in SKIP_TAGS, tag in ("article", "main")
+        names, skip, article, named = "", tag in SKIP_TAGS, tag in ("article", "main"), False
         if m["attrs"] and ("=" in m["attrs"] or "hidden" in m["attrs"]):
             for key, *values in _ATTR.findall(m["attrs"]):
                 key, value = key.lower(), "".join(values).lower()
                 if key in ("class", "id", "role"):
-                    words = set(_NAME.findall(value))
-                    skip = skip or bool(words & SKIP_NAMES) and tag not in ("html", "body")
+                    named = named or tag not in ("html", "body") and any(map(_skip_name, value.split()))
                     names = f"{names} {value}".strip()
                 if key in ("role", "itemprop") and value in ARTICLE_NAMES:
                     article = True
@@ -110,12 +113,42 @@ def parse(page: str | None) -> Node:
                     break
         if tag == "header" and not any(x.article for x in stack):
             skip = True
-        node = Node(tag, names, skip, article)
+        node = Node(tag, names, skip or named, article)
+        node.named = named and not skip
         stack[-1].children.append(node)
         stack.append(node)
+    _rescue(root)
     return root
 
 
+def _skip_name(token: str) -> bool:
+    """Whether a class, id or role names a part that is no article, alone or as the noun of a compound:
+    "sidebar" and "user-comments", but not "content-sidebar-wrap", "comments-open" or "no-sidebar"."""
+    words = _NAME.findall(token)
+    return bool(words) and words[-1] in SKIP_NAMES and not LAYOUT_NAMES.intersection(words)
+
+
+def _holds(node: Node, test, kept: bool) -> bool:
+    """Whether a node below passes the test; with ``kept``, outside all skipped ones, else outside those
+    that are skipped for more than their names."""
+    return any(not (c.skip if kept else c.skip and not c.named) and (test(c) or _holds(c, test, kept)) for c in node.children)
+
+
+def _rescue(root: Node) -> None:
+    """A page whose only article, or only text, lies in parts skipped by name keeps those parts."""
+
+    def open_up(node, test):
+        for c in node.children:
+            if c.named and c.skip and (test(c) or _holds(c, test, False)):
+                c.skip = False
+            if not c.skip:
+                open_up(c, test)
+
+    for test in (lambda c: c.article, lambda c: c.tag == "#" and clean(c.text) != ""):
+        if not _holds(root, test, True) and _holds(root, test, False):
+            open_up(root, test)
+
+
 def clean(text: str) -> str:
     return _SPACE.sub(" ", html_lib.unescape(text)).strip()
 
@@ -211,23 +244,17 @@ def expression(w: list) -> str:
     return f"({body}){'+' if w[REP] else ''}{'?' if w[OPT] else ''}" if w[REP] or w[OPT] else body
 
 
-def region(wrapper: list) -> list[str] | None:
-    """The path of signatures to the node that holds most of the text that differs between pages; None if
-    the host marks its articles."""
-
-    def marked(w):
-        return w[ARTICLE] and w[CHARS] or any(map(marked, w[KIDS]))
-
-    if marked(wrapper):
-        return None
+def region(wrapper: list) -> list[list]:
+    """The path to the lowest node that holds all text that differs between pages. Each step is a signature,
+    which of the node's children of that signature it is, and how many of them there are."""
     path, node = [], wrapper
     while True:
-        inner = [k for k in node[KIDS] if k[SIG] != "#" and not k[REP]]
-        best = max(inner, key=_varied, default=None)
-        if best is None or _varied(best) < 0.6 * max(1, _varied(node)):
+        varied = [k for k in node[KIDS] if _varied(k)]
+        if len(varied) != 1 or varied[0][SIG] == "#" or varied[0][REP]:
             return path
-        path.append(best[SIG])
-        node = best
+        same = [k for k in node[KIDS] if k[SIG] == varied[0][SIG]]
+        node = varied[0]
+        path.append([node[SIG], next(i for i, k in enumerate(same) if k is node), len(same)])
 
 
 def _varied(w: list) -> int:
@@ -236,17 +263,22 @@ def _varied(w: list) -> int:
     return sum(map(_varied, w[KIDS]))
 
 
-def constants(wrapper: list) -> set[int]:
-    """Digests of the texts that every page has at their place."""
+def constants(wrapper: list, marked: bool = False) -> set[int]:
+    """Digests of the texts that every page has at their place, with ``marked`` those in marked articles. An
+    article without any text that differs has none: its pages are copies."""
     out: set[int] = set()
 
-    def walk(w):
-        if w[SIG] == "#" and w[CONST] is not None and not w[REP] and w[PAGES] >= max(TEMPLATE_PAGES, wrapper[PAGES]):
+    def walk(w, inside):
+        if not inside and w[ARTICLE]:
+            if not _varied(w):
+                return
+            inside = True
+        if inside and w[SIG] == "#" and w[CONST] is not None and not w[REP] and w[PAGES] >= max(TEMPLATE_PAGES, wrapper[PAGES]):
             out.add(w[CONST])
         for k in w[KIDS]:
-            walk(k)
+            walk(k, inside)
 
-    walk(wrapper)
+    walk(wrapper, not marked)
     return out
 
 
@@ -285,20 +317,44 @@ def _inmost(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def extract(page: str | None, path: list[str] | None = None, drop: set[int] = frozenset()) -> str:
+def _step(node: Node, sig: str, at: int, of: int) -> Node | None:
+    """The child that a step of a path means; None if the page has another number of them, so that it is
+    not known which."""
+    runs: list[list[Node]] = []
+    last = None
+    for c in node.children:
+        if c.tag == "#" and not clean(c.text) or c.tag != "#" and (c.skip or c.tag in VOID):
+            continue
+        if c.tag in INLINE and not _holds(c, lambda x: x.tag == "#" and clean(x.text) != "", True):
+            continue
+        mine = "#" if c.tag in INLINE else c.sig
+        if mine == sig and last == sig:
+            runs[-1].append(c)
+        elif mine == sig:
+            runs.append([c])
+        last = mine
+    return runs[at][0] if len(runs) == of and len(runs[at]) == 1 else None
+
+
+def articles(root: Node) -> list[Node]:
+    """The marked articles of a page."""
+    return _inmost(_marked(root, []))
+
+
+def extract(page: str | None, path: list[list] | None = None, drop: set[int] = frozenset(), inside: set[int] = frozenset()) -> str:
     """The text of a page's article: one line a block, white space in a block made one space.
 
-    Marked articles are taken as they are; elsewhere ``path`` names the region, and texts whose digest is in
-    ``drop`` are left out there.
+    A marked article is the region of its page, and texts whose digest is in ``inside`` are left out there;
+    elsewhere ``path`` names the region, and those in ``drop`` are left out.
     """
     root = parse(page)
-    found = _inmost(_marked(root, []))
+    found = articles(root)
     if found:
-        drop = frozenset()
+        drop = inside
     else:
         node = root
-        for sig in path or []:
-            inner = next((c for c in node.children if c.tag != "#" and not c.skip and c.sig == sig), None)
+        for step in path or []:
+            inner = _step(node, *step)
             if inner is None:
                 break
             node = inner
@@ -315,50 +371,54 @@ def extract(page: str | None, path: list[str] | None = None, drop: set[int] = fr
 
 
 def _infer(batches):
-    """One wrapper for each host of a batch."""
+    """One wrapper for each host of a batch and kind of page, marked or not."""
     for batch in batches:
-        found: dict[str, list] = {}
+        found: dict[tuple[str | None, bool], list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tree = fold(parse(page))
-            found[host] = align(found[host], tree) if host in found else tree
+            root = parse(page)
+            key, tree = (host, bool(articles(root))), fold(root)
+            found[key] = align(found[key], tree) if key in found else tree
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"]
+            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.bool_()), pa.array([json.dumps(w) for w in found.values()], pa.string())],
+            names=["host", "marked", "wrapper"],
         )
 
 
 def _merge_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     merged = json.dumps(merge([json.loads(w) for w in table.column("wrapper").to_pylist()]))
-    return pa.table({"host": [key[0].as_py()], "wrapper": [merged]})
+    return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "marked": [key[1].as_py()], "wrapper": [merged]})
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 32) -> DataFrame:
-    """(host, wrapper as JSON) from all pages. Wrappers of a host's batches merge in two steps, so that a
-    host with most of the pages keeps no task busy with all of them."""
+    """(host, marked, wrapper as JSON) from all pages: one of a host's pages with a marked article and one of
+    the others. Wrappers of a host's batches merge in two steps, so that a host with most of the pages keeps
+    no task busy with all of them."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    parts = rows.mapInArrow(_infer, "host string, wrapper string")
+    fields = "host string, marked boolean, wrapper string"
+    parts = rows.mapInArrow(_infer, fields)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    once = salted.groupBy("host", "salt").applyInArrow(_merge_group, "host string, wrapper string")
-    return once.groupBy("host").applyInArrow(_merge_group, "host string, wrapper string")
+    once = salted.groupBy("host", "marked", "salt").applyInArrow(_merge_group, fields)
+    return once.groupBy("host", "marked").applyInArrow(_merge_group, fields)
 
 
 def _summarise(batches):
     for batch in batches:
         out = []
-        for w in map(json.loads, batch.column(1).to_pylist()):
-            path = region(w)
-            out.append(json.dumps([path, [] if path is None else sorted(constants(w))]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "rule"])
+        for marked, w in zip(batch.column(1).to_pylist(), map(json.loads, batch.column(2).to_pylist())):
+            out.append(json.dumps([[] if marked else region(w), sorted(constants(w, marked))]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["host", "marked", "rule"])
 
 
 def extract_articles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with text, the article of each page, empty if it has none.
 
     Null html is empty; pages without a host share one wrapper. Repeated rows come back as they came and
-    columns named text are replaced. Hosts that mark their articles need no rule of their own, so only the
-    others' rules join the pages, by host.
+    columns named text are replaced. Each host has a rule for its pages with a marked article and one for
+    the others; rules that say nothing do not join.
     """
-    rules = staged(infer_wrappers(pages, url, html).mapInArrow(_summarise, "host string, rule string"), "rules")
-    rules = rules.where(~F.col("rule").startswith("[null")).withColumnRenamed("host", "__host").withColumnRenamed("rule", "__rule")
+    rules = staged(infer_wrappers(pages, url, html).mapInArrow(_summarise, "host string, marked boolean, rule string"), "rules").where("rule <> '[[], []]'")
+    pick = lambda m: F.max(F.when(F.col("marked") == m, F.col("rule")))
+    rules = rules.groupBy(F.col("host").alias("__host")).agg(F.to_json(F.array(pick(False), pick(True))).alias("__rule"))
     keyed = pages.withColumn("__key", host_of(F.col(url)))
     joined = keyed.join(rules, keyed["__key"] == rules["__host"], "left").drop("__key", "__host")
 
@@ -367,12 +427,12 @@ def extract_articles(pages: DataFrame, url: str = "url", html: str = "html") ->
 
         def rule(x):
             if x is None:
-                return None, frozenset()
+                return None, frozenset(), frozenset()
             if x not in known:
                 if len(known) > 10_000:
                     known.clear()
-                path, drop = json.loads(x)
-                known[x] = path, frozenset(drop)
+                (path, drop), (_, inside) = (json.loads(y) if y else (None, []) for y in json.loads(x))
+                known[x] = path, frozenset(drop), frozenset(inside)
             return known[x]
 
         def work(htmls, rows):

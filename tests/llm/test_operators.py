@@ -402,6 +402,22 @@ def test_alignment_makes_optional_repeated_and_slots():
     assert json.loads(json.dumps(one)) == one
 
 
+def articles_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = by_id(wrappers.extract_articles(df), "page_id")
+    return [got[i]["text"] for i in range(len(pages))]
+
+
+def test_marks_decide_by_page(spark):
+    """A host with some marked articles: the others get a wrapper of their own; template texts go in both."""
+    plain = "<body><div>Home</div><div class=x><p>Text {0} of this page</p></div><div>Imprint</div></body>"
+    marked = "<body><div>Home</div><main><h1>Title {0}</h1><div>Subscribe here</div><p>Text {0}</p></main></body>"
+    got = articles_of(spark, [(marked if i < 5 else plain).format(i) for i in range(10)])
+    assert got == [f"Title {i}\nText {i}" if i < 5 else f"Text {i} of this page" for i in range(10)]
+    copies = articles_of(spark, [marked.format(0)] * 4)
+    assert copies == ["Title 0\nSubscribe here\nText 0"] * 4
+
+
 # WARC
 
 
