@@ -418,6 +418,23 @@ def test_marks_decide_by_page(spark):
     assert copies == ["Title 0\nSubscribe here\nText 0"] * 4
 
 
+LAYOUTS = [
+    "<div class='content-sidebar-wrap'><main>{}</main></div>", "<main class='content no-sidebar'>{}</main>", "<article class='post comments-open'>{}</article>",
+    "<div id='page' class='site has-sidebar'><p>{}</p></div>", "<div class='sidebar'><main>{}</main></div>", "<main class='overlay'>{}</main>", "<div class='widget'><p>{}</p></div>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_names_of_layouts_keep_the_article(layout):
+    page = layout.format("words <b>here</b>") + "<nav>Menu</nav>"
+    assert wrappers.extract(page) == "words here"
+
+
+def test_comments_stay_out():
+    assert wrappers.extract("<article>a</article><section id=comments><article>b</article></section>") == "a"
+    assert wrappers.extract("<p>a</p><div class='comments'><p>b</p></div><div class='user-comments'>c</div>") == "a"
+
+
 # WARC
 
 
