@@ -435,6 +435,15 @@ def test_comments_stay_out():
     assert wrappers.extract("<p>a</p><div class='comments'><p>b</p></div><div class='user-comments'>c</div>") == "a"
 
 
+def test_region_keeps_titles_leads_and_positions(spark):
+    body = "long text {0} " * 30
+    beside = "<body><div>Home</div><div id=content><h1>Title {0}</h1><p class=lead>Lead {0}</p><div class=body>" + body + "</div></div></body>"
+    long = [" ".join(body.format(i).split()) for i in range(6)]
+    assert articles_of(spark, [beside.format(i) for i in range(6)]) == [f"Title {i}\nLead {i}\n{long[i]}" for i in range(6)]
+    later = "<body><div>logo</div><h1>News</h1><div><p>" + body + "</p></div></body>"
+    assert articles_of(spark, [later.format(i) for i in range(6)]) == long
+
+
 # WARC
 
 
