@@ -108,7 +108,7 @@ QUERIES = {
 }
 
 
-def _mix_sql(rounds: int = mixing.ROUNDS) -> str:
+def _mix_sql(rounds: int = 60) -> str:
     words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
     steps = [
         f"t as materialized (select doc_id, source, lang, text, {words} as n_tokens from documents)",
@@ -131,7 +131,7 @@ def _mix_sql(rounds: int = mixing.ROUNDS) -> str:
             n += 1
     return (
         f"with {', '.join(steps)}, f as (select source, lang, topic, case when tokens > 0 then weight / tokens else 0 end as weight from w{n}), "
-        "e as (select d.*, f.weight, round(f.weight, 12) as p from d join f on d.source is not distinct from f.source and d.lang is not distinct from f.lang and d.topic is not distinct from f.topic) "
+        "e as (select d.*, f.weight, round(f.weight, 7) as p from d join f on d.source is not distinct from f.source and d.lang is not distinct from f.lang and d.topic is not distinct from f.topic) "
         "select doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight, round(least(p, 1.0), 6) as probability, "
         "cast(floor(p) + case when cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 8) as bigint) / 4294967296.0::double < p - floor(p) then 1 else 0 end as bigint) as copies from e"
     )
