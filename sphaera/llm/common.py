@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is named, as in tests."""
+    """The folder that driver and executors share. Where none is named, a local session makes one for itself, as
+    in tests; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         named = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,6 +51,85 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in so many rows have is hot, so there are fewer hot keys than this.
+HOT_SHARE = 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
+    """left joined with right, which has one row a key, and in ``count`` how many rows of left have that key.
+
+    The rows of hot keys stay where they are and meet a broadcast of those keys, under HOT_SHARE rows; all
+    others shuffle. So no task gets more rows of one key than a HOT_SHARE-th of the table.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) * HOT_SHARE > F.lit(total)).drop(count)
+    if hot.isEmpty():
+        return left.join(right.drop(count), key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) * HOT_SHARE <= F.lit(total)).drop(count), key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+SEGMENT_BITS = 1 << 20
+#: 32 MB, the most bits of a Bloom filter that goes to a task.
+MAX_BLOOM_BITS = 1 << 28
+_PROBES = (43, 29, 15)
+
+
+def hash_of(*columns: Column) -> Column:
+    """A bigint for values of any type, nulls included."""
+    return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
+
+
+def maybe_in(keys: DataFrame, key: str = "h") -> Callable[[Column], Column]:
+    """A test of hashes: false only if none of keys has it. A Bloom filter of 12 bits a key, at most
+    MAX_BLOOM_BITS; a full one only means that more pass, so what passes is to be joined in the end.
+
+    Segments of the filter are built where their hashes meet; the driver gets the finished segments.
+    """
+    n, segments = keys.count(), 1
+    while segments * SEGMENT_BITS < min(12 * n, MAX_BLOOM_BITS):
+        segments *= 2
+
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        return [((h >> np.uint64(s)) % np.uint64(SEGMENT_BITS)).astype(np.int64) for s in _PROBES]
+
+    def build(batches):
+        segment, bits = None, None
+        for batch in batches:
+            own, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for s in np.unique(own).tolist():
+                if s != segment:
+                    if segment is not None:
+                        yield given(segment, bits)
+                    segment, bits = s, np.zeros(SEGMENT_BITS, bool)
+                for p in places(h[own == s].view(np.uint64)):
+                    bits[p] = True
+        if segment is not None:
+            yield given(segment, bits)
+
+    def given(segment, bits):
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "bits"])
+
+    dealt = keys.select(F.col(key).bitwiseAND(F.lit(segments - 1)).alias("segment"), F.col(key).alias("h"))
+    table = dealt.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment long, bits binary").toArrow()
+    shared = keys.sparkSession.sparkContext.broadcast(dict(zip(table.column("segment").to_pylist(), table.column("bits").to_pylist())))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        values = h.to_numpy(np.int64).view(np.uint64)
+        own, spots = values & np.uint64(segments - 1), places(values)
+        out = np.zeros(len(values), bool)
+        for s, packed in shared.value.items():
+            at = np.nonzero(own == np.uint64(s))[0]
+            if len(at):
+                bits = np.frombuffer(packed, np.uint8)
+                out[at] = np.logical_and.reduce([bits[p[at] >> 3] >> (p[at] & 7) & 1 == 1 for p in spots])
+        return pd.Series(out)
+
+    return test
+
+
 def with_arrow_columns(
     df: DataFrame,
     inputs: Sequence[str],

@@ -14,7 +14,6 @@ fingerprints that near.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphaera.llm.common import staged, with_arrow_columns
+from sphaera.llm.common import hash_of, join_hot, maybe_in, staged, with_arrow_columns
 
 BITS = 64
 RADIUS = 4
@@ -251,219 +250,171 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
 
 
-def _common_shingles(source: DataFrame, shingle: int, sample: int = 5000, least: int = 3, most: int = 100_000) -> np.ndarray:
-    """Shingles that several of about ``sample`` texts have, sorted. They only order the index: what the
-    sample misses makes longer lists and no other result."""
-    share = F.pmod(F.xxhash64("text"), F.lit(max(1, source.count() // sample))) == 0
+#: Bands of min-hashes and hashes in each: two sets of similarity 0.8 agree in no band with a probability of
+#: 2e-5, two of 0.85 with 2e-8.
+BANDS, BAND_ROWS = 36, 6
+#: How many pairs of one text meet in a task that compares them.
+PAIRS_IN_TASK = 256
 
-    def make():
-        return lambda texts: [pa.array([_shingle_hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))]
-
-    sets = with_arrow_columns(source.where(share).select("text").distinct(), ["text"], [("set", T.ArrayType(T.LongType()))], make)
-    found = sets.select(F.explode("set").alias("t")).groupBy("t").count().where(F.col("count") >= least).orderBy(F.desc("count"), "t").limit(most)
-    return np.sort(found.select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
 
-
-def _prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in an order that all sets share, common ones last; two sets of this
-    similarity have one of them in common."""
-    n = len(hashes)
-    if not n:
+def _band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of the min-hashes of a set; none for an empty set."""
+    if not len(hashes):
         return np.zeros(0, np.int64)
-    tokens = (hashes >> np.uint64(1)).view(np.int64)
-    rare = np.ones(n, bool) if not len(common) else common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
-    return np.sort(np.where(rare, ~tokens, tokens))[: n - math.ceil(similarity * n - 1e-6) + 1]
-
-
-def _list_pairs(limit: int):
-    """Pairs (t, a, b) of the lists of one partition, read in order of t; members of a list beyond the limit
-    come out as (t, a, null). Memory holds one list up to the limit."""
-
-    def run(batches):
-        key, members, over = None, [], False
-
-        def close(out):
-            if over:
-                out.extend((key, m, None) for m in members)
-            elif len(members) > 1:
-                out.extend((key, a, b) if a < b else (key, b, a) for a, b in combinations(members, 2) if a != b)
-
-        def table(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["t", "a", "b"])
-
-        for batch in batches:
-            tokens, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            n = len(tokens)
-            if not n:
-                continue
-            cuts = np.nonzero(tokens[1:] != tokens[:-1])[0] + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [n]))
-            # Only runs of two or more and the two at the edges of the batch need a look.
-            look = np.nonzero((ends - starts > 1) | (starts == 0) | (ends == n))[0]
-            out: list[tuple[int, int, int | None]] = []
-            for s, e in zip(starts[look].tolist(), ends[look].tolist()):
-                if int(tokens[s]) != key:
-                    close(out)
-                    key, members, over = int(tokens[s]), [], False
-                members.extend(nodes[s:e].tolist())
-                over = over or len(members) > limit
-                if over:
-                    close(out)
-                    members = []
-            yield table(out)
-        out = []
-        close(out)
-        yield table(out)
-
-    return run
+    factors = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(bands * rows)], np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        mixed = hashes[i : i + 1024, None] * factors
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= factors
+        np.minimum(least, mixed.min(axis=0), out=least)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
-def _enough(similarity: float, have: Column) -> Column:
-    """Whether sets x and y can be alike when ``have`` of the prefix shingles are common to both: what the
-    prefix that ends first has in common with the other set is all in the other prefix."""
-    first = F.col("x_end") <= F.col("y_end")
-    rest = F.when(first, F.col("x_size") - F.col("x_len")).otherwise(F.col("y_size") - F.col("y_len"))
-    least = F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
-    near = F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size") - 1e-6
-    return near & (have + rest >= least)
+def _words_digest(text: str | None) -> bytes:
+    """A digest of the sequence of words."""
+    return xxhash.xxh128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
 def near_copy_groups(
-    df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 3, radius: int = RADIUS,
-    list_limit: int = ALL_LINKS, stars: int = 2,
+    df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, stars: int = 2,
 ) -> DataFrame:
     """(id, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
 
     words is a digest of the sequence of words and group the smallest such digest of the group. Exact
-    copies (the same words) collapse first. Groups are the connected components of all pairs whose Jaccard
-    similarity is at least ``similarity``, computed in full. Candidates come from two sources:
+    copies (the same words) collapse first. Groups are the connected components of the pairs whose Jaccard
+    similarity is at least ``similarity``, each computed in full. Candidates come from two sources:
 
-    * ``fingerprints`` SimHashes of the distinct words, with different seeds, through the covering tables.
-    * An index of the first shingles of each set (rare ones first), which all pairs that are alike share.
-      Lists of up to ``list_limit`` documents give all pairs, counted and filtered by what the sets can still
-      have in common. Longer ones first test all members with one of them, ``stars`` times; then all pairs
-      of members that are still in different components.
+    * SimHashes of the distinct words, through the covering tables.
+    * Lists of texts that agree in a band of min-hashes, for the pairs that are alike but further apart than
+      the radius. ``stars`` times, all members of a list are compared with one of them; then all pairs of
+      members that are still in different components, so that a list leaves no pair untested but those
+      that are connected already.
 
-    Texts without words form one group.
+    Nulls and texts without words are one exact copy. Very long texts are compared by all of their shingles.
     """
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    common = _common_shingles(source, shingle)
 
     def make():
         def work(texts):
-            joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-            keys = [xxhash.xxh128_digest(j) for j in joined]
-            prints = [[_signed(simhash(t, 1, SEED + s, True)) for s in range(fingerprints)] for t in texts]
             sets = [_shingle_hashes(t, shingle) for t in texts]
-            prefixes = [_prefix(x, common, similarity) for x in sets]
-            return [pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            return [
+                pa.array([_words_digest(t) for t in texts], pa.binary()), pa.array([_signed(simhash(t, 1, SEED, True)) for t in texts], pa.int64()),
+                pa.array(list(map(len, sets)), pa.int64()), pa.array([_band_keys(x, bands, band_rows) for x in sets], pa.list_(pa.int64())),
+            ]
 
         return work
 
-    longs = T.ArrayType(T.LongType())
-    full = staged(with_arrow_columns(source, ["text"], [("words", T.BinaryType()), ("fps", longs), ("size", T.LongType()), ("prefix", longs)], make).drop("text"), "prints")
+    fields = [("words", T.BinaryType()), ("fp", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    full = staged(with_arrow_columns(source, ["text"], fields, make).drop("text"), "prints")
     base = full.select("id", "words")
-    # Each distinct sequence of words is one node.
-    same = [F.first(c).alias(c) for c in ("fps", "size", "prefix")]
-    nodes = staged(full.groupBy("words").agg(F.min("id").alias("low"), *same).withColumn("n", F.xxhash64("words")), "texts")
-    links = None
-    for s in range(fingerprints):
-        fps = nodes.select(F.col("fps")[s].alias("fp"), "words")
-        of = fps.groupBy("fp").agg(F.min("words").alias("low"))
-        near = fingerprint_links(of.select("fp"), "fp", radius)
-        across = near.join(of.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
-        same = fps.join(of, "fp").select(F.col("low").alias("x"), F.col("words").alias("y"))
-        here = across.select("x", "y").unionByName(same.where("x <> y"))
-        links = here if links is None else links.unionByName(here)
-
-    # Nodes go by 64 bits of their digests here.
-    lists = nodes.select(F.explode("prefix").alias("t"), "n").repartition("t").sortWithinPartitions("t")
-    found = staged(lists.mapInArrow(_list_pairs(list_limit), "t long, a long, b long"), "lists")
-    long = found.where("b is null").select("t", F.col("a").alias("n"))
-    shape = nodes.select("n", "words", "size", F.size("prefix").alias("len"), F.element_at("prefix", -1).alias("end")).where("size > 0")
-    shape = staged(shape.join(long.groupBy("n").agg(F.count("*").alias("long")), "n", "left").fillna(0, ["long"]), "shape")
-
-    def of(side, key):
-        return shape.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in shape.columns if c != key])
-
-    met = found.where("b is not null").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count("*").alias("m"))
-    met = met.join(of("x", "n"), "x").join(of("y", "n"), "y").where(_enough(similarity, F.col("m") + F.least("x_long", "y_long")))
-    links = links.unionByName(met.select(F.col("x_words").alias("x"), F.col("y_words").alias("y")))
-    links = staged(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "candidates")
-    long = staged(long.join(shape.select("n", "words"), "n").select("t", "words"), "long")
-    ends = links.select(F.col("x").alias("words")).unionByName(links.select(F.col("y").alias("words"))).unionByName(long.select("words")).distinct()
-    ends = staged(nodes.join(ends, "words", "left_semi").select("low"), "ends")
-    source = source.join(ends, source["id"].eqNullSafe(ends["low"]), "left_semi")
+    # Each distinct sequence of words is one node; nodes without words are alike only to themselves.
+    nodes = full.groupBy("words").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    nodes = staged(nodes.where("size > 0"), "texts")
+    node = F.struct("words", "size")
+
+    def alike_in_size(x: str, y: str) -> Column:
+        return F.least(f"{x}.size", f"{y}.size") >= F.lit(similarity) * F.greatest(f"{x}.size", f"{y}.size") - 1e-6
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        """Distinct pairs (x, y) of nodes whose sizes allow them to be alike; x is the one that many have."""
+        return rows.where(F.col("x.words") != F.col("y.words")).where(alike_in_size("x", "y")).select(F.col("x.words").alias("x"), F.col("y.words").alias("y")).distinct()
+
+    # The covering tables.
+    of = staged(nodes.groupBy("fp").agg(F.min(node).alias("x"), F.count("*").alias("n")), "fingerprints")
+    near = fingerprint_links(of.select("fp"), "fp", radius)
+    across = near.join(of.select(F.col("fp").alias("a"), "x"), "a").join(of.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
+    same = join_hot(nodes.select("fp", node.alias("y")), of, "fp")
+    first = pairs_of(across.select("x", "y").unionByName(same.select("x", "y")))
+
+    # The lists of the bands: only those of two or more members are kept.
+    members = nodes.select(F.explode("keys").alias("t"), node.alias("y"))
+    leads = staged(members.groupBy("t").agg(F.min("y").alias("x"), F.count("*").alias("n")).where("n > 1"), "leads")
+    lists = staged(join_hot(members, leads, "t").where(F.col("x.words") != F.col("y.words")).select("t", "x", "y"), "lists")
+    tested = staged(first.unionByName(pairs_of(lists)).distinct(), "candidates")
+
+    ends = tested.select(F.col("x").alias("words")).unionByName(tested.select(F.col("y").alias("words"))).unionByName(lists.select("y.words")).distinct()
+    ends = staged(nodes.join(ends, "words", "left_semi").select("low", hash_of(F.col("low")).alias("h")), "ends")
+    wanted = maybe_in(ends)
 
     def shingles():
         def work(texts):
-            joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-            sets = [_shingle_hashes(t, shingle).view(np.int64) for t in texts]
-            return [pa.array([xxhash.xxh128_digest(j) for j in joined], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            return [pa.array([_words_digest(t) for t in texts], pa.binary()), pa.array([_shingle_hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))]
 
         return work
 
-    fields = [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))]
-    sets = staged(with_arrow_columns(source, ["text"], fields, shingles).select("words", "set").dropDuplicates(["words"]), "sets")
+    # Every row that has the id of a needed text; copies of it and others of that id do no harm.
+    asked = source.where(wanted(hash_of(F.col("id"))))
+    sets = with_arrow_columns(asked, ["text"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
+    sets = staged(sets.where(F.size("set") > 0).select("words", "set").dropDuplicates(["words"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike. A text that many others are compared with goes to several tasks."""
+        degrees = staged(pairs.groupBy(F.col("x").alias("words")).agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / PAIRS_IN_TASK).cast("int"))
+        dealt = join_hot(pairs.withColumnRenamed("x", "words"), degrees, "words").withColumnRenamed("words", "x")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).drop("parts")
+        xs = sets.join(degrees.drop("n"), "words").select(F.col("words").alias("x"), F.col("set").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         return (
-            pairs.join(sets.select(F.col("words").alias("x"), F.col("set").alias("xs")), "x")
-            .join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y")
+            dealt.join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y")
+            .join(xs, ["x", "part"])
             .withColumn("common", F.size(F.array_intersect("xs", "ys")))
             .where(F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common")))
-            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         )
 
     def settled(alike: DataFrame) -> DataFrame:
         return staged(components(alike).withColumnRenamed("node", "words"), "components")
 
-    def unsettled(groups: DataFrame) -> DataFrame:
-        """Members of the long lists that lie in several components."""
-        rows = long.join(groups, "words", "left").select("t", "words", F.coalesce("component", "words").alias("component"))
-        mixed = rows.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
-        return staged(rows.join(mixed, "t", "left_semi"), "unsettled")
+    def unsettled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """(t, y, component) of the lists whose members lie in several components."""
+        known = rows.select("t", "y").join(groups.select(F.col("words").alias("__w"), "component"), F.col("y.words") == F.col("__w"), "left")
+        known = known.select("t", "y", F.coalesce("component", F.col("y.words")).alias("component"))
+        mixed = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("t", "n")
+        return staged(join_hot(known, mixed, "t"), "unsettled")
 
-    alike = staged(verified(links), "alike")
+    alike = staged(verified(tested), "alike")
     groups = settled(alike)
-    if not long.isEmpty():
-        rows = unsettled(groups)
-        for turn in range(stars):
-            if rows.isEmpty():
-                break
-            lead = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("words", F.lit(turn)).alias("h"), "words", "component")).alias("lead"))
-            pairs = rows.join(lead, "t").where("component <> lead.component")
-            pairs = pairs.select(F.least("words", "lead.words").alias("x"), F.greatest("words", "lead.words").alias("y")).distinct()
-            pairs = staged(pairs.join(links, ["x", "y"], "left_anti"), "stars")
-            links = links.unionByName(pairs)
-            alike = staged(alike.unionByName(verified(pairs)), "alike")
-            groups = settled(alike)
-            rows = unsettled(groups)
-        if not rows.isEmpty():
-            x, y = (rows.select("t", F.col("words").alias(k), F.col("component").alias(f"{k}_component")) for k in "xy")
-            pairs = x.join(y, "t").where("x < y and x_component <> y_component").groupBy("x", "y").agg(F.count("*").alias("m"))
-            pairs = pairs.join(of("x", "words"), "x").join(of("y", "words"), "y")
-            pairs = pairs.where(_enough(similarity, F.col("m") + F.least(F.col("x_len") - F.col("x_long"), F.col("y_len") - F.col("y_long"))))
-            pairs = staged(pairs.select("x", "y").join(links, ["x", "y"], "left_anti"), "crossing")
-            groups = settled(alike.unionByName(verified(pairs)))
+    # What is left of a list without the one that all of it was compared with.
+    rows = unsettled(lists, groups)
+    for turn in range(1, stars):
+        if rows.isEmpty():
+            break
+        lead = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("y.words", F.lit(turn)).alias("h"), "y", "component")).alias("lead"), F.count("*").alias("n"))
+        rows = staged(join_hot(rows, staged(lead, "leads"), "t").where(F.col("y.words") != F.col("lead.y.words")), "rows")
+        pairs = pairs_of(rows.where(F.col("component") != F.col("lead.component")).select(F.col("lead.y").alias("x"), "y"))
+        alike = staged(alike.unionByName(verified(staged(pairs, "stars"))), "alike")
+        groups = settled(alike)
+        rows = unsettled(rows, groups)
+    if not rows.isEmpty():
+        x, y = rows.select("t", F.col("y").alias("x"), F.col("component").alias("cx")), rows.select("t", "y", F.col("component").alias("cy"))
+        pairs = x.join(y, "t").where((F.col("x.words") < F.col("y.words")) & (F.col("cx") != F.col("cy")))
+        groups = settled(alike.unionByName(verified(staged(pairs_of(pairs), "crossing"))))
     return base.join(groups, "words", "left").select(F.col("id").alias(id), "words", F.coalesce("component", "words").alias("group"))
 
 
 def without_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df that stay: of each group of near copies the document with the smallest id.
 
-    Rows that repeat both id and words are one document and stay together; columns are those of df.
+    Rows that repeat both id and words are one document and stay together; columns are those of df. Of the
+    rows of df, only those whose id may have gone shuffle.
     """
     groups = staged(near_copy_groups(df, id, text, **options).select(F.col(id).alias("gone_id"), "words", "group"), "groups")
     # Nulls sort before all ids, so a struct gives every group one smallest member.
-    first = groups.groupBy("group").agg(F.min(F.struct("gone_id", "words")).alias("first"))
-    gone = groups.join(first, "group").where(~F.struct("gone_id", "words").eqNullSafe(F.col("first")))
-    gone = staged(gone.select("gone_id", "words").distinct(), "gone")
+    first = staged(groups.groupBy("group").agg(F.min(F.struct("gone_id", "words")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    gone = join_hot(groups, first, "group").where(~F.struct("gone_id", "words").eqNullSafe(F.col("first")))
+    gone = gone.select("gone_id", F.col("words").alias("gone_words"), hash_of(F.col("gone_id")).alias("h"))
+    gone = staged(gone.distinct(), "gone")
+    maybe = maybe_in(gone)(hash_of(F.col(id)))
 
     def digests():
-        return lambda texts: [pa.array([xxhash.xxh128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts], pa.binary())]
+        return lambda texts: [pa.array([_words_digest(t) for t in texts], pa.binary())]
 
-    keyed = with_arrow_columns(df, [text], [("__words", T.BinaryType())], digests)
-    gone = gone.withColumnRenamed("words", "gone_words")
+    keyed = with_arrow_columns(df.where(maybe), [text], [("__words", T.BinaryType())], digests)
     same = keyed[id].eqNullSafe(gone["gone_id"]) & (keyed["__words"] == gone["gone_words"])
-    return keyed.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    left = keyed.join(gone.drop("h"), same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.where(~maybe).unionByName(left)

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sphaera.llm import decontaminate, langid, licenses, linededup, mixing, queries, simhash, syncmers, urlfilter, warc, wrappers
+from sphaera.llm.common import hash_of, join_hot, maybe_in
 
 SF = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -78,6 +79,13 @@ def test_mix_meets_targets(spark):
     assert all(r["probability"] == min(1, round(r["weight"], 7)) for r in out)
 
 
+def test_mix_in_rounds_of_jobs(spark, docs):
+    cells = docs.groupBy("source", "lang").agg(F.sum(mixing.token_count(F.col("text"))).alias("tokens"))
+    targets = {d: mixing.tempered(cells, d) for d in ("source", "lang")}
+    one, many = (mixing.rake(cells, targets, cells_in_task=n).select("source", "lang", F.round("weight", 4)).collect() for n in (1000, 0))
+    assert sorted(one, key=repr) == sorted(many, key=repr) and len(one) > 4
+
+
 def test_mix_odd(odd, empty):
     df = odd.withColumn("n", mixing.token_count(F.col("text")))
     out = mixing.mix(df, ("source", "lang"), "n").collect()
@@ -329,7 +337,7 @@ def plain_groups(texts, similarity=0.8):
     return {frozenset(g) for g in group.values()}, pairs
 
 
-@pytest.mark.parametrize("limits", [{}, {"list_limit": 2, "stars": 1}, {"list_limit": 1, "stars": 0}])
+@pytest.mark.parametrize("limits", [{}, {"stars": 1}, {"stars": 3, "bands": 200, "band_rows": 2}])
 def test_near_copies_with_replaced_passages(spark, limits):
     pick = random.Random(7)
     fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
@@ -365,6 +373,47 @@ def test_near_copies_beside_a_reordering(spark):
     assert all(got[3 * g + 1] == got[3 * g + 2] != got[3 * g] for g in range(8))
 
 
+def test_near_copies_in_pairs_of_one_vocabulary(spark):
+    """Pairs that are alike among texts of the same distinct words, which are all in one list of the tables."""
+    pick, rows = random.Random(5), []
+    words = [f"w{i}" for i in range(150)]
+    for g in range(4):
+        pick.shuffle(words)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + words[:3]))]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+
+
+def test_near_copies_in_a_large_list(spark):
+    """Two hundred texts that share most of a passage, in groups that are alike within and not across."""
+    pick, texts = random.Random(6), {}
+    passage = [f"p{i}" for i in range(150)]
+    for g in range(50):
+        own = passage + [f"g{g}w{i}" for i in range(60)]
+        for v in range(4):
+            at = pick.randrange(len(own) - 4)
+            texts[4 * g + v] = " ".join(own[:at] + [f"g{g}v{v}"] + own[at + 1 :])
+    want, pairs = plain_groups(texts)
+    assert len(want) == 50 and pairs == 300
+    got = defaultdict(set)
+    for r in simhash.near_copy_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r["group"]].add(r["doc_id"])
+    assert set(map(frozenset, got.values())) == want
+
+
+def test_hot_keys_join_alike(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.max("id").alias("most"), F.count("*").alias("n")).where("k < 2000")
+    assert sorted(map(tuple, join_hot(left, right, "k").collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+
+
+def test_bloom_filters_miss_no_key(spark):
+    keys = spark.range(0, 400_000, 7).select(hash_of(F.col("id")).alias("h"))
+    passed = {r["id"] for r in spark.range(400_000).where(maybe_in(keys)(hash_of(F.col("id")))).collect()}
+    assert set(range(0, 400_000, 7)) <= passed and len(passed) < 70_000
+    assert spark.range(10).where(maybe_in(keys.where("false"))(hash_of(F.col("id")))).count() == 0
+
+
 # pages
 
 
