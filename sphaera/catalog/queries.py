@@ -86,13 +86,8 @@ def contact_discs(spark, sf_dir):
     return _rounded(rows.select("structure_id", "a", "b", F.col("h").alias("offset"), F.col("disc_r").alias("radius"), area), "offset", "radius", "uncut_area")
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    cut = contact_ops.lines(contact_ops.discs(overlap.pairs(df)))
-    return cut.select("structure_id", "a", "b", F.explode("cuts").alias("l")).select("structure_id", "a", "b", F.col("l.c").alias("c"), F.col("l.dist").alias("dist"))
-
-
 def clip_lines(spark, sf_dir):
-    return _rounded(_lines(tess(spark, sf_dir).neighbours), "dist")
+    return _rounded(contact_ops.lines(tess(spark, sf_dir).neighbours).select("structure_id", "a", "b", "c", "dist"), "dist")
 
 
 def contacts_area_arc(spark, sf_dir):

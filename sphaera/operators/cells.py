@@ -9,23 +9,24 @@ from sphaera.functions.geometry import PI
 from sphaera.operators.overlap import KEY
 
 
-def half_contacts(full: DataFrame) -> DataFrame:
-    """The two ends of each contact; of a contact with an image, the end within the box."""
+def half_contacts(rows: DataFrame) -> DataFrame:
+    """The two ends of each contact; of a contact with an image, the end within the box; and the spheres that
+    only have neighbours, with nulls."""
     common = ["area", "arc_length"]
     ends = F.array(
-        F.struct(F.col("a").alias("ball_id"), F.col("ar").alias("r"), *common, F.col("solid_angle_a").alias("solid"), F.col("pyramid_volume_a").alias("volume")),
-        F.struct(F.col("b").alias("ball_id"), F.col("br").alias("r"), *common, F.col("solid_angle_b").alias("solid"), F.col("pyramid_volume_b").alias("volume")),
+        F.struct(F.col("a").alias("ball_id"), *common, F.col("solid_angle_a").alias("solid"), F.col("pyramid_volume_a").alias("volume")),
+        F.struct(F.col("b").alias("ball_id"), *common, F.col("solid_angle_b").alias("solid"), F.col("pyramid_volume_b").alias("volume")),
     )
     ends = F.when(F.col("bimage") == 0, ends).otherwise(F.slice(ends, 1, 1))
-    return full.select("structure_id", F.explode(ends).alias("e")).select("structure_id", "e.*")
+    return rows.select("structure_id", F.explode(ends).alias("e")).select("structure_id", "e.*")
 
 
-def summaries(full: DataFrame) -> DataFrame:
-    """Per ball: number of contacts, their area and arc length, and solid angles and volumes by sign."""
+def summaries(rows: DataFrame) -> DataFrame:
+    """Per ball that has neighbours: number of contacts, and arc length, solid angles and volumes, by sign."""
     plus = lambda c: F.sum(F.greatest(F.col(c), F.lit(0.0)))
     minus = lambda c: F.sum(F.greatest(-F.col(c), F.lit(0.0)))
-    return half_contacts(full).groupBy(*KEY).agg(
-        F.count("*").alias("n_contacts"), F.sum("area").alias("area"), F.sum("arc_length").alias("arc_length"),
+    return half_contacts(rows).groupBy(*KEY).agg(
+        F.count("area").alias("n_contacts"), F.sum("arc_length").alias("arc_length"),
         plus("solid").alias("solid_plus"), minus("solid").alias("solid_minus"), plus("volume").alias("volume_plus"), minus("volume").alias("volume_minus"),
     )
 
@@ -40,18 +41,17 @@ def _measures() -> tuple[Column, Column]:
     return F.when(seen, open_area).otherwise(0.0), F.when(seen, open_volume).otherwise(inner)
 
 
-def cells(spheres: DataFrame, near: DataFrame, full: DataFrame, detached_without_contacts: bool = False) -> DataFrame:
+def cells(spheres: DataFrame, rows: DataFrame, detached_without_contacts: bool = False) -> DataFrame:
     """(structure_id, index, sas_area, volume) of every ball that has a contact or no neighbour at all; the
     latter, hidden ones included, keep their whole sphere. A ball with neighbours but no contact has no cell,
-    unless detached_without_contacts."""
-    crowded = near.where(F.size("near") > 0).select("structure_id", F.col("a").alias("ball_id"), F.lit(True).alias("crowded"))
-    rows = spheres.select(*KEY, "r").join(summaries(full), KEY, "left")
+    unless detached_without_contacts. rows are those of contacts.measured()."""
+    out = spheres.select(*KEY, "r").join(summaries(rows), KEY, "left")
     if not detached_without_contacts:
-        rows = rows.join(crowded, KEY, "left").where("n_contacts is not null or crowded is null")
+        out = out.where("n_contacts is null or n_contacts > 0")
     area, volume = _measures()
     whole = F.col("r") * F.col("r") * (4.0 * PI)
-    alone = F.col("n_contacts").isNull()
-    return rows.select(
+    alone = F.coalesce("n_contacts", F.lit(0)) == 0
+    return out.select(
         "structure_id", F.col("ball_id").alias("index"), F.when(alone, whole).otherwise(area).alias("sas_area"),
         F.when(alone, whole * F.col("r") / 3.0).otherwise(volume).alias("volume"),
     )

@@ -1,22 +1,30 @@
 """Contact areas: discs on radical planes, clipped by the planes of the other neighbours.
 
-The part of a disc within several half-planes is a sum over its boundary: the uncovered arcs of the circle
-and the surviving piece of each line. So there is no polygon to cut: every line keeps an interval, every
-line removes an angle, and area, arc length and solid angles are sums of those.
+Each row of ``neighbours`` holds all that its contacts depend on, so construction needs no shuffle: Arrow
+batches of spheres go to numpy, which takes all pairs of a batch through each step together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sphaera.functions.geometry import EPSILON, TAU, Vec, any_normal, circle_radius, distance, plane_offset, sphere_contains, spheres_intersect, square_distance
+from sphaera.functions.clipping import Spheres, contact_columns, line_columns
+from sphaera.functions.geometry import Vec, any_normal, circle_radius, distance, plane_offset
 
-#: Below this, a piece of a line or an arc is a rounding error of one that is not there.
-SLIVER = 1e-9
-#: Lines of the first, rough look.
-NEAREST = 6
-PAIR = ["structure_id", "a", "b", "bimage"]
+CONTACT = (
+    "b bigint, bimage int, h double, d double, ar double, br double, area double, arc_length double, central boolean, solid_angle_a double, "
+    "solid_angle_b double, pyramid_volume_a double, pyramid_volume_b double"
+)
+BOUNDARY = (
+    ", ".join(f"{n}{c} double" for n in ("u", "m", "e1", "e2") for c in "xyz")
+    + ", disc_r double, pieces array<struct<c:bigint,dist:double,n1:double,n2:double,lo:double,hi:double,lo_c:bigint,hi_c:bigint>>, arcs array<struct<start:double,length:double>>"
+)
 
 
 def discs(found: DataFrame) -> DataFrame:
@@ -33,177 +41,51 @@ def discs(found: DataFrame) -> DataFrame:
     return rows.withColumns(dict(zip(("e2x", "e2y", "e2z"), u.cross(Vec.of("e1")))))
 
 
-def let(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once and then stay as they are. As a row that is exploded, they are
-    out of the optimizer's reach, which would copy costly expressions into each filter that reads them."""
-    kept = [c for c in df.columns if c not in columns]
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select(*df.columns, F.explode(F.array(made)).alias("__made")).select(*kept, *[F.col(f"__made.{n}").alias(n) for n in columns])
-
-
-def lines(found: DataFrame) -> DataFrame:
-    """Discs with cuts: for each neighbour c whose plane crosses the disc, the line {p : p.n = dist} of which
-    the disc keeps the side p.n < dist, in the basis of the plane. Discs that are cut away are gone.
-
-    All of it happens within the row of the pair, which carries the neighbours of a.
-    """
-    a, b, u, m, e1, e2 = map(Vec.of, ("a", "b", "u", "m", "e1", "e2"))
-    at = lambda c: Vec(c["bx"], c["by"], c["bz"])
-    disc_r = F.col("disc_r")
+def _constructed(near: DataFrame, fields: str, columns: Callable, mark: bool) -> DataFrame:
+    """Rows (structure_id, a, fields) that ``columns`` gives for batches of spheres; with mark also one row
+    (structure_id, a, nulls) for each sphere that has neighbours."""
+    rows = near.select("structure_id", "a", "ax", "ay", "az", "ar", "agrp", "near").where(F.size("near") > 0)
+    schema = T.StructType([rows.schema["structure_id"], T.StructField("a", T.LongType()), *T._parse_datatype_string(fields).fields])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+
+    def run(batches):
+        for batch in batches:
+            own = [batch.column(i) for i in range(2)]
+            if mark:
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(batch), f.type) for f in list(arrow)[2:]]], schema=arrow)
+            for rows, values in columns(Spheres(batch)):
+                at = pa.array(rows)
+                new = [values[f.name] for f in list(arrow)[2:]]
+                new = [x if isinstance(x, pa.Array) else pa.array(x) for x in new]
+                yield pa.RecordBatch.from_arrays([*[x.take(at) for x in own], *[x.cast(f.type) for x, f in zip(new, list(arrow)[2:])]], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def lines(near: DataFrame) -> DataFrame:
+    """(structure_id, a, b, bimage, c, dist): the lines that cross the disc of a pair, from the radical plane of
+    neighbour c, dist from the centre; negative where the centre is on its far side. Discs that are cut away
+    as a whole have none."""
+    return _constructed(near, "b bigint, bimage int, c bigint, dist double", line_columns, mark=False)
+
+
+def boundaries(near: DataFrame) -> DataFrame:
+    """contacts_full() with the plane of each contact, the pieces of lines and the arcs that bound it."""
+    return _constructed(near, f"{CONTACT}, {BOUNDARY}", lambda s: contact_columns(s, True), mark=False)
 
-    def reaches(c):
-        itself = (c["b"] == F.col("b")) & (c["bimage"] == F.col("bimage"))
-        return spheres_intersect(square_distance(at(c), b), F.col("br"), c["br"]) & spheres_intersect(square_distance(at(c), m), disc_r, c["br"]) & ~itself
 
-    def swallows(c):
-        return sphere_contains(square_distance(at(c), b), c["br"], F.col("br")) | sphere_contains(square_distance(at(c), a), c["br"], F.col("ar"))
+def measured(near: DataFrame) -> DataFrame:
+    """Each contact once, and before them a row without b for each sphere that has neighbours."""
+    return _constructed(near, CONTACT, lambda s: contact_columns(s, False), mark=True)
 
-    def towards(c):
-        v = at(c).minus(a)
-        return F.struct(c["b"].alias("c"), c["bimage"].alias("cimage"), c["h"].alias("h"), v.norm().alias("n"), v.dot(u).alias("k"), v.dot(e1).alias("v1"), v.dot(e2).alias("v2"))
 
-    def slanted(q):
-        beyond = F.col("h") * q["k"] / q["n"] - q["h"]
-        return F.struct(q["c"].alias("c"), q["cimage"].alias("cimage"), beyond.alias("s"), F.sqrt(q["v1"] * q["v1"] + q["v2"] * q["v2"]).alias("w"), q["n"].alias("n"), q["v1"].alias("v1"), q["v2"].alias("v2"))
-
-    def line(q):
-        crosses = q["w"] >= q["n"] * 1e-12
-        return F.struct(
-            q["c"].alias("c"), q["cimage"].alias("cimage"), F.when(crosses, -q["s"] * q["n"] / q["w"]).alias("dist"), F.when(crosses, q["v1"] / q["w"]).alias("n1"), F.when(crosses, q["v2"] / q["w"]).alias("n2"),
-            F.atan2(q["v2"], q["v1"]).alias("phi"), q["s"].alias("s"),
-        )
-
-    rows = let(found, near=F.filter("near", reaches))
-    all_lines = F.transform(F.transform(F.transform("near", towards), slanted), line)
-    rows = let(rows, swallowed=F.exists("near", swallows), cuts=all_lines).drop("near")
-    outside = F.exists("cuts", lambda q: F.when(q["dist"].isNull(), q["s"] > EPSILON).otherwise(q["dist"] <= -disc_r))
-    # They stay in the order of the neighbours, nearest plane first, which decides between equal lines.
-    crossing = F.filter("cuts", lambda q: q["dist"] < disc_r)
-    return let(rows, dead=F.col("swallowed") | outside, cuts=crossing).where("not dead").drop("dead", "swallowed")
-
-
-def _pieces(cuts: Column, disc_r: Column) -> Column:
-    """What remains of each line: from lo to hi along n turned left, and which line ends it (null: the circle)."""
+def contacts_full(rows: DataFrame) -> DataFrame:
+    """The contacts of measured(): area, arc length, centrality, and solid angles and signed pyramid volumes
+    towards both centres. A contact is central if no line that bounds it separates it from the centre of its disc."""
+    return rows.where(F.col("b").isNotNull())
 
-    def piece(line, i):
-        half = F.sqrt(F.greatest(disc_r * disc_r - line["dist"] * line["dist"], F.lit(0.0)))
-        nobody = F.lit(None).cast("int")
-        start = F.struct((-half).alias("lo"), half.alias("hi"), nobody.alias("lo_by"), nobody.alias("hi_by"), F.lit(0).alias("j"))
 
-        def met(other):
-            kappa = line["n1"] * other["n2"] - line["n2"] * other["n1"]
-            along = line["n1"] * other["n1"] + line["n2"] * other["n2"]
-            return F.struct(kappa.alias("kappa"), along.alias("along"), (other["dist"] - along * line["dist"]).alias("gamma"))
-
-        def crossed(x):
-            return F.struct(x["kappa"].alias("kappa"), x["along"].alias("along"), x["gamma"].alias("gamma"), F.when(F.abs(x["kappa"]) >= 1e-11, x["gamma"] / x["kappa"]).alias("t"), (F.abs(x["kappa"]) < 1e-11).alias("flat"))
+def crowded(rows: DataFrame) -> DataFrame:
+    """(structure_id, ball_id) of the spheres of measured() that have neighbours."""
+    return rows.where(F.col("b").isNull()).select("structure_id", F.col("a").alias("ball_id"))
 
-        def bound(acc, x):
-            # Of equal lines the first one stays.
-            out = x["flat"] & (acc["j"] != i) & ((x["gamma"] < -1e-11) | ((x["gamma"] <= 1e-11) & (x["along"] > 0) & (acc["j"] < i)))
-            up = ~x["flat"] & (x["kappa"] < 0) & (x["t"] > acc["lo"] + EPSILON)
-            down = ~x["flat"] & (x["kappa"] > 0) & (x["t"] < acc["hi"] - EPSILON)
-            return F.struct(
-                F.when(up, x["t"]).otherwise(acc["lo"]).alias("lo"),
-                F.when(out, F.lit(float("-inf"))).when(down, x["t"]).otherwise(acc["hi"]).alias("hi"),
-                F.when(up, acc["j"]).otherwise(acc["lo_by"]).alias("lo_by"),
-                F.when(down, acc["j"]).otherwise(acc["hi_by"]).alias("hi_by"),
-                (acc["j"] + 1).alias("j"),
-            )
-
-        def named(x):
-            return F.struct(*[line[n].alias(n) for n in ("c", "cimage", "dist", "n1", "n2")], *[x[n].alias(n) for n in ("lo", "hi", "lo_by", "hi_by")])
-
-        # transform() binds the result of the loop, so that it runs once for each line.
-        return F.transform(F.array(F.aggregate(F.transform(F.transform(cuts, met), crossed), start, bound)), named)
-
-    return F.filter(F.flatten(F.transform(cuts, piece)), lambda s: s["hi"] - s["lo"] > SLIVER)
-
-
-def _arcs(cuts: Column, disc_r: Column) -> Column:
-    """The uncovered arcs of the circle as array<struct<start, length>>; all of it without cuts."""
-    spans = F.array_sort(
-        F.transform(cuts, lambda c: F.struct(F.pmod(c["phi"] - F.acos(c["dist"] / disc_r), F.lit(TAU)).alias("s"), (F.acos(c["dist"] / disc_r) * 2.0).alias("w")))
-    )
-    none = F.array().cast("array<struct<start:double,length:double>>")
-
-    def swept(spans):
-        # Angles count from the start of the first span; the furthest end may reach around into the beginning.
-        first = spans[0]["s"]
-        around = F.array_max(F.transform(spans, lambda x: x["s"] - first + x["w"])) - TAU
-        start = F.struct(F.greatest(spans[0]["w"], around).alias("end"), none.alias("gaps"))
-
-        def step(acc, x):
-            at = x["s"] - first
-            gap = F.struct((first + acc["end"]).alias("start"), (at - acc["end"]).alias("length"))
-            return F.struct(F.greatest(acc["end"], at + x["w"]).alias("end"), F.when(at - acc["end"] > SLIVER, F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"]).alias("gaps"))
-
-        def finish(acc):
-            last = F.struct((first + acc["end"]).alias("start"), (F.lit(TAU) - acc["end"]).alias("length"))
-            return F.when(F.lit(TAU) - acc["end"] > SLIVER, F.concat(acc["gaps"], F.array(last))).otherwise(acc["gaps"])
-
-        return F.aggregate(spans, start, step, finish)
-
-    whole = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(TAU).alias("length")))
-    return F.when(F.size(cuts) == 0, whole).otherwise(F.flatten(F.transform(F.array(spans), swept)))
-
-
-def _total(array: Column, value) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
-
-
-def relevant(found: DataFrame, first: int = NEAREST) -> DataFrame:
-    """Discs with only those cuts that can matter; discs of which nothing is left are gone.
-
-    What the ``first`` lines nearest to the centre leave of a disc holds all of the contact: a line that
-    passes outside of it cuts nothing. The loop over pairs of lines, which takes the square of their number,
-    then sees a few of them.
-    """
-    ordered = F.array_sort(F.transform("cuts", lambda q: F.struct(q["dist"].alias("dist"), q["n1"].alias("n1"), q["n2"].alias("n2"), q["phi"].alias("phi"), q["c"].alias("c"), q["cimage"].alias("cimage"))))
-    rows = let(found, few=F.slice(ordered, 1, first))
-    rows = let(rows, rough=_pieces(F.col("few"), F.col("disc_r")), open=_arcs(F.col("few"), F.col("disc_r")))
-    rows = rows.where((F.size("rough") > 0) | (F.size("open") > 0))
-    corner = F.array_max(F.transform("rough", lambda s: s["dist"] * s["dist"] + F.greatest(s["lo"] * s["lo"], s["hi"] * s["hi"])))
-    rows = let(rows, reach=F.when(F.size("open") > 0, F.col("disc_r")).otherwise(F.sqrt(corner) + SLIVER))
-    return let(rows, cuts=F.filter("cuts", lambda q: q["dist"] <= F.col("reach"))).drop("few", "rough", "open", "reach")
-
-
-def boundaries(found: DataFrame) -> DataFrame:
-    """Discs with the pieces and arcs of their boundary, arc_sum and area. Contacts without area are gone."""
-    found = relevant(found)
-    rows = let(found, pieces=_pieces(F.col("cuts"), F.col("disc_r")), arcs=_arcs(F.col("cuts"), F.col("disc_r")))
-    rows = let(rows, arc_sum=_total(F.col("arcs"), lambda g: g["length"]), inner=_total(F.col("pieces"), lambda s: s["dist"] * (s["hi"] - s["lo"])))
-    rows = let(rows, area=(F.col("disc_r") * F.col("disc_r") * F.col("arc_sum") + F.col("inner")) * 0.5).drop("inner")
-    return rows.where((F.col("area") > 1e-12) & ((F.size("pieces") > 0) | (F.size("arcs") > 0)))
-
-
-def contacts(bounds: DataFrame) -> DataFrame:
-    """Area, arc length and centrality of each contact. A contact is central if no line that bounds it
-    separates it from the centre of its disc."""
-    return bounds.select(
-        *PAIR, "h", "area", (F.col("disc_r") * F.col("arc_sum")).alias("arc_length"), F.forall("pieces", lambda s: s["dist"] >= 0).alias("central")
-    )
-
-
-def contacts_full(bounds: DataFrame) -> DataFrame:
-    """contacts() with the solid angles and signed pyramid volumes towards both centres, and the distance."""
-
-    def side(offset: Column, radius: Column) -> tuple[Column, Column]:
-        far = F.abs(offset)
-        sign = F.when(offset < 0, -1.0).otherwise(1.0)
-
-        def wedge(s):
-            p = F.sqrt(s["dist"] * s["dist"] + s["lo"] * s["lo"] + far * far)
-            q = F.sqrt(s["dist"] * s["dist"] + s["hi"] * s["hi"] + far * far)
-            return F.atan2(s["dist"] * (s["hi"] - s["lo"]), p * q + far * (p + q) + s["dist"] * s["dist"] + s["lo"] * s["hi"] + far * far) * 2.0
-
-        solid = F.col("arc_sum") * (F.lit(1.0) - far / radius) + _total(F.col("pieces"), wedge)
-        return sign * solid, sign * far * F.col("area") / 3.0
-
-    solid_a, volume_a = side(F.col("h"), F.col("ar"))
-    solid_b, volume_b = side(F.col("d") - F.col("h"), F.col("br"))
-    central = F.forall("pieces", lambda s: s["dist"] >= 0)
-    return bounds.select(
-        *PAIR, "h", "d", "ar", "br", "area", (F.col("disc_r") * F.col("arc_sum")).alias("arc_length"), central.alias("central"),
-        solid_a.alias("solid_angle_a"), solid_b.alias("solid_angle_b"), volume_a.alias("pyramid_volume_a"), volume_b.alias("pyramid_volume_b"),
-    )

@@ -24,9 +24,8 @@ def vertices(bounds: DataFrame) -> DataFrame:
     """(structure_id, ball_indices of 4, x, y, z, is_on_sas)."""
 
     def ends(s):
-        other = lambda by: F.when(by.isNotNull(), F.get(F.col("cuts"), by)["c"])
-        return F.array(F.struct(s["c"].alias("c"), other(s["lo_by"]).alias("by"), s["dist"].alias("dist"), s["n1"].alias("n1"), s["n2"].alias("n2"), s["lo"].alias("t")),
-                       F.struct(s["c"].alias("c"), other(s["hi_by"]).alias("by"), s["dist"].alias("dist"), s["n1"].alias("n1"), s["n2"].alias("n2"), s["hi"].alias("t")))
+        line = [s[n].alias(n) for n in ("c", "dist", "n1", "n2")]
+        return F.array(F.struct(*line, s["lo_c"].alias("by"), s["lo"].alias("t")), F.struct(*line, s["hi_c"].alias("by"), s["hi"].alias("t")))
 
     rows = bounds.select("*", F.explode(F.flatten(F.transform("pieces", ends))).alias("p"))
     p1 = F.col("p.dist") * F.col("p.n1") - F.col("p.t") * F.col("p.n2")

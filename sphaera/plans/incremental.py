@@ -7,8 +7,6 @@ are those of a full computation.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -17,28 +15,13 @@ from pyspark.sql import functions as F
 from sphaera.functions.geometry import eq
 from sphaera.operators import cells as cell_ops
 from sphaera.operators import contacts as contact_ops
-from sphaera.operators.overlap import KEY, hidden, image_overlaps, neighbours, pairs, spheres_of
+from sphaera.operators.overlap import KEY, hidden, image_overlaps, neighbours, spheres_of
 from sphaera.operators.periodic import PeriodicBox, first_of_pair, images
+from sphaera.staging import staged
 
 LEAST_FULL = 10
 
 
-def shared_dir(spark) -> str:
-    """The folder that the cluster shares; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that plans don't grow from update to update."""
-    path = f"{shared_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class State:
     balls: DataFrame
@@ -68,8 +51,8 @@ class UpdateableTessellation:
         """Compute all of it; False if no ball has a cell."""
         self.probe, self.box, self.backup = float(probe), box, None
         keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]))
-        self.state = self._computed(keyed, staged(keyed.select(*KEY).where("false")))
+        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
+        self.state = self._computed(keyed, staged(keyed.select(*KEY).where("false"), "state"))
         self.changed = self.affected = keyed.select(*KEY)
         self.last_update_was_full_reinit = True
         return not self.state.cells.isEmpty()
@@ -82,31 +65,33 @@ class UpdateableTessellation:
         left = spheres if some is None else spheres.join(some, KEY, "left_semi")
         return image_overlaps(left, all_images)
 
-    def _contacts(self, near: DataFrame, excluded: DataFrame, some: DataFrame | None) -> DataFrame:
-        rows = pairs(near)
+    def _measured(self, near: DataFrame, excluded: DataFrame, some: DataFrame | None) -> DataFrame:
+        """What contacts.measured() gives, without contacts of excluded balls, and only those of two of some."""
+        rows = contact_ops.measured(near)
         for end in "ab":
             rows = rows.join(excluded.select("structure_id", F.col("ball_id").alias(end)), ["structure_id", end], "left_anti")
         if some is not None:
-            rows = rows.join(some.select("structure_id", F.col("ball_id").alias("b")), ["structure_id", "b"], "left_semi")
-        return contact_ops.contacts_full(contact_ops.boundaries(contact_ops.lines(contact_ops.discs(rows))))
+            inside = some.select("structure_id", F.col("ball_id").alias("b"), F.lit(True).alias("inside"))
+            rows = rows.join(inside, ["structure_id", "b"], "left").where("b is null or inside").drop("inside")
+        return staged(rows, "state")
 
-    def _cells(self, balls, near, over, full, excluded, after_update: bool) -> DataFrame:
+    def _cells(self, balls, over, rows, excluded, after_update: bool) -> DataFrame:
         spheres = spheres_of(balls, self.probe).join(excluded, KEY, "left_anti").join(hidden(over), KEY, "left_anti")
-        return cell_ops.cells(spheres, near, full, detached_without_contacts=after_update)
+        return staged(cell_ops.cells(spheres, rows, detached_without_contacts=after_update), "state")
 
     def _computed(self, balls: DataFrame, excluded: DataFrame) -> State:
         over = self._around(balls, None, excluded)
         near = neighbours(over)
-        links = staged(over.select("structure_id", "a", "b").distinct())
-        full = staged(self._contacts(near, excluded, None))
-        cells = staged(self._cells(balls, near, over, full, excluded, bool(self.state)))
-        return State(balls, excluded, links, full, cells)
+        links = staged(over.select("structure_id", "a", "b").distinct(), "state")
+        rows = self._measured(near, excluded, None)
+        cells = self._cells(balls, over, rows, excluded, bool(self.state))
+        return State(balls, excluded, links, contact_ops.contacts_full(rows), cells)
 
     def update(self, balls: DataFrame) -> bool:
         """Take over new coordinates and radii; False if nothing changed. A change of the number of balls, or of
         more than half of them (10 at least), computes all of it anew."""
         keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]))
+        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
         same = F.lit(True)
         for c in "xyzr":
             same = same & eq(F.col(f"n.{c}"), F.col(f"o.{c}"))
@@ -117,7 +102,7 @@ class UpdateableTessellation:
     def update_with_changed(self, balls: DataFrame, changed: DataFrame) -> bool:
         """update() for a caller who knows the (structure_id, ball_id) that changed."""
         keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]))
+        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
         return self._follow(keyed, changed.select(*KEY), self.state.excluded, keyed.count() == self.state.balls.count())
 
     def set_exclusion(self, ball_id: int, excluded: bool = True, structure_id=0) -> bool:
@@ -129,7 +114,7 @@ class UpdateableTessellation:
             self.changed = self.affected = one.where("false")
             return False
         after = self.state.excluded.unionByName(one) if excluded else self.state.excluded.join(one, KEY, "left_anti")
-        return self._follow(self.state.balls, one, staged(after), True, may_start_over=False)
+        return self._follow(self.state.balls, one, staged(after, "state"), True, may_start_over=False)
 
     def _keep(self) -> None:
         if self.with_backup:
@@ -138,14 +123,14 @@ class UpdateableTessellation:
     def _follow(self, balls, changed, excluded, same_balls: bool, may_start_over: bool = True) -> bool:
         self._keep()
         self.last_update_was_full_reinit = False
-        changed = staged(changed.distinct())
+        changed = staged(changed.distinct(), "state")
         count, limit = changed.count(), max(balls.count() // 2, LEAST_FULL)
         self.changed = self.affected = changed
         if not count and same_balls:
             return False
         old = self.state.links.join(changed.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_semi").select("structure_id", F.col("b").alias("ball_id"))
         new = self._around(balls, changed, excluded).select("structure_id", F.col("b").alias("ball_id"))
-        affected = staged(changed.unionByName(old).unionByName(new).distinct())
+        affected = staged(changed.unionByName(old).unionByName(new).distinct(), "state")
         if not same_balls or may_start_over and (count > limit or affected.count() >= limit):
             self.last_update_was_full_reinit = True
             self.affected = balls.select(*KEY)
@@ -160,13 +145,14 @@ class UpdateableTessellation:
             mark = affected.select("structure_id", F.col("ball_id").alias(end), F.lit(True).alias(f"hit_{end}"))
             touched = touched.join(mark, ["structure_id", end], "left")
         stand = touched.where("hit_a is null or hit_b is null").select(*self.state.full.columns)
-        full = staged(stand.unionByName(self._contacts(near, excluded, affected).select(*self.state.full.columns)))
+        rows = self._measured(near, excluded, affected)
+        full = staged(stand.unionByName(contact_ops.contacts_full(rows).select(*self.state.full.columns)), "state")
         mine = balls.join(affected, KEY, "left_semi")
-        fresh = self._cells(mine, near, over, full, excluded, True)
-        cells = staged(self.state.cells.join(affected.withColumnRenamed("ball_id", "index"), ["structure_id", "index"], "left_anti").unionByName(fresh))
+        fresh = self._cells(mine, over, full, excluded, True)
+        cells = staged(self.state.cells.join(affected.withColumnRenamed("ball_id", "index"), ["structure_id", "index"], "left_anti").unionByName(fresh), "state")
         before = self.state.links.join(affected.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_anti")
         # Links from balls that are not affected to those that are do not change either: both ends would be.
-        links = staged(before.unionByName(over.select("structure_id", "a", "b").distinct()))
+        links = staged(before.unionByName(over.select("structure_id", "a", "b").distinct()), "state")
         self.state = replace(self.state, balls=balls, excluded=excluded, links=links, full=full, cells=cells)
         return True
 

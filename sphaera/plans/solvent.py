@@ -10,6 +10,7 @@ from sphaera.functions.icosahedron import sphere_points
 from sphaera.operators.overlap import KEY
 from sphaera.operators.periodic import PeriodicBox
 from sphaera.plans.tessellation import tessellate
+from sphaera.staging import staged
 
 DEPTH = 2
 
@@ -62,8 +63,8 @@ def solvent_spheres(balls: DataFrame, probe: float = 1.4, volume_probe: float =
     validate(balls, probe, volume_probe)
     keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
     keyed = keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"])
-    first = tessellate(keyed, probe, box)
-    points = sample_points(keyed, first.contacts, first.cells, float(probe), depth)
+    first = tessellate(keyed, probe, box).kept()
+    points = staged(sample_points(keyed, first.contacts, first.cells, float(probe), depth), "points")
     # Solvent ids follow those of the balls of the structure: k counts less than `per` on each ball.
     per = len(sphere_points(depth))
     most = keyed.groupBy("structure_id").agg((F.max("ball_id") + 1).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,22 +13,28 @@ from sphaera.operators import contacts as contact_ops
 from sphaera.operators import faces as face_ops
 from sphaera.operators import network
 from sphaera.operators.groups import selection_groups
-from sphaera.operators.overlap import image_overlaps, neighbours, overlaps, pairs, spheres_of
+from sphaera.operators.overlap import image_overlaps, neighbours, overlaps, spheres_of
 from sphaera.operators.periodic import PeriodicBox, first_of_pair, images
 from sphaera.sources.radii import Radii
 from sphaera.sources.structures import ParseOptions, read_structures
+from sphaera.staging import staged
 
 
 @dataclass(frozen=True)
 class Tessellation:
     """The tables of a tessellation, each a DataFrame that is computed when it is asked for.
 
-    balls has ball_id, x, y, z, r and, as far as they apply, structure_id and grp.
+    balls has ball_id, x, y, z, r and, as far as they apply, structure_id and grp. kept() gives one whose
+    contacts are constructed once and written, for callers that need several tables.
     """
 
     balls: DataFrame
     probe: float = 0.0
     box: PeriodicBox | None = None
+    written: DataFrame | None = None
+
+    def kept(self) -> Tessellation:
+        return self if self.written is not None else replace(self, written=staged(self.measured, "contacts"))
 
     @cached_property
     def spheres(self) -> DataFrame:
@@ -44,11 +50,15 @@ class Tessellation:
 
     @cached_property
     def boundaries(self) -> DataFrame:
-        return contact_ops.boundaries(contact_ops.lines(contact_ops.discs(pairs(self.neighbours))))
+        return contact_ops.boundaries(self.neighbours)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        return contact_ops.measured(self.neighbours) if self.written is None else self.written
 
     @cached_property
     def contacts_full(self) -> DataFrame:
-        return contact_ops.contacts_full(self.boundaries)
+        return contact_ops.contacts_full(self.measured)
 
     def _named(self, found: DataFrame, merge_inner: bool) -> DataFrame:
         if self.box:
@@ -65,16 +75,17 @@ class Tessellation:
 
     @property
     def contacts_only(self) -> DataFrame:
-        """The same without what cells need; in a box, a pair has one row."""
-        return self._named(contact_ops.contacts(self.boundaries), merge_inner=True)
+        """The same but that in a box, a pair has one row."""
+        return self._named(self.contacts_full, merge_inner=True)
 
     @property
     def cells(self) -> DataFrame:
-        return cell_ops.cells(self.spheres, self.neighbours, self.contacts_full)
+        return cell_ops.cells(self.spheres, self.measured)
 
     @property
     def totals(self) -> DataFrame:
-        return cell_ops.totals(self.balls, self.contacts, self.cells)
+        t = self.kept()
+        return cell_ops.totals(self.balls, t.contacts, t.cells)
 
     @property
     def per_ball(self) -> DataFrame:

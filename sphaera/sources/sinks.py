@@ -14,6 +14,7 @@ def json_documents(t: Tessellation) -> DataFrame:
     """(structure_id, json): one document a structure, with contacts, cells, areas and volumes by ball (null
     where a ball has no cell) and totals. A document holds a whole structure; for tables beyond what a task
     can hold, write t.contacts and t.cells instead."""
+    t = t.kept()
     contact = t.contacts.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("id_a", "id_b", "area", "arc_length", "central"))).alias("contacts"))
     ball = t.per_ball.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("ball_id", "sas_area", "volume"))).alias("balls"))
     cell = t.cells.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("index", "sas_area", "volume"))).alias("cells"))
@@ -64,6 +65,7 @@ def pymol_script(t: Tessellation, structure_id=0, **options) -> Iterator[str]:
 def result_dict(t: Tessellation, network: bool = False) -> dict:
     """One structure as plain Python values, for callers with small inputs."""
     rows = lambda df, *order: [{k: v for k, v in r.asDict().items() if k != "structure_id"} for r in df.orderBy(*order).collect()]
+    t = t.kept()
     out = {k: v for k, v in (t.totals.first() or {"num_balls": 0}).asDict().items() if k.startswith(("num_balls", "total"))}
     out |= {"contacts": rows(t.contacts, "id_a", "id_b"), "cells": rows(t.cells, "index")}
     if network:
