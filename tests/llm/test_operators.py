@@ -493,6 +493,40 @@ def test_region_keeps_titles_leads_and_positions(spark):
     assert articles_of(spark, [later.format(i) for i in range(6)]) == long
 
 
+def test_articles_without_their_marks(spark):
+    """The same pages with plain elements in place of the marks: their wrappers find the same articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.groupBy(urlfilter.host_of(F.col("url")).alias("h")).count().where("count >= 3").select("h")
+    pages = pages.join(hosts, urlfilter.host_of(F.col("url")) == hosts["h"], "left_semi")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    want, got = (by_id(wrappers.extract_articles(x), "page_id") for x in (pages, plain))
+    assert len(want) > 100 and all(got[i]["text"] == want[i]["text"] for i in want)
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("html", F.regexp_replace("html", "<(p|h1)>", "<$1 class='$1'>"))
+    odd = [(i, "http://h.org/", "<div>" + "".join(f"<{t}>{i}</{t}>" for t in x) + "</div>") for i, x in enumerate((["p", "table"], ["ul", "p"], ["table", "ul", "p", "ol"], ["ol", "p", "table"]))]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    found = [sorted(map(tuple, wrappers.infer_wrappers(x).collect())) for x in (pages.coalesce(1), pages.repartition(7), pages.orderBy(F.desc("page_id")).repartition(3, "page_id"))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    pick = random.Random(4)
+    for _ in range(300):
+        a, b = ([pick.choice("abc") for _ in range(pick.randrange(8))] for _ in "ab")
+        got = wrappers.common_subsequence(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p < q and r < s for (p, r), (q, s) in zip(got, got[1:]))
+        assert len(got) == max(n for n in range(9) for x in combinations(a, n) if list(x) in [list(y) for y in combinations(b, n)])
+
+
+def test_deep_and_wide_pages(spark):
+    pages = ["<div>" * 10_000 + f"deep {i}" + "</div>" * 10_000 for i in range(3)]
+    pages += ["".join(f"<p class={'abcdefgh'[j % 8]}{'xyzuv'[j % 5]}>t{j}</p>" for j in range(100_000)), "<div class=sidebar>" * 10_000 + "x", "<b>" * 10_000 + "y" + "</i></b>" * 10_000]
+    got = articles_of(spark, pages)
+    assert got[:3] == ["deep 0", "deep 1", "deep 2"] and got[3] == "\n".join(f"t{j}" for j in range(100_000)) and got[4:] == ["x", "y"]
+
+
 # WARC
 
 
