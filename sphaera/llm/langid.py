@@ -7,33 +7,32 @@ space at both ends; each of the known ones counts alike. A text scores the mean
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sphaera.llm.common import staged, with_arrow_columns
 
-#: The bound of the training sample: about so many labelled documents for each language ...
+#: The bound of the training sample: about so many labelled documents for each language.
 DOCS_PER_LANGUAGE = 2000
-#: ... and of the model: so many of the most frequent words, and n-grams of each length, for each language.
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 10_000
+#: A word or n-gram that a language has less often in the sample is not learnt. The model is bounded by the sample.
+LEAST_COUNT = 3
 LONGEST = 6
 #: A frequency that a language lacks counts as this share of one occurrence.
 MISSING = 0.1
 #: Unknown words that a task remembers.
 CACHE = 50_000
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case."""
+    """Runs of letters (category L), lower case. Digits, number forms such as "½" and marks are none."""
     return _WORD.findall((text or "").lower())
 
 
@@ -155,18 +154,16 @@ class Model:
         return predict
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, least_count: int = LEAST_COUNT) -> Model:
     """Learn from a bounded sample of labelled documents (null labels and texts teach nothing).
 
-    Spark counts words and n-grams; the driver gets the most frequent ones of each language and length.
+    Spark counts words and n-grams; the driver gets those that occur at least ``least_count`` times.
     """
     sample = training_sample(docs, id, text, lang, per_language).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, n int, feature string, count long")
     counts = staged(counts.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")), "counts")
     totals = {(r["lang"], r["n"]): r["total"] for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "feature"))
-    bound = F.when(F.col("n") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= bound)
+    top = counts.where(F.col("count") >= least_count)
     # As Arrow, the model is a few megabytes on the driver, where rows would be hundreds.
     return Model(top.select("lang", "n", "feature", "count").toArrow(), totals)
 
