@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphaera.llm.common import BLANKS, staged, with_arrow_columns
+from sphaera.llm.common import BLANKS, SEGMENT_BITS, Bloom, hash_of, staged, with_arrow_columns
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SEGMENT_BITS = 1 << 20
 BITS_PER_LINE = 12
 #: 2^30 bits are 128 MB, the most that a filter takes in a task.
 MAX_FILTER_BITS = 1 << 30
@@ -155,11 +154,15 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with kept_text, n_lines (before) and n_dropped. A null or empty text is one empty line.
 
-    Repeated rows come back as they came, and columns of docs named like a result are replaced.
+    Repeated rows come back as they came, and columns of docs named like a result are replaced. Documents
+    that lose no line stay where they are; only those that may lose one shuffle.
     """
     drops = repeated_lines(docs, id, text, min_chars, min_docs).groupBy("id").agg(F.collect_set("key").alias("__drop"))
     drops = staged(drops.withColumnRenamed("id", "__id"), "drops")
-    joined = docs.join(drops, docs[id].eqNullSafe(drops["__id"]), "left").drop("__id")
+    loses = Bloom(drops.select(hash_of(F.col("__id")).alias("h"))).maybe(hash_of(F.col(id)))
+    some = docs.where(loses)
+    some = some.join(drops, some[id].eqNullSafe(drops["__id"]), "left").drop("__id")
+    joined = some.unionByName(docs.where(~loses).withColumn("__drop", F.lit(None).cast("array<string>")))
 
     def make():
         def work(texts, gone):
