@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sphaera.staging import shared_dir, staged  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: letters and digits of ASCII and everything beyond ASCII, in text whose A-Z are lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,26 +30,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a local session makes one for itself, as
-    in tests; on a cluster that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        named = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key that more than one in so many rows have is hot, so there are fewer hot keys than this.
 HOT_SHARE = 256
 
@@ -80,54 +59,68 @@ def hash_of(*columns: Column) -> Column:
     return F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
 
 
-def maybe_in(keys: DataFrame, key: str = "h") -> Callable[[Column], Column]:
-    """A test of hashes: false only if none of keys has it. A Bloom filter of 12 bits a key, at most
-    MAX_BLOOM_BITS; a full one only means that more pass, so what passes is to be joined in the end.
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    return [((h >> np.uint64(s)) % np.uint64(SEGMENT_BITS)).astype(np.int64) for s in _PROBES]
+
 
-    Segments of the filter are built where their hashes meet; the driver gets the finished segments.
+class Bloom:
+    """A Bloom filter of bigint hashes that Spark builds and tasks share: 12 bits a key, at most MAX_BLOOM_BITS.
+
+    A full one only means that more hashes pass, so what passes is to be joined in the end. Segments of the
+    filter are built where their hashes meet; the driver gets the finished segments.
     """
-    n, segments = keys.count(), 1
-    while segments * SEGMENT_BITS < min(12 * n, MAX_BLOOM_BITS):
-        segments *= 2
-
-    def places(h: np.ndarray) -> list[np.ndarray]:
-        return [((h >> np.uint64(s)) % np.uint64(SEGMENT_BITS)).astype(np.int64) for s in _PROBES]
-
-    def build(batches):
-        segment, bits = None, None
-        for batch in batches:
-            own, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for s in np.unique(own).tolist():
-                if s != segment:
-                    if segment is not None:
-                        yield given(segment, bits)
-                    segment, bits = s, np.zeros(SEGMENT_BITS, bool)
-                for p in places(h[own == s].view(np.uint64)):
-                    bits[p] = True
-        if segment is not None:
-            yield given(segment, bits)
-
-    def given(segment, bits):
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "bits"])
-
-    dealt = keys.select(F.col(key).bitwiseAND(F.lit(segments - 1)).alias("segment"), F.col(key).alias("h"))
-    table = dealt.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment long, bits binary").toArrow()
-    shared = keys.sparkSession.sparkContext.broadcast(dict(zip(table.column("segment").to_pylist(), table.column("bits").to_pylist())))
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        values = h.to_numpy(np.int64).view(np.uint64)
-        own, spots = values & np.uint64(segments - 1), places(values)
+
+    def __init__(self, keys: DataFrame, key: str = "h"):
+        n, self.segments = keys.count(), 1
+        while self.segments * SEGMENT_BITS < min(12 * n, MAX_BLOOM_BITS):
+            self.segments *= 2
+
+        def build(batches):
+            segment, bits = None, None
+            for batch in batches:
+                own, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for s in np.unique(own).tolist():
+                    if s != segment:
+                        if segment is not None:
+                            yield given(segment, bits)
+                        segment, bits = s, np.zeros(SEGMENT_BITS, bool)
+                    for p in _places(h[own == s].view(np.uint64)):
+                        bits[p] = True
+            if segment is not None:
+                yield given(segment, bits)
+
+        def given(segment, bits):
+            packed = np.packbits(bits, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "bits"])
+
+        dealt = keys.select(F.col(key).bitwiseAND(F.lit(self.segments - 1)).alias("segment"), F.col(key).alias("h"))
+        table = dealt.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment long, bits binary").toArrow()
+        self.bits = keys.sparkSession.sparkContext.broadcast(dict(zip(table.column("segment").to_pylist(), table.column("bits").to_pylist())))
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        """False for a hash only if none of the keys has it."""
+        values = hashes.view(np.uint64)
+        own, spots = values & np.uint64(self.segments - 1), _places(values)
         out = np.zeros(len(values), bool)
-        for s, packed in shared.value.items():
+        for s, packed in self.bits.value.items():
             at = np.nonzero(own == np.uint64(s))[0]
             if len(at):
                 bits = np.frombuffer(packed, np.uint8)
                 out[at] = np.logical_and.reduce([bits[p[at] >> 3] >> (p[at] & 7) & 1 == 1 for p in spots])
-        return pd.Series(out)
+        return out
+
+    def maybe(self, hashes: Column) -> Column:
+        """contains() as a Column."""
+
+        @F.arrow_udf("boolean")
+        def test(h: pa.Array) -> pa.Array:
+            return pa.array(self.contains(h.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+        return test(hashes)
+
 
-    return test
+#: Rows that a task turns into Python values at once.
+ROWS_AT_ONCE = 500
 
 
 def with_arrow_columns(
@@ -151,7 +144,7 @@ def with_arrow_columns(
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, len(b), ROWS_AT_ONCE)):
             new = work(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs))
             old = [batch.column(batch.schema.get_field_index(c)) for c in passed]
             columns = [

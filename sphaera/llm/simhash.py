@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphaera.llm.common import hash_of, join_hot, maybe_in, staged, with_arrow_columns
+from sphaera.llm.common import Bloom, hash_of, join_hot, staged, with_arrow_columns
 
 BITS = 64
 RADIUS = 4
@@ -284,9 +284,9 @@ def near_copy_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS,
     bands: int = BANDS, band_rows: int = BAND_ROWS, stars: int = 2,
 ) -> DataFrame:
-    """(id, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
+    """(id, h, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
 
-    words is a digest of the sequence of words and group the smallest such digest of the group. Exact
+    h is a hash of the text, words a digest of its words and group the smallest such digest of the group. Exact
     copies (the same words) collapse first. Groups are the connected components of the pairs whose Jaccard
     similarity is at least ``similarity``, each computed in full. Candidates come from two sources:
 
@@ -298,7 +298,7 @@ def near_copy_groups(
 
     Nulls and texts without words are one exact copy. Very long texts are compared by all of their shingles.
     """
-    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    source = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
 
     def make():
         def work(texts):
@@ -312,45 +312,46 @@ def near_copy_groups(
 
     fields = [("words", T.BinaryType()), ("fp", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
     full = staged(with_arrow_columns(source, ["text"], fields, make).drop("text"), "prints")
-    base = full.select("id", "words")
-    # Each distinct sequence of words is one node; nodes without words are alike only to themselves.
-    nodes = full.groupBy("words").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
-    nodes = staged(nodes.where("size > 0"), "texts")
-    node = F.struct("words", "size")
-
-    def alike_in_size(x: str, y: str) -> Column:
-        return F.least(f"{x}.size", f"{y}.size") >= F.lit(similarity) * F.greatest(f"{x}.size", f"{y}.size") - 1e-6
+    base = full.select("id", "words", "h")
+    # Each distinct sequence of words is one node; lists name it by 64 bits of its digest. Nodes without words
+    # are alike only to themselves.
+    nodes = full.where("size > 0").groupBy("words").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    nodes = staged(nodes.withColumn("n", F.xxhash64("words")), "texts")
 
     def pairs_of(rows: DataFrame) -> DataFrame:
-        """Distinct pairs (x, y) of nodes whose sizes allow them to be alike; x is the one that many have."""
-        return rows.where(F.col("x.words") != F.col("y.words")).where(alike_in_size("x", "y")).select(F.col("x.words").alias("x"), F.col("y.words").alias("y")).distinct()
+        """Distinct pairs (x, y) of digests for pairs of numbers, if their sizes allow them to be alike; x is the
+        one that many have."""
+        end = lambda c: nodes.select(F.col("n").alias(c), F.col("words").alias(f"{c}_words"), F.col("size").alias(f"{c}_size"))
+        rows = join_hot(rows.select("x", "y").distinct(), rows.select("x", "y").distinct().groupBy("x").agg(F.count("*").alias("c")).join(end("x"), "x"), "x", count="c")
+        rows = rows.join(end("y"), "y").where("x_words <> y_words").where(F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size") - 1e-6)
+        return rows.select(F.col("x_words").alias("x"), F.col("y_words").alias("y")).distinct()
 
     # The covering tables.
-    of = staged(nodes.groupBy("fp").agg(F.min(node).alias("x"), F.count("*").alias("n")), "fingerprints")
+    of = staged(nodes.groupBy("fp").agg(F.min("n").alias("x"), F.count("*").alias("c")), "fingerprints")
     near = fingerprint_links(of.select("fp"), "fp", radius)
     across = near.join(of.select(F.col("fp").alias("a"), "x"), "a").join(of.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
-    same = join_hot(nodes.select("fp", node.alias("y")), of, "fp")
-    first = pairs_of(across.select("x", "y").unionByName(same.select("x", "y")))
+    same = join_hot(nodes.select("fp", F.col("n").alias("y")), of, "fp", count="c")
 
     # The lists of the bands: only those of two or more members are kept.
-    members = nodes.select(F.explode("keys").alias("t"), node.alias("y"))
-    leads = staged(members.groupBy("t").agg(F.min("y").alias("x"), F.count("*").alias("n")).where("n > 1"), "leads")
-    lists = staged(join_hot(members, leads, "t").where(F.col("x.words") != F.col("y.words")).select("t", "x", "y"), "lists")
-    tested = staged(first.unionByName(pairs_of(lists)).distinct(), "candidates")
+    members = nodes.select(F.explode("keys").alias("t"), F.col("n").alias("y"))
+    leads = staged(members.groupBy("t").agg(F.min("y").alias("x"), F.count("*").alias("c")).where("c > 1"), "leads")
+    lists = staged(join_hot(members, leads, "t", count="c").where("x <> y").select("t", "x", "y"), "lists")
+    met = staged(across.select("x", "y").unionByName(same.select("x", "y")).unionByName(lists.select("x", "y")).where("x <> y").distinct(), "met")
+    tested = staged(pairs_of(met), "candidates")
 
-    ends = tested.select(F.col("x").alias("words")).unionByName(tested.select(F.col("y").alias("words"))).unionByName(lists.select("y.words")).distinct()
-    ends = staged(nodes.join(ends, "words", "left_semi").select("low", hash_of(F.col("low")).alias("h")), "ends")
-    wanted = maybe_in(ends)
+    ends = met.select(F.col("x").alias("n")).unionByName(met.select(F.col("y").alias("n"))).distinct()
+    wanted = Bloom(nodes.join(ends, "n", "left_semi").select(hash_of(F.col("low")).alias("h")))
 
     def shingles():
-        def work(texts):
-            return [pa.array([_words_digest(t) for t in texts], pa.binary()), pa.array([_shingle_hashes(t, shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+        def work(texts, hashes):
+            # Every row that has the id of a needed text; others of that id do no harm.
+            asked = wanted.contains(np.array(hashes, np.int64))
+            digests = [_words_digest(t) if yes else None for t, yes in zip(texts, asked)]
+            return [pa.array(digests, pa.binary()), pa.array([_shingle_hashes(t, shingle).view(np.int64) if yes else None for t, yes in zip(texts, asked)], pa.list_(pa.int64()))]
 
         return work
 
-    # Every row that has the id of a needed text; copies of it and others of that id do no harm.
-    asked = source.where(wanted(hash_of(F.col("id"))))
-    sets = with_arrow_columns(asked, ["text"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
+    sets = with_arrow_columns(source.select("text", hash_of(F.col("id")).alias("h")), ["text", "h"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
     sets = staged(sets.where(F.size("set") > 0).select("words", "set").dropDuplicates(["words"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -372,10 +373,10 @@ def near_copy_groups(
 
     def unsettled(rows: DataFrame, groups: DataFrame) -> DataFrame:
         """(t, y, component) of the lists whose members lie in several components."""
-        known = rows.select("t", "y").join(groups.select(F.col("words").alias("__w"), "component"), F.col("y.words") == F.col("__w"), "left")
-        known = known.select("t", "y", F.coalesce("component", F.col("y.words")).alias("component"))
-        mixed = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("t", "n")
-        return staged(join_hot(known, mixed, "t"), "unsettled")
+        known = rows.select("t", "y").join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("component")), "y", "left")
+        known = staged(known.select("t", "y", F.coalesce("component", "y").alias("component")), "known")
+        mixed = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low <> high").select("t", "c")
+        return staged(join_hot(known, staged(mixed, "mixed"), "t", count="c"), "unsettled")
 
     alike = staged(verified(tested), "alike")
     groups = settled(alike)
@@ -384,17 +385,19 @@ def near_copy_groups(
     for turn in range(1, stars):
         if rows.isEmpty():
             break
-        lead = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("y.words", F.lit(turn)).alias("h"), "y", "component")).alias("lead"), F.count("*").alias("n"))
-        rows = staged(join_hot(rows, staged(lead, "leads"), "t").where(F.col("y.words") != F.col("lead.y.words")), "rows")
-        pairs = pairs_of(rows.where(F.col("component") != F.col("lead.component")).select(F.col("lead.y").alias("x"), "y"))
-        alike = staged(alike.unionByName(verified(staged(pairs, "stars"))), "alike")
+        order = F.xxhash64("y", F.lit(turn))
+        lead = rows.groupBy("t").agg(F.min_by(F.struct(F.col("y").alias("x"), F.col("component").alias("of")), order).alias("lead"), F.count("*").alias("c"))
+        rows = staged(join_hot(rows, staged(lead.select("t", "lead.*", "c"), "leads"), "t", count="c").where("x <> y"), "rows")
+        pairs = staged(pairs_of(rows.where("component <> of")), "stars")
+        alike = staged(alike.unionByName(verified(pairs)), "alike")
         groups = settled(alike)
         rows = unsettled(rows, groups)
     if not rows.isEmpty():
-        x, y = rows.select("t", F.col("y").alias("x"), F.col("component").alias("cx")), rows.select("t", "y", F.col("component").alias("cy"))
-        pairs = x.join(y, "t").where((F.col("x.words") < F.col("y.words")) & (F.col("cx") != F.col("cy")))
-        groups = settled(alike.unionByName(verified(staged(pairs_of(pairs), "crossing"))))
-    return base.join(groups, "words", "left").select(F.col("id").alias(id), "words", F.coalesce("component", "words").alias("group"))
+        x, y = rows.select("t", F.col("y").alias("x"), F.col("component").alias("of")), rows.select("t", "y", "component")
+        pairs = staged(pairs_of(x.join(y, "t").where("x < y and component <> of")), "crossing")
+        groups = settled(alike.unionByName(verified(pairs)))
+    sizes = base.groupBy("words").agg(F.count("*").alias("c")).join(groups, "words", "left").select("words", "c", F.coalesce("component", "words").alias("group"))
+    return join_hot(base, staged(sizes, "sizes"), "words", count="c").select(F.col("id").alias(id), "h", "words", "group")
 
 
 def without_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -403,18 +406,12 @@ def without_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", *
     Rows that repeat both id and words are one document and stay together; columns are those of df. Of the
     rows of df, only those whose id may have gone shuffle.
     """
-    groups = staged(near_copy_groups(df, id, text, **options).select(F.col(id).alias("gone_id"), "words", "group"), "groups")
+    groups = staged(near_copy_groups(df, id, text, **options).select(F.col(id).alias("gone_id"), "h", "words", "group"), "groups")
     # Nulls sort before all ids, so a struct gives every group one smallest member.
     first = staged(groups.groupBy("group").agg(F.min(F.struct("gone_id", "words")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     gone = join_hot(groups, first, "group").where(~F.struct("gone_id", "words").eqNullSafe(F.col("first")))
-    gone = gone.select("gone_id", F.col("words").alias("gone_words"), hash_of(F.col("gone_id")).alias("h"))
-    gone = staged(gone.distinct(), "gone")
-    maybe = maybe_in(gone)(hash_of(F.col(id)))
-
-    def digests():
-        return lambda texts: [pa.array([_words_digest(t) for t in texts], pa.binary())]
-
-    keyed = with_arrow_columns(df.where(maybe), [text], [("__words", T.BinaryType())], digests)
-    same = keyed[id].eqNullSafe(gone["gone_id"]) & (keyed["__words"] == gone["gone_words"])
-    left = keyed.join(gone.drop("h"), same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
-    return df.where(~maybe).unionByName(left)
+    gone = staged(gone.select("gone_id", F.col("h").alias("gone_h")).distinct(), "gone")
+    maybe = Bloom(gone.select(hash_of(F.col("gone_id")).alias("h"))).maybe(hash_of(F.col(id)))
+    some = df.where(maybe)
+    same = some[id].eqNullSafe(gone["gone_id"]) & (F.xxhash64(some[text]) == gone["gone_h"])
+    return df.where(~maybe).unionByName(some.join(gone, same, "left_anti"))

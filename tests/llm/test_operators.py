@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sphaera.llm import decontaminate, langid, licenses, linededup, mixing, queries, simhash, syncmers, urlfilter, warc, wrappers
-from sphaera.llm.common import hash_of, join_hot, maybe_in
+from sphaera.llm.common import Bloom, hash_of, join_hot
 
 SF = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -409,9 +409,9 @@ def test_hot_keys_join_alike(spark):
 
 def test_bloom_filters_miss_no_key(spark):
     keys = spark.range(0, 400_000, 7).select(hash_of(F.col("id")).alias("h"))
-    passed = {r["id"] for r in spark.range(400_000).where(maybe_in(keys)(hash_of(F.col("id")))).collect()}
+    passed = {r["id"] for r in spark.range(400_000).where(Bloom(keys).maybe(hash_of(F.col("id")))).collect()}
     assert set(range(0, 400_000, 7)) <= passed and len(passed) < 70_000
-    assert spark.range(10).where(maybe_in(keys.where("false"))(hash_of(F.col("id")))).count() == 0
+    assert spark.range(10).where(Bloom(keys.where("false")).maybe(hash_of(F.col("id")))).count() == 0
 
 
 # pages
