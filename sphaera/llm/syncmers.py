@@ -1,55 +1,74 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is a sequence of tokens: words between white space, and single characters in scripts that have no
-such words. Of its k-mers, runs of k tokens, the closed syncmers are those whose smallest s-mer, by hash,
-stands at the first or the last place: whether a k-mer is one depends on nothing around it, so an
-unchanged passage keeps its anchors wherever it moves. A fingerprint is the bottom sketch of the anchors'
-hashes: its ``SKETCH`` smallest different ones, all of them where there are fewer.
+A text is a sequence of characters (code points). Of its k-mers, runs of k characters, the closed syncmers are
+those whose smallest s-mer, by hash, stands at the first or the last place: whether a k-mer is one depends on
+nothing around it, so an unchanged passage keeps its anchors wherever it moves. A fingerprint is the bottom
+sketch of the anchors' hashes: its ``SKETCH`` smallest different ones, all of them where there are fewer.
+
+Arrays of a text's length are made one from another, each in one pass: hashes of characters, of runs of two,
+four and more characters by pairing an array with itself moved, and sliding minima in the same way.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 5
-S = 2
+K = 12
+S = 8
 SKETCH = 64
-#: Runs of Latin letters, digits and signs, or one other character.
-TOKEN = r"[!-~\u00A1-\u024F]+|[^\s\x00-\x20]"
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<pos, hash>> of the closed syncmers of a text; pos counts tokens from 0 and hashes have 32
-    bits. A text of fewer than k tokens, but not none, is one anchor."""
-    w = k - s + 1
+def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) of arrays, with the value computed once: transform() binds the element of an array of one."""
+    return F.flatten(F.transform(F.array(value), then))
 
-    def of_tokens(t):
-        # t has the tokens' hashes.
-        def smer(i):
-            return F.xxhash64(*[F.get(t, i + j) for j in range(s)])
 
-        n = F.size(t)
+def _moved(array: Column, by: int) -> Column:
+    return F.slice(array, by + 1, 1 << 30)
 
-        def closed(h):
-            def is_closed(i):
-                inner = [F.get(h, i + j) for j in range(1, w - 1)]
-                ends = F.least(F.get(h, i), F.get(h, i + (w - 1)))
-                return reduce(lambda a, b: a & b, (ends <= x for x in inner), F.lit(True))
 
-            kmer = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(t, i + j) for j in range(k)]), 32)
-            return F.transform(F.filter(F.sequence(F.lit(0), n - k), is_closed), lambda i: F.struct(i.alias("pos"), kmer(i).alias("hash")))
+def _runs(array: Column, length: int, pair: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
+    """then(runs), where runs combines every ``length`` consecutive elements: runs of twice the length are pairs
+    of runs, and those of other lengths pairs of overlapping ones. What starts too late has no meaning."""
 
-        each = F.flatten(F.transform(F.array(F.transform(F.sequence(F.lit(0), n - s), smer)), closed))
-        whole = F.array(F.struct(F.lit(0).alias("pos"), F.shiftrightunsigned(F.xxhash64(t), 32).alias("hash")))
-        return F.when(n >= k, each).when(n > 0, whole).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+    def grown(runs: Column, n: int) -> Column:
+        if n == length:
+            return then(runs)
+        step = min(n, length - n)
+        return _bind(F.zip_with(runs, _moved(runs, step), pair), lambda x: grown(x, n + step))
 
-    # transform() over an array of one binds its element, so that tokens are made once for each text.
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x))
-    return F.flatten(F.transform(F.array(tokens), of_tokens))
+    return grown(array, 1)
+
+
+def _anchor_hashes(text: Column, k: int, s: int) -> Column:
+    """array<bigint>: the 32-bit hash of each k-mer that is a closed syncmer, null for the others."""
+    if not 1 <= s < k <= 2 * s:
+        raise ValueError("k-mers need s-mers of at least half their length")
+    w = k - s + 1
+    both = lambda a, b: F.xxhash64(a, b)
+
+    def chosen(smers: Column) -> Column:
+        last = _moved(smers, w - 1)
+        ends = F.zip_with(smers, last, lambda a, b: F.least(a, b))
+        # The first and the last s-mer of a k-mer hold all of its characters.
+        kmers = F.zip_with(smers, last, lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 32))
+        return _runs(smers, w, lambda a, b: F.least(a, b), lambda low: F.zip_with(kmers, F.zip_with(ends, low, lambda e, m: e == m), lambda h, yes: F.when(yes, h)))
+
+    all_of = _bind(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda c: _runs(c, s, both, chosen))
+    n = F.length(text)
+    whole = F.array(F.shiftrightunsigned(F.xxhash64(text), 32))
+    return F.when(n >= k, F.slice(all_of, F.lit(1), n - (k - 1))).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """array<struct<pos, hash>> of the closed syncmers of a text; pos counts characters from 0 and hashes have 32
+    bits. A text of fewer than k characters, but not none, is one anchor."""
+    placed = F.transform(_anchor_hashes(text, k, s), lambda h, i: F.when(h.isNotNull(), F.struct(i.alias("pos"), h.alias("hash"))))
+    return F.array_compact(placed)
 
 
 def sketch(hashes: Column, size: int = SKETCH) -> Column:
@@ -134,7 +153,9 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     replaced by as many first code points (or all) of the next document.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. A null
-    text is empty, and texts without tokens have an empty fingerprint.
+    text is empty, and empty texts have an empty fingerprint; an empty table stays empty. Rows with one id,
+    and null ids, which come first, follow each other by a hash of their text; repeated rows come back as they
+    came. Other columns are not looked at. A very long text takes some hundred bytes a character in its task.
     """
     docs = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, window, own = next_to(docs, id, "text")
@@ -142,7 +163,7 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     rows = rows.withColumn("next", F.lead("text").over(window))
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
-    of = lambda c: sketch(F.transform(anchors(F.col(c), k, s), lambda x: x["hash"]), size)
+    of = lambda c: sketch(F.array_compact(_anchor_hashes(F.col(c), k, s)), size)
     rows = rows.select(
         id, "__b", "__guest", "__tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of("text").alias("a"), of("edited").alias("e")
     )

@@ -159,18 +159,20 @@ def test_cascade_is_exact_over_its_universe(spark):
 def plain_anchors(text, k=syncmers.K, s=syncmers.S):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    def chain(hashes):
+    def chain(*hashes):
         seed = 42
         for h in hashes:
             seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
         return seed
 
-    t = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall("[!-~\u00a1-\u024f]+|[^\\s\x00-\x20]", text, re.A)]
-    if len(t) < k:
-        return [chain(t) >> 32] if t else []
-    small = [signed(chain(t[i : i + s])) for i in range(len(t) - s + 1)]
-    w = k - s + 1
-    return [chain(t[i : i + k]) >> 32 for i in range(len(t) - k + 1) if min(small[i], small[i + w - 1]) == min(small[i : i + w])]
+    n = len(text)
+    if n < k:
+        return [xxhash.xxh64_intdigest(text.encode(), 42) >> 32] if text else []
+    runs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in text]
+    for step in (1, 2, 4):
+        runs = [chain(a, b) for a, b in zip(runs, runs[step:])]
+    small, w = list(map(signed, runs)), k - s + 1
+    return [chain(runs[i], runs[i + w - 1]) >> 32 for i in range(n - k + 1) if min(small[i], small[i + w - 1]) == min(small[i : i + w])]
 
 
 def test_syncmers(spark, odd, empty, docs):
@@ -196,9 +198,18 @@ def test_syncmers(spark, odd, empty, docs):
     assert syncmers.edited_fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghij ", "\u4e2d\u6587\u5b57\u6c49\u8bed\u8a00\u65e5\u672c", "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437", "\U0001f600\U0001f601\U0001f602\U0001f603"])
+def test_unchanged_parts_show_in_every_script(spark, alphabet):
+    pick = random.Random(8)
+    rows = [(i, "".join(pick.choice(alphabet) for _ in range(2000))) for i in range(20)]
+    got = syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0.35 and r["near_next"] < 0.2 for r in got)
+    assert sum(r["near_edited"] for r in got) / 20 == pytest.approx(0.6, abs=0.1)
+
+
 def test_matches_find_a_moved_passage(spark, docs):
     passage = next(r["text"] for r in docs.collect() if len(r["text"]) > 1500)[:1000]
-    df = spark.createDataFrame([(passage, "x " * 300 + passage)], "p string, q string")
+    df = spark.createDataFrame([(passage, "x" * 300 + passage)], "p string, q string")
     df = syncmers.fingerprints(df, "p").withColumnRenamed("anchors", "a").drop("sketch")
     df = syncmers.fingerprints(df, "q").withColumnRenamed("anchors", "b")
     assert syncmers.matches(df, "a", "b").first()["matches"][0]["shift"] == 300
