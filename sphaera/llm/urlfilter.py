@@ -5,6 +5,8 @@ second level, the listed keys which that lets through are the third, and so on u
 mistake. Because the levels are built over every key that the corpus has, walking down them until one
 says no gives exact membership, and no join. The first level's rate is chosen so that the second one is
 about as small as the list; the size of all of them follows the list and the logarithm of the corpus.
+A list beyond what a task should hold is dealt by hash over several cascades, each of which tells about the
+keys of its part in a pass of its own.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from pyspark.sql import functions as F
 
 from sphaera.llm.common import ascii_lower, staged
 
-#: The most bits that a level may have, and so the most that goes to a task: 32 MB.
-MAX_LEVEL_BITS = 1 << 28
+#: The most bits of a first level, and so about half of what goes to a task in one pass: 8 MB.
+MAX_LEVEL_BITS = 1 << 26
+#: The least rate of mistakes that a first level is built for, and the bits that each of its keys then takes.
+LEAST_RATE = 1e-6
+BITS_PER_KEY = 29
 
 
 @dataclass(frozen=True)
@@ -44,19 +49,16 @@ def in_level(key: Column, level: Level) -> Column:
 
 
 def build_level(keys: DataFrame, key: str, n: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of n keys. Spark sets the bits byte by byte; the driver gets the bytes that are not 0."""
+    """A Bloom filter of n keys. Spark sets the bits; the driver gets them in rows of 32,768."""
     n_bits = max(64, math.ceil(max(n, 1) * math.log(1 / rate) / math.log(2) ** 2))
-    if n_bits > MAX_LEVEL_BITS:
-        raise ValueError(f"the list needs a filter of {n_bits} bits; split it into lists of at most {MAX_LEVEL_BITS}")
-    probes = max(1, round(n_bits / max(n, 1) * math.log(2))) if n else 1
-    probes = min(probes, 24)
+    probes = min(max(1, round(n_bits / max(n, 1) * math.log(2))), 24) if n else 1
     spots = keys.select(F.explode(F.array(*_places(F.col(key), n_bits, probes, seed))).alias("p"))
-    byte = F.shiftright("p", 3).alias("byte")
-    value = F.bit_or(F.pow(F.lit(2), F.pmod("p", F.lit(8))).cast("int")).alias("value")
-    out = bytearray((n_bits + 7) // 8)
-    for r in spots.groupBy(byte).agg(value).collect():
-        out[r["byte"]] = r["value"]
-    return Level(bytes(out), n_bits, probes, seed)
+    # Bit numbers count from 1 there.
+    rows = spots.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+    out = bytearray(-(-n_bits // 32768) * 4096)
+    for r in rows.collect():
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return Level(bytes(out[: (n_bits + 7) // 8]), n_bits, probes, seed)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> list[Level]:
@@ -70,7 +72,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> l
     levels: list[Level] = []
     inside, outside, n = yes, None, yes.count()
     while n:
-        rate = min(0.5, max(1e-6, 0.7 * n / max(size, 1))) if not levels else 0.5
+        rate = min(0.5, max(LEAST_RATE, 0.7 * n / max(size, 1))) if not levels else 0.5
         level = build_level(inside, key, n, rate, len(levels))
         levels.append(level)
         others = universe.join(yes, key, "left_anti") if outside is None else outside
@@ -79,6 +81,28 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> l
     return levels
 
 
+def build_cascades(listed: DataFrame, universe: DataFrame, key: str = "key", max_level_bits: int = MAX_LEVEL_BITS) -> list[list[Level]]:
+    """Cascades for a list of any length: each has the keys of one part by hash, and about max_level_bits at most."""
+    parts = max(1, -(-listed.count() * BITS_PER_KEY // max_level_bits))
+    mine = lambda rows, i: rows if parts == 1 else rows.where(part_of(F.col(key), parts) == i)
+    return [build_cascade(mine(listed, i), mine(universe, i), key) for i in range(parts)]
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def with_listed(rows: DataFrame, name: str, keys: Column, cascades: list[list[Level]]) -> DataFrame:
+    """rows with the listed ones of an array of keys. Each cascade beyond the first takes a pass over rows."""
+    out = rows.withColumn(name, F.array().cast("array<string>"))
+    for i, levels in enumerate(cascades):
+        own = lambda k: in_cascade(k, levels) if len(cascades) == 1 else (part_of(k, len(cascades)) == i) & in_cascade(k, levels)  # noqa: B023, E731
+        out = out.withColumn(name, F.concat(name, F.filter(keys, own)))
+        if len(cascades) > 1:
+            out = staged(out, "listed")
+    return out
+
+
 def in_cascade(key: Column, levels: list[Level]) -> Column:
     """Whether a key of the universe is listed: the depth at which the levels first say no decides."""
     answer = F.lit(len(levels) % 2 == 1)
@@ -97,24 +121,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every key that could list a URL: each suffix of whole host labels with each path prefix of a listed length."""
-    labels = F.split(host, r"\.", -1)
+def labels_of(hosts: list[str]) -> int:
+    """The most labels that one of the hosts has."""
+    return max((h.count(".") + 1 for h in hosts), default=1)
+
+
+def candidate_keys(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """Every key that could list a URL: each suffix of at most most_labels whole host labels, which is all that
+    a list of such hosts can name, with each path prefix of a listed length."""
+    # The last labels, by delimiter, so that a host of very many is cut and not split.
+    labels = F.split(F.substring_index(host, ".", -most_labels), r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
 def judge(
-    pages: DataFrame, allow: tuple[str, ...], block: tuple[str, ...], blocked_hosts: tuple[str, ...] = (), url: str = "url"
-) -> DataFrame:
+    pages: DataFrame, allow: tuple[str, ...], block: tuple[str, ...], blocked_hosts: tuple[str, ...] = (), url: str = "url",
+    max_level_bits: int = MAX_LEVEL_BITS,
+) -> DataFrame:
     """pages with host, path, rule, verdict and listed.
 
     ``allow`` and ``block`` are rules "host/path-prefix"; a rule fits its host and all subdomains, the
     longest one wins, and block wins between equal ones. Without a rule, hosts in ``blocked_hosts`` and
     their subdomains are blocked (``listed``) and all else is allowed. Membership comes from Bloom cascades
     over all keys of pages. A null url, or one without "://", has an empty host and path and is allowed.
-    Columns of pages named like a result are replaced; an empty table stays empty.
+    Columns of pages named like a result are replaced; an empty table stays empty; repeated rows come back as
+    they came. Hosts and paths may be of any length: only as many labels and characters as a rule has count.
     """
     spark = pages.sparkSession
     rules = sorted({*allow, *block})
@@ -126,17 +159,19 @@ def judge(
     def table(keys):
         return spark.createDataFrame([(k,) for k in keys], "key string")
 
-    def keys():
-        return candidate_keys(F.col("host"), F.col("path"), lengths)
-
-    universe = staged(judged.select("host", "path").distinct().select(F.explode(keys()).alias("key")).distinct(), "keys")
-    by_rule = build_cascade(table(rules), universe)
+    by_path = candidate_keys(F.col("host"), F.col("path"), lengths, labels_of([r.split("/", 1)[0] for r in rules]))
+    by_name = candidate_keys(F.col("host"), F.lit(""), [0], labels_of(list(blocked_hosts)))
+    places = judged.select("host", "path").distinct()
+    rule_keys = staged(places.select(F.explode(by_path).alias("key")).distinct(), "keys")
+    host_keys = staged(places.select("host").distinct().select(F.explode(by_name).alias("key")).distinct(), "hosts")
+    by_rule = build_cascades(table(rules), rule_keys, max_level_bits=max_level_bits)
     # Whether a rule blocks is asked of rules alone, so they are the whole universe there.
-    blocking = build_cascade(table(sorted(set(block))), table(rules))
-    by_host = build_cascade(table(sorted(set(blocked_hosts))), universe)
-    found = F.filter(keys(), lambda k: in_cascade(k, by_rule))
-    longest = F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    listed = F.exists(candidate_keys(F.col("host"), F.lit(""), [0]), lambda k: in_cascade(k, by_host))
-    judged = judged.withColumn("rule", longest).withColumn("listed", listed)
-    verdict = F.when(F.col("rule").isNotNull(), F.when(in_cascade(F.col("rule"), blocking), "block").otherwise("allow"))
-    return judged.withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
+    blocking = build_cascades(table(sorted(set(block))), table(rules), max_level_bits=max_level_bits)
+    by_host = build_cascades(table(sorted(set(blocked_hosts))), host_keys, max_level_bits=max_level_bits)
+    judged = with_listed(judged, "__rules", by_path, by_rule)
+    longest = F.array_max(F.transform("__rules", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    judged = with_listed(judged.withColumn("rule", longest), "__hosts", by_name, by_host)
+    judged = with_listed(judged, "__blocking", F.when(F.col("rule").isNotNull(), F.array("rule")).otherwise(F.array().cast("array<string>")), blocking)
+    judged = judged.withColumn("listed", F.size("__hosts") > 0)
+    verdict = F.when(F.size("__blocking") > 0, "block").when(F.col("rule").isNotNull(), "allow").when(F.col("listed"), "block").otherwise("allow")
+    return judged.withColumn("verdict", verdict).drop("__rules", "__hosts", "__blocking")

@@ -120,15 +120,17 @@ def test_licenses(spark, odd, empty, docs):
 # URLs
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("bits", [urlfilter.MAX_LEVEL_BITS, 64])
+def test_url_filter(spark, bits):
     urls = [
         None, "", "nothing", "http://", "HTTP://A.Example.ORG/es/1?x#y", "https://example.org/en/1234", "http://example.org/en/2", "http://x.com/fr/", "ftp://com/de/x",
         "http://org/", "http://org", "http://notexample.org/es/", "http://spam-farm.example.org", "http://a.spam-farm.example.org?q=/es/", "http://a/b://c.org/", "x\n://com/fr/\n",
     ]
+    urls += ["http://" + "a." * 20_000 + "example.org/es/", "http://x.org/" + "p" * 100_000, "http://x.org/" + "p" * 100_000]
     urls += [f"http://h{i}.{d}/{p}/{i}" for i in range(300) for d in ("com", "org", "net") for p in ("de", "fr", "es")]
     rows = [(i, u) for i, u in enumerate(urls)]
     rules = [(r, a) for a, x in (("allow", queries.ALLOW), ("block", queries.BLOCK)) for r in x]
-    got = by_id(urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)), queries.ALLOW, queries.BLOCK, queries.BLOCKED_HOSTS), "page_id")
+    got = by_id(urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)), queries.ALLOW, queries.BLOCK, queries.BLOCKED_HOSTS, max_level_bits=bits), "page_id")
     for i, u in rows:
         host, path = "", ""
         if u and "://" in u:
