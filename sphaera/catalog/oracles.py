@@ -21,7 +21,7 @@ def _contains(d2: str, outer: str, inner: str) -> str:
     return f"({outer} + {E} > {inner} and {d2} < ({outer} - {inner}) * ({outer} - {inner}) + {E})"
 
 
-def geometry(select: str, box: float = 0, groups: bool = False, balls: str = BALLS, moved: bool = False) -> str:
+def geometry(select: str, box: float = 0, groups: bool = False, balls: str = BALLS, moved: bool = False, probe: str = "1.4e0") -> str:
     """Common table expressions of the whole computation, followed by a select."""
     x = "case when ball_id % 100 = 7 then x + 5e-1 else x end" if moved else "x"
     group = "cast(floor(ball_id / 10) as bigint)" if groups else "cast(null as bigint)"
@@ -33,7 +33,7 @@ def geometry(select: str, box: float = 0, groups: bool = False, balls: str = BAL
     )
     return f"""
 with {balls},
-s as materialized (select structure_id, ball_id as id, {x} as x, y, z, r + 1.4e0 as r, {group} as g from balls),
+s as materialized (select structure_id, ball_id as id, {x} as x, y, z, r + {probe} as r, {group} as g from balls),
 shift as (select i, j, k, case when i = 0 and j = 0 and k = 0 then 0 else row_number() over (order by case when i = 0 and j = 0 and k = 0 then 1 else 0 end, i, j, k) end as image from {cube}),
 {images},
 o as materialized (select a.structure_id, a.id as a, a.x as ax, a.y as ay, a.z as az, a.r as ar, a.g as ag, b.id as b, b.x as b_x, b.y as b_y, b.z as b_z, b.r as br, b.g as bg, b.image,
@@ -127,6 +127,21 @@ _EXCLUDED = BALLS  # an excluded ball keeps cutting others, so only its own cont
 _CONTACTS = f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con"
 _PERIODIC_ORDER = "order by a, h, image, b"
 
+_FIRST = geometry("select 'cell' as kind, structure_id, index as i, cast(null as bigint) as j, sas_area as v from cell union all select 'contact', structure_id, a, b, area from con")
+_GOLDEN = "with t as (select (1 + sqrt(5)) / 2 as t), v as (select a * t as x, b * 1.0 as y, 0.0 as z from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select a * 1.0, 0.0, b * t from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select 0.0, a * t, b * 1.0 from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b))"
+#: Balls without their probe, and solvent on the twelve corners of an icosahedron around each exposed one that no contact is nearer to.
+_SOLVATED = f"""
+first as materialized ({_FIRST}),
+atom as materialized (with {BALLS} select *, max(ball_id) over (partition by structure_id) + 1 as n from balls),
+corner as materialized ({_GOLDEN} select x / sqrt(x * x + y * y + z * z) as ux, y / sqrt(x * x + y * y + z * z) as uy, z / sqrt(x * x + y * y + z * z) as uz, row_number() over () - 1 as k from v),
+halves as (select structure_id, i, j from first where kind = 'contact' union all select structure_id, j, i from first where kind = 'contact'),
+tried as materialized (select a.structure_id, a.ball_id as parent, a.n + a.ball_id * 12 + k as id, a.x + ux * (a.r + 1.4e0) as x, a.y + uy * (a.r + 1.4e0) as y, a.z + uz * (a.r + 1.4e0) as z, a.x as c_x, a.y as c_y, a.z as c_z, a.r as c_r
+      from atom a join first f on f.kind = 'cell' and f.v > 0 and f.structure_id = a.structure_id and f.i = a.ball_id, corner),
+beaten as (select distinct t.structure_id, t.id from tried t join halves h on h.structure_id = t.structure_id and h.i = t.parent join atom o on o.structure_id = h.structure_id and o.ball_id = h.j
+      where sqrt({_sq('t.', 'o.')}) - o.r <= sqrt({_sq('t.', 't.c_')}) - t.c_r),
+drop_ as materialized (select * from tried anti join beaten using (structure_id, id)),
+balls as materialized (select structure_id, ball_id, x, y, z, greatest(r - 1.4e0, 1e-2) as r from atom union all select structure_id, id, x, y, z, 1.4e0 from drop_)"""
+
 ORACLE_SQL = {
     "overlap_pairs": geometry(f"select structure_id, a, b, round(sqrt(d2), {PLACES}) + 0 as d from o"),
     "hidden_balls": geometry("select structure_id, a as ball_id from hid"),
@@ -146,12 +161,14 @@ ORACLE_SQL = {
     ),
     "per_ball": geometry(f"select b.structure_id, b.ball_id, {_r('sas_area', 'volume', places=3)} from balls b left join cell c on b.structure_id = c.structure_id and b.ball_id = c.index"),
     "network_edges": geometry(
-        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, l[3] is null as is_on_sas from (select structure_id, list_sort([a, b, c], 'asc', 'nulls last') as l from piece semi join con using (structure_id, a, b, image) "
-        "union all select structure_id, list_sort([a, b, cast(null as bigint)], 'asc', 'nulls last') from arc semi join con using (structure_id, a, b, image))"
+        f"select structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, l[3] is null as is_on_sas, round(min(length), {PLACES}) + 0 as length from (select structure_id, list_sort([a, b, c], 'asc', 'nulls last') as l, "
+        "hi - lo as length from piece semi join con using (structure_id, a, b, image) union all select structure_id, list_sort([a, b, cast(null as bigint)], 'asc', 'nulls last'), len * rr from arc join con using (structure_id, a, b, image)) group by structure_id, l"
     ),
     "network_vertices": geometry(
-        "select distinct structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, coalesce(l[4], -1) as ball_3, l[4] is null as is_on_sas from (select structure_id, list_sort([a, b, c, lo_by], 'asc', 'nulls last') as l "
-        "from piece semi join con using (structure_id, a, b, image) union all select structure_id, list_sort([a, b, c, hi_by], 'asc', 'nulls last') from piece semi join con using (structure_id, a, b, image))"
+        f"select structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, coalesce(l[4], -1) as ball_3, l[4] is null as is_on_sas, {_r('spot.x', 'spot.y', 'spot.z', places=3)} from (select structure_id, l, min(spot) as spot from ("
+        "select structure_id, list_sort([a, b, c, by_c], 'asc', 'nulls last') as l, {'x': mx + p1 * e1x + p2 * e2x, 'y': my + p1 * e1y + p2 * e2y, 'z': mz + p1 * e1z + p2 * e2z} as spot "
+        "from (select structure_id, a, b, image, c, by_c, dist * n1 - t * n2 as p1, dist * n2 + t * n1 as p2 from (select *, lo_by as by_c, lo as t from piece union all select *, hi_by, hi from piece)) "
+        "join con using (structure_id, a, b, image)) group by structure_id, l)"
     ),
     "periodic_images": geometry(
         f"select img.structure_id, id as ball_id, cast(image as bigint) as image, {_r('x', 'y', 'z')} from img join (select structure_id, " + ", ".join(f"min({c}) as l{c}, max({c}) as h{c}" for c in "xyz")
@@ -163,6 +180,15 @@ ORACLE_SQL = {
         f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con qualify row_number() over (partition by structure_id, least(a, b), greatest(a, b) {_PERIODIC_ORDER}) = 1", box=20),
     "incremental_update": geometry(_CONTACTS, moved=True),
     "restore": geometry(_CONTACTS),
+    "solvent": geometry(
+        f"select d.structure_id, {_r('d.x', 'd.y', 'd.z', places=3)}, 1.4e0 as radius, round(coalesce(volume, 0), 3) + 0 as weight, parent as parent_index from drop_ d left join cell on cell.structure_id = d.structure_id and cell.index = d.id",
+        balls=_SOLVATED, probe="0"),
+    "json_document": geometry(
+        "select b.structure_id, num_balls, coalesce(num_contacts, 0) as num_contacts, coalesce(num_central, 0) as num_central, coalesce(num_cells, 0) as num_cells, num_balls - coalesce(num_cells, 0) as num_without, "
+        "round(coalesce(ca, 0), 2) + 0 as contact_area, round(coalesce(al, 0), 2) + 0 as arc_length, round(coalesce(sa, 0), 2) + 0 as sas_area, round(coalesce(vo, 0), 2) + 0 as volume "
+        "from (select structure_id, count(*) as num_balls from balls group by 1) b left join (select structure_id, count(*) as num_contacts, count(*) filter (where central) as num_central, sum(area) as ca, sum(rr * arc_sum) as al from con group by 1) c "
+        "on b.structure_id = c.structure_id left join (select structure_id, count(*) as num_cells, sum(sas_area) as sa, sum(volume) as vo from cell group by 1) l on b.structure_id = l.structure_id"
+    ),
     "exclusion": geometry(f"{_CONTACTS} where not (structure_id = 0 and (a = 5 or b = 5))"),
     "group_chain": f"with {_ATOMS} select structure_id, ball_id, cast(floor(ball_id / 100) as bigint) as grp from atoms",
     "group_residue": f"with {_ATOMS} select structure_id, ball_id, cast(floor(ball_id / 10) as bigint) as grp from atoms",

@@ -131,12 +131,12 @@ def _named_balls(n: int) -> list:
 
 def network_edges(spark, sf_dir):
     rows = tess(spark, sf_dir).edges
-    return rows.select("structure_id", *_named_balls(3), "is_on_sas")
+    return _rounded(rows.select("structure_id", *_named_balls(3), "is_on_sas", "length"), "length")
 
 
 def network_vertices(spark, sf_dir):
     rows = tess(spark, sf_dir).vertices
-    return rows.select("structure_id", *_named_balls(4), "is_on_sas")
+    return _rounded(rows.select("structure_id", *_named_balls(4), "is_on_sas", "x", "y", "z"), "x", "y", "z", places=3)
 
 
 def periodic_images(spark, sf_dir):
@@ -256,7 +256,20 @@ def solvent(spark, sf_dir):
 
 
 def json_document(spark, sf_dir):
-    return json_documents(tess(spark, sf_dir))
+    """What the JSON documents say, read back from their text: one row a structure."""
+    schema = (
+        "num_balls long, contacts array<struct<area:double,arc_length:double,central:boolean>>, cells array<struct<sas_area:double,volume:double>>, "
+        "sas_areas array<double>, volumes array<double>"
+    )
+    rows = json_documents(tess(spark, sf_dir)).select("structure_id", F.from_json("json", schema).alias("d"))
+    total = lambda c, of=lambda x: x: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(of(x), F.lit(0.0)))
+    rows = rows.select(
+        "structure_id", "d.num_balls", F.size("d.contacts").cast("long").alias("num_contacts"), F.size(F.filter("d.contacts", lambda c: c["central"])).cast("long").alias("num_central"),
+        F.size("d.cells").cast("long").alias("num_cells"), F.size(F.filter("d.sas_areas", lambda x: x.isNull())).cast("long").alias("num_without"),
+        total(F.col("d.contacts"), lambda c: c["area"]).alias("contact_area"), total(F.col("d.contacts"), lambda c: c["arc_length"]).alias("arc_length"),
+        total(F.col("d.sas_areas")).alias("sas_area"), total(F.col("d.cells"), lambda c: c["volume"]).alias("volume"),
+    )
+    return _rounded(rows, *rows.columns[6:], places=2)
 
 
 def pymol(spark, sf_dir):

@@ -13,6 +13,7 @@ from sphaera.operators.periodic import PeriodicBox
 from sphaera.plans.incremental import UpdateableTessellation
 from sphaera.plans.tessellation import tessellate
 from sphaera.sources.radii import Radii
+from sphaera.sources.sinks import json_documents
 from sphaera.sources.structures import ParseOptions, balls_from, detect_format, detect_format_from_line, parse_mmcif, parse_pdb, parse_xyzr, with_radii
 from sphaera.streaming.follow import follow
 from tests.support import compare
@@ -30,7 +31,7 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert queries.solvent(spark, SF).count() > 0 and queries.pymol(spark, SF).count() > 0
-    document = json.loads(queries.json_document(spark, SF).first()["json"])
+    document = json.loads(json_documents(queries.tess(spark, SF)).first()["json"])
     assert document["num_balls"] == len(document["sas_areas"]) == 204
 
 
