@@ -1,9 +1,9 @@
 """Benchmark decontamination: find the word windows of benchmark items in training documents.
 
-The windows of the items go to the executors as a hash table, at most ``block_windows`` of them at a time;
-a larger benchmark is dealt over several passes, so that the table stays bounded. Documents are scanned
-once a pass: words become hashes, windows become rolling hashes compared in bulk, and every hit is
-verified word by word before it counts.
+The windows of the items go to the executors as a hash table, blocks of at most ``block_windows`` windows and
+``block_bytes`` bytes; a larger benchmark is dealt over several passes, so that the table stays bounded.
+A worker makes the table of a block once. Documents are scanned once a pass: words become hashes, windows
+become rolling hashes compared in bulk, and every hit is verified word by word before it counts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from sphaera.llm.common import WORD, ascii_lower, staged, with_arrow_columns
 
 WINDOW = 10
-BLOCK_WINDOWS = 1_000_000
+#: The most windows of a block, and about the most bytes of their words and items.
+BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 16_000_000
 _WORDS = re.compile(WORD)
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -36,6 +37,19 @@ def item_windows(benchmark: DataFrame, id: str, text: str, window: int = WINDOW)
     return rows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.size("words").alias("n"), "words", "items")
 
 
+class _Block:
+    """The windows of one block as an Arrow table (n, words, items), and the index that a worker makes of it."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, self._index = rows, None
+
+    def index(self) -> _Index:
+        if self._index is None:
+            columns = [self.rows.column(c).to_pylist() for c in ("n", "words", "items")]
+            self._index = _Index(zip(*columns))
+        return self._index
+
+
 class _Index:
     """The windows of one block: vocabulary, rolling hashes by length, words and items for verification."""
 
@@ -91,25 +105,27 @@ class _Index:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
+    window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """docs with n_words, hits (positions of words inside any occurrence of a window, in order), and items
     (ids of the items with occurring windows, sorted as strings).
 
     Null texts have no words; an item without words has no window. Repeated rows and ids come back as they
-    came; columns of docs that are named like a result are replaced.
+    came; columns of docs that are named like a result are replaced; an empty table of either kind gives no
+    hits. Very long texts are scanned whole, in a task that holds their words.
     """
     windows = staged(item_windows(benchmark, item_id, item_text, window), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
+    length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    sizes = windows.agg(F.count("*").alias("n"), F.sum(length("words") + length("items")).alias("bytes")).first()
+    blocks = max(1, -(-sizes["n"] // block_windows), -(-(sizes["bytes"] or 0) // block_bytes))
     part = F.pmod(F.xxhash64("words"), F.lit(blocks))
     out = docs
     for b in range(blocks):
-        # One block is bounded by block_windows times the length of a window, whatever the benchmark.
-        rows = [(r["n"], r["words"], r["items"]) for r in windows.where(part == b).collect()]
-        index = docs.sparkSession.sparkContext.broadcast(rows)
+        # One block is bounded, whatever the benchmark; only a single window can be larger.
+        block = docs.sparkSession.sparkContext.broadcast(_Block(windows.where(part == b).toArrow()))
 
-        def make(index=index, first=b == 0):
-            table = _Index(index.value)
+        def make(block=block, first=b == 0):
+            table = block.value.index()
 
             def work(texts, *before):
                 counts, hits, items = [], [], []

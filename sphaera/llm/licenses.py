@@ -1,10 +1,11 @@
 """Licence scans with a positional index of rare words, in DataFrame operations only.
 
-Every template is a short run of words with a mandatory key phrase at a fixed place in it. The index keeps,
-for each template, the word of its key phrase with the highest inverse document frequency, counted over
-all files, and that word's position. A file looks up those words, the positions give where each template
-would start, the key phrase is verified there, and the template's other words, weighted by their inverse
-document frequency, give the coverage.
+Every template is the words of a licence text, or of a sentence that names a licence, with a mandatory key
+phrase at a fixed place in it. The index has, for each template, postings (word, place in the phrase) of the
+words of its key phrase. A file looks up the ``POSTINGS`` of them with the highest inverse document frequency,
+counted over all files; each of their places in the file says where the phrase would start, and only starts
+on which all these postings agree stay. There the key phrase is verified word by word, and the template's
+other words, weighted by their inverse document frequency, give the coverage.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ def _template(label: str, text: str, key: str, base: bool = False) -> Template:
     return Template(label, words, at, len(phrase), base)
 
 
+#: How many postings of a key phrase are intersected.
+POSTINGS = 2
+
 TEMPLATES = (
     _template("mit", "released under the mit license", "mit license", base=True),
     _template("apache", "licensed under the apache license version 2 0", "apache license", base=True),
@@ -52,11 +56,32 @@ TEMPLATES = (
     _template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     _template("cc-by", "licensed under cc by 4 0", "cc by 4"),
     _template("cc0", "cc0 1 0 universal public domain dedication", "cc0 1"),
-    _template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    _template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    _template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
+    # The texts of permissive licences; a key phrase is one that variants of the text share.
+    _template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software",
+        "person obtaining a copy of this software",
+    ),
+    _template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "use in source and binary forms",
+    ),
+    _template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "be used to endorse or promote products derived from this software"),
+    _template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies",
+        "distribute this software for any purpose with or without fee",
+    ),
+    _template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "the authors be held liable for any damages arising from the use"),
     _template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+)
 
 
 def document_frequencies(files: DataFrame, text: str, words: list[str]) -> tuple[dict[str, int], int]:
@@ -75,14 +100,16 @@ def scan(files: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     and is that of the key phrase, which has ``words`` words) and score, the best coverage (0 without any).
 
     Null and empty texts have no words and no places. Places may overlap; all of them are listed, in the
-    order of the templates. Columns of files named like a result are replaced; an empty table stays empty.
+    order of the templates and then of the file. Columns of files named like a result are replaced; an empty
+    table stays empty; repeated rows come back as they came. Very long texts are scanned whole, in a task that
+    holds their words.
     """
     vocabulary = sorted({w for t in templates for w in t.words})
     counts, n_files = document_frequencies(files, text, vocabulary)
     idf = {w: math.log((n_files + 1) / (counts[w] + 0.5)) for w in vocabulary}
-    # The anchor of a template: its rarest key word, the first of those on a tie.
-    anchors = [max(range(t.key_words), key=lambda i, t=t: (idf[t.key[i]], -i)) for t in templates]
-    anchor_words = sorted({t.key[a] for t, a in zip(templates, anchors)})
+    # Places in the key phrase of its rarest words, the first of those on a tie.
+    postings = [sorted(range(t.key_words), key=lambda i, t=t: (-idf[t.key[i]], i))[:POSTINGS] for t in templates]
+    looked_up = sorted({t.key[a] for t, places in zip(templates, postings) for a in places})
 
     results = ("n_words", "places", "score")
     kept = [F.col(f"`{c}`") for c in files.columns if c not in results]
@@ -98,33 +125,35 @@ def scan(files: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     n = F.size("__words")
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     # lower() is a quick first look; is_word() compares exactly.
-    out = out.withColumn("__hits", F.filter(index, lambda i: F.lower(word(i)).isin(anchor_words)))
+    out = out.withColumn("__hits", F.filter(index, lambda i: F.lower(word(i)).isin(looked_up)))
 
-    def places(t: Template, a: int) -> Column:
-        starts = F.transform(F.filter("__hits", lambda i: is_word(i, t.key[a])), lambda i: i - a)
+    def places(t: Template, at: list[int]) -> Column:
+        agreed = None
+        for a in at:
+            starts = F.transform(F.filter("__hits", lambda i: is_word(i, t.key[a])), lambda i: i - a)  # noqa: B023
+            agreed = starts if agreed is None else F.array_intersect(agreed, starts)
 
         def verified(s):
             ok = s >= 0
             for k, w in enumerate(t.key):
-                if k != a:
+                if k not in at:
                     ok = ok & is_word(s + k, w)
             return ok
 
         total = sum(idf[w] for w in t.words) or 1.0
+        expected = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(idf[w] / total).alias("weight"), F.lit(k - t.key_at).alias("k")) for k, w in enumerate(t.words)])
 
         def place(s):
-            mass = F.lit(0.0)
-            for k, w in enumerate(t.words):
-                j = s + (k - t.key_at)
-                mass = mass + F.when((j >= 0) & is_word(j, w), F.lit(idf[w] / total)).otherwise(F.lit(0.0))
+            there = lambda e: (s + e["k"] >= 0) & F.coalesce(ascii_lower(word(F.greatest(s + e["k"], F.lit(0)))) == e["w"], F.lit(False))
+            mass = F.aggregate(expected, F.lit(0.0), lambda m, e: m + F.when(there(e), e["weight"]).otherwise(0.0))
             return F.struct(
                 F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), F.lit(t.key_words).alias("words"),
                 F.least(mass, F.lit(1.0)).alias("coverage"),
             )
 
-        return F.transform(F.filter(starts, verified), place)
+        return F.transform(F.filter(agreed, verified), place)
 
-    out = out.withColumn("places", F.concat(*[places(t, a) for t, a in zip(templates, anchors)]))
+    out = out.withColumn("places", F.concat(*[places(t, at) for t, at in zip(templates, postings)]))
     best = F.coalesce(F.array_max(F.transform("places", lambda p: p["coverage"])), F.lit(0.0))
     return out.select(*[F.col(f"`{c}`") for c in files.columns if c not in results], n.cast("long").alias("n_words"), "places", best.alias("score"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -117,6 +118,31 @@ def test_licenses(spark, odd, empty, docs):
     assert licenses.digest(licenses.scan(empty)).count() == 0
 
 
+def test_license_labels_and_scores(spark):
+    """Labels, places and scores of all templates against a plain search of their key phrases."""
+    pick, texts = random.Random(9), []
+    for t in licenses.TEMPLATES:
+        edited = ["reworded" if pick.random() < 0.2 else w for w in t.words]
+        cut = list(t.words[max(0, t.key_at - 1) :])
+        texts += [" ".join(t.words), "See: " + " ".join(edited).upper() + ".", " ".join(["x"] * 5 + cut + ["y"] + cut), " ".join(reversed(t.words))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string")
+    files = [words(t) for t in texts] + [[], []]
+    idf = lambda w: math.log((len(files) + 1) / (sum(w in f for f in files) + 0.5))
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    found = 0
+    for i, f in enumerate(files[:-2]):
+        want, best = [], 0.0
+        for t in licenses.TEMPLATES:
+            total = sum(map(idf, t.words))
+            for s in range(len(f) - t.key_words + 1):
+                if tuple(f[s : s + t.key_words]) == t.key:
+                    want.append((t.label, s))
+                    best = max(best, sum(idf(w) for k, w in enumerate(t.words) if 0 <= s + k - t.key_at < len(f) and f[s + k - t.key_at] == w) / total)
+        found += len(want)
+        assert [(p["label"], p["start"]) for p in got[i]["places"]] == want and got[i]["score"] == pytest.approx(best)
+    assert found > 60 and got[900]["places"] == [] == got[901]["places"]
+
+
 # URLs
 
 
@@ -220,7 +246,7 @@ def test_matches_find_a_moved_passage(spark, docs):
 # decontamination
 
 
-@pytest.mark.parametrize("block", [1_000_000, 40])
+@pytest.mark.parametrize("block", [{}, {"block_windows": 40}, {"block_bytes": 3000}])
 def test_decontaminate(spark, odd, empty, docs, block):
     bench = spark.createDataFrame(
         [(1, "A line that is long enough to count"), (2, "word"), (3, None), (4, "..."), (None, "and something ELSE entirely"), (10, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum")],
@@ -234,7 +260,7 @@ def test_decontaminate(spark, odd, empty, docs, block):
             windows[tuple(w[i : i + n])].add(item)
     lengths = {len(w) for w in windows}
     df = odd.select("doc_id", "text", F.lit(1).alias("hits")).unionByName(docs.select("doc_id", "text", F.lit(1).alias("hits")))
-    got = Counter((r["doc_id"], r["n_words"], tuple(r["hits"]), tuple(r["items"])) for r in decontaminate.contamination(df, bench, block_windows=block).collect())
+    got = Counter((r["doc_id"], r["n_words"], tuple(r["hits"]), tuple(r["items"])) for r in decontaminate.contamination(df, bench, **block).collect())
     want = Counter()
     for r in df.collect():
         w, hit, found = words(r["text"]), set(), set()
