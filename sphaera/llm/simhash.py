@@ -282,7 +282,7 @@ def _words_digest(text: str | None) -> bytes:
 
 def near_copy_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS,
-    bands: int = BANDS, band_rows: int = BAND_ROWS, stars: int = 2,
+    bands: int = BANDS, band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(id, h, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
 
@@ -292,9 +292,9 @@ def near_copy_groups(
 
     * SimHashes of the distinct words, through the covering tables.
     * Lists of texts that agree in a band of min-hashes, for the pairs that are alike but further apart than
-      the radius. ``stars`` times, all members of a list are compared with one of them; then all pairs of
-      members that are still in different components, so that a list leaves no pair untested but those
-      that are connected already.
+      the radius. All members of a list are compared with its first one; then members that are still in
+      different components, so that a list leaves no pair untested but those that are connected already and
+      those whose distances from the first member differ too much for them to be alike.
 
     Nulls and texts without words are one exact copy. Very long texts are compared by all of their shingles.
     """
@@ -354,48 +354,42 @@ def near_copy_groups(
     sets = with_arrow_columns(source.select("text", hash_of(F.col("id")).alias("h")), ["text", "h"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
     sets = staged(sets.where(F.size("set") > 0).select("words", "set").dropDuplicates(["words"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike. A text that many others are compared with goes to several tasks."""
+    def measured(pairs: DataFrame) -> DataFrame:
+        """pairs with their similarity. A text that many others are compared with goes to several tasks."""
         degrees = staged(pairs.groupBy(F.col("x").alias("words")).agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / PAIRS_IN_TASK).cast("int"))
         dealt = join_hot(pairs.withColumnRenamed("x", "words"), degrees, "words").withColumnRenamed("words", "x")
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).drop("parts")
         xs = sets.join(degrees.drop("n"), "words").select(F.col("words").alias("x"), F.col("set").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        return (
-            dealt.join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y")
-            .join(xs, ["x", "part"])
-            .withColumn("common", F.size(F.array_intersect("xs", "ys")))
-            .where(F.col("common") >= similarity * (F.size("xs") + F.size("ys") - F.col("common")))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        )
-
-    def settled(alike: DataFrame) -> DataFrame:
-        return staged(components(alike).withColumnRenamed("node", "words"), "components")
-
-    def unsettled(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        """(t, y, component) of the lists whose members lie in several components."""
-        known = rows.select("t", "y").join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("component")), "y", "left")
-        known = staged(known.select("t", "y", F.coalesce("component", "y").alias("component")), "known")
-        mixed = known.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low <> high").select("t", "c")
-        return staged(join_hot(known, staged(mixed, "mixed"), "t", count="c"), "unsettled")
-
-    alike = staged(verified(tested), "alike")
-    groups = settled(alike)
-    # What is left of a list without the one that all of it was compared with.
-    rows = unsettled(lists, groups)
-    for turn in range(1, stars):
-        if rows.isEmpty():
-            break
-        order = F.xxhash64("y", F.lit(turn))
-        lead = rows.groupBy("t").agg(F.min_by(F.struct(F.col("y").alias("x"), F.col("component").alias("of")), order).alias("lead"), F.count("*").alias("c"))
-        rows = staged(join_hot(rows, staged(lead.select("t", "lead.*", "c"), "leads"), "t", count="c").where("x <> y"), "rows")
-        pairs = staged(pairs_of(rows.where("component <> of")), "stars")
-        alike = staged(alike.unionByName(verified(pairs)), "alike")
-        groups = settled(alike)
-        rows = unsettled(rows, groups)
-    if not rows.isEmpty():
-        x, y = rows.select("t", F.col("y").alias("x"), F.col("component").alias("of")), rows.select("t", "y", "component")
-        pairs = staged(pairs_of(x.join(y, "t").where("x < y and component <> of")), "crossing")
-        groups = settled(alike.unionByName(verified(pairs)))
+        found = dealt.join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y").join(xs, ["x", "part"]).withColumn("common", F.size(F.array_intersect("xs", "ys")))
+        union = F.size("xs") + F.size("ys") - F.col("common")
+        return staged(found.select("x", "y", (F.col("common") / union).alias("likeness"), (F.col("common") >= similarity * union).alias("alike")), "measured")
+
+    def settled(found: DataFrame) -> DataFrame:
+        links = found.where("alike").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return staged(components(links).withColumnRenamed("node", "words"), "components")
+
+    first = measured(tested)
+    groups = settled(first)
+    # The members of each list but its first, with their components and how far from the first they are: as
+    # measured, or at least so far that they are not alike.
+    apart = first.select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"), (F.lit(1.0) - F.col("likeness")).alias("far"))
+    rows = lists.join(apart, ["x", "y"], "left").join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("of")), "y", "left")
+    rows = rows.select("t", "y", F.coalesce("of", "y").alias("of"), F.coalesce("far", F.lit(1.0 - similarity)).alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
+    rows = staged(rows.withColumn("key", F.xxhash64("t", "of")), "rows")
+    # Jaccard distance is a metric: members of two components of a list can be alike only if their distances
+    # from its first member differ by no more than alike texts are apart.
+    parts = staged(rows.groupBy("t", "of", "key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("c")), "parts")
+    x, y = (parts.select("t", *[F.col(c).alias(f"{s}_{c}") for c in ("of", "key", "least", "most")]) for s in "xy")
+    reach = 1.0 - similarity + 1e-9
+    meet = staged(x.join(y, "t").where("x_of < y_of").where((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach)).select("x_key", "y_key"), "meet")
+    if not meet.isEmpty():
+        open_ = meet.select(F.explode(F.array("x_key", "y_key")).alias("key")).distinct().join(parts.select("key", "c"), "key")
+        members = staged(join_hot(rows.select("key", "y", "least", "most"), staged(open_, "open"), "key", count="c"), "members")
+        ends = [members.select(F.col("key").alias(f"{s}_key"), F.col("y").alias(s), F.col("least").alias(f"{s}_least"), F.col("most").alias(f"{s}_most")) for s in "xy"]
+        crossing = meet.join(ends[0], "x_key").join(ends[1], "y_key").where((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach))
+        pairs = staged(pairs_of(staged(crossing.select("x", "y").distinct(), "crossing")), "crossing")
+        more = measured(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))
+        groups = settled(first.select("x", "y", "alike").unionByName(more.select("x", "y", "alike")))
     sizes = base.groupBy("words").agg(F.count("*").alias("c")).join(groups, "words", "left").select("words", "c", F.coalesce("component", "words").alias("group"))
     return join_hot(base, staged(sizes, "sizes"), "words", count="c").select(F.col("id").alias(id), "h", "words", "group")
 
