@@ -14,6 +14,7 @@ fingerprints that near.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -250,31 +251,50 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
 
 
-#: Bands of min-hashes and hashes in each: two sets of similarity 0.8 agree in no band with a probability of
-#: 2e-5, two of 0.85 with 2e-8.
-BANDS, BAND_ROWS = 36, 6
+#: Min-hashes of a set, bands of them, and hashes in each band: two sets of similarity 0.8 agree in no band with
+#: a probability of about 3e-5, of 0.85 with one below 1e-7; sets of similarity 0.5 agree in one of four pairs.
+HASHES, BANDS, BAND_ROWS = 240, 80, 8
+#: The most shingles whose frequency orders an index of first shingles. They order it and leave nothing out.
+COMMON = 100_000
 #: How many pairs of one text meet in a task that compares them.
 PAIRS_IN_TASK = 256
 
 
-def _band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def _mixing(hashes: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The odd factor of each min-hash, and which of them each band has."""
+    factors = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(hashes)], np.uint64)
+    pick = np.random.Generator(np.random.PCG64(SEED))
+    return factors, np.stack([pick.permutation(hashes)[:rows] for _ in range(bands)])
+
+
+def _band_keys(shingles: np.ndarray, factors: np.ndarray, members: np.ndarray) -> np.ndarray:
     """One key for each band of the min-hashes of a set; none for an empty set."""
-    if not len(hashes):
+    if not len(shingles):
         return np.zeros(0, np.int64)
-    factors = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(bands * rows)], np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        mixed = hashes[i : i + 1024, None] * factors
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        mixed = shingles[i : i + 1024, None] * factors
         mixed ^= mixed >> np.uint64(32)
         mixed *= factors
         np.minimum(least, mixed.min(axis=0), out=least)
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
+    keys = np.arange(1, len(members) + 1, dtype=np.uint64)
+    for column in least[members].T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     return keys.view(np.int64)
 
 
+def _prefix(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: those that are not known, then the known ones
+    by rank. Two sets of this similarity have one of them in common."""
+    n = len(shingles)
+    at = np.searchsorted(known, shingles)
+    at[at == len(known)] = 0
+    common = known[at] == shingles if len(known) else np.zeros(n, bool)
+    order = np.lexsort((shingles, np.where(common, rank[at] if len(known) else 0, -1)))
+    return shingles[order[: n - math.ceil(similarity * n - 1e-6) + 1]]
+
+
 def _words_digest(text: str | None) -> bytes:
     """A digest of the sequence of words."""
     return xxhash.xxh128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
@@ -282,7 +302,7 @@ def _words_digest(text: str | None) -> bytes:
 
 def near_copy_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS,
-    bands: int = BANDS, band_rows: int = BAND_ROWS,
+    hashes: int = HASHES, bands: int = BANDS, band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(id, h, words, group) of every row: documents whose sets of five-word shingles are alike share a group.
 
@@ -292,20 +312,22 @@ def near_copy_groups(
 
     * SimHashes of the distinct words, through the covering tables.
     * Lists of texts that agree in a band of min-hashes, for the pairs that are alike but further apart than
-      the radius. All members of a list are compared with its first one; then members that are still in
-      different components, so that a list leaves no pair untested but those that are connected already and
-      those whose distances from the first member differ too much for them to be alike.
+      the radius. All members of a list are compared with its first one; then members of lists that are
+      still in different components, if they have one of their first shingles in common, as all that are
+      alike have. So no pair is left untested but those that are connected already.
 
     Nulls and texts without words are one exact copy. Very long texts are compared by all of their shingles.
     """
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
 
     def make():
+        mixing = _mixing(hashes, bands, band_rows)
+
         def work(texts):
             sets = [_shingle_hashes(t, shingle) for t in texts]
             return [
                 pa.array([_words_digest(t) for t in texts], pa.binary()), pa.array([_signed(simhash(t, 1, SEED, True)) for t in texts], pa.int64()),
-                pa.array(list(map(len, sets)), pa.int64()), pa.array([_band_keys(x, bands, band_rows) for x in sets], pa.list_(pa.int64())),
+                pa.array(list(map(len, sets)), pa.int64()), pa.array([_band_keys(x, *mixing) for x in sets], pa.list_(pa.int64())),
             ]
 
         return work
@@ -370,26 +392,40 @@ def near_copy_groups(
 
     first = measured(tested)
     groups = settled(first)
-    # The members of each list but its first, with their components and how far from the first they are: as
-    # measured, or at least so far that they are not alike.
-    apart = first.select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y"), (F.lit(1.0) - F.col("likeness")).alias("far"))
-    rows = lists.join(apart, ["x", "y"], "left").join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("of")), "y", "left")
-    rows = rows.select("t", "y", F.coalesce("of", "y").alias("of"), F.coalesce("far", F.lit(1.0 - similarity)).alias("least"), F.coalesce("far", F.lit(1.0)).alias("most"))
-    rows = staged(rows.withColumn("key", F.xxhash64("t", "of")), "rows")
-    # Jaccard distance is a metric: members of two components of a list can be alike only if their distances
-    # from its first member differ by no more than alike texts are apart.
-    parts = staged(rows.groupBy("t", "of", "key").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("c")), "parts")
-    x, y = (parts.select("t", *[F.col(c).alias(f"{s}_{c}") for c in ("of", "key", "least", "most")]) for s in "xy")
-    reach = 1.0 - similarity + 1e-9
-    meet = staged(x.join(y, "t").where("x_of < y_of").where((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach)).select("x_key", "y_key"), "meet")
-    if not meet.isEmpty():
-        open_ = meet.select(F.explode(F.array("x_key", "y_key")).alias("key")).distinct().join(parts.select("key", "c"), "key")
-        members = staged(join_hot(rows.select("key", "y", "least", "most"), staged(open_, "open"), "key", count="c"), "members")
-        ends = [members.select(F.col("key").alias(f"{s}_key"), F.col("y").alias(s), F.col("least").alias(f"{s}_least"), F.col("most").alias(f"{s}_most")) for s in "xy"]
-        crossing = meet.join(ends[0], "x_key").join(ends[1], "y_key").where((F.col("x_least") - F.col("y_most") <= reach) & (F.col("y_least") - F.col("x_most") <= reach))
-        pairs = staged(pairs_of(staged(crossing.select("x", "y").distinct(), "crossing")), "crossing")
-        more = measured(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))
-        groups = settled(first.select("x", "y", "alike").unionByName(more.select("x", "y", "alike")))
+    # Members of lists that lie in several components. Two of them that are alike have one of the first of
+    # their shingles in common, rare ones first, which unlike texts with a passage in common have not.
+    rows = lists.select("x", "y").distinct().join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("of")), "y", "left")
+    rows = staged(rows.select("x", "y", F.coalesce("of", "y").alias("of")), "rows")
+    mixed = rows.groupBy("x").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("x", "c")
+    left = join_hot(rows, staged(mixed, "mixed"), "x", count="c").select("y", "of").distinct()
+    left = staged(sets.withColumn("y", F.xxhash64("words")).join(left, "y").select("y", "of", "set"), "left")
+    found = left.select(F.explode("set").alias("t")).groupBy("t").count().where("count > 2").orderBy(F.desc("count"), "t").limit(COMMON)
+    common = df.sparkSession.sparkContext.broadcast(found.select("t").toArrow().column("t").to_numpy()[::-1])
+
+    def first_shingles(batches):
+        order = np.argsort(common.value, kind="stable")
+        known = common.value[order]
+        for batch in batches:
+            prefixes = [_prefix(x.values.to_numpy(), known, order, similarity) for x in batch.column(2)]
+            at = pa.array(np.repeat(np.arange(len(prefixes)), list(map(len, prefixes))))
+            tokens = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
+            # How much of the set is left from this shingle on.
+            rest = pa.array(np.concatenate([len(x) - np.arange(len(p)) for x, p in zip(batch.column(2), prefixes)]) if prefixes else np.zeros(0, np.int64), pa.int64())
+            size = pa.array([len(x) for x in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([tokens, batch.column(0).take(at), batch.column(1).take(at), size.take(at), rest], names=["t", "y", "of", "size", "rest"])
+
+    index = staged(left.select("y", "of", "set").mapInArrow(first_shingles, "t long, y long, of long, size long, rest long"), "index")
+    mixed = index.groupBy("t").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("t", "c")
+    index = staged(join_hot(index, staged(mixed, "mixed"), "t", count="c"), "index")
+    x, y = (index.select("t", F.col("y").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("of", "size", "rest")]) for e in "xy")
+    # Of the first shingle that two alike sets have in common, as much is left in both as they must share.
+    enough = F.least("x_rest", "y_rest") >= F.lit(similarity / (1.0 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    pairs = staged(x.join(y, "t").where((F.col("x_of") < F.col("y_of")) & enough).select("x", "y").distinct(), "crossing")
+    if not pairs.isEmpty():
+        pairs = staged(pairs_of(pairs), "crossing")
+        for ends in (("x", "y"), ("y", "x")):
+            pairs = pairs.join(first.select(*[F.col(c).alias(e) for c, e in zip("xy", ends)]), ["x", "y"], "left_anti")
+        groups = settled(first.select("x", "y", "alike").unionByName(measured(staged(pairs, "crossing")).select("x", "y", "alike")))
     sizes = base.groupBy("words").agg(F.count("*").alias("c")).join(groups, "words", "left").select("words", "c", F.coalesce("component", "words").alias("group"))
     return join_hot(base, staged(sizes, "sizes"), "words", count="c").select(F.col("id").alias(id), "h", "words", "group")
 
