@@ -14,12 +14,12 @@ from sphaera.operators.periodic import PeriodicBox
 from sphaera.plans.tessellation import tessellate
 from sphaera.sources.radii import Radii
 from sphaera.sources.sinks import json_documents, pymol_script
-from sphaera.sources.structures import ParseOptions, read_structures
+from sphaera.sources.structures import ParseOptions, read_lines, read_structures
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="python -m sphaera", description=__doc__)
-    p.add_argument("input", nargs="+", help="PDB, mmCIF or XYZR files, one format at a time")
+    p.add_argument("input", nargs="+", help="PDB, mmCIF or XYZR files; - is standard input")
     p.add_argument("--output", help="folder for one JSON document a file; else they go to standard output")
     p.add_argument("--probe", type=float, default=1.4)
     p.add_argument("--format", choices=("pdb", "mmcif", "xyzr"))
@@ -50,7 +50,8 @@ def main(args: list[str] | None = None) -> int:
     radii = Radii()
     if a.radii_file:
         radii = radii.with_text("\n".join(r["value"] for r in spark.read.text(a.radii_file).collect()))
-    atoms = read_structures(spark, a.input, ParseOptions(a.exclude_heteroatoms, a.include_hydrogens, a.as_assembly), radii, a.format)
+    options = ParseOptions(a.exclude_heteroatoms, a.include_hydrogens, a.as_assembly)
+    atoms = read_lines(spark, sys.stdin, options, radii, a.format) if a.input == ["-"] else read_structures(spark, a.input, options, radii, a.format)
     if a.selections or a.inter_chain or a.inter_residue:
         if "chain_id" not in atoms.columns:
             raise SystemExit("XYZR files have no atom records to group")

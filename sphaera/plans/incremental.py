@@ -175,6 +175,22 @@ class UpdateableTessellation:
         mine = (F.col("id_a") == ball_id) | (F.col("id_b") == ball_id)
         return self.contacts.where(mine & (F.col("structure_id") == F.lit(structure_id)))
 
+    @property
+    def excluded(self) -> DataFrame:
+        """(structure_id, ball_id) of the excluded balls."""
+        return self.state.excluded
+
+    @property
+    def collisions(self) -> DataFrame:
+        """(structure_id, collisions): pairs of balls whose spheres overlap, images counted as their balls."""
+        pair = F.array_sort(F.array("a", "b"))
+        return self.state.links.select("structure_id", pair.alias("pair")).distinct().groupBy("structure_id").agg(F.count("*").alias("collisions"))
+
+    def colliding(self, ball_id: int, structure_id=0) -> DataFrame:
+        """(structure_id, ball_id) of the balls that overlap one."""
+        mine = (F.col("a") == ball_id) & (F.col("structure_id") == F.lit(structure_id))
+        return self.state.links.where(mine).select("structure_id", F.col("b").alias("ball_id")).distinct()
+
     @property
     def cells(self) -> DataFrame:
         return self.state.cells

@@ -7,8 +7,9 @@ their order in the file without a shuffle; a file must fit a task. Work spreads
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -219,19 +220,39 @@ def with_radii(atoms: DataFrame, radii: Radii | None = None) -> DataFrame:
     return atoms.withColumn("r", (radii or Radii()).column(F.col("res_name"), F.col("name")))
 
 
-def read_structures(
-    spark: SparkSession, paths: str | list[str], options: ParseOptions = ParseOptions(), radii: Radii | None = None, format: str | None = None
-) -> DataFrame:
-    """Atoms with radii, or the balls of XYZR files, of one format: told by the caller, the extension of the
-    first path or else its first line."""
-    first = paths if isinstance(paths, str) else paths[0]
-    format = format or detect_format(first) or detect_format_from_line((spark.read.text(first).first() or {"value": ""})["value"])
-    texts = files(spark, paths)
+def _parsed(texts: DataFrame, format: str, options: ParseOptions, radii: Radii | None) -> DataFrame:
     if format == "xyzr":
         return parse_xyzr(texts)
     return with_radii((parse_pdb if format == "pdb" else parse_mmcif)(texts, options), radii)
 
 
+def read_structures(
+    spark: SparkSession, paths: str | list[str], options: ParseOptions = ParseOptions(), radii: Radii | None = None, format: str | None = None
+) -> DataFrame:
+    """Atoms with radii, or the balls of XYZR files. The format is told by the caller, or by the extension of
+    each path or else its first line; PDB and mmCIF files may come together, XYZR files, which have no atoms,
+    only by themselves."""
+    by_format: dict[str, list[str]] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        own = format or detect_format(path) or detect_format_from_line((spark.read.text(path).first() or {"value": ""})["value"])
+        by_format.setdefault(own, []).append(path)
+    if "xyzr" in by_format and len(by_format) > 1:
+        raise ValueError("XYZR files have no atoms; read them apart from other formats")
+    parts = [_parsed(files(spark, own), f, options, radii) for f, own in by_format.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_lines(
+    spark: SparkSession, lines: Iterable[str], options: ParseOptions = ParseOptions(), radii: Radii | None = None, format: str | None = None, structure_id: str = "-"
+) -> DataFrame:
+    """The same from the lines of one structure, such as standard input; a format that cannot be told from the
+    first line that is not empty is an error. Lines of one structure pass through the driver, as they come."""
+    lines = [x.rstrip("\r\n") for x in lines]
+    format = format or detect_format_from_line(next((x for x in lines if x.strip()), ""))
+    texts = spark.createDataFrame([(structure_id, "\n".join(lines))], "structure_id string, content string")
+    return _parsed(texts, format, options, radii)
+
+
 def balls_from(spark: SparkSession, balls) -> DataFrame:
     """A table of one structure from an iterable of (x, y, z, r), of dicts, or an array of four columns."""
     rows = []

@@ -1,6 +1,7 @@
 """Selections, parsers, updates, streams, the command line, and every query against its SQL."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,13 +9,14 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sphaera import __main__ as cli
 from sphaera.catalog import oracles, queries
+from sphaera.functions import geometry as g
 from sphaera.functions.selection import SelectionError, glob, parse_selection, parse_selections
 from sphaera.operators.periodic import PeriodicBox
 from sphaera.plans.incremental import UpdateableTessellation
 from sphaera.plans.tessellation import tessellate
 from sphaera.sources.radii import Radii
 from sphaera.sources.sinks import json_documents
-from sphaera.sources.structures import ParseOptions, balls_from, detect_format, detect_format_from_line, parse_mmcif, parse_pdb, parse_xyzr, with_radii
+from sphaera.sources.structures import ParseOptions, balls_from, detect_format, detect_format_from_line, parse_mmcif, parse_pdb, parse_xyzr, read_lines, read_structures, with_radii
 from sphaera.streaming.follow import follow
 from tests.support import compare
 
@@ -119,6 +121,31 @@ def test_parsers(spark):
         assert parse(text("")).count() == 0 and parse(text(PDB).where("false")).count() == 0
 
 
+def test_mixed_formats_and_lines(spark, tmp_path):
+    for name, text in (("a.pdb", PDB), ("b.cif", CIF), ("c.xyzr", "0 0 0 1\n")):
+        (tmp_path / name).write_text(text)
+    path = lambda *names: [str(tmp_path / n) for n in names]
+    both = read_structures(spark, path("a.pdb", "b.cif"))
+    assert sorted((r["structure_id"].rsplit("/", 1)[-1], r["name"]) for r in both.collect()) == [("a.pdb", "N"), ("a.pdb", "ZN"), ("b.cif", "C'"), ("b.cif", "ZN")]
+    with pytest.raises(ValueError, match="XYZR"):
+        read_structures(spark, path("a.pdb", "c.xyzr"))
+    assert read_lines(spark, PDB.splitlines(True)).count() == 2 and read_lines(spark, ["", "x 1 2 3 4"]).first()["r"] == 4.0
+    with pytest.raises(ValueError):
+        read_lines(spark, ["hello"])
+
+
+def test_vectors(spark):
+    row = spark.range(1)
+    v = lambda *x: g.Vec(*map(F.lit, map(float, x)))
+    o, x, y, z = v(0, 0, 0), v(1, 0, 0), v(0, 1, 0), v(0, 0, 1)
+    turned = g.rotate(z, F.lit(math.pi / 2), x)
+    got = row.select(
+        g.triangle_area(o, x, v(0, 2, 5)), g.min_angle(o, x, v(-1, 1, 0)), g.directed_angle(o, x, y, z), g.directed_angle(o, y, x, z), *turned,
+        g.signed_distance(v(0, 0, 2), v(0, 0, 3), v(7, 7, 3.5)), g.halfspace(o, z, v(1, 1, 1)), g.halfspace(o, z, v(1, 1, -1)), g.halfspace(o, z, x),
+    ).first()
+    assert list(got) == pytest.approx([math.sqrt(29) / 2, 3 * math.pi / 4, math.pi / 2, 3 * math.pi / 2, 0, 1, 0, 1.5, 1, -1, 0])
+
+
 def test_formats():
     assert [detect_format(p) for p in ("a.PDB", "b.ent", "c.pdb1", "d.cif", "e.mmCIF", "f.xyzr", "g", "h.txt", "/x.pdb/y")] == ["pdb", "pdb", "pdb", "mmcif", "mmcif", "xyzr", None, None, None]
     assert [detect_format_from_line(x) for x in ("data_1", "loop_", "ATOM  ", "A 1 2 3 4")] == ["mmcif", "mmcif", "pdb", "xyzr"]
@@ -183,6 +210,8 @@ def test_exclusion(spark):
     assert t.set_exclusion(1) and sizes() == (0, 2) and not t.set_exclusion(1)
     assert t.set_exclusion(1, False) and sizes() == (2, 3)
     t.set_exclusion(1)
+    assert [r["ball_id"] for r in t.excluded.collect()] == [1] and t.collisions.first()["collisions"] == 2
+    assert sorted(r["ball_id"] for r in t.colliding(1).collect()) == [0, 2]
     assert t.restore() and sizes() == (2, 3) and t.contacts_for(1).count() == 2
 
 

@@ -226,6 +226,9 @@ def test_structure_file_against_sampled_space(spark, tmp_path):
         p = power(points)
         p[:, i] = np.inf
         free = 4 * math.pi * r[i] ** 2 * (p.min(axis=1) >= 0).mean()
+        if i not in cells:
+            assert free < 0.5 and volume[i] < 0.5
+            continue
         assert cells[i]["sas_area"] == pytest.approx(free, rel=0.03, abs=1.0)
         assert cells[i]["volume"] == pytest.approx(volume[i], rel=0.1, abs=1.5)
 
