@@ -8,11 +8,17 @@ through each step together, in blocks of bounded size.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 
 from sphaera.functions.geometry import EPSILON, TAU
 
+# Tasks get this module with their code and need not find it where they run.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Below this, a piece of a line or an arc is a rounding error of one that is not there.
 SLIVER = 1e-9
 #: Lines whose directions differ by less are parallel.
