@@ -12,9 +12,15 @@ from sphaera.llm.common import read, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without letters go. Learns from four fifths of docs."""
+    """Documents whose language can be told; texts without letters go. Learns from four fifths of docs; where
+    nothing could be learnt, all texts with letters stay."""
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    if not model.rows.num_rows:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    # The operator replaces columns that are named like its results, which docs may have of its own.
+    own = docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    told = langid.identify(own, model).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return told.select(*own.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
