@@ -21,7 +21,9 @@ from sphaera.llm.common import staged, with_arrow_columns
 #: The bound of the training sample: about so many labelled documents for each language.
 DOCS_PER_LANGUAGE = 2000
 #: A word or n-gram that a language has less often in the sample is not learnt. The model is bounded by the sample.
-LEAST_COUNT = 3
+LEAST_COUNT = 5
+#: Features that a task counts before it hands them on.
+COUNTED_AT_ONCE = 100_000
 LONGEST = 6
 #: A frequency that a language lacks counts as this share of one occurrence.
 MISSING = 0.1
@@ -50,24 +52,25 @@ def training_sample(docs: DataFrame, id: str, text: str, lang: str, per_language
 
 
 def _counts(batches):
-    """Partial counts of words and n-grams by language, one batch of documents at a time."""
-    for batch in batches:
-        found: Counter = Counter()
+    """Partial counts of words and n-grams by language, a bounded number of them at a time."""
+
+    def given(found):
+        columns = ([k[0] for k in found], [k[1] for k in found], [k[2] for k in found], list(found.values()))
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "n", "feature", "count"])
+
+    found: Counter = Counter()
+    for batch in (b.slice(i, 100) for b in batches for i in range(0, len(b), 100)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for w, c in Counter(words_of(text)).items():
                 found[lang, 0, w] += c
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(w, n):
                         found[lang, n, g] += c
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in found], pa.string()),
-                pa.array([k[1] for k in found], pa.int32()),
-                pa.array([k[2] for k in found], pa.string()),
-                pa.array(list(found.values()), pa.int64()),
-            ],
-            names=["lang", "n", "feature", "count"],
-        )
+        if len(found) >= COUNTED_AT_ONCE:
+            yield given(found)
+            found.clear()
+    yield given(found)
 
 
 class Model:
@@ -89,27 +92,26 @@ class Model:
         return self._made
 
     def _scorer(self):
-        columns = [self.rows.column(c).to_pylist() for c in ("lang", "n", "feature", "count")]
-        names = sorted(set(columns[0]))
-        at = {x: i for i, x in enumerate(names)}
+        langs = self.rows.column("lang").combine_chunks().dictionary_encode()
+        names = sorted(langs.dictionary.to_pylist())
+        code = np.array([names.index(x) for x in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        length, count = self.rows.column("n").to_numpy(), self.rows.column("count").to_numpy()
         known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        place = np.zeros(len(count), np.int64)
         size = 0
-        for n, f in zip(columns[1], columns[2]):
-            if f not in known[n]:
-                known[n][f] = size
-                size += 1
+        for i, (n, f) in enumerate(zip(length.tolist(), self.rows.column("feature"))):
+            place[i] = known[n].setdefault(f.as_py(), size)
+            size += place[i] == size
         total = np.ones((LONGEST + 1, len(names)))
         for (lang, n), c in self.totals.items():
-            total[n, at[lang]] = c
+            if lang in names:
+                total[n, names.index(lang)] = c
         # A small language's missing words must not look likelier than a large one's.
-        least = MISSING / total.max(axis=1, keepdims=True, initial=1)
-        table = np.zeros((size, len(names)))
-        floor = np.zeros((size, 1))
-        for lang, n, f, c in zip(*columns):
-            k = known[n][f]
-            table[k, at[lang]] = c / total[n, at[lang]]
-            floor[k] = least[n]
-        table = np.log(np.maximum(table, floor))
+        least = MISSING / total.max(axis=1, initial=1)
+        table = np.zeros((size, len(names)), np.float32)
+        table[place] = least[length][:, None]
+        table[place, code] = np.maximum(count / total[length, code], least[length])
+        table = np.log(table)
         words, grams = known[0], known
         cache: dict[str, tuple[int, ...]] = {}
 
