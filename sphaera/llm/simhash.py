@@ -224,12 +224,14 @@ def near_duplicates(
     of df are not looked at. An empty table gives an empty result.
     """
     base = staged(with_fingerprints(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")
-    lowest = staged(base.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    lowest = staged(base.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
     groups = components(fingerprint_links(lowest, "fp", radius, bucket_limit))
-    member = lowest.join(groups, lowest["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "low")
-    named = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = member.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return base.join(ids, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    member = lowest.join(groups, lowest["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "low", "n")
+    member = staged(member, "members")
+    named = staged(member.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("c")), "named")
+    # One fingerprint or component may have most of the rows.
+    ids = staged(join_hot(member, named, "component", count="c").select("fp", "component_id", "n"), "ids")
+    return join_hot(base, ids, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
 def fp_hex(column: Column) -> Column:

@@ -246,7 +246,7 @@ def test_matches_find_a_moved_passage(spark, docs):
 # decontamination
 
 
-@pytest.mark.parametrize("block", [{}, {"block_windows": 40}, {"block_bytes": 3000}])
+@pytest.mark.parametrize("block", [{}, {"block_windows": 40}, {"block_bytes": 30_000}])
 def test_decontaminate(spark, odd, empty, docs, block):
     bench = spark.createDataFrame(
         [(1, "A line that is long enough to count"), (2, "word"), (3, None), (4, "..."), (None, "and something ELSE entirely"), (10, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum")],
