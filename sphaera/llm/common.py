@@ -119,8 +119,10 @@ class Bloom:
         return test(hashes)
 
 
-#: Rows that a task turns into Python values at once.
+#: Rows that a task turns into Python values at once, and the most rows of an Arrow batch: texts are long, and
+#: batches take memory outside the heap on both sides.
 ROWS_AT_ONCE = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def with_arrow_columns(
@@ -128,13 +130,18 @@ def with_arrow_columns(
     inputs: Sequence[str],
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[..., list]],
+    filtered: bool = False,
 ) -> DataFrame:
     """Add columns that Python computes batch by batch; the columns of df pass through untouched.
 
     make() runs once in each task and returns a function that takes one list for each of inputs and
-    returns one list (or Arrow array) for each of fields. Columns of df that are named like a field are
-    replaced.
+    returns one list (or Arrow array) for each of fields; with ``filtered``, also an array that says which rows
+    stay. Columns of df that are named like a field are replaced. The session's Arrow batches become as small
+    as these operators need them.
     """
+    session = df.sparkSession
+    if int(session.conf.get(BATCH_SETTING)) > ROWS_AT_ONCE:
+        session.conf.set(BATCH_SETTING, str(ROWS_AT_ONCE))
     names = [n for n, _ in fields]
     kept = df.select([F.col(f"`{c}`") for c in df.columns if c not in names or c in inputs])
     passed = [c for c in df.columns if c not in names]
@@ -146,11 +153,13 @@ def with_arrow_columns(
         work = make()
         for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, len(b), ROWS_AT_ONCE)):
             new = work(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs))
+            stay = new.pop() if filtered else None
             old = [batch.column(batch.schema.get_field_index(c)) for c in passed]
             columns = [
                 x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type)
                 for x, f in zip(old + list(new), arrow)
             ]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            out = pa.RecordBatch.from_arrays(columns, schema=arrow)
+            yield out if stay is None else out.filter(pa.array(stay))
 
     return kept.mapInArrow(run, schema)

@@ -159,27 +159,31 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
     """
     drops = repeated_lines(docs, id, text, min_chars, min_docs).groupBy("id").agg(F.collect_set("key").alias("__drop"))
     drops = staged(drops.withColumnRenamed("id", "__id"), "drops")
-    loses = Bloom(drops.select(hash_of(F.col("__id")).alias("h"))).maybe(hash_of(F.col(id)))
-    some = docs.where(loses)
-    some = some.join(drops, some[id].eqNullSafe(drops["__id"]), "left").drop("__id")
-    joined = some.unionByName(docs.where(~loses).withColumn("__drop", F.lit(None).cast("array<string>")))
+    loses = Bloom(drops.select(hash_of(F.col("__id")).alias("h")))
+    some = docs.where(loses.maybe(hash_of(F.col(id))))
+    some = some.join(drops, some[id].eqNullSafe(drops["__id"]), "left").drop("__id").withColumn("__h", F.lit(None).cast("long"))
+    others = docs.withColumn("__drop", F.lit(None).cast("array<string>")).withColumn("__h", hash_of(F.col(id)))
 
     def make():
-        def work(texts, gone):
+        def work(texts, gone, hashes):
+            # Of the rows that were not joined, those that may lose a line are left to the ones that were.
+            stay = np.array([h is None for h in hashes], bool)
+            stay |= ~loses.contains(np.array([h or 0 for h in hashes], np.int64))
             kept, before, dropped = [], [], []
-            for t, d in zip(texts, gone):
-                lines = (t or "").split("\n")
-                stay = lines
+            for t, d, yes in zip(texts, gone, stay):
+                lines = (t or "").split("\n") if yes else []
+                left = lines
                 if d:
                     out = {x.encode("utf-8", "surrogatepass") for x in d}
-                    stay = [x for x in lines if line_key(x) not in out]
-                kept.append("\n".join(stay))
+                    left = [x for x in lines if line_key(x) not in out]
+                kept.append("\n".join(left))
                 before.append(len(lines))
-                dropped.append(len(lines) - len(stay))
-            return [pa.array(kept, pa.string()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64())]
+                dropped.append(len(lines) - len(left))
+            return [pa.array(kept, pa.string()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64()), stay]
 
         return work
 
     fields = [("kept_text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]
-    return with_arrow_columns(joined, [text, "__drop"], fields, make).drop("__drop")
+    both = (with_arrow_columns(rows, [text, "__drop", "__h"], fields, make, filtered=True) for rows in (some, others))
+    return next(both).unionByName(next(both)).drop("__drop", "__h")
 
