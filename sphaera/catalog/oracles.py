@@ -165,7 +165,7 @@ ORACLE_SQL = {
         "hi - lo as length from piece semi join con using (structure_id, a, b, image) union all select structure_id, list_sort([a, b, cast(null as bigint)], 'asc', 'nulls last'), len * rr from arc join con using (structure_id, a, b, image)) group by structure_id, l"
     ),
     "network_vertices": geometry(
-        f"select structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, coalesce(l[4], -1) as ball_3, l[4] is null as is_on_sas, {_r('spot.x', 'spot.y', 'spot.z', places=3)} from (select structure_id, l, min(spot) as spot from ("
+        f"select structure_id, l[1] as ball_0, l[2] as ball_1, coalesce(l[3], -1) as ball_2, coalesce(l[4], -1) as ball_3, l[4] is null as is_on_sas, {_r('spot.x', 'spot.y', 'spot.z', places=2)} from (select structure_id, l, min(spot) as spot from ("
         "select structure_id, list_sort([a, b, c, by_c], 'asc', 'nulls last') as l, {'x': mx + p1 * e1x + p2 * e2x, 'y': my + p1 * e1y + p2 * e2y, 'z': mz + p1 * e1z + p2 * e2z} as spot "
         "from (select structure_id, a, b, image, c, by_c, dist * n1 - t * n2 as p1, dist * n2 + t * n1 as p2 from (select *, lo_by as by_c, lo as t from piece union all select *, hi_by, hi from piece)) "
         "join con using (structure_id, a, b, image)) group by structure_id, l)"

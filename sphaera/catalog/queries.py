@@ -136,7 +136,7 @@ def network_edges(spark, sf_dir):
 
 def network_vertices(spark, sf_dir):
     rows = tess(spark, sf_dir).vertices
-    return _rounded(rows.select("structure_id", *_named_balls(4), "is_on_sas", "x", "y", "z"), "x", "y", "z", places=3)
+    return _rounded(rows.select("structure_id", *_named_balls(4), "is_on_sas", "x", "y", "z"), "x", "y", "z", places=2)
 
 
 def periodic_images(spark, sf_dir):
