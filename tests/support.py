@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -10,7 +11,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _rows(df):
     names = sorted(df.columns)
-    plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+
+    def plain(v):
+        if not isinstance(v, (list, tuple, dict, np.ndarray)) and pd.isna(v):
+            return None
+        v = v.item() if hasattr(v, "item") and not isinstance(v, np.ndarray) else v
+        # pandas has whole numbers with nulls as floats.
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
     return names, sorted(repr(tuple(map(plain, r))) for r in df[names].itertuples(index=False, name=None))
 
 
