@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -139,9 +140,7 @@ def with_arrow_columns(
     stay. Columns of df that are named like a field are replaced. The session's Arrow batches become as small
     as these operators need them.
     """
-    session = df.sparkSession
-    if int(session.conf.get(BATCH_SETTING)) > ROWS_AT_ONCE:
-        session.conf.set(BATCH_SETTING, str(ROWS_AT_ONCE))
+    small_batches(df)
     names = [n for n, _ in fields]
     kept = df.select([F.col(f"`{c}`") for c in df.columns if c not in names or c in inputs])
     passed = [c for c in df.columns if c not in names]
@@ -163,3 +162,39 @@ def with_arrow_columns(
             yield out if stay is None else out.filter(pa.array(stay))
 
     return kept.mapInArrow(run, schema)
+
+
+#: The bytes of WORD, and of words without digits, in UTF-8 whose A-Z are lower case.
+WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xFF]+")
+TERM_BYTES = re.compile(rb"[a-z\x80-\xFF]+")
+_BREAK = re.compile(rb"[^0-9a-z\x80-\xFF]")
+SLICE_BYTES = 1 << 20
+
+
+def byte_words(text: bytes | None, pattern: re.Pattern = WORD_BYTES, step: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a whole text, A-Z lower-cased, in lists of about ``step`` bytes of text: a very long text is never
+    a single list of words. Slices end between words; null has none."""
+    data, start = (text or b"").lower(), 0
+    while start < len(data):
+        cut = _BREAK.search(data, min(start + step, len(data)))
+        end = cut.start() if cut else len(data)
+        yield pattern.findall(data, start, end)
+        start = end
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are made as small as operators on texts need them."""
+    if int(df.sparkSession.conf.get(BATCH_SETTING)) > ROWS_AT_ONCE:
+        df.sparkSession.conf.set(BATCH_SETTING, str(ROWS_AT_ONCE))
+    return df
+
+
+#: A table of at most so many short rows may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with a table of short rows, one a key, that is broadcast up to BROADCAST_ROWS rows; beyond,
+    there are so many keys that a shuffle deals them evenly."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, list(on), how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphaera.llm import decontaminate, langid, licenses, linededup, mixing, simhash, syncmers, urlfilter, warc, wrappers
+from sphaera.llm import decontaminate, divergence, langid, licenses, linededup, mixing, resample, simhash, syncmers, urlfilter, warc, wrappers
 from sphaera.llm.common import WORD, read
 
 DIMS = ("source", "lang", "topic")
@@ -93,6 +93,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_resample_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.importance(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +112,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_to_targets, op2_license_scan, op3_url_filter, op4_syncmer_fingerprints, op5_decontaminate,
-        op6_simhash_near_dedup, op7_extract_articles, op8_resolve_revisits, op9_line_dedup, op10_language_id, pipeline,
+        op6_simhash_near_dedup, op7_extract_articles, op8_resolve_revisits, op9_line_dedup, op10_language_id, op11_resample_to_target,
+        op13_source_divergence, pipeline,
     )
 }
 
@@ -137,6 +147,10 @@ def _mix_sql(rounds: int = 60) -> str:
     )
 
 
+#: CRC-32 in SQL: the table of all bytes by its rule, then byte by byte over the UTF-8 of a word.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(w)), lambda i: cast('0x' || substr(hex(encode(w)), 2 * i + 1, 2) as bigint))), lambda c, x: xor(c >> 8, crc[xor(c, x) % 256 + 1])))"
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -177,6 +191,40 @@ select 'revisit-' || rid as record_id, canonical, ts, 'full-' || fid as response
        case when want = have then 'md5:' || have end as payload_digest,
        case when want = have then concat_ws(chr(10), 'cache-control: max-age=600', 'content-length: ' || size, 'content-type: text/html', 'date: ' || ts, 'etag: "' || have || '"', 'x-cache: revalidated') end as headers
 from j""",
+    "op11_resample_to_target": f"""
+with d as materialized (select doc_id, regexp_extract_all({_LOWER}, '{WORD}') as w from documents),
+b as materialized (select unnest(regexp_extract_all({_LOWER}, '{WORD}')) as w from benchmark),
+f as materialized (select doc_id, unnest(w) as w from d),
+names as materialized (select w, {_CRC} % 10000 as bucket from (select distinct w from (select w from f union all select w from b)), (select {_CRC_TABLE} as crc)),
+src as (select bucket, count(*) as s from f join names using (w) group by 1),
+tgt as (select bucket, count(*) as t from b join names using (w) group by 1),
+n as (select (select count(*) from f) as s_all, (select count(*) from b) as t_all),
+gain as materialized (select src.bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000)::double / ((s + 1)::double * (t_all + 10000)::double))) as bigint) as gain
+         from src left join tgt on src.bucket = tgt.bucket cross join n),
+total as (select doc_id, sum(gain) as gain from f join names using (w) join gain using (bucket) group by 1),
+wt as (select d.doc_id, cast(len(w) as bigint) as n_features, case when len(w) = 0 then 0 else cast((gain - ((gain % len(w)) + len(w)) % len(w)) / len(w) as bigint) end as weight
+       from d left join total on d.doc_id = total.doc_id),
+sc as (select *, weight + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score from wt),
+rk as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place from sc)
+select doc_id, n_features, weight, score, case when place <= (10 * (select count(*) from rk where n_features >= 20)) // 100 then place end as rank from rk""",
+    "op13_source_divergence": r"""
+with d as materialized (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+g as materialized (select distinct lang, source from d),
+c as materialized (select id, lang, source, w as term, count(*) as n from (select id, lang, source, unnest(w) as w from d) group by all),
+k as materialized (select lang, term, sum(n) as n from c group by all having count(*) >= 3),
+lk as (select lang, count(*) as v, sum(n) as n from k group by lang),
+gc as materialized (select lang, source, term, sum(c.n) as n from c join k using (lang, term) group by all),
+gn as (select g.lang, g.source, coalesce(sum(n), 0) as n from g left join gc on g.lang = gc.lang and g.source = gc.source group by all),
+p as materialized (select gn.lang, gn.source, k.term, coalesce(gc.n, 0) as n, 1 + cast(1000000000::hugeint * (coalesce(gc.n, 0) + 1) // (gn.n + lk.v) as bigint) as p
+      from gn join lk on gn.lang = lk.lang join k on k.lang = gn.lang left join gc on gc.lang = gn.lang and gc.source = gn.source and gc.term = k.term),
+q as (select k.lang, k.term, 1 + cast(1000000000::hugeint * (k.n + 1) // (lk.n + lk.v) as bigint) as q from k join lk using (lang)),
+pv as (select a.lang, a.source, b.source as item, sum((a.p - b.p)::hugeint * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+       from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+tv as (select lang, source, 'term' as part, term as item, cast((p - q)::hugeint * (p - q) // q as bigint) as value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from pr union all select * from tv))
+select * from r where part = 'pair' or rank <= 200""",
     "op9_line_dedup": r"""
 with l as materialized (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
 k as materialized (select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
