@@ -96,8 +96,8 @@ def _changes(columns: list) -> np.ndarray:
     return np.nonzero(np.logical_or.reduce(differ))[0] + 1
 
 
-def _add_terms(tile: np.ndarray, batch: pa.RecordBatch) -> None:
-    """Add to a tile what whole terms of it correct: all pairs of postings of a term, PAIRS_AT_ONCE at a time."""
+def _add_terms(tile: np.ndarray, batch: pa.RecordBatch, at_once: int) -> None:
+    """Add to a tile what whole terms of it correct: all pairs of postings of a term, so many at once."""
     term = np.zeros(len(batch), np.int64)
     term[_changes([batch.column(3)])] = 1
     term = np.cumsum(term)
@@ -109,7 +109,7 @@ def _add_terms(tile: np.ndarray, batch: pa.RecordBatch) -> None:
     i = 0
     while i < len(s):
         begun = ends[i] - many[i]
-        j = max(i + 1, int(np.searchsorted(ends, begun + PAIRS_AT_ONCE, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, begun + at_once, side="right")))
         x = np.repeat(s[i:j], many[i:j])
         within = np.arange(len(x)) - np.repeat(ends[i:j] - many[i:j] - begun, many[i:j])
         y = t[np.repeat(first[term[s[i:j]]], many[i:j]) + within]
@@ -117,44 +117,48 @@ def _add_terms(tile: np.ndarray, batch: pa.RecordBatch) -> None:
         i = j
 
 
-def _tile_sums(batches):
+def _tile_sums(side: int, at_once: int):
     """(lang, s, t, value): for each tile, what the terms that both sources have add to the value of s against t.
 
     Rows come in the order of their tile and then of their term. A task holds one tile and the postings of one
     batch, with those of the term that it ends in.
     """
-    left, tile, at_tile = None, None, None
-
-    def given():
-        s, t = np.nonzero(tile)
-        s, t = s[s != t], t[s != t]
-        lang, a, b = at_tile
-        columns = [pa.array([lang] * len(s), pa.string()), pa.array((s + a * TILE).astype(np.int32)), pa.array((t + b * TILE).astype(np.int32)), pa.array(tile[s, t])]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "s", "t", "value"])
-
-    def taken(batch):
-        nonlocal tile, at_tile
-        edges = [0, *_changes(batch.columns[:3]).tolist(), len(batch)]
-        for a, b in zip(edges, edges[1:]):
-            here = tuple(batch.column(i)[a].as_py() for i in range(3))
-            if here != at_tile:
-                if tile is not None:
-                    yield given()
-                at_tile, tile = here, np.zeros((TILE, TILE), np.int64)
-            _add_terms(tile, batch.slice(a, b - a))
-
-    for batch in batches:
+
+    def run(batches):
+        left, tile, at_tile = None, None, None
+
+        def given():
+            s, t = np.nonzero(tile)
+            s, t = s[s != t], t[s != t]
+            lang, a, b = at_tile
+            columns = [pa.array([lang] * len(s), pa.string()), pa.array((s + a * side).astype(np.int32)), pa.array((t + b * side).astype(np.int32)), pa.array(tile[s, t])]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "s", "t", "value"])
+
+        def taken(batch):
+            nonlocal tile, at_tile
+            edges = [0, *_changes(batch.columns[:3]).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                here = tuple(batch.column(i)[a].as_py() for i in range(3))
+                if here != at_tile:
+                    if tile is not None:
+                        yield given()
+                    at_tile, tile = here, np.zeros((side, side), np.int64)
+                _add_terms(tile, batch.slice(a, b - a), at_once)
+
+        for batch in batches:
+            if left is not None and len(left):
+                batch = pa.concat_batches([left, batch])
+            cuts = _changes(batch.columns[:4]) if len(batch) else []
+            whole = int(cuts[-1]) if len(cuts) else 0
+            left = batch.slice(whole)
+            if whole:
+                yield from taken(batch.slice(0, whole))
         if left is not None and len(left):
-            batch = pa.concat_batches([left, batch])
-        cuts = _changes(batch.columns[:4]) if len(batch) else []
-        whole = int(cuts[-1]) if len(cuts) else 0
-        left = batch.slice(whole)
-        if whole:
-            yield from taken(batch.slice(0, whole))
-    if left is not None and len(left):
-        yield from taken(left)
-    if tile is not None:
-        yield given()
+            yield from taken(left)
+        if tile is not None:
+            yield given()
+
+    return run
 
 
 def divergence(
@@ -211,7 +215,7 @@ def divergence(
     )
     dealt = priced.where("sources > 1").select("lang", "term", F.explode(F.flatten(tiles)).alias("x"), (F.col("at") % TILE).alias("at"), "p", "p0")
     dealt = dealt.select("lang", "x.s_block", "x.t_block", "term", "x.s_side", "x.t_side", "at", "p", "p0")
-    both = dealt.repartition("lang", "term").sortWithinPartitions("lang", "s_block", "t_block", "term").mapInArrow(_tile_sums, "lang string, s int, t int, value long")
+    both = dealt.repartition("lang", "term").sortWithinPartitions("lang", "s_block", "t_block", "term").mapInArrow(_tile_sums(TILE, PAIRS_AT_ONCE), "lang string, s int, t int, value long")
 
     value = start.unionByName(alone).unionByName(both).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
     name = lambda at, c: groups.select("lang", F.col("at").alias(at), F.col("source").alias(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphaera.llm import decontaminate, divergence, langid, licenses, linededup, mixing, resample, simhash, syncmers, urlfilter, warc, wrappers
+from sphaera.llm import decontaminate, divergence, langid, licenses, linededup, minhash, mixing, resample, simhash, syncmers, urlfilter, warc, wrappers
 from sphaera.llm.common import WORD, read
 
 DIMS = ("source", "lang", "topic")
@@ -98,6 +98,10 @@ def op11_resample_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -113,7 +117,7 @@ QUERIES = {
     for f in (
         op1_mix_to_targets, op2_license_scan, op3_url_filter, op4_syncmer_fingerprints, op5_decontaminate,
         op6_simhash_near_dedup, op7_extract_articles, op8_resolve_revisits, op9_line_dedup, op10_language_id, op11_resample_to_target,
-        op13_source_divergence, pipeline,
+        op12_minhash_near_dedup, op13_source_divergence, pipeline,
     )
 }
 
@@ -207,6 +211,16 @@ wt as (select d.doc_id, cast(len(w) as bigint) as n_features, case when len(w) =
 sc as (select *, weight + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score from wt),
 rk as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place from sc)
 select doc_id, n_features, weight, score, case when place <= (10 * (select count(*) from rk where n_features >= 20)) // 100 then place end as rank from rk""",
+    "op12_minhash_near_dedup": rf"""
+with recursive d as materialized (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 1], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as i from d where len(w) > 0)),
+z as materialized (select doc_id, count(*) as n from s group by 1),
+p as materialized (select a.doc_id as x, b.doc_id as y, count(*) as n from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as materialized (select x, y from p join z zx on zx.doc_id = x join z zy on zy.doc_id = y where 100 * p.n >= 80 * (zx.n + zy.n - p.n)),
+e as materialized (select x, y from l union all select y, x from l),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, e.y from reach join e on reach.b = e.x)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from d left join z on d.doc_id = z.doc_id join (select a, min(b) as component_id from reach group by 1) c on c.a = d.doc_id""",
     "op13_source_divergence": r"""
 with d as materialized (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
            list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),

@@ -269,16 +269,21 @@ def _mixing(hashes: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]
     return factors, np.stack([pick.permutation(hashes)[:rows] for _ in range(bands)])
 
 
-def _band_keys(shingles: np.ndarray, factors: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """One key for each band of the min-hashes of a set; none for an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
+def _min_hashes(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least of the mixed hashes of a set, for each factor."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 1024):
         mixed = shingles[i : i + 1024, None] * factors
         mixed ^= mixed >> np.uint64(32)
         mixed *= factors
         np.minimum(least, mixed.min(axis=0), out=least)
+    return least
+
+
+def _band_keys(shingles: np.ndarray, least: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """One key for each band of the min-hashes of a set; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
     keys = np.arange(1, len(members) + 1, dtype=np.uint64)
     for column in least[members].T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -302,6 +307,84 @@ def _words_digest(text: str | None) -> bytes:
     return xxhash.xxh128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
+def candidate_pairs(rows: DataFrame, nodes: DataFrame, similarity: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs (x, y) of digests for pairs of numbers, if their sizes allow them to be alike, with the
+    columns carried of either, as x_... and y_...; x is the one that many have."""
+    names = ("words", "size", *carried)
+    end = lambda c: nodes.select(F.col("n").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
+    rows = join_hot(rows.select("x", "y").distinct(), rows.select("x", "y").distinct().groupBy("x").agg(F.count("*").alias("c")).join(end("x"), "x"), "x", count="c")
+    rows = rows.join(end("y"), "y").where("x_words <> y_words").where(F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size") - 1e-6)
+    kept = [F.col(f"{e}_{n}") for e in "xy" for n in carried]
+    rows = rows.select(F.col("x_words").alias("x"), F.col("y_words").alias("y"), *kept)
+    return rows.dropDuplicates(["x", "y"])
+
+
+def shingle_sets(source: DataFrame, nodes: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(words, set) of the nodes whose numbers are in ends, written; source has (id, text) of all documents."""
+    wanted = Bloom(nodes.join(ends, "n", "left_semi").select(hash_of(F.col("low")).alias("h")))
+
+    def shingles():
+        def work(texts, hashes):
+            # Every row that has the id of a needed text; others of that id do no harm.
+            asked = wanted.contains(np.array(hashes, np.int64))
+            digests = [_words_digest(t) if yes else None for t, yes in zip(texts, asked)]
+            return [pa.array(digests, pa.binary()), pa.array([_shingle_hashes(t, shingle).view(np.int64) if yes else None for t, yes in zip(texts, asked)], pa.list_(pa.int64()))]
+
+        return work
+
+    sets = with_arrow_columns(source.select("text", hash_of(F.col("id")).alias("h")), ["text", "h"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
+    return staged(sets.where(F.size("set") > 0).select("words", "set").dropDuplicates(["words"]), "sets")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs with their similarity. A text that many others are compared with goes to several tasks."""
+    degrees = staged(pairs.groupBy(F.col("x").alias("words")).agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / PAIRS_IN_TASK).cast("int"))
+    dealt = join_hot(pairs.withColumnRenamed("x", "words"), degrees, "words").withColumnRenamed("words", "x")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).drop("parts")
+    xs = sets.join(degrees.drop("n"), "words").select(F.col("words").alias("x"), F.col("set").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = dealt.join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y").join(xs, ["x", "part"]).withColumn("common", F.size(F.array_intersect("xs", "ys")))
+    union = F.size("xs") + F.size("ys") - F.col("common")
+    return staged(found.select("x", "y", (F.col("common") / union).alias("likeness"), (F.col("common") >= similarity * union).alias("alike")), "measured")
+
+
+def settled(found: DataFrame) -> DataFrame:
+    links = found.where("alike").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return staged(components(links).withColumnRenamed("node", "words"), "components")
+
+
+def crossing_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of numbers of members of lists (t, x, y) that lie in several components, but for what cannot be
+    alike: two of them that are have one of the first of their shingles in common, rare ones first, which unlike
+    texts with a passage in common have not."""
+    rows = lists.select("x", "y").distinct().join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("of")), "y", "left")
+    rows = staged(rows.select("x", "y", F.coalesce("of", "y").alias("of")), "rows")
+    mixed = rows.groupBy("x").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("x", "c")
+    left = join_hot(rows, staged(mixed, "mixed"), "x", count="c").select("y", "of").distinct()
+    left = staged(sets.withColumn("y", F.xxhash64("words")).join(left, "y").select("y", "of", "set"), "left")
+    found = left.select(F.explode("set").alias("t")).groupBy("t").count().where("count > 2").orderBy(F.desc("count"), "t").limit(COMMON)
+    common = lists.sparkSession.sparkContext.broadcast(found.select("t").toArrow().column("t").to_numpy()[::-1])
+
+    def first_shingles(batches):
+        order = np.argsort(common.value, kind="stable")
+        known = common.value[order]
+        for batch in batches:
+            prefixes = [_prefix(x.values.to_numpy(), known, order, similarity) for x in batch.column(2)]
+            at = pa.array(np.repeat(np.arange(len(prefixes)), list(map(len, prefixes))))
+            tokens = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
+            # How much of the set is left from this shingle on.
+            rest = pa.array(np.concatenate([len(x) - np.arange(len(p)) for x, p in zip(batch.column(2), prefixes)]) if prefixes else np.zeros(0, np.int64), pa.int64())
+            size = pa.array([len(x) for x in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([tokens, batch.column(0).take(at), batch.column(1).take(at), size.take(at), rest], names=["t", "y", "of", "size", "rest"])
+
+    index = staged(left.select("y", "of", "set").mapInArrow(first_shingles, "t long, y long, of long, size long, rest long"), "index")
+    mixed = index.groupBy("t").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("t", "c")
+    index = staged(join_hot(index, staged(mixed, "mixed"), "t", count="c"), "index")
+    x, y = (index.select("t", F.col("y").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("of", "size", "rest")]) for e in "xy")
+    # Of the first shingle that two alike sets have in common, as much is left in both as they must share.
+    enough = F.least("x_rest", "y_rest") >= F.lit(similarity / (1.0 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    return staged(x.join(y, "t").where((F.col("x_of") < F.col("y_of")) & enough).select("x", "y").distinct(), "crossing")
+
+
 def near_copy_groups(
     df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS,
     hashes: int = HASHES, bands: int = BANDS, band_rows: int = BAND_ROWS,
@@ -329,7 +412,7 @@ def near_copy_groups(
             sets = [_shingle_hashes(t, shingle) for t in texts]
             return [
                 pa.array([_words_digest(t) for t in texts], pa.binary()), pa.array([_signed(simhash(t, 1, SEED, True)) for t in texts], pa.int64()),
-                pa.array(list(map(len, sets)), pa.int64()), pa.array([_band_keys(x, *mixing) for x in sets], pa.list_(pa.int64())),
+                pa.array(list(map(len, sets)), pa.int64()), pa.array([_band_keys(x, _min_hashes(x, mixing[0]), mixing[1]) for x in sets], pa.list_(pa.int64())),
             ]
 
         return work
@@ -342,14 +425,6 @@ def near_copy_groups(
     nodes = full.where("size > 0").groupBy("words").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
     nodes = staged(nodes.withColumn("n", F.xxhash64("words")), "texts")
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        """Distinct pairs (x, y) of digests for pairs of numbers, if their sizes allow them to be alike; x is the
-        one that many have."""
-        end = lambda c: nodes.select(F.col("n").alias(c), F.col("words").alias(f"{c}_words"), F.col("size").alias(f"{c}_size"))
-        rows = join_hot(rows.select("x", "y").distinct(), rows.select("x", "y").distinct().groupBy("x").agg(F.count("*").alias("c")).join(end("x"), "x"), "x", count="c")
-        rows = rows.join(end("y"), "y").where("x_words <> y_words").where(F.least("x_size", "y_size") >= F.lit(similarity) * F.greatest("x_size", "y_size") - 1e-6)
-        return rows.select(F.col("x_words").alias("x"), F.col("y_words").alias("y")).distinct()
-
     # The covering tables.
     of = staged(nodes.groupBy("fp").agg(F.min("n").alias("x"), F.count("*").alias("c")), "fingerprints")
     near = fingerprint_links(of.select("fp"), "fp", radius)
@@ -361,73 +436,17 @@ def near_copy_groups(
     leads = staged(members.groupBy("t").agg(F.min("y").alias("x"), F.count("*").alias("c")).where("c > 1"), "leads")
     lists = staged(join_hot(members, leads, "t", count="c").where("x <> y").select("t", "x", "y"), "lists")
     met = staged(across.select("x", "y").unionByName(same.select("x", "y")).unionByName(lists.select("x", "y")).where("x <> y").distinct(), "met")
-    tested = staged(pairs_of(met), "candidates")
-
+    tested = staged(candidate_pairs(met, nodes, similarity), "candidates")
     ends = met.select(F.col("x").alias("n")).unionByName(met.select(F.col("y").alias("n"))).distinct()
-    wanted = Bloom(nodes.join(ends, "n", "left_semi").select(hash_of(F.col("low")).alias("h")))
-
-    def shingles():
-        def work(texts, hashes):
-            # Every row that has the id of a needed text; others of that id do no harm.
-            asked = wanted.contains(np.array(hashes, np.int64))
-            digests = [_words_digest(t) if yes else None for t, yes in zip(texts, asked)]
-            return [pa.array(digests, pa.binary()), pa.array([_shingle_hashes(t, shingle).view(np.int64) if yes else None for t, yes in zip(texts, asked)], pa.list_(pa.int64()))]
-
-        return work
-
-    sets = with_arrow_columns(source.select("text", hash_of(F.col("id")).alias("h")), ["text", "h"], [("words", T.BinaryType()), ("set", T.ArrayType(T.LongType()))], shingles)
-    sets = staged(sets.where(F.size("set") > 0).select("words", "set").dropDuplicates(["words"]), "sets")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """pairs with their similarity. A text that many others are compared with goes to several tasks."""
-        degrees = staged(pairs.groupBy(F.col("x").alias("words")).agg(F.count("*").alias("n")), "degrees").withColumn("parts", F.ceil(F.col("n") / PAIRS_IN_TASK).cast("int"))
-        dealt = join_hot(pairs.withColumnRenamed("x", "words"), degrees, "words").withColumnRenamed("words", "x")
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).drop("parts")
-        xs = sets.join(degrees.drop("n"), "words").select(F.col("words").alias("x"), F.col("set").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        found = dealt.join(sets.select(F.col("words").alias("y"), F.col("set").alias("ys")), "y").join(xs, ["x", "part"]).withColumn("common", F.size(F.array_intersect("xs", "ys")))
-        union = F.size("xs") + F.size("ys") - F.col("common")
-        return staged(found.select("x", "y", (F.col("common") / union).alias("likeness"), (F.col("common") >= similarity * union).alias("alike")), "measured")
-
-    def settled(found: DataFrame) -> DataFrame:
-        links = found.where("alike").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return staged(components(links).withColumnRenamed("node", "words"), "components")
-
-    first = measured(tested)
+    sets = shingle_sets(source, nodes, ends, shingle)
+    first = measured(tested, sets, similarity)
     groups = settled(first)
-    # Members of lists that lie in several components. Two of them that are alike have one of the first of
-    # their shingles in common, rare ones first, which unlike texts with a passage in common have not.
-    rows = lists.select("x", "y").distinct().join(groups.select(F.xxhash64("words").alias("y"), F.xxhash64("component").alias("of")), "y", "left")
-    rows = staged(rows.select("x", "y", F.coalesce("of", "y").alias("of")), "rows")
-    mixed = rows.groupBy("x").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("x", "c")
-    left = join_hot(rows, staged(mixed, "mixed"), "x", count="c").select("y", "of").distinct()
-    left = staged(sets.withColumn("y", F.xxhash64("words")).join(left, "y").select("y", "of", "set"), "left")
-    found = left.select(F.explode("set").alias("t")).groupBy("t").count().where("count > 2").orderBy(F.desc("count"), "t").limit(COMMON)
-    common = df.sparkSession.sparkContext.broadcast(found.select("t").toArrow().column("t").to_numpy()[::-1])
-
-    def first_shingles(batches):
-        order = np.argsort(common.value, kind="stable")
-        known = common.value[order]
-        for batch in batches:
-            prefixes = [_prefix(x.values.to_numpy(), known, order, similarity) for x in batch.column(2)]
-            at = pa.array(np.repeat(np.arange(len(prefixes)), list(map(len, prefixes))))
-            tokens = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            # How much of the set is left from this shingle on.
-            rest = pa.array(np.concatenate([len(x) - np.arange(len(p)) for x, p in zip(batch.column(2), prefixes)]) if prefixes else np.zeros(0, np.int64), pa.int64())
-            size = pa.array([len(x) for x in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([tokens, batch.column(0).take(at), batch.column(1).take(at), size.take(at), rest], names=["t", "y", "of", "size", "rest"])
-
-    index = staged(left.select("y", "of", "set").mapInArrow(first_shingles, "t long, y long, of long, size long, rest long"), "index")
-    mixed = index.groupBy("t").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("c")).where("low <> high").select("t", "c")
-    index = staged(join_hot(index, staged(mixed, "mixed"), "t", count="c"), "index")
-    x, y = (index.select("t", F.col("y").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("of", "size", "rest")]) for e in "xy")
-    # Of the first shingle that two alike sets have in common, as much is left in both as they must share.
-    enough = F.least("x_rest", "y_rest") >= F.lit(similarity / (1.0 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
-    pairs = staged(x.join(y, "t").where((F.col("x_of") < F.col("y_of")) & enough).select("x", "y").distinct(), "crossing")
+    pairs = crossing_pairs(lists, groups, sets, similarity)
     if not pairs.isEmpty():
-        pairs = staged(pairs_of(pairs), "crossing")
+        pairs = staged(candidate_pairs(pairs, nodes, similarity), "crossing")
         for ends in (("x", "y"), ("y", "x")):
             pairs = pairs.join(first.select(*[F.col(c).alias(e) for c, e in zip("xy", ends)]), ["x", "y"], "left_anti")
-        groups = settled(first.select("x", "y", "alike").unionByName(measured(staged(pairs, "crossing")).select("x", "y", "alike")))
+        groups = settled(first.select("x", "y", "alike").unionByName(measured(staged(pairs, "crossing"), sets, similarity).select("x", "y", "alike")))
     sizes = base.groupBy("words").agg(F.count("*").alias("c")).join(groups, "words", "left").select("words", "c", F.coalesce("component", "words").alias("group"))
     return join_hot(base, staged(sizes, "sizes"), "words", count="c").select(F.col("id").alias(id), "h", "words", "group")
 
