@@ -50,12 +50,14 @@ class Spheres:
         self.v = np.stack([entry(f"b{c}") for c in "xyz"]) - self.at
         self.d2 = (self.v * self.v).sum(axis=0)
         self.d = np.sqrt(self.d2)
-        groups, own = flat.field("bgrp"), sphere("agrp").take(pa.array(self.owner))
-        same = groups.is_valid().to_numpy(False) & own.is_valid().to_numpy(False) & (groups.fill_null(0).to_numpy() == own.fill_null(0).to_numpy())
+        groups, mine = flat.field("bgrp"), sphere("agrp").take(pa.array(self.owner))
+        same = groups.is_valid().to_numpy(False) & mine.is_valid().to_numpy(False) & (groups.fill_null(0).to_numpy() == mine.fill_null(0).to_numpy())
         cosine = np.divide(self.h, self.own_r, out=np.ones_like(self.h), where=self.own_r > 0)
         self.disc_r = self.own_r * np.sqrt(np.maximum(0.0, 1.0 - cosine * cosine))
-        #: Entries whose contact is to be constructed: each pair once, but none within a group.
-        self.pairs = np.nonzero(((self.image != 0) | (self.own_id[self.owner] < self.id)) & ~same & (self.disc_r > 0) & (self.d > 0))[0]
+        #: Entries whose contact is to be constructed: each pair once, but none within a group. Of a sphere's own images,
+        #: n and 27 - n are opposite and give the same contact.
+        own = self.own_id[self.owner]
+        self.pairs = np.nonzero(((own < self.id) | (own == self.id) & (self.image <= 13)) & ~same & (self.disc_r > 0) & (self.d > 0))[0]
 
 
 def _basis(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

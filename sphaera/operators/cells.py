@@ -10,15 +10,14 @@ from sphaera.operators.overlap import KEY
 
 
 def half_contacts(rows: DataFrame) -> DataFrame:
-    """The two ends of each contact; of a contact with an image, the end within the box; and the spheres that
-    only have neighbours, with nulls."""
+    """The two ends of each contact, and the spheres that only have neighbours, with nulls. The end at an image is its
+    ball's, as the contact across the other side of the box is the same one."""
     common = ["area", "arc_length"]
     ends = F.array(
         F.struct(F.col("a").alias("ball_id"), *common, F.col("solid_angle_a").alias("solid"), F.col("pyramid_volume_a").alias("volume")),
         F.struct(F.col("b").alias("ball_id"), *common, F.col("solid_angle_b").alias("solid"), F.col("pyramid_volume_b").alias("volume")),
     )
-    ends = F.when(F.col("bimage") == 0, ends).otherwise(F.slice(ends, 1, 1))
-    return rows.select("structure_id", F.explode(ends).alias("e")).select("structure_id", "e.*")
+    return rows.select("structure_id", F.explode(ends).alias("e")).select("structure_id", "e.*").where("ball_id is not null")
 
 
 def summaries(rows: DataFrame) -> DataFrame:

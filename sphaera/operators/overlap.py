@@ -1,24 +1,31 @@
 """Which spheres overlap: a range join on a grid, the hidden spheres, and the neighbours of each sphere.
 
-Tables are keyed by (structure_id, ball_id). The grid is a hash join: a sphere looks into its own cell and
-the neighbouring ones, whose size is the largest diameter of the structure, so a giant structure spreads
-over as many keys as it has cells.
+Tables are keyed by (structure_id, ball_id). The grid is a hash join of several levels, one for each class of
+radii (powers of two): a sphere stays in the cell of its own class, and in one of each coarser class of its
+structure; it calls, in the cells around, those of its class and of finer ones. So a pair meets once, on the level of
+the larger one, and large spheres do not make the cells of small ones large. A giant structure spreads over as many
+keys as it has cells, and a crowded cell over blocks.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sphaera.functions.geometry import Vec, plane_offset, sphere_contains, spheres_equal, spheres_intersect, square_distance
+from sphaera.operators.periodic import LAST_FORWARD, PeriodicBox
+from sphaera.staging import staged
 
 KEY = ["structure_id", "ball_id"]
 SPHERE = ["x", "y", "z", "r"]
 ALL_CELLS = list(product((-1, 0, 1), repeat=3))
 #: One of each two opposite neighbours, and the cell itself: each unordered pair of cells once.
 HALF_CELLS = [c for c in ALL_CELLS if c >= (0, 0, 0)]
+WIDE_CELLS = list(product((-2, -1, 0, 1, 2), repeat=3))
+#: The most crowded cells that are broadcast.
+CROWDED_CELLS = 100_000
 
 
 def spheres_of(balls: DataFrame, probe: float = 0.0) -> DataFrame:
@@ -37,51 +44,160 @@ def spheres_of(balls: DataFrame, probe: float = 0.0) -> DataFrame:
     return balls.select(sid.alias("structure_id"), F.col("ball_id").cast("long").alias("ball_id"), *[n.alias(c) for n, c in zip(numbers[:3], SPHERE)], checked.cast("double").alias("r"), grp.alias("grp"))
 
 
-def with_grid(spheres: DataFrame, *more: DataFrame) -> list[DataFrame]:
-    """Each frame with the cell of every sphere; the cell size is that of its structure in ``spheres``."""
-    size = spheres.groupBy("structure_id").agg(F.greatest(F.lit(1.0), F.max("r") * 2.0 + 0.25).alias("size"))
-    cells = [F.floor(F.col(c) / F.col("size")).cast("int").alias(f"g{c}") for c in "xyz"]
-    return [f.join(size, "structure_id").select(*f.columns, *cells) for f in (spheres, *more)]
-
-
-def _named(df: DataFrame, prefix: str, *more: str) -> DataFrame:
-    return df.select("structure_id", F.col("ball_id").alias(prefix), *[F.col(c).alias(f"{prefix}{c}") for c in [*SPHERE, "grp", *more]], "gx", "gy", "gz")
-
-
-def _probing(df: DataFrame, cells: list[tuple[int, int, int]]) -> DataFrame:
-    """Every sphere once for each of the given neighbouring cells; ``own`` marks its own cell."""
-    around = F.array(*[F.struct(*[(F.col(g) + F.lit(d)).alias(g) for g, d in zip(("gx", "gy", "gz"), c)], F.lit(c == (0, 0, 0)).alias("own")) for c in cells])
-    kept = [c for c in df.columns if c not in ("gx", "gy", "gz")]
-    return df.select(*kept, F.explode(around).alias("cell")).select(*kept, "cell.*")
+#: Radii below this share a class.
+LEAST_RADIUS = 0.5
+#: Added to the size of cells, beyond rounding.
+MARGIN = 0.25
+#: A cell with more rows than this is split into blocks, of which each meets each of the other side.
+CELL_ROWS = 20_000
+_CELL = ["structure_id", "level", "fine", "gx", "gy", "gz"]
+
+
+def _with_classes(spheres: DataFrame, *more: DataFrame) -> list[DataFrame]:
+    """Each frame with the class of every sphere, the power of two below its radius, and the classes of its
+    structure with their largest radii, as an array: of those there are as many as there are powers of two."""
+    level = F.floor(F.log2(F.greatest("r", F.lit(LEAST_RADIUS)))).cast("int").alias("level")
+    found = spheres.groupBy("structure_id", level).agg(F.greatest(F.max("r"), F.lit(LEAST_RADIUS)).alias("reach"))
+    found = found.groupBy("structure_id").agg(F.collect_list(F.struct("level", "reach")).alias("classes"))
+    return [f.select("*", level).join(found, "structure_id") for f in (spheres, *more)]
+
+
+def _cells(df: DataFrame, size: Column, box: PeriodicBox | None) -> DataFrame:
+    """df with the cell ix, iy, iz of every sphere: along the axes, or along the vectors of a box, of whose length a
+    whole number nx, ny, nz of cells makes up all."""
+    if box is None:
+        return df.withColumns({f"i{c}": F.floor(F.col(c) / size) for c in "xyz"})
+    rows = box.inverse()
+    df = df.withColumns({f"n{c}": F.greatest(F.lit(1).cast("long"), F.floor(F.lit(h) / size)) for c, h in zip("xyz", box.heights())})
+    along = [sum((F.col(c) * F.lit(m) for c, m in zip("xyz", row)), F.lit(0.0)) for row in rows]
+    return df.withColumns({f"i{c}": F.floor(f * F.col(f"n{c}")) for c, f in zip("xyz", along)})
+
+
+def _stays(classed: DataFrame, box: PeriodicBox | None, coarser_only: bool = False) -> DataFrame:
+    """Every sphere in its own cell: among its class, and among each coarser one of its structure, whose cells for
+    finer spheres are half as long. In a box, cells repeat; wx, wy, wz tell how many boxes off the sphere is."""
+    wanted = lambda c: c["level"] > F.col("level") if coarser_only else c["level"] >= F.col("level")
+    rows = classed.select(*classed.columns, F.explode(F.filter("classes", wanted)).alias("of"))
+    fine = F.col("of.level") > F.col("level")
+    rows = rows.withColumns({"fine": fine, "size": F.when(fine, 1.0).otherwise(2.0) * F.col("of.reach") + MARGIN, "level": F.col("of.level")})
+    rows = _cells(rows, F.col("size"), box)
+    if box is None:
+        return rows.select("structure_id", "ball_id", *SPHERE, "grp", "level", "fine", *[F.col(f"i{c}").alias(f"g{c}") for c in "xyz"])
+    off = {c: F.floor(F.col(f"i{c}") / F.col(f"n{c}")) for c in "xyz"}
+    places = [(F.col(f"i{c}") - off[c] * F.col(f"n{c}")).alias(f"g{c}") for c in "xyz"]
+    return rows.select("structure_id", "ball_id", *SPHERE, "grp", "level", "fine", *places, *[off[c].alias(f"w{c}") for c in "xyz"])
+
+
+def _calls(classed: DataFrame, box: PeriodicBox | None, half: bool, fine_only: bool = False) -> DataFrame:
+    """Every sphere in all cells where one of its class, or (fine) of a finer one, can touch it; with half, of two
+    opposite cells around the own one for its class. ``own`` marks its own cell."""
+    own = F.filter("classes", lambda c: c["level"] == F.col("level"))[0]["reach"]
+    finer = F.array_max(F.transform(F.filter("classes", lambda c: c["level"] < F.col("level")), lambda c: c["reach"]))
+    options = [] if fine_only else [F.struct(F.lit(False).alias("fine"), (own * 2.0 + MARGIN).alias("size"), (F.col("r") + own).alias("out"))]
+    options.append(F.struct(F.lit(True).alias("fine"), (own + MARGIN).alias("size"), (F.col("r") + finer).alias("out")))
+    rows = classed.select(*classed.columns, F.explode(F.array(*options)).alias("of")).where("of.out is not null")
+    rows = _cells(rows.select("structure_id", "ball_id", *SPHERE, "grp", "level", "of.*"), F.col("size"), box)
+    kept = ["structure_id", "ball_id", *SPHERE, "grp", "level", "fine"]
+    if box is None:
+        moves = lambda cells: F.array(*[F.struct(*[F.lit(d).alias(f"o{c}") for c, d in zip("xyz", o)]) for o in cells])
+        rows = rows.select("*", F.explode(F.when(F.col("fine"), moves(WIDE_CELLS)).otherwise(moves(HALF_CELLS if half else ALL_CELLS))).alias("o")).select("*", "o.*")
+        gap = {c: F.greatest((F.col(f"i{c}") + F.col(f"o{c}")) * F.col("size") - F.col(c), F.col(c) - (F.col(f"i{c}") + F.col(f"o{c}") + 1) * F.col("size"), F.lit(0.0)) for c in "xyz"}
+        near = sum((gap[c] * gap[c] for c in "xyz"), F.lit(0.0)) <= F.col("out") * F.col("out") + MARGIN
+    else:
+        for c, h in zip("xyz", box.heights()):
+            most = F.ceil(F.col("out") / (F.lit(h) / F.col(f"n{c}")))
+            rows = rows.select("*", F.explode(F.sequence(-most, most)).alias(f"o{c}"))
+        offset = F.struct("ox", "oy", "oz")
+        near = F.col("fine") | (offset >= F.struct(*[F.lit(0).cast("long").alias(f"o{c}") for c in "xyz"])) if half else F.lit(True)
+    mine = ((F.col("ox") == 0) & (F.col("oy") == 0) & (F.col("oz") == 0) & ~F.col("fine")).alias("own")
+    rows = rows.where(near)
+    if box is None:
+        return rows.select(*kept, mine, *[(F.col(f"i{c}") + F.col(f"o{c}")).alias(f"g{c}") for c in "xyz"])
+    at = {c: F.col(f"i{c}") + F.col(f"o{c}") for c in "xyz"}
+    off = {c: F.floor(at[c] / F.col(f"n{c}")) for c in "xyz"}
+    return rows.select(*kept, mine, *[(at[c] - off[c] * F.col(f"n{c}")).alias(f"g{c}") for c in "xyz"], *[off[c].alias(f"q{c}") for c in "xyz"])
+
+
+def _split(stays: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with blocks of the cells that have more than CELL_ROWS rows of either side, and the columns to join
+    on: a block of one side meets each block of the other. Where no cell can have that many, they come back as
+    they are; that is looked up first, by structure and class and then by cell."""
+    crowded = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    if crowded(stays, _CELL[:3]).isEmpty() or crowded(stays, _CELL).isEmpty():
+        # No cell around one has more than its 27 or 125 times as many callers.
+        return stays, calls, _CELL
+    parts = F.ceil(F.col("n") / CELL_ROWS).cast("int")
+    a, b = (crowded(rows, _CELL).select(*_CELL, parts.alias(n)) for rows, n in ((stays, "a_parts"), (calls, "b_parts")))
+    both = staged(a.join(b, _CELL, "full").fillna(1, ["a_parts", "b_parts"]), "crowded")
+    if both.limit(CROWDED_CELLS + 1).count() <= CROWDED_CELLS:
+        both = F.broadcast(both)
+    out = []
+    for rows, mine, other in ((stays, "a", "b"), (calls, "b", "a")):
+        rows = rows.join(both, _CELL, "left").fillna(1, ["a_parts", "b_parts"])
+        rows = rows.withColumn(f"{mine}_block", F.pmod(F.xxhash64("ball_id"), F.col(f"{mine}_parts")).cast("int"))
+        out.append(rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))).drop("a_parts", "b_parts"))
+    return *out, [*_CELL, "a_block", "b_block"]
+
+
+def _met(stays: DataFrame, calls: DataFrame, box: PeriodicBox | None) -> DataFrame:
+    """Overlapping (p, q): p stays, q calls, each a struct (ball_id, x, y, z, r, grp). In a box, q moved by sx, sy, sz
+    boxes touches p; only moves by up to one box along each vector count."""
+    stays, calls, on = _split(stays, calls)
+    whole = lambda df, n: df.select(*on, *[c for c in df.columns if c in ("own", "wx", "wy", "wz", "qx", "qy", "qz")], F.struct("ball_id", *SPHERE, "grp").alias(n))
+    found = whole(stays, "p").join(whole(calls, "q"), on)
+    moves = [F.col(f"w{c}") - F.col(f"q{c}") for c in "xyz"] if box else [F.lit(0).cast("long")] * 3
+    found = found.select("structure_id", "own", "p", "q", *[m.alias(f"s{c}") for c, m in zip("xyz", moves)])
+    for c in "xyz" if box else "":
+        found = found.where(F.col(f"s{c}").between(-1, 1))
+    p = Vec(*[F.col(f"p.{c}") for c in "xyz"])
+    q = _moved("q", box, 1)
+    found = found.where(spheres_intersect(square_distance(p, q), F.col("p.r"), F.col("q.r")))
+    other = F.when(F.col("own"), F.col("p.ball_id") < F.col("q.ball_id")).otherwise((F.col("p.ball_id") != F.col("q.ball_id")) | (F.col("sx") != 0) | (F.col("sy") != 0) | (F.col("sz") != 0))
+    return found.where(other)
+
+
+def _moved(of: str, box: PeriodicBox | None, sign: int) -> Vec:
+    """The centre of sphere ``of``, moved by sign times (sx, sy, sz) boxes."""
+    if box is None:
+        return Vec(*[F.col(f"{of}.{c}") for c in "xyz"])
+    moves = [sum((F.col(f"s{s}") * F.lit(v[i]) for s, v in zip("xyz", (box.a, box.b, box.c))), F.lit(0.0)) * sign for i in range(3)]
+    return Vec(*[F.col(f"{of}.{c}") + m for c, m in zip("xyz", moves)])
+
+
+def _seen(a: str, b: str, box: PeriodicBox | None, sign: int) -> Column:
+    """The overlap of a with b moved by sign times the shift, as a struct of the columns of overlaps()."""
+    at = _moved(b, box, sign)
+    place = (F.col("sx") * sign + 1) * 9 + (F.col("sy") * sign + 1) * 3 + F.col("sz") * sign + 1
+    image = F.when(place == 13, 0).when(place < 13, place + 1).otherwise(place).cast("int")
+    return F.struct(
+        F.col(f"{a}.ball_id").alias("a"), *[F.col(f"{a}.{c}").alias(f"a{c}") for c in [*SPHERE, "grp"]],
+        F.col(f"{b}.ball_id").alias("b"), *[x.alias(f"b{c}") for c, x in zip("xyz", at)], F.col(f"{b}.r").alias("br"), F.col(f"{b}.grp").alias("bgrp"),
+        (image if box else F.lit(0)).alias("bimage"),
+    )
 
 
 def squared(a: str = "a", b: str = "b"):
     return square_distance(Vec.of(a), Vec.of(b))
 
 
-def overlaps(spheres: DataFrame) -> DataFrame:
-    """Both directions of every pair of overlapping spheres of a structure, with their coordinates.
+def overlaps(spheres: DataFrame, box: PeriodicBox | None = None, some: DataFrame | None = None) -> DataFrame:
+    """Both directions of every pair of overlapping spheres of a structure, with their coordinates; with ``some``
+    (structure_id, ball_id), only those from these spheres. Touching spheres do not overlap.
 
-    Touching spheres do not overlap. Columns: structure_id, a, ax, ay, az, ar, agrp and the same for b.
+    Columns: structure_id, a, ax, ay, az, ar, agrp, the same for b, and bimage. In a box, b may be the image of that
+    number, with its coordinates there. No image is written: cells repeat with the box, and a pair carries how many
+    boxes apart its cells are.
     """
-    (grid,) = with_grid(spheres)
-    found = _probing(_named(grid, "a"), HALF_CELLS).join(_named(grid, "b"), ["structure_id", "gx", "gy", "gz"])
-    found = found.where((~F.col("own") | (F.col("a") < F.col("b"))) & spheres_intersect(squared(), F.col("ar"), F.col("br")))
-    names = ["", *SPHERE, "grp"]
-    both = F.array(
-        F.struct(*[F.col(f"a{n}") for n in names], *[F.col(f"b{n}") for n in names]),
-        F.struct(*[F.col(f"b{n}").alias(f"a{n}") for n in names], *[F.col(f"a{n}").alias(f"b{n}") for n in names]),
-    )
-    return found.select("structure_id", F.explode(both).alias("p")).select("structure_id", "p.*").withColumn("bimage", F.lit(0))
-
-
-def image_overlaps(spheres: DataFrame, images: DataFrame) -> DataFrame:
-    """Overlaps of spheres (a) with images (b, and bimage, the number of the image; 0 are the spheres)."""
-    # The images hold all spheres, of which the left side may be a part, so they set the cell size.
-    image_grid, grid = with_grid(images, spheres)
-    found = _probing(_named(grid, "a"), ALL_CELLS).join(_named(image_grid, "b", "image"), ["structure_id", "gx", "gy", "gz"])
-    apart = (F.col("a") != F.col("b")) | (F.col("bimage") != 0)
-    return found.where(apart & spheres_intersect(squared(), F.col("ar"), F.col("br"))).drop("own", "gx", "gy", "gz")
+    if some is None:
+        (classed,) = _with_classes(spheres)
+        found = _met(_stays(classed, box), _calls(classed, box, half=True), box)
+        both = F.array(_seen("p", "q", box, 1), _seen("q", "p", box, -1))
+        return found.select("structure_id", F.explode(both).alias("o")).select("structure_id", "o.*")
+    classed, left = _with_classes(spheres, spheres.join(some, KEY, "left_semi"))
+    # Those call others of their class and finer ones, and coarser ones call them.
+    called = _met(_stays(classed, box), _calls(left, box, half=False).withColumn("own", F.lit(False)), box).select("structure_id", _seen("q", "p", box, -1).alias("o"))
+    heard = _met(_stays(left, box, coarser_only=True), _calls(classed, box, half=False, fine_only=True), box).select("structure_id", _seen("p", "q", box, 1).alias("o"))
+    return called.unionByName(heard).select("structure_id", "o.*")
 
 
 def _covered():
@@ -115,9 +231,9 @@ def neighbours(over: DataFrame) -> DataFrame:
 def pairs(near: DataFrame) -> DataFrame:
     """The pairs (a, b) whose contact is to be constructed, each once, with the neighbours of a.
 
-    Within the box a < b; a sphere and an image always. Pairs of one group are left out; a null group is a
-    group of its own.
+    a < b, and of a sphere and its own images one of each two opposite ones. Pairs of one group are left out; a null
+    group is a group of its own.
     """
     rows = near.select("*", F.explode("near").alias("b")).select("structure_id", "a", "ax", "ay", "az", "ar", "agrp", "near", "b.*")
-    once = (F.col("bimage") != 0) | (F.col("a") < F.col("b"))
+    once = (F.col("a") < F.col("b")) | (F.col("a") == F.col("b")) & (F.col("bimage") <= LAST_FORWARD)
     return rows.where(once & ~F.coalesce(F.col("agrp") == F.col("bgrp"), F.lit(False)))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Image 0 is the sphere itself; the 26 others follow in ascending order of their shifts.
 SHIFTS = [(0, 0, 0)] + [s for s in product((-1, 0, 1), repeat=3) if s != (0, 0, 0)]
+#: Images n and 27 - n are opposite; the first thirteen stand for both where a sphere meets its own images.
+LAST_FORWARD = 13
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,14 @@ class PeriodicBox:
                 return make(*points)
         raise ValueError('a periodic box needs "corners" or "vectors"')
 
+    def inverse(self) -> list[tuple[float, ...]]:
+        """Rows that take a point to its coordinates along the three vectors."""
+        return [tuple(map(float, row)) for row in np.linalg.inv(np.array([self.a, self.b, self.c]).T)]
+
+    def heights(self) -> list[float]:
+        """How far opposite sides are apart, along each vector."""
+        return [float(1.0 / np.linalg.norm(row)) for row in np.array(self.inverse())]
+
     def shift(self, s: tuple[int, int, int]) -> tuple[float, float, float]:
         return tuple(s[0] * self.a[i] + s[1] * self.b[i] + s[2] * self.c[i] for i in range(3))
 

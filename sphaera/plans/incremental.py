@@ -1,34 +1,77 @@
 """Tessellations that follow changes of their balls.
 
-The state is a set of tables in the shared folder. An update finds the balls that changed, adds their old
-and new neighbours, recomputes the contacts between those alone and replaces them in the state; results
-are those of a full computation.
+The state is a set of tables in the shared folder, each written bucket by bucket; a structure has one bucket. An update
+finds the balls that changed, adds their old and new neighbours, recomputes the contacts between those alone and
+replaces them; results are those of a full computation. It reads and writes the buckets of the structures that changed
+and leaves all others where they are: a table of the state only says which folder has which bucket.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sphaera.functions.geometry import eq
 from sphaera.operators import cells as cell_ops
 from sphaera.operators import contacts as contact_ops
-from sphaera.operators.overlap import KEY, hidden, image_overlaps, neighbours, spheres_of
-from sphaera.operators.periodic import PeriodicBox, first_of_pair, images
-from sphaera.staging import staged
+from sphaera.operators.overlap import KEY, hidden, neighbours, overlaps, spheres_of
+from sphaera.operators.periodic import PeriodicBox, first_of_pair
+from sphaera.staging import shared_dir, staged
 
 LEAST_FULL = 10
+BUCKETS = 256
+
+
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("structure_id").cast("string")), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Kept:
+    """A table that is written bucket by bucket: the folder of each bucket that has rows."""
+
+    schema: T.StructType
+    folders: dict[int, str]
+
+    @classmethod
+    def written(cls, df: DataFrame, buckets: int, label: str) -> Kept:
+        spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        df.withColumn("__bucket", bucket(buckets)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(path)
+        found = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(path)
+        return cls(df.schema, {r[0]: f"{path}/__bucket={r[0]}" for r in found.select("__bucket").distinct().collect()})
+
+    def read(self, spark: SparkSession, only: Iterable[int] | None = None) -> DataFrame:
+        """All of it, or the rows of some buckets."""
+        paths = sorted({self.folders[b] for b in (self.folders if only is None else only) if b in self.folders})
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def replaced(self, here: set[int], other: Kept) -> Kept:
+        return replace(self, folders={b: p for b, p in self.folders.items() if b not in here} | other.folders)
 
 
 @dataclass(frozen=True)
 class State:
-    balls: DataFrame
-    excluded: DataFrame
-    links: DataFrame
-    full: DataFrame
-    cells: DataFrame
+    """The tables, and for each bucket how many balls it has and a digest of them."""
+
+    balls: Kept
+    excluded: Kept
+    links: Kept
+    full: Kept
+    cells: Kept
+    digests: dict[int, tuple[int, int]]
+
+    @property
+    def count(self) -> int:
+        return sum(n for n, _ in self.digests.values())
+
+
+TABLES = ("balls", "excluded", "links", "full", "cells")
 
 
 class UpdateableTessellation:
@@ -38,8 +81,9 @@ class UpdateableTessellation:
     themselves; without it they do not take part at all. Hidden balls have no cell here.
     """
 
-    def __init__(self, with_backup: bool = False, excluded_clip: bool = True):
-        self.with_backup, self.excluded_clip = with_backup, excluded_clip
+    def __init__(self, with_backup: bool = False, excluded_clip: bool = True, buckets: int = BUCKETS):
+        self.with_backup, self.excluded_clip, self.buckets = with_backup, excluded_clip, buckets
+        self.spark: SparkSession | None = None
         self.state: State | None = None
         self.backup: State | None = None
         self.changed: DataFrame | None = None
@@ -47,23 +91,36 @@ class UpdateableTessellation:
         self.last_update_was_full_reinit = False
         self.probe, self.box = 0.0, None
 
+    def _keyed(self, balls: DataFrame) -> DataFrame:
+        keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
+        return keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"])
+
+    def _digests(self, balls: DataFrame) -> dict[int, tuple[int, int]]:
+        """(number of balls, digest of them) by bucket."""
+        rows = balls.groupBy(bucket(self.buckets).alias("b")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*balls.columns)).alias("h"))
+        return {r["b"]: (r["n"], r["h"]) for r in rows.collect()}
+
+    def _read(self, table: str, only: Iterable[int] | None = None) -> DataFrame:
+        return getattr(self.state, table).read(self.spark, only)
+
     def init(self, balls: DataFrame, probe: float, box: PeriodicBox | None = None) -> bool:
         """Compute all of it; False if no ball has a cell."""
-        self.probe, self.box, self.backup = float(probe), box, None
-        keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
-        self.state = self._computed(keyed, staged(keyed.select(*KEY).where("false"), "state"))
+        self.spark, self.probe, self.box, self.backup = balls.sparkSession, float(probe), box, None
+        keyed = staged(self._keyed(balls), "state")
+        first = self.state is None
+        self.state = self._written(keyed, self._computed(keyed, keyed.select(*KEY).where("false"), not first), self._digests(keyed))
         self.changed = self.affected = keyed.select(*KEY)
         self.last_update_was_full_reinit = True
-        return not self.state.cells.isEmpty()
+        return bool(self.state.cells.folders)
+
+    def _written(self, balls: DataFrame, tables: dict[str, DataFrame], digests: dict[int, tuple[int, int]]) -> State:
+        return State(**{n: Kept.written(df, self.buckets, f"state-{n}") for n, df in {"balls": balls, **tables}.items()}, digests=digests)
 
     def _around(self, balls: DataFrame, some: DataFrame | None, excluded: DataFrame) -> DataFrame:
         spheres = spheres_of(balls, self.probe)
         if not self.excluded_clip:
             spheres = spheres.join(excluded, KEY, "left_anti")
-        all_images = images(spheres, self.box) if self.box else spheres.withColumn("image", F.lit(0))
-        left = spheres if some is None else spheres.join(some, KEY, "left_semi")
-        return image_overlaps(left, all_images)
+        return overlaps(spheres, self.box, some)
 
     def _measured(self, near: DataFrame, excluded: DataFrame, some: DataFrame | None) -> DataFrame:
         """What contacts.measured() gives, without contacts of excluded balls, and only those of two of some."""
@@ -77,83 +134,114 @@ class UpdateableTessellation:
 
     def _cells(self, balls, over, rows, excluded, after_update: bool) -> DataFrame:
         spheres = spheres_of(balls, self.probe).join(excluded, KEY, "left_anti").join(hidden(over), KEY, "left_anti")
-        return staged(cell_ops.cells(spheres, rows, detached_without_contacts=after_update), "state")
+        return cell_ops.cells(spheres, rows, detached_without_contacts=after_update)
 
-    def _computed(self, balls: DataFrame, excluded: DataFrame) -> State:
+    def _computed(self, balls: DataFrame, excluded: DataFrame, after_update: bool) -> dict[str, DataFrame]:
         over = self._around(balls, None, excluded)
-        near = neighbours(over)
-        links = staged(over.select("structure_id", "a", "b").distinct(), "state")
-        rows = self._measured(near, excluded, None)
-        cells = self._cells(balls, over, rows, excluded, bool(self.state))
-        return State(balls, excluded, links, contact_ops.contacts_full(rows), cells)
+        rows = self._measured(neighbours(over), excluded, None)
+        links = over.select("structure_id", "a", "b").distinct()
+        return {"excluded": excluded, "links": links, "full": contact_ops.contacts_full(rows), "cells": self._cells(balls, over, rows, excluded, after_update)}
 
-    def update(self, balls: DataFrame) -> bool:
-        """Take over new coordinates and radii; False if nothing changed. A change of the number of balls, or of
-        more than half of them (10 at least), computes all of it anew."""
-        keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
+    def _changes(self, new: DataFrame, here: Iterable[int]) -> tuple[DataFrame, bool]:
+        """The balls of some buckets that differ between the state and new, and whether they are the same ones."""
         same = F.lit(True)
         for c in "xyzr":
             same = same & eq(F.col(f"n.{c}"), F.col(f"o.{c}"))
-        joined = keyed.alias("n").join(self.state.balls.alias("o"), KEY, "full")
-        changed = joined.where(~F.coalesce(same, F.lit(False))).select(*KEY)
-        return self._follow(keyed, changed, self.state.excluded, joined.where("n.x is null or o.x is null").isEmpty())
+        joined = new.alias("n").join(self._read("balls", here).alias("o"), KEY, "full")
+        changed = staged(joined.where(~F.coalesce(same, F.lit(False))).select(*KEY, (F.col("n.x").isNull() | F.col("o.x").isNull()).alias("other")), "changed")
+        return changed.select(*KEY), changed.where("other").isEmpty()
+
+    def update(self, balls: DataFrame) -> bool:
+        """Take over new coordinates and radii; False if nothing changed. A change of the number of balls, or of
+        more than half of them (10 at least), computes all of it anew. Digests tell which buckets differ at all;
+        only those are compared with the state."""
+        keyed = self._keyed(balls)
+        digests, old = self._digests(keyed), self.state.digests
+        here = {b for b in digests.keys() | old.keys() if digests.get(b) != old.get(b)}
+        if not here:
+            self._keep()
+            self.last_update_was_full_reinit = False
+            self.changed = self.affected = self._read("balls", ()).select(*KEY)
+            return False
+        new = staged(keyed.where(bucket(self.buckets).isin(*here)), "new")
+        changed, same_balls = self._changes(new, here)
+        return self._follow(new, here, changed, None, same_balls)
+
+    def update_some(self, rows: DataFrame) -> bool:
+        """update() with new coordinates and radii of some balls, one row each; the others stay. Keys that are not known
+        are new balls. Only the buckets of their structures are read."""
+        rows = staged(self._keyed(rows), "rows")
+        here = {r[0] for r in rows.select(bucket(self.buckets)).distinct().collect()}
+        new = staged(self._read("balls", here).join(rows.select(*KEY), KEY, "left_anti").unionByName(rows), "new")
+        changed, same_balls = self._changes(new, here)
+        return self._follow(new, here, changed, None, same_balls)
 
     def update_with_changed(self, balls: DataFrame, changed: DataFrame) -> bool:
         """update() for a caller who knows the (structure_id, ball_id) that changed."""
-        keyed = balls if "structure_id" in balls.columns else balls.withColumn("structure_id", F.lit(0))
-        keyed = staged(keyed.select(*KEY, *[F.col(c).cast("double").alias(c) for c in "xyzr"]), "state")
-        return self._follow(keyed, changed.select(*KEY), self.state.excluded, keyed.count() == self.state.balls.count())
+        changed = staged(changed.select(*KEY).distinct(), "changed")
+        keyed = self._keyed(balls)
+        same_balls = keyed.count() == self.state.count
+        here = {r[0] for r in changed.select(bucket(self.buckets)).distinct().collect()} if same_balls else set(self._digests(keyed)) | set(self.state.digests)
+        return self._follow(staged(keyed.where(bucket(self.buckets).isin(*here)), "new"), here, changed, None, same_balls)
 
     def set_exclusion(self, ball_id: int, excluded: bool = True, structure_id=0) -> bool:
         """Exclude a ball, or take it back; False if it was so already."""
-        one = self.state.balls.where((F.col("ball_id") == ball_id) & (F.col("structure_id") == F.lit(structure_id))).select(*KEY)
-        now = not self.state.excluded.join(one, KEY, "left_semi").isEmpty()
+        key = self.spark.range(1).select(F.lit(structure_id).alias("structure_id"))
+        here = {r[0] for r in key.select(bucket(self.buckets)).collect()}
+        balls, before = self._read("balls", here), self._read("excluded", here)
+        one = staged(balls.where((F.col("ball_id") == ball_id) & (F.col("structure_id") == F.lit(structure_id))).select(*KEY), "one")
+        now = not before.join(one, KEY, "left_semi").isEmpty()
         if now == excluded or one.isEmpty():
             self._keep()
             self.changed = self.affected = one.where("false")
             return False
-        after = self.state.excluded.unionByName(one) if excluded else self.state.excluded.join(one, KEY, "left_anti")
-        return self._follow(self.state.balls, one, staged(after, "state"), True, may_start_over=False)
+        after = before.unionByName(one) if excluded else before.join(one, KEY, "left_anti")
+        return self._follow(balls, here, one, staged(after, "excluded"), True, may_start_over=False)
 
     def _keep(self) -> None:
         if self.with_backup:
             self.backup = self.state
 
-    def _follow(self, balls, changed, excluded, same_balls: bool, may_start_over: bool = True) -> bool:
+    def _follow(self, balls: DataFrame, here: set[int], changed: DataFrame, excluded: DataFrame | None, same_balls: bool, may_start_over: bool = True) -> bool:
+        """Go on to a state whose buckets ``here`` have these balls, of which some changed, and these excluded ones."""
         self._keep()
         self.last_update_was_full_reinit = False
-        changed = staged(changed.distinct(), "state")
-        count, limit = changed.count(), max(balls.count() // 2, LEAST_FULL)
+        excluded = self._read("excluded", here) if excluded is None else excluded
+        count = changed.count()
         self.changed = self.affected = changed
         if not count and same_balls:
             return False
-        old = self.state.links.join(changed.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_semi").select("structure_id", F.col("b").alias("ball_id"))
+        digests = {b: d for b, d in self.state.digests.items() if b not in here} | self._digests(balls)
+        limit = max(sum(n for n, _ in digests.values()) // 2, LEAST_FULL)
+        old = self._read("links", here).join(changed.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_semi").select("structure_id", F.col("b").alias("ball_id"))
         new = self._around(balls, changed, excluded).select("structure_id", F.col("b").alias("ball_id"))
-        affected = staged(changed.unionByName(old).unionByName(new).distinct(), "state")
+        affected = staged(changed.unionByName(old).unionByName(new).distinct(), "affected")
         if not same_balls or may_start_over and (count > limit or affected.count() >= limit):
             self.last_update_was_full_reinit = True
+            others = [b for b in self.state.digests if b not in here]
+            balls = staged(balls.unionByName(self._read("balls", others)), "state")
+            excluded = excluded.unionByName(self._read("excluded", others))
             self.affected = balls.select(*KEY)
-            self.state = self._computed(balls, excluded)
+            self.state = self._written(balls, self._computed(balls, excluded, True), digests)
             return True
         self.affected = affected
         over = self._around(balls, affected, excluded)
-        near = neighbours(over)
         # Contacts of two affected balls are replaced, all others stand.
-        touched = self.state.full
+        touched = self._read("full", here)
+        columns = touched.columns
         for end in "ab":
             mark = affected.select("structure_id", F.col("ball_id").alias(end), F.lit(True).alias(f"hit_{end}"))
             touched = touched.join(mark, ["structure_id", end], "left")
-        stand = touched.where("hit_a is null or hit_b is null").select(*self.state.full.columns)
-        rows = self._measured(near, excluded, affected)
-        full = staged(stand.unionByName(contact_ops.contacts_full(rows).select(*self.state.full.columns)), "state")
-        mine = balls.join(affected, KEY, "left_semi")
-        fresh = self._cells(mine, over, full, excluded, True)
-        cells = staged(self.state.cells.join(affected.withColumnRenamed("ball_id", "index"), ["structure_id", "index"], "left_anti").unionByName(fresh), "state")
-        before = self.state.links.join(affected.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_anti")
+        stand = touched.where("hit_a is null or hit_b is null").select(*columns)
+        rows = self._measured(neighbours(over), excluded, affected)
+        full = staged(stand.unionByName(contact_ops.contacts_full(rows).select(*columns)), "full")
+        fresh = self._cells(balls.join(affected, KEY, "left_semi"), over, full, excluded, True)
+        cells = self._read("cells", here).join(affected.withColumnRenamed("ball_id", "index"), ["structure_id", "index"], "left_anti").unionByName(fresh)
+        before = self._read("links", here).join(affected.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_anti")
         # Links from balls that are not affected to those that are do not change either: both ends would be.
-        links = staged(before.unionByName(over.select("structure_id", "a", "b").distinct()), "state")
-        self.state = replace(self.state, balls=balls, excluded=excluded, links=links, full=full, cells=cells)
+        links = before.unionByName(over.select("structure_id", "a", "b").distinct())
+        part = self._written(balls, {"excluded": excluded, "links": links, "full": full, "cells": cells}, digests)
+        self.state = State(**{n: getattr(self.state, n).replaced(here, getattr(part, n)) for n in TABLES}, digests=digests)
         return True
 
     def restore(self) -> bool:
@@ -163,14 +251,42 @@ class UpdateableTessellation:
         self.state, self.backup = self.backup, None
         return True
 
+    def save(self, folder: str, number: int = 0) -> None:
+        """Write where the state is, under a number, to a folder; load() goes on from the largest number."""
+        tables = {n: {"schema": getattr(self.state, n).schema.json(), "folders": getattr(self.state, n).folders} for n in TABLES}
+        box = [self.box.a, self.box.b, self.box.c] if self.box else None
+        text = json.dumps({"tables": tables, "digests": self.state.digests, "probe": self.probe, "box": box, "buckets": self.buckets, "excluded_clip": self.excluded_clip, "with_backup": self.with_backup})
+        self.spark.createDataFrame([(number, text)], "number long, state string").coalesce(1).write.mode("append").parquet(folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> tuple[UpdateableTessellation, int]:
+        """The tessellation that was saved last, and its number."""
+        number, text = spark.read.schema("number long, state string").parquet(folder).orderBy(F.desc("number")).first()
+        saved = json.loads(text)
+        out = cls(saved["with_backup"], saved["excluded_clip"], saved["buckets"])
+        out.spark, out.probe, out.box = spark, saved["probe"], PeriodicBox.from_vectors(*saved["box"]) if saved["box"] else None
+        whole = lambda d: {int(k): v for k, v in d.items()}
+        tables = {n: Kept(T.StructType.fromJson(json.loads(t["schema"])), whole(t["folders"])) for n, t in saved["tables"].items()}
+        out.state = State(**tables, digests={b: tuple(d) for b, d in whole(saved["digests"]).items()})
+        out.changed = out.affected = out._read("balls", ()).select(*KEY)
+        return out, number
+
     @property
-    def contacts(self) -> DataFrame:
+    def balls(self) -> DataFrame:
+        return self._read("balls")
+
+    def _contacts(self, only: Iterable[int] | None = None) -> DataFrame:
+        found = self._read("full", only)
         if self.box:
-            found = first_of_pair(self.state.full, merge_inner=False)
+            found = first_of_pair(found, merge_inner=False)
         else:
-            found = self.state.full.withColumns({"a_id": F.least("a", "b"), "b_id": F.greatest("a", "b")})
+            found = found.withColumns({"a_id": F.least("a", "b"), "b_id": F.greatest("a", "b")})
         return found.select("structure_id", F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "area", "arc_length", "central")
 
+    @property
+    def contacts(self) -> DataFrame:
+        return self._contacts()
+
     def contacts_for(self, ball_id: int, structure_id=0) -> DataFrame:
         mine = (F.col("id_a") == ball_id) | (F.col("id_b") == ball_id)
         return self.contacts.where(mine & (F.col("structure_id") == F.lit(structure_id)))
@@ -178,23 +294,23 @@ class UpdateableTessellation:
     @property
     def excluded(self) -> DataFrame:
         """(structure_id, ball_id) of the excluded balls."""
-        return self.state.excluded
+        return self._read("excluded")
 
     @property
     def collisions(self) -> DataFrame:
         """(structure_id, collisions): pairs of balls whose spheres overlap, images counted as their balls."""
         pair = F.array_sort(F.array("a", "b"))
-        return self.state.links.select("structure_id", pair.alias("pair")).distinct().groupBy("structure_id").agg(F.count("*").alias("collisions"))
+        return self._read("links").select("structure_id", pair.alias("pair")).distinct().groupBy("structure_id").agg(F.count("*").alias("collisions"))
 
     def colliding(self, ball_id: int, structure_id=0) -> DataFrame:
         """(structure_id, ball_id) of the balls that overlap one."""
         mine = (F.col("a") == ball_id) & (F.col("structure_id") == F.lit(structure_id))
-        return self.state.links.where(mine).select("structure_id", F.col("b").alias("ball_id")).distinct()
+        return self._read("links").where(mine).select("structure_id", F.col("b").alias("ball_id")).distinct()
 
     @property
     def cells(self) -> DataFrame:
-        return self.state.cells
+        return self._read("cells")
 
     @property
     def totals(self) -> DataFrame:
-        return cell_ops.totals(self.state.balls, self.contacts, self.cells)
+        return cell_ops.totals(self.balls, self.contacts, self.cells)

@@ -13,8 +13,8 @@ from sphaera.operators import contacts as contact_ops
 from sphaera.operators import faces as face_ops
 from sphaera.operators import network
 from sphaera.operators.groups import selection_groups
-from sphaera.operators.overlap import image_overlaps, neighbours, overlaps, spheres_of
-from sphaera.operators.periodic import PeriodicBox, first_of_pair, images
+from sphaera.operators.overlap import neighbours, overlaps, spheres_of
+from sphaera.operators.periodic import PeriodicBox, first_of_pair
 from sphaera.sources.radii import Radii
 from sphaera.sources.structures import ParseOptions, read_structures
 from sphaera.staging import staged
@@ -42,7 +42,7 @@ class Tessellation:
 
     @cached_property
     def overlaps(self) -> DataFrame:
-        return image_overlaps(self.spheres, images(self.spheres, self.box)) if self.box else overlaps(self.spheres)
+        return overlaps(self.spheres, self.box)
 
     @cached_property
     def neighbours(self) -> DataFrame:

@@ -1,21 +1,29 @@
 """Readers of XYZR, PDB and mmCIF files into tables of atoms or balls.
 
-A file is one row until it is split into atoms inside that row, so that the numbers of the atoms follow
-their order in the file without a shuffle; a file must fit a task. Work spreads over files.
+Files are read by byte ranges, as Spark splits them, line by line. Atoms are numbered within their range as its
+lines go by; one row for each range then tells how many atoms, ends of models and the like came before it. So a file of
+any size takes as many tasks as it has ranges, and no file is ever one row.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sphaera.sources.radii import Radii
+from sphaera.staging import staged
 
 ATOM = (
     "record_name string, serial int, name string, alt_loc string, res_name string, chain_id string, res_seq int, i_code string, "
@@ -50,30 +58,135 @@ def detect_format_from_line(line: str) -> str:
     raise ValueError(f"cannot tell the format of a file that begins with {line[:60]!r}")
 
 
-def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(structure_id, content): one row a file, named by its path."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("structure_id"), F.col("value").alias("content"))
+def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(structure_id, part, split, line) of files, named by their path, in the order of the file within each part: where
+    the byte range begins that a line is read with. split tells whether a file has several."""
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_block_length", "file_size")]
+    return spark.read.text(paths).select(meta[0].alias("structure_id"), meta[1].alias("part"), (meta[2] < meta[3]).alias("split"), F.col("value").alias("line"))
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """The same of whole texts (structure_id, content), of which each is one part."""
+    return texts.select("structure_id", F.lit(0).cast("long").alias("part"), F.lit(False).alias("split"), F.explode(F.split("content", "\r?\n")).alias("line"))
+
+
+def _bytes(setting: str) -> int:
+    n, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
+    return int(n) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0)
+
+
+def may_split(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether one of the files is long enough for Spark to read it in several byte ranges."""
+    least = min(_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("openCostInBytes", "maxPartitionBytes"))
+    longest = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0]
+    return (longest or 0) > least
 
 
 def number(text: Column) -> Column:
     return F.when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
 
 
-def _lines(content: Column) -> Column:
-    return F.split(content, "\r?\n")
+#: The most rows of parts, or of files, that are broadcast.
+FEW_PARTS = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(FEW_PARTS + 1).count() <= FEW_PARTS else df
+
+
+def _numbered(rows: DataFrame, split: bool, only_first: bool = False) -> DataFrame:
+    """The kept rows with ball_id, their number in the file, and models, how many models ended before.
+
+    rows come in the order of lines, with structure_id, part, valid, kept, stop (the file ends here), ends_model and
+    model. With only_first, only rows of the model of the file's first valid row count. Where files may be split, each
+    part also gives a row with its totals, and numbers go on from those of the parts before.
+    """
+    marks = ("structure_id", "part", "valid", "kept", "stop", "ends_model", "model")
+    own = [c for c in rows.columns if c not in marks]
+    extra = "at long, models long, model string, n long, stopped boolean, first string"
+    schema = T.StructType([rows.schema["structure_id"], T.StructField("part", T.LongType()), *T._parse_datatype_string(extra).fields, *[T.StructField(c, rows.schema[c].dataType) for c in own]])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+    rows = rows.select(*marks, *own)
+
+    def run(batches):
+        key, stopped, models, first, counts = None, False, 0, None, {}
+
+        def totals():
+            row = {"structure_id": key[0], "part": key[1], "models": models, "n": sum(counts.values()), "stopped": stopped, "first": first}
+            return pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            differ = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            edges = [0, *(np.nonzero(differ[0] | differ[1])[0] + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                here = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
+                if here != key:
+                    if key is not None and split:
+                        yield totals()
+                    key, stopped, models, first, counts = here, False, 0, None, {}
+                if stopped:
+                    continue
+                lines = batch.slice(a, b - a)
+                valid, kept, stop, ends = (lines.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in range(2, 6))
+                if stop.any():
+                    stopped = True
+                    lines, valid, kept, ends = (x[: int(stop.argmax())] for x in (lines, valid, kept, ends))
+                before = models + np.cumsum(ends) - ends
+                models += int(ends.sum())
+                model = lines.column(6)
+                if first is None and valid.any():
+                    first = model[int(valid.argmax())].as_py()
+                if only_first and not split:
+                    kept &= pc.equal(model, pa.scalar(first, pa.string())).fill_null(False).to_numpy(zero_copy_only=False) if first is not None else False
+                at = np.zeros(len(lines), np.int64)
+                names = model.unique().to_pylist() if only_first else [None]
+                for name in names:
+                    mine = kept & pc.equal(model, pa.scalar(name, pa.string())).to_numpy(zero_copy_only=False) if only_first else kept
+                    at[mine] = counts.get(name, 0) + np.arange(int(mine.sum()))
+                    counts[name] = counts.get(name, 0) + int(mine.sum())
+                keep = pa.array(kept)
+                new = {"at": pa.array(at), "models": pa.array(before), "model": model}
+                new |= {n: lines.column(lines.schema.get_field_index(n)) for n in ("structure_id", "part", *own)}
+                n = int(kept.sum())
+                yield pa.RecordBatch.from_arrays([new[f.name].filter(keep).cast(f.type) if f.name in new else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+        if key is not None and split:
+            yield totals()
+
+    found = rows.mapInArrow(run, schema)
+    if not split:
+        return found.select("structure_id", F.col("at").alias("ball_id"), "models", "model", *own)
+    found = staged(found, "numbered")
+    parts, atoms = found.where("at is null"), found.where("at is not null")
+    if only_first:
+        first = parts.where("first is not null").groupBy("structure_id").agg(F.min_by("first", "part").alias("first_model"))
+        atoms = atoms.join(_few(first), "structure_id").where("model = first_model")
+        counted = atoms.groupBy("structure_id", "part").agg(F.count("*").alias("n"))
+        parts = parts.drop("n").join(counted, ["structure_id", "part"], "left").fillna(0, ["n"])
+    before = Window.partitionBy("structure_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "model_base": F.coalesce(F.sum("models").over(before), F.lit(0)), "gone": F.coalesce(F.max("stopped").over(before), F.lit(False))}
+    parts = parts.select("structure_id", "part", *[c.alias(n) for n, c in sums.items()])
+    atoms = atoms.join(_few(parts), ["structure_id", "part"]).where("not gone")
+    return atoms.select("structure_id", (F.col("at") + F.col("base")).alias("ball_id"), (F.col("models") + F.col("model_base")).alias("models"), "model", *own)
+
+
+def xyzr_balls(lines: DataFrame, split: bool) -> DataFrame:
+    """(structure_id, ball_id, x, y, z, r) of lines whose last four fields are numbers; others are dropped."""
+    fields = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    rows = lines.select("structure_id", "part", fields.alias("f")).select("structure_id", "part", *[F.when(F.size("f") >= 4, number(F.get("f", F.size("f") - 4 + i))).alias(c) for i, c in enumerate("xyzr")])
+    good = F.expr("x is not null and y is not null and z is not null and r is not null")
+    return _numbered(_marked(rows, good, good), split).drop("models", "model")
 
 
-def parse_xyzr(texts: DataFrame) -> DataFrame:
-    """(structure_id, ball_id, x, y, z, r) of lines whose last four fields are numbers; others are dropped."""
+def _marked(rows: DataFrame, valid: Column, kept: Column, stop: Column | None = None, ends_model: Column | None = None) -> DataFrame:
+    marks = {n: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False) for n, c in (("valid", valid), ("kept", kept), ("stop", stop), ("ends_model", ends_model))}
+    return rows.withColumns(marks if "model" in rows.columns else marks | {"model": F.lit(None).cast("string")})
 
-    def ball(line):
-        fields = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-        n = F.size(fields)
-        return F.when(n >= 4, F.struct(*[number(F.get(fields, n - 4 + i)).alias(c) for i, c in enumerate("xyzr")]))
 
-    rows = F.filter(F.transform(_lines(F.col("content")), ball), lambda b: b["x"].isNotNull() & b["y"].isNotNull() & b["z"].isNotNull() & b["r"].isNotNull())
-    exploded = texts.select("structure_id", F.posexplode(rows).alias("ball_id", "ball"))
-    return exploded.select("structure_id", F.col("ball_id").cast("long").alias("ball_id"), "ball.*")
+def parse_xyzr(texts: DataFrame) -> DataFrame:
+    """xyzr_balls() of whole texts (structure_id, content)."""
+    return xyzr_balls(text_lines(texts), False)
 
 
 def _defined(c: Column) -> Column:
@@ -95,40 +208,33 @@ def acceptable(a, options: ParseOptions) -> Column:
     return keep
 
 
-def parse_pdb(texts: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Atoms of PDB text. Reading ends at END, and at the first ENDMDL unless as_assembly, where the chains
+def pdb_atoms(lines: DataFrame, split: bool, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """Atoms of the lines of PDB files. Reading ends at END, and at the first ENDMDL unless as_assembly, where the chains
     of later models get the model's number as a suffix. Lines without a name, a serial or residue number or
     coordinates are dropped."""
-    rows = texts.select("structure_id", _lines(F.col("content")).alias("lines"))
-    rows = rows.withColumn("kinds", F.transform("lines", lambda x: F.trim(F.substring(x, 1, 6))))
-    end = F.array_position("kinds", "END")
-    if not options.as_assembly:
-        model_end = F.array_position("kinds", "ENDMDL")
-        end = F.when((end == 0) | ((model_end > 0) & (model_end < end)), model_end).otherwise(end)
-    last = F.when(end == 0, F.size("kinds")).otherwise(end - 1).cast("int")
-    rows = rows.withColumn("model_ends", F.filter(F.sequence(F.lit(0), F.size("kinds") - 1), lambda i: F.get("kinds", i) == "ENDMDL")).withColumn("lines", F.slice("lines", F.lit(1), last))
-
-    def atom(line, i):
-        part = lambda a, b: F.trim(F.substring(line, a, b - a + 1))
-        whole = lambda a, b: F.when(part(a, b).rlike(r"^[+-]?\d+$"), part(a, b).try_cast("int"))
-        chain = _defined(part(22, 22))
-        if options.as_assembly:
-            model = F.size(F.filter("model_ends", lambda m: m < i)) + 1
-            chain = F.when(model > 1, F.concat(chain, model.cast("string"))).otherwise(chain)
-        return F.struct(
-            part(1, 6).alias("record_name"), whole(7, 11).alias("serial"), _atom_name(part(13, 16)).alias("name"), _defined(part(17, 17)).alias("alt_loc"),
-            _defined(part(18, 20)).alias("res_name"), chain.alias("chain_id"), whole(23, 26).alias("res_seq"), _defined(part(27, 27)).alias("i_code"),
-            number(part(31, 38)).alias("x"), number(part(39, 46)).alias("y"), number(part(47, 54)).alias("z"), _defined(part(77, 78)).alias("element"),
-            F.coalesce(number(part(61, 66)), F.lit(0.0)).alias("b_factor"),
-        )
-
-    def kept(a):
-        there = a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull() & a["serial"].isNotNull() & a["res_seq"].isNotNull()
-        return a["record_name"].isin("ATOM", "HETATM") & there & (a["name"] != "") & acceptable(a, options)
-
-    atoms = F.filter(F.transform("lines", atom), kept)
-    exploded = rows.select("structure_id", F.posexplode(atoms).alias("ball_id", "a"))
-    return exploded.select("structure_id", F.col("ball_id").cast("long").alias("ball_id"), "a.*").withColumn("alt_loc", F.lit(""))
+    part = lambda a, b: F.trim(F.substring("line", a, b - a + 1))
+    whole = lambda a, b: F.when(part(a, b).rlike(r"^[+-]?\d+$"), part(a, b).try_cast("int"))
+    fields = {
+        "record_name": part(1, 6), "serial": whole(7, 11), "name": _atom_name(part(13, 16)), "alt_loc": _defined(part(17, 17)),
+        "res_name": _defined(part(18, 20)), "chain_id": _defined(part(22, 22)), "res_seq": whole(23, 26), "i_code": _defined(part(27, 27)),
+        "x": number(part(31, 38)), "y": number(part(39, 46)), "z": number(part(47, 54)), "element": _defined(part(77, 78)),
+        "b_factor": F.coalesce(number(part(61, 66)), F.lit(0.0)),
+    }
+    atom = F.col("record_name").isin("ATOM", "HETATM") & F.expr("x is not null and y is not null and z is not null and serial is not null and res_seq is not null and name <> ''")
+    ends = F.col("record_name") == "ENDMDL"
+    stop = F.col("record_name") == "END" if options.as_assembly else F.col("record_name").isin("END", "ENDMDL")
+    rows = lines.select("structure_id", "part", *[c.alias(n) for n, c in fields.items()])
+    rows = rows.where(atom | F.col("record_name").isin("END", "ENDMDL"))
+    kept = atom & acceptable({n: F.col(n) for n in fields}, options)
+    rows = _numbered(_marked(rows, atom, kept, stop, ends), split)
+    if options.as_assembly:
+        rows = rows.withColumn("chain_id", F.when(F.col("models") > 0, F.concat("chain_id", (F.col("models") + 1).cast("string"))).otherwise(F.col("chain_id")))
+    return rows.drop("models", "model").withColumn("alt_loc", F.lit(""))
+
+
+def parse_pdb(texts: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """pdb_atoms() of whole texts (structure_id, content)."""
+    return pdb_atoms(text_lines(texts), False, options)
 
 
 _CIF_TOKEN = re.compile(r"""#[^\n]*|'([^'\n]*)(?:'|$)|"([^"\n]*)(?:"|$)|(\S+)""", re.M)
@@ -148,82 +254,203 @@ def _cif_tokens(text: str) -> Iterator[tuple[str, bool]]:
             yield m[m.lastindex], m.lastindex < 3
 
 
-def _cif_rows(text: str) -> Iterator[dict[str, str]]:
-    """The rows of the atom loops, as strings by field."""
-    tokens = _cif_tokens(text)
-    token, quoted = next(tokens, (None, False))
-    while token is not None:
-        if token != "loop_" or quoted:
-            token, quoted = next(tokens, (None, False))
-            continue
-        header = []
+#: The most columns of an atom loop that is read across parts.
+MOST_COLUMNS = 1000
+OUTSIDE, HEADER, BODY = range(3)
+
+
+def _is_control(token: str) -> bool:
+    return token == "loop_" or token.startswith(("_", "data_"))
+
+
+class _AtomLoop:
+    """Reads lines for the rows of atom loops. What a line means depends on the state: outside, in the header (whose
+    columns have been seen), or in the body (and the values of a row that is not complete)."""
+
+    def __init__(self, state: int = OUTSIDE, header: Iterable[str] = (), row: Iterable[str] = ()):
+        self.state, self.header, self.row = state, list(header), list(row)
+
+    def rows(self, line: str) -> list[list[str]]:
+        """The rows that this line completes."""
+        if self.state == BODY and not self.row and not ("'" in line or '"' in line or "#" in line):
+            values = line.split()
+            if len(values) == len(self.header) and not _is_control(values[0]):
+                return [values]
+        return self.completed(_cif_tokens(line))
+
+    def completed(self, tokens: Iterable[tuple[str, bool]]) -> list[list[str]]:
+        """The rows that these tokens complete."""
+        found = []
         for token, quoted in tokens:
-            if not token.startswith("_atom_site."):
-                break
-            header.append(token[11:])
-        else:
+            if self.state == HEADER:
+                if token.startswith("_atom_site."):
+                    self.header.append(token[11:])
+                    continue
+                self.state, self.row = (BODY if self.header else OUTSIDE), []
+            if self.state == BODY:
+                if self.row or quoted or not _is_control(token):
+                    self.row.append(token)
+                    if len(self.row) == len(self.header):
+                        found.append(self.row)
+                        self.row = []
+                    continue
+                self.state = OUTSIDE
+            if token == "loop_" and not quoted:
+                self.state, self.header = HEADER, []
+        return found
+
+
+class _PartSummary:
+    """What a part of a file does to any state it may begin in: the values before its first control token, the names of
+    atom columns that it begins with, the values after those, and the state that the rest ends in."""
+
+    def __init__(self):
+        self.lead = self.body = 0
+        self.last: deque[str] = deque(maxlen=MOST_COLUMNS)
+        self.names: list[str] = []
+        self.rest: _AtomLoop | None = None
+
+    def take(self, line: str) -> None:
+        if self.rest is not None:
+            self.rest.rows(line)
             return
-        if not header:
-            continue
-        place = {f: next((header.index(n) for n in names if n in header), None) for f, names in _CIF_FIELDS.items()}
-        while token is not None and (quoted or not (token == "loop_" or token.startswith(("_", "data_")))):
-            row = [token]
-            for token, _ in tokens:
-                row.append(token)
-                if len(row) == len(header):
-                    break
-            if len(row) < len(header):
+        tokens = list(_cif_tokens(line))
+        for i, (token, quoted) in enumerate(tokens):
+            if quoted or not _is_control(token):
+                if self.names:
+                    self.body += 1
+                else:
+                    self.lead += 1
+                self.last.append(token)
+            elif token.startswith("_atom_site.") and not self.lead and not self.body:
+                self.names.append(token[11:])
+            else:
+                self.rest = _AtomLoop()
+                self.rest.completed(tokens[i:])
                 return
-            yield {f: row[i] if i is not None else "" for f, i in place.items()}
-            token, quoted = next(tokens, (None, False))
 
-
-def _parse_cif(batches):
+    def state(self) -> str:
+        rest = self.rest and (self.rest.state, self.rest.header, self.rest.row)
+        return json.dumps((self.lead, self.names, self.body, list(self.last), rest))
+
+
+def _after(state: tuple[int, list[str], list[str]], part: str) -> tuple[int, list[str], list[str]]:
+    """The state after a part that begins in a state; a control token is taken to be where a row begins."""
+    lead, names, body, last, rest = json.loads(part)
+    kind, header, row = state
+    values = 0
+    if kind == HEADER and not lead and names:
+        header, values = header + names, body
+        kind = BODY if body else HEADER
+    elif kind == HEADER and lead:
+        kind, values = (BODY if header else OUTSIDE), lead
+    elif kind == BODY:
+        kind, values = (OUTSIDE, 0) if names else (BODY, lead)
+    if rest is not None:
+        return tuple(rest)
+    if kind != BODY:
+        return kind, header, []
+    if len(header) > MOST_COLUMNS:
+        raise ValueError(f"an atom loop of more than {MOST_COLUMNS} columns")
+    open_values = (len(row) + values) % len(header)
+    return kind, header, (row + last)[-open_values:] if open_values else []
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str]]]:
+    """The lines of a batch (structure_id, part, line) by part."""
+    differ = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+    edges = [0, *(np.nonzero(differ[0] | differ[1])[0] + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield (batch.column(0)[a].as_py(), batch.column(1)[a].as_py()), batch.column(2).slice(a, b - a).to_pylist()
+
+
+def _cif_states(lines: DataFrame) -> dict[tuple, tuple]:
+    """The state in which each part but the first begins, of the files that have several. The driver gets one short row
+    for each byte range of these."""
+
+    def run(batches):
+        key, part = None, None
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([part.state()])], names=["structure_id", "part", "state"])
+
+        for batch in batches:
+            for here, own in _runs(batch):
+                if here != key:
+                    if key is not None:
+                        yield given()
+                    key, part = here, _PartSummary()
+                for line in own:
+                    part.take(line)
+        if key is not None:
+            yield given()
+
+    found = lines.where("split").select("structure_id", "part", "line").mapInArrow(run, "structure_id string, part long, state string").toArrow()
+    states, file, state = {}, None, (OUTSIDE, [], [])
+    for own, part, summary in sorted(zip(*(found.column(i).to_pylist() for i in range(3)))):
+        if own != file:
+            file, state = own, (OUTSIDE, [], [])
+        if state[0] != OUTSIDE:
+            states[own, part] = state
+        state = _after(state, summary)
+    return states
+
+
+def mmcif_atoms(lines: DataFrame, split: bool, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """Atoms of the lines of mmCIF files, of the first model only unless as_assembly, where the chains of models other
+    than "1" get the model's name as a suffix. A file in several parts is read twice: first for the state in which
+    each part begins, such as the columns of the atom loop and the values of a row that lies across."""
+    lines = lines.select(F.col("structure_id").cast("string"), "part", "split", "line")
+    states = lines.sparkSession.sparkContext.broadcast(_cif_states(lines)) if split else None
     names = list(_CIF_FIELDS)
-    for batch in batches:
-        ids, places, values = [], [], {n: [] for n in names}
-        for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for i, row in enumerate(_cif_rows(text or "")):
-                ids.append(sid)
-                places.append(i)
-                for n in names:
-                    values[n].append(row[n])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(places, pa.int64()), *[pa.array(values[n], pa.string()) for n in names]], names=["structure_id", "place", *names])
-
 
-def parse_mmcif(texts: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Atoms of mmCIF text, of the first model only unless as_assembly, where the chains of models other than
-    "1" get the model's name as a suffix."""
-    schema = "structure_id string, place long, " + ", ".join(f"{n} string" for n in _CIF_FIELDS)
-    raw = texts.select(F.col("structure_id").cast("string"), "content").mapInArrow(_parse_cif, schema)
+    def run(batches):
+        key, loop, places, header = None, None, [], None
+        for batch in batches:
+            out = []
+            for here, own in _runs(batch):
+                if here != key:
+                    key, loop, header = here, _AtomLoop(*(states.value.get(here, ()) if states else ())), None
+                for line in own:
+                    for row in loop.rows(line):
+                        if header is not loop.header:
+                            header = loop.header
+                            places = [next((header.index(n) for n in options if n in header), None) for options in _CIF_FIELDS.values()]
+                        out.append((*here, *[row[i] if i is not None else "" for i in places]))
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.string()) for c in columns[2:]]], names=["structure_id", "part", *names])
+
+    raw = lines.drop("split").mapInArrow(run, "structure_id string, part long, " + ", ".join(f"{n} string" for n in names))
     whole = lambda c: F.when(F.col(c).rlike(r"^[+-]?\d+$"), F.col(c).try_cast("int"))
     fields = {
         "record_name": F.col("record_name"), "serial": whole("serial"), "name": _atom_name(_defined(F.col("name"))), "alt_loc": _defined(F.col("alt_loc")),
         "res_name": _defined(F.col("res_name")), "chain_id": _defined(F.col("chain_id")), "res_seq": whole("res_seq"), "i_code": _defined(F.col("i_code")),
         "x": number(F.col("x")), "y": number(F.col("y")), "z": number(F.col("z")), "element": _defined(F.col("element")), "b_factor": F.coalesce(number(F.col("b_factor")), F.lit(0.0)),
     }
-    rows = raw.select("structure_id", "place", "model", *[c.alias(n) for n, c in fields.items()])
-    rows = rows.where(F.col("record_name").isin("ATOM", "HETATM") & F.expr("x is not null and y is not null and z is not null and serial is not null and res_seq is not null and name <> ''"))
+    rows = raw.select("structure_id", "part", "model", *[c.alias(n) for n, c in fields.items()])
+    atom = F.col("record_name").isin("ATOM", "HETATM") & F.expr("x is not null and y is not null and z is not null and serial is not null and res_seq is not null and name <> ''")
+    kept = atom & acceptable({n: F.col(n) for n in fields}, options)
+    rows = _numbered(_marked(rows, atom, kept), split, only_first=not options.as_assembly)
     if options.as_assembly:
         rows = rows.withColumn("chain_id", F.when(F.col("model").isin("1", ""), F.col("chain_id")).otherwise(F.concat("chain_id", "model")))
-    # A file's atoms meet again to be numbered; they came from one task.
-    listed = rows.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("place", "model", *fields))).alias("atoms"))
-    atoms = F.col("atoms")
-    if not options.as_assembly:
-        atoms = F.filter(atoms, lambda a: a["model"] == F.get("atoms", 0)["model"])
-    kept = F.filter(atoms, lambda a: acceptable(a, options))
-    exploded = listed.select("structure_id", F.posexplode(kept).alias("ball_id", "a"))
-    return exploded.select("structure_id", F.col("ball_id").cast("long").alias("ball_id"), *[F.col(f"a.{n}").alias(n) for n in fields]).withColumn("alt_loc", F.lit(""))
+    return rows.drop("models", "model").withColumn("alt_loc", F.lit(""))
+
+
+def parse_mmcif(texts: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """mmcif_atoms() of whole texts (structure_id, content)."""
+    return mmcif_atoms(text_lines(texts), False, options)
 
 
 def with_radii(atoms: DataFrame, radii: Radii | None = None) -> DataFrame:
     return atoms.withColumn("r", (radii or Radii()).column(F.col("res_name"), F.col("name")))
 
 
-def _parsed(texts: DataFrame, format: str, options: ParseOptions, radii: Radii | None) -> DataFrame:
+def _parsed(lines: DataFrame, split: bool, format: str, options: ParseOptions, radii: Radii | None) -> DataFrame:
     if format == "xyzr":
-        return parse_xyzr(texts)
-    return with_radii((parse_pdb if format == "pdb" else parse_mmcif)(texts, options), radii)
+        return xyzr_balls(lines, split)
+    return with_radii((pdb_atoms if format == "pdb" else mmcif_atoms)(lines, split, options), radii)
 
 
 def read_structures(
@@ -238,7 +465,7 @@ def read_structures(
         by_format.setdefault(own, []).append(path)
     if "xyzr" in by_format and len(by_format) > 1:
         raise ValueError("XYZR files have no atoms; read them apart from other formats")
-    parts = [_parsed(files(spark, own), f, options, radii) for f, own in by_format.items()]
+    parts = [_parsed(file_lines(spark, own), may_split(spark, own), f, options, radii) for f, own in by_format.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -250,7 +477,7 @@ def read_lines(
     lines = [x.rstrip("\r\n") for x in lines]
     format = format or detect_format_from_line(next((x for x in lines if x.strip()), ""))
     texts = spark.createDataFrame([(structure_id, "\n".join(lines))], "structure_id string, content string")
-    return _parsed(texts, format, options, radii)
+    return _parsed(text_lines(texts), False, format, options, radii)
 
 
 def balls_from(spark: SparkSession, balls) -> DataFrame:
