@@ -129,9 +129,10 @@ def _tile_sums(side: int, at_once: int):
 
         def given():
             s, t = np.nonzero(tile)
-            s, t = s[s != t], t[s != t]
             lang, a, b = at_tile
-            columns = [pa.array([lang] * len(s), pa.string()), pa.array((s + a * side).astype(np.int32)), pa.array((t + b * side).astype(np.int32)), pa.array(tile[s, t])]
+            value, s, t = tile[s, t], s + a * side, t + b * side
+            pair = s != t
+            columns = [pa.array([lang] * int(pair.sum()), pa.string()), pa.array(s[pair].astype(np.int32)), pa.array(t[pair].astype(np.int32)), pa.array(value[pair])]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "s", "t", "value"])
 
         def taken(batch):
