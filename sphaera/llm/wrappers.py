@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from sphaera.llm.common import staged, with_arrow_columns
 from sphaera.llm.urlfilter import host_of
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|select|xmp"
+RAW = "script|style|noscript|template|textarea|iframe|svg|annotation-xml|annotation|object|canvas|audio|video|select|xmp"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -33,10 +33,15 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var".split()
+    "span strike strong sub sup time tt u var "
+    # Formulas: their texts are words of the line that they stand in.
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
 #: Elements that are never part of an article.
-SKIP_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
+SKIP_TAGS = frozenset("head title nav footer aside form button dialog menu fieldset".split())
+#: Those of them that some frameworks put around a whole page.
+FORMS = frozenset(("form", "fieldset"))
 #: Words in class, id or role that name such parts.
 SKIP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies "
@@ -52,7 +57,7 @@ ARTICLE_NAMES = frozenset("main article articlebody".split())
 TEMPLATE_PAGES = 3
 #: A node with more children, neighbours of one signature counted once, or deeper than this, is not aligned further.
 MAX_KIDS, MAX_DEPTH = 200, 100
-_SPACE = re.compile(r"[\s​﻿]+")
+_SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -60,12 +65,14 @@ _DIGITS = re.compile(r"[0-9]+")
 class Node:
     """An element, or a text where ``tag`` is "#"."""
 
-    __slots__ = ("tag", "names", "skip", "named", "article", "children", "text", "parent", "seen")
+    __slots__ = ("tag", "names", "skip", "named", "form", "article", "children", "text", "parent", "seen")
 
     def __init__(self, tag: str, names: str = "", skip: bool = False, article: bool = False, text: str = ""):
         self.tag, self.names, self.skip, self.article, self.text = tag, names, skip, article, text
         #: Skipped by a class, id or role alone.
         self.named = False
+        #: Skipped as a form alone.
+        self.form = False
         self.children: list[Node] = []
         self.parent: Node | None = None
         self.seen = False
@@ -131,7 +138,7 @@ def parse(page: str | None) -> Node:
         if tag in VOID:
             stack[-1][0].add(Node("#", text=" ") if tag in ("br", "wbr") else Node(tag))
             continue
-        names, skip, article, named = "", tag in SKIP_TAGS, tag in ("article", "main"), False
+        names, skip, article, named, hidden = "", tag in SKIP_TAGS, tag in ("article", "main"), False, False
         if m["attrs"] and ("=" in m["attrs"] or "hidden" in m["attrs"]):
             for key, *values in _ATTR.findall(m["attrs"]):
                 key, value = key.lower(), "".join(values).lower()
@@ -141,7 +148,7 @@ def parse(page: str | None) -> Node:
                 if key in ("role", "itemprop") and value in ARTICLE_NAMES:
                     article = True
                 if key == "hidden" or key == "aria-hidden" and value == "true":
-                    skip = True
+                    skip = hidden = True
         if tag not in INLINE and block:
             # A block ends an open paragraph, an item the item before it.
             open_tag = stack[block][0].tag
@@ -150,15 +157,31 @@ def parse(page: str | None) -> Node:
         if tag == "header" and not articles:
             skip = True
         node = Node(tag, names, skip or named, article)
-        node.named = named and not skip
+        node.named, node.form = named and not skip, tag in FORMS and not hidden
         stack[-1][0].add(node)
         places.setdefault(tag, []).append(len(stack))
         articles += article
         stack.append((node, stack[-1][1] if tag in INLINE else len(stack)))
+    _open_forms(root)
     _rescue(root)
     return root
 
 
+def _open_forms(root: Node) -> None:
+    """A form that holds a marked article, or paragraphs with at least half of the page's text, is a container."""
+    inside = lambda c: not c.skip or c.named or c.form
+    size = lambda node: sum(len(clean(c.text)) for opens, c in walk(node, inside) if opens and c.tag == "#")
+    whole = None
+    for form in [c for opens, c in walk(root, inside) if opens and c.form]:
+        holds = any(opens and c.article and inside(c) for opens, c in walk(form, inside))
+        if not holds:
+            whole = size(root) if whole is None else whole
+            said = sum(size(c) for opens, c in walk(form, lambda c: inside(c) and c.tag != "p") if opens and c.tag == "p" and inside(c))
+            holds = said > 0 and 2 * said >= whole
+        if holds:
+            form.skip, form.form = form.named, False
+
+
 def _skip_name(token: str) -> bool:
     """Whether a class, id or role names a part that is no article, alone or as the noun of a compound:
     "sidebar" and "user-comments", but not "content-sidebar-wrap", "comments-open" or "no-sidebar"."""
@@ -367,22 +390,18 @@ def _varied(w: list) -> int:
     return w[CHARS] if w[KIDS] is None else sum(map(_varied, w[KIDS]))
 
 
-def constants(wrapper: list, marked: bool = False) -> set[int]:
-    """Digests of the texts that every page has at their place, with ``marked`` those in marked articles. An
-    article without any text that differs has none: its pages are copies."""
+def constants(wrapper: list) -> set[int]:
+    """Digests of the texts that every page without a marked article has at their place. Within marked articles
+    nothing is left out: a heading that all of them have is theirs."""
     out: set[int] = set()
 
-    def look(w, inside):
-        if not inside and w[ARTICLE]:
-            if not _varied(w):
-                return
-            inside = True
-        if inside and w[SIG] == "#" and w[CONST] is not None and not w[REP] and w[PAGES] >= max(TEMPLATE_PAGES, wrapper[PAGES]):
+    def look(w):
+        if w[SIG] == "#" and w[CONST] is not None and not w[REP] and w[PAGES] >= max(TEMPLATE_PAGES, wrapper[PAGES]):
             out.add(w[CONST])
         for k in w[KIDS] or []:
-            look(k, inside)
+            look(k)
 
-    look(wrapper, not marked)
+    look(wrapper)
     return out
 
 
@@ -429,8 +448,9 @@ def _step(node: Node, sig: str, at: int, of: int) -> Node | None:
 def extract(page: str | None, rule: "Rule | None" = None) -> str:
     """The text of a page's article: one line a block, white space in a block made one space.
 
-    The wrapper's path names the region, and the texts that it has on all pages are left out. Where a page
-    has no such path, its marked articles are the region, or else the lowest node of the path that it has.
+    The wrapper's path names the region. Where a page has no such path, its marked articles are the region, or else
+    the lowest node of the path that it has. Pages without a marked article go without the texts that their wrapper
+    has on all pages; of a marked article, nothing goes because other pages have it too.
     """
     root = parse(page)
     marked = articles(root)
@@ -466,7 +486,7 @@ class Rule:
 
     @staticmethod
     def of(wrapper: list, is_marked: bool) -> str:
-        return json.dumps([is_marked, marked_region(wrapper) if is_marked else region(wrapper), sorted(constants(wrapper, is_marked))])
+        return json.dumps([is_marked, marked_region(wrapper) if is_marked else region(wrapper), [] if is_marked else sorted(constants(wrapper))])
 
 
 def _infer(batches):

@@ -497,15 +497,38 @@ def articles_of(spark, pages):
 
 
 def test_marks_decide_by_page(spark):
-    """A host with some marked articles: the others get a wrapper of their own; template texts go in both."""
+    """A host with some marked articles: the others get a wrapper of their own, whose template texts go."""
     plain = "<body><div>Home</div><div class=x><p>Text {0} of this page</p></div><div>Imprint</div></body>"
     marked = "<body><div>Home</div><main><h1>Title {0}</h1><div>Subscribe here</div><p>Text {0}</p></main></body>"
     got = articles_of(spark, [(marked if i < 5 else plain).format(i) for i in range(10)])
-    assert got == [f"Title {i}\nText {i}" if i < 5 else f"Text {i} of this page" for i in range(10)]
+    assert got == [f"Title {i}\nSubscribe here\nText {i}" if i < 5 else f"Text {i} of this page" for i in range(10)]
     copies = articles_of(spark, [marked.format(0)] * 4)
     assert copies == ["Title 0\nSubscribe here\nText 0"] * 4
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_marked_articles_lose_nothing_to_other_pages(spark, n):
+    """Headings that all articles of a host have stay, however many pages the host has; so does a paragraph like one."""
+    page = "<body><div>Menu</div><article><h1>Title {0}</h1><h2>Overview</h2><p>text {0}</p><h2>Sources</h2><ul><li>one {0}</ul><p>{1}</p></article></body>"
+    got = articles_of(spark, [page.format(i, "Overview" if i == 0 else f"end {i}") for i in range(n)])
+    assert got == [f"Title {i}\nOverview\ntext {i}\nSources\none {i}\n{'Overview' if i == 0 else f'end {i}'}" for i in range(n)]
+
+
+def test_forms_around_a_page_are_containers(spark):
+    around = "<body><form id=aspnetForm><input type=hidden value=x><div>Menu</div><article><h1>Title {0}</h1><p>text {0}</p><form>inner</form></article></form></body>"
+    assert articles_of(spark, [around.format(i) for i in range(4)]) == [f"Title {i}\ntext {i}" for i in range(4)]
+    plain = "<form><div>Menu</div><div><p>a first paragraph {0}</p><p>and a second one</p></div><fieldset>choose</fieldset></form>"
+    assert wrappers.extract(plain.format(1)) == "Menu\na first paragraph 1\nand a second one"
+    assert wrappers.extract("<article><p>text of the page</p><form><p>Your mail</p></form></article>") == "text of the page"
+    assert wrappers.extract("<div>text</div><form hidden><article>x</article></form>") == "text"
+    assert wrappers.extract("<form><label>User</label><input><button>Log in</button></form>") == ""
+
+
+def test_formulas_titles_and_invisible_characters():
+    assert wrappers.extract("<article><p>so <math><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup><annotation>tex</annotation></math> holds</p></article>") == "so a+b2 holds"
+    assert wrappers.extract("<title>Site</title><p>a\u200bb c\ufeffd\u00a0\n e</p>") == "a\u200bb c\ufeffd e"
+
+
 LAYOUTS = [
     "<div class='content-sidebar-wrap'><main>{}</main></div>", "<main class='content no-sidebar'>{}</main>", "<article class='post comments-open'>{}</article>",
     "<div id='page' class='site has-sidebar'><p>{}</p></div>", "<div class='sidebar'><main>{}</main></div>", "<main class='overlay'>{}</main>", "<div class='widget'><p>{}</p></div>",
