@@ -21,7 +21,7 @@ from sphaera.llm.common import staged, with_arrow_columns
 #: The bound of the training sample: about so many labelled documents for each language.
 DOCS_PER_LANGUAGE = 2000
 #: A word or n-gram that a language has less often in the sample is not learnt. The model is bounded by the sample.
-LEAST_COUNT = 5
+LEAST_COUNT = 3
 #: Features that a task counts before it hands them on.
 COUNTED_AT_ONCE = 100_000
 LONGEST = 6
@@ -51,26 +51,41 @@ def training_sample(docs: DataFrame, id: str, text: str, lang: str, per_language
     return labelled.join(F.broadcast(sizes), "lang").where(u < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
 
 
-def _counts(batches):
-    """Partial counts of words and n-grams by language, a bounded number of them at a time."""
+def _word_counts(batches):
+    """Partial counts of words by language, a bounded number of them at a time."""
 
-    def given(found):
-        columns = ([k[0] for k in found], [k[1] for k in found], [k[2] for k in found], list(found.values()))
-        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "n", "feature", "count"])
+    def given():
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "feature", "count"])
 
     found: Counter = Counter()
     for batch in (b.slice(i, 100) for b in batches for i in range(0, len(b), 100)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for w, c in Counter(words_of(text)).items():
-                found[lang, 0, w] += c
-                for n in range(1, LONGEST + 1):
-                    for g in grams_of(w, n):
-                        found[lang, n, g] += c
+                found[lang, w] += c
         if len(found) >= COUNTED_AT_ONCE:
-            yield given(found)
+            yield given()
             found.clear()
-    yield given(found)
+    yield given()
+
+
+def _gram_counts(batches):
+    """Partial counts of the n-grams of distinct words (lang, feature, count), a bounded number of them at a time."""
+
+    def given():
+        columns = ([k[0] for k in found], [k[1] for k in found], [k[2] for k in found], list(found.values()))
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "n", "feature", "count"])
+
+    found: Counter = Counter()
+    for batch in batches:
+        for lang, word, count in zip(*(c.to_pylist() for c in batch.columns)):
+            for n in range(1, LONGEST + 1):
+                for g in grams_of(word, n):
+                    found[lang, n, g] += count
+            if len(found) >= COUNTED_AT_ONCE:
+                yield given()
+                found.clear()
+    yield given()
 
 
 class Model:
@@ -162,8 +177,11 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     Spark counts words and n-grams; the driver gets those that occur at least ``least_count`` times.
     """
     sample = training_sample(docs, id, text, lang, per_language).select("lang", "text")
-    counts = sample.mapInArrow(_counts, "lang string, n int, feature string, count long")
-    counts = staged(counts.groupBy("lang", "n", "feature").agg(F.sum("count").alias("count")), "counts")
+    # Words repeat, so their n-grams are taken from each language's distinct words.
+    words = sample.mapInArrow(_word_counts, "lang string, feature string, count long").groupBy("lang", "feature").agg(F.sum("count").alias("count"))
+    words = staged(words, "words")
+    grams = words.mapInArrow(_gram_counts, "lang string, n int, feature string, count long").groupBy("lang", "n", "feature").agg(F.sum("count").alias("count"))
+    counts = staged(words.select("lang", F.lit(0).alias("n"), "feature", "count").unionByName(grams), "counts")
     totals = {(r["lang"], r["n"]): r["total"] for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()}
     top = counts.where(F.col("count") >= least_count)
     # As Arrow, the model is a few megabytes on the driver, where rows would be hundreds.
