@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from sphaera.catalog.queries import ATOM_NAMES, PLACES, RESIDUES
-from sphaera.sources.radii import DEFAULT_RULES
 
 E, TAU, PI = "1e-10", "(2 * pi())", "pi()"
 
@@ -21,13 +20,16 @@ def _contains(d2: str, outer: str, inner: str) -> str:
     return f"({outer} + {E} > {inner} and {d2} < ({outer} - {inner}) * ({outer} - {inner}) + {E})"
 
 
-def geometry(select: str, box: float = 0, groups: bool = False, balls: str = BALLS, moved: bool = False, probe: str = "1.4e0") -> str:
+def geometry(select: str, box: float | tuple = 0, groups: bool | str = False, balls: str = BALLS, moved: bool = False, probe: str = "1.4e0") -> str:
     """Common table expressions of the whole computation, followed by a select."""
     x = "case when ball_id % 100 = 7 then x + 5e-1 else x end" if moved else "x"
-    group = "cast(floor(ball_id / 10) as bigint)" if groups else "cast(null as bigint)"
+    group = groups if isinstance(groups, str) else "cast(floor(ball_id / 10) as bigint)" if groups else "cast(null as bigint)"
+    if box and not isinstance(box, tuple):
+        box = ((box, 0, 0), (0, box, 0), (0, 0, box))
+    shifted = ", ".join(f"{c} + i * {box[0][n]} + j * {box[1][n]} + k * {box[2][n]} as {c}" for n, c in enumerate("xyz")) if box else ""
     cube = "(select * from range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k))"
     images = (
-        f"img as materialized (select s.structure_id, id, x + i * {box} as x, y + j * {box} as y, z + k * {box} as z, r, g, image from s, shift)"
+        f"img as materialized (select s.structure_id, id, {shifted}, r, g, image from s, shift)"
         if box
         else "img as (select *, 0 as image from s)"
     )
@@ -118,15 +120,28 @@ _SELECTIONS = {
     "sel_glob": "(name like 'C%' or regexp_matches(name, '^[NO].+$')) and (res_name in ('LYS', 'CYX') or regexp_matches(res_name, '^[A-D].*$'))",
     "sel_resid": "res_seq between 3 and 9 or res_seq between 20 and 25 or res_seq = 44", "sel_bool": "not (chain_id in ('A','B') or res_name = 'ALA') and name = 'CA' or record_name = 'HETATM'",
 }
-_RULES = ", ".join("('{}', '{}', {})".format(*x.split()) for x in DEFAULT_RULES.strip().splitlines())
+#: Radii of the atoms that the queries have, written out: exact names before patterns, residues before any.
+_RADIUS = """case when name = 'N' then 1.70 when name = 'CA' then 1.90 when name = 'C' then 1.75 when name = 'O' then 1.49
+     when name = 'CB' then case res_name when 'ALA' then 1.92 when 'ASP' then 1.91 when 'HIS' then 1.91 when 'LYS' then 1.91 when 'PHE' then 1.91 when 'SER' then 1.91 else 1.80 end
+     when name = 'CG1' then case res_name when 'ASP' then 1.76 when 'HIS' then 1.80 when 'LYS' then 1.92 when 'PHE' then 1.74 else 1.80 end
+     when name = 'OD1' then case res_name when 'ASP' then 1.49 else 1.50 end when name = 'SG' then 1.90 when name = 'ZN' and res_name = 'ZN' then 0.74 else 1.80 end"""
 _ACCEPTED = """
 kept as (select *, row_number() over (partition by structure_id order by ball_id) - 1 as n from atoms where record_name = 'ATOM' and res_name <> 'HOH' and not regexp_matches(regexp_replace(name, '^(\\d+)(\\D.*)$', '\\2\\1'), '^H'))
 select structure_id, n as ball_id, cast(ball_id + 1 as int) as serial, regexp_replace(name, '^(\\d+)(\\D.*)$', '\\2\\1') as name, res_name, chain_id, res_seq, i_code, round(x, 3) + 0 as x, round(y, 3) + 0 as y, round(z, 3) + 0 as z from kept"""
+_TURNED = "regexp_replace(name, '^(\\d+)(\\D.*)$', '\\2\\1')"
+_GROUP = (
+    "case when res_name = 'ALA' and name in ('C','CA','N','O') then 0 when chain_id = 'A' and record_name <> 'HETATM' then 1 "
+    "when res_seq between 10 and 40 or name like 'C%' then 2 else 3 + ball_id end"
+)
 _EXCLUDED = BALLS  # an excluded ball keeps cutting others, so only its own contacts go
 
 _CONTACTS = f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con"
 _PERIODIC_ORDER = "order by a, h, image, b"
 
+_SKEW = ((20, 0, 0), (5, 19, 0), (-4, 3, 21))
+_UNEVEN = BALLS.replace("balls as materialized", "even as materialized") + """,
+balls as materialized (select structure_id, ball_id, x, y, z, case when ball_id % 100 = 13 then r * (2 + ball_id % 19) when ball_id % 10 = 4 then r * 1e-1 else r end as r from even)"""
+
 _FIRST = geometry("select 'cell' as kind, structure_id, index as i, cast(null as bigint) as j, sas_area as v from cell union all select 'contact', structure_id, a, b, area from con")
 _GOLDEN = "with t as (select (1 + sqrt(5)) / 2 as t), v as (select a * t as x, b * 1.0 as y, 0.0 as z from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select a * 1.0, 0.0, b * t from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select 0.0, a * t, b * 1.0 from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b))"
 #: Balls without their probe, and solvent on the twelve corners of an icosahedron around each exposed one that no contact is nearer to.
@@ -178,7 +193,13 @@ ORACLE_SQL = {
         f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con qualify row_number() over (partition by structure_id, least(a, b), greatest(a, b), image <> 0 {_PERIODIC_ORDER}) = 1", box=20),
     "periodic_contacts_only": geometry(
         f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con qualify row_number() over (partition by structure_id, least(a, b), greatest(a, b) {_PERIODIC_ORDER}) = 1", box=20),
+    "periodic_cells": geometry(f"select structure_id, index, {_r('sas_area', 'volume', places=3)} from cell", box=20),
+    "skew_overlaps": geometry("select structure_id, a, b, cast(image as bigint) as image from o", box=_SKEW),
+    "skew_contacts": geometry(
+        f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con qualify row_number() over (partition by structure_id, least(a, b), greatest(a, b), image <> 0 {_PERIODIC_ORDER}) = 1", box=_SKEW),
+    "uneven_overlaps": geometry(f"select structure_id, a, b, round(sqrt(d2), {PLACES}) + 0 as d from o", balls=_UNEVEN),
     "incremental_update": geometry(_CONTACTS, moved=True),
+    "incremental_cells": geometry(f"select structure_id, index, {_r('sas_area', 'volume', places=3)} from cell anti join (select structure_id, a as index from hid) using (structure_id, index)", moved=True),
     "restore": geometry(_CONTACTS),
     "solvent": geometry(
         f"select d.structure_id, {_r('d.x', 'd.y', 'd.z', places=3)}, 1.4e0 as radius, round(coalesce(volume, 0), 3) + 0 as weight, parent as parent_index from drop_ d left join cell on cell.structure_id = d.structure_id and cell.index = d.id",
@@ -192,15 +213,20 @@ ORACLE_SQL = {
     "exclusion": geometry(f"{_CONTACTS} where not (structure_id = 0 and (a = 5 or b = 5))"),
     "group_chain": f"with {_ATOMS} select structure_id, ball_id, cast(floor(ball_id / 100) as bigint) as grp from atoms",
     "group_residue": f"with {_ATOMS} select structure_id, ball_id, cast(floor(ball_id / 10) as bigint) as grp from atoms",
-    "group_selection": f"with {_ATOMS} select structure_id, ball_id, case when res_name = 'ALA' and name in ('C','CA','N','O') then 0 when chain_id = 'A' and record_name <> 'HETATM' then 1 "
-    "when res_seq between 10 and 40 or name like 'C%' then 2 else 3 + ball_id end as grp from atoms",
-    "radii_lookup": f"with {_ATOMS}, rule(res, atom, radius) as (values {_RULES}), "
-    "pick as (select a.name, a.res_name, arg_min(radius, case when rule.res = '*' then 1000 else 0 end + case when rule.atom = a.name then 0 else 100 - length(rule.atom) end) as radius "
-    "from (select distinct name, res_name from atoms) a join rule on rule.res in (a.res_name, '*') and (rule.atom = a.name or (rule.atom like '%*' and starts_with(a.name, rtrim(rule.atom, '*')))) group by 1, 2) "
-    "select structure_id, ball_id, coalesce(radius, 1.8)::double as radius from atoms left join pick using (name, res_name)",
+    "group_selection": f"with {_ATOMS} select structure_id, ball_id, {_GROUP} as grp from atoms",
+    "radii_lookup": f"with {_ATOMS} select structure_id, ball_id, cast({_RADIUS} as double) as radius from atoms",
+    "selected_contacts": geometry(_CONTACTS, groups="grp", balls=f"{_ATOMS}, balls as materialized (select structure_id, ball_id, x, y, z, cast({_RADIUS} as double) as r, {_GROUP} as grp from atoms)"),
+    "pdb_first_model": f"with {_ATOMS}, kept as (select *, row_number() over (partition by structure_id order by ball_id) - 1 as n from atoms where ball_id < 250 and res_name <> 'HOH') "
+    f"select structure_id, n as ball_id, cast(ball_id + 1 as int) as serial, {_TURNED} as name, res_name, chain_id from kept",
+    "pdb_assembly": f"with {_ATOMS}, kept as (select *, row_number() over (partition by structure_id order by ball_id) - 1 as n from atoms where (ball_id < 250 or structure_id % 2 = 1) and res_name <> 'HOH') "
+    f"select structure_id, n as ball_id, cast(ball_id + 1 as int) as serial, {_TURNED} as name, res_name, chain_id || case when ball_id < 250 then '' else '2' end as chain_id from kept",
+    "mmcif_first_model": f"with {_ATOMS}, kept as (select *, row_number() over (partition by structure_id order by ball_id) - 1 as n from atoms where ball_id < 100 and res_name <> 'HOH') "
+    f"select structure_id, n as ball_id, cast(ball_id + 1 as int) as serial, {_TURNED} as name, res_name, chain_id, res_seq from kept",
+    "mmcif_assembly": f"with {_ATOMS}, kept as (select *, cast(floor(ball_id / 100) as bigint) + 1 as m, row_number() over (partition by structure_id order by ball_id) - 1 as n from atoms where res_name <> 'HOH') "
+    f"select structure_id, n as ball_id, cast(ball_id + 1 as int) as serial, {_TURNED} as name, res_name, chain_id || case when m = 1 then '' else cast(m as varchar) end as chain_id, res_seq from kept",
     "xyzr_parse": f"with {BALLS} select structure_id, row_number() over (partition by structure_id order by ball_id) - 1 as ball_id, {_r('x', 'y', 'z', 'r', places=3)} from balls where ball_id % 7 <> 3",
     "pdb_parse": f"with {_ATOMS}, {_ACCEPTED}",
     "mmcif_parse": f"with {_ATOMS}, {_ACCEPTED}",
-    "icosahedron_points": "with t as (select (1 + sqrt(5)) / 2 as t), v as (select a * t as x, b * 1.0 as y, 0.0 as z from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select a * 1.0, 0.0, b * t from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) "
-    "union all select 0.0, a * t, b * 1.0 from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b)) select round(x / sqrt(x * x + y * y + z * z), 4)::double + 0 as x, round(y / sqrt(x * x + y * y + z * z), 4)::double + 0 as y, round(z / sqrt(x * x + y * y + z * z), 4)::double + 0 as z from v",
+    "icosahedron_points": f"with {BALLS}, corner as materialized ({_GOLDEN} select x / sqrt(x * x + y * y + z * z) as ux, y / sqrt(x * x + y * y + z * z) as uy, z / sqrt(x * x + y * y + z * z) as uz from v) "
+    "select structure_id, ball_id, round(x + ux * r, 4)::double + 0 as x, round(y + uy * r, 4)::double + 0 as y, round(z + uz * r, 4)::double + 0 as z from balls, corner",
 } | {name: f"with {_ATOMS} select structure_id, ball_id from atoms where {where}" for name, where in _SELECTIONS.items()}

@@ -6,7 +6,7 @@ pseudo-random places, every fiftieth of which has a smaller one inside it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphaera.functions import geometry as g
@@ -21,11 +21,12 @@ from sphaera.plans.solvent import solvent_spheres
 from sphaera.plans.tessellation import Tessellation, tessellate
 from sphaera.sources.radii import Radii
 from sphaera.sources.sinks import json_documents, pymol_lines
-from sphaera.sources.structures import ParseOptions, parse_mmcif, parse_pdb, parse_xyzr
+from sphaera.sources.structures import ParseOptions, parse_mmcif, parse_pdb, parse_xyzr, with_radii
 
 PROBE = 1.4
 PLACES = 4
 BOX = PeriodicBox.from_corners((0, 0, 0), (20, 20, 20))
+SKEW = PeriodicBox.from_vectors((20, 0, 0), (5, 19, 0), (-4, 3, 21))
 SELECTIONS = ["resname ALA and backbone", "chain A and not hetatm", "resid 10 to 40 or name \"C*\""]
 
 
@@ -159,6 +160,31 @@ def periodic_contacts_only(spark, sf_dir):
     return _rounded(rows.select("structure_id", "id_a", "id_b", "area"), "area")
 
 
+def periodic_cells(spark, sf_dir):
+    return _rounded(tessellate(balls(spark, sf_dir), PROBE, BOX).cells, "sas_area", "volume", places=3)
+
+
+def skew_overlaps(spark, sf_dir):
+    t = tessellate(balls(spark, sf_dir), PROBE, SKEW)
+    return t.overlaps.select("structure_id", "a", "b", F.col("bimage").cast("long").alias("image"))
+
+
+def skew_contacts(spark, sf_dir):
+    rows = tessellate(balls(spark, sf_dir), PROBE, SKEW).contacts
+    return _rounded(rows.select("structure_id", "id_a", "id_b", "area"), "area")
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """balls of which every hundredth is up to twenty times as large, and some are a tenth as large."""
+    size = F.when(F.col("ball_id") % 100 == 13, F.col("r") * (F.lit(2.0) + F.col("ball_id") % 19)).when(F.col("ball_id") % 10 == 4, F.col("r") * F.lit(0.1)).otherwise(F.col("r"))
+    return balls(spark, sf_dir).withColumn("r", size)
+
+
+def uneven_overlaps(spark, sf_dir):
+    rows = tessellate(uneven(spark, sf_dir), PROBE).overlaps.withColumn("d", F.sqrt(overlap.squared()))
+    return _rounded(rows.select("structure_id", "a", "b", "d"), "d")
+
+
 # Atoms
 
 
@@ -225,10 +251,7 @@ def xyzr_parse(spark, sf_dir):
 
 
 def pdb_parse(spark, sf_dir):
-    line = F.concat(
-        F.rpad("record_name", 6, " "), F.lpad((F.col("ball_id") + 1).cast("string"), 5, " "), F.lit(" "), F.rpad("name", 4, " "), F.lit(" "), F.lpad("res_name", 3, " "), F.lit(" "),
-        F.col("chain_id"), F.lpad(F.col("res_seq").cast("string"), 4, " "), F.rpad("i_code", 1, " "), F.lit("   "), *[F.format_string("%8.3f", c) for c in "xyz"],
-    )
+    line = _pdb_line(F.col("ball_id") + 1)
     rows = parse_pdb(_file(atoms(spark, sf_dir), line), ParseOptions(exclude_heteroatoms=True))
     return _rounded(rows.select("structure_id", "ball_id", "serial", "name", "res_name", "chain_id", "res_seq", "i_code", "x", "y", "z"), "x", "y", "z", places=3)
 
@@ -242,12 +265,59 @@ def mmcif_parse(spark, sf_dir):
     return _rounded(_sid(rows.select("structure_id", "ball_id", "serial", "name", "res_name", "chain_id", "res_seq", "i_code", "x", "y", "z")), "x", "y", "z", places=3)
 
 
+def _pdb_line(serial) -> Column:
+    return F.concat(
+        F.rpad("record_name", 6, " "), F.lpad(serial.cast("string"), 5, " "), F.lit(" "), F.rpad("name", 4, " "), F.lit(" "), F.lpad("res_name", 3, " "), F.lit(" "),
+        F.col("chain_id"), F.lpad(F.col("res_seq").cast("string"), 4, " "), F.rpad("i_code", 1, " "), F.lit("   "), *[F.format_string("%8.3f", c) for c in "xyz"],
+    )
+
+
+def pdb_assembly(spark, sf_dir):
+    """Files of two models read as an assembly; those whose number is even end after the first."""
+    ends = F.when(F.col("ball_id") % 250 == 249, F.when(F.col("structure_id") % 2 == 0, F.lit("\nENDMDL\nEND")).otherwise(F.lit("\nENDMDL"))).otherwise("")
+    rows = parse_pdb(_file(atoms(spark, sf_dir), F.concat(_pdb_line(F.col("ball_id") + 1), ends)), ParseOptions(as_assembly=True, include_hydrogens=True))
+    return rows.select("structure_id", "ball_id", "serial", "name", "res_name", "chain_id")
+
+
+def pdb_first_model(spark, sf_dir):
+    ends = F.when(F.col("ball_id") % 250 == 249, F.lit("\nENDMDL")).otherwise("")
+    rows = parse_pdb(_file(atoms(spark, sf_dir), F.concat(_pdb_line(F.col("ball_id") + 1), ends)), ParseOptions(include_hydrogens=True))
+    return rows.select("structure_id", "ball_id", "serial", "name", "res_name", "chain_id")
+
+
+def _models(spark, sf_dir, as_assembly: bool):
+    """mmCIF files of up to five models, whose columns come in another order and with label names only."""
+    fields = ["pdbx_PDB_model_num", "Cartn_z", "Cartn_y", "Cartn_x", "label_seq_id", "label_asym_id", "label_comp_id", "label_atom_id", "id", "group_PDB"]
+    head = "data_x\n_entry.id 'a b'\nloop_\n" + "".join(f"_atom_site.{f}\n" for f in fields)
+    line = F.format_string('%d %.3f %.3f %.3f %d %s\n%s "%s" %d %s', F.floor(F.col("ball_id") / 100) + 1, "z", "y", "x", "res_seq", "chain_id", "res_name", "name", F.col("ball_id") + 1, "record_name")
+    texts = _file(atoms(spark, sf_dir), line).withColumn("content", F.concat(F.lit(head), "content", F.lit("\n# end\n")))
+    rows = parse_mmcif(texts, ParseOptions(as_assembly=as_assembly, include_hydrogens=True))
+    return _sid(rows.select("structure_id", "ball_id", "serial", "name", "res_name", "chain_id", "res_seq"))
+
+
+def mmcif_first_model(spark, sf_dir):
+    return _models(spark, sf_dir, False)
+
+
+def mmcif_assembly(spark, sf_dir):
+    return _models(spark, sf_dir, True)
+
+
+def selected_contacts(spark, sf_dir):
+    """Contacts between selections of parsed atoms, with radii from the rules."""
+    rows = selection_groups(with_radii(atoms(spark, sf_dir)), SELECTIONS)
+    return _rounded(tessellate(rows, PROBE).contacts.select("structure_id", "id_a", "id_b", "area"), "area")
+
+
 # Whole plans
 
 
 def icosahedron_points(spark, sf_dir):
-    rows = [(i, *p) for i, p in enumerate(sphere_points(0))]
-    return _rounded(spark.createDataFrame(rows, "k long, x double, y double, z double").drop("k"), "x", "y", "z")
+    """The corners of an icosahedron on each ball."""
+    points = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(c) for c, v in zip("xyz", p)]) for k, p in enumerate(sphere_points(0))])
+    rows = balls(spark, sf_dir).select("structure_id", "ball_id", "x", "y", "z", "r", F.explode(points).alias("p"))
+    rows = rows.select("structure_id", "ball_id", *[(F.col(c) + F.col(f"p.{c}") * F.col("r")).alias(c) for c in "xyz"])
+    return _rounded(rows, "x", "y", "z")
 
 
 def solvent(spark, sf_dir):
@@ -281,13 +351,21 @@ def moved(rows: DataFrame) -> DataFrame:
 
 
 def incremental_update(spark, sf_dir):
-    """Cells after some balls moved, which equal those of a full computation."""
+    """Contacts after some balls moved, which equal those of a full computation."""
     t = UpdateableTessellation()
     t.init(balls(spark, sf_dir), PROBE)
     t.update(moved(balls(spark, sf_dir)))
     return _rounded(t.contacts.select("structure_id", "id_a", "id_b", "area"), "area")
 
 
+def incremental_cells(spark, sf_dir):
+    """Cells after some balls moved: those of a full computation, but that hidden balls have none."""
+    t = UpdateableTessellation()
+    t.init(balls(spark, sf_dir), PROBE)
+    t.update(moved(balls(spark, sf_dir)))
+    return _rounded(t.cells.select("structure_id", "index", "sas_area", "volume"), "sas_area", "volume", places=3)
+
+
 def exclusion(spark, sf_dir):
     t = UpdateableTessellation(with_backup=True)
     t.init(balls(spark, sf_dir), PROBE)
@@ -309,5 +387,6 @@ QUERIES = {
         overlap_pairs, hidden_balls, neighbour_lists, pair_groups, contact_discs, clip_lines, contacts_area_arc, contact_central, contacts_full, grouped_contacts, cells, totals,
         per_ball, network_edges, network_vertices, periodic_images, periodic_overlaps, periodic_contacts, periodic_contacts_only, group_chain, group_residue, group_selection,
         radii_lookup, xyzr_parse, pdb_parse, mmcif_parse, icosahedron_points, solvent, json_document, pymol, incremental_update, exclusion, restore,
+        periodic_cells, skew_overlaps, skew_contacts, uneven_overlaps, pdb_assembly, pdb_first_model, mmcif_first_model, mmcif_assembly, selected_contacts, incremental_cells,
     )
 } | {name: _selection(text) for name, text in SELECTION_QUERIES.items()}
