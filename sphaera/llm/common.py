@@ -31,21 +31,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: A key that more than one in so many rows have is hot, so there are fewer hot keys than this.
-HOT_SHARE = 256
+#: A key is hot if more than one in HOT_SHARE rows have it, and if it has more than HOT_ROWS rows, as long as there are
+#: not more than HOT_KEYS such keys.
+HOT_SHARE, HOT_ROWS, HOT_KEYS = 256, 1_000_000, 65_536
+
+
+def hot_above(total: int) -> int:
+    """How many rows a key may have to shuffle with the others of a table of so many rows. Fewer than HOT_KEYS keys can
+    have more: HOT_ROWS rows, or in a table of more than HOT_ROWS * HOT_KEYS rows, a HOT_KEYS-th of it."""
+    return min(total // HOT_SHARE, max(HOT_ROWS, total // HOT_KEYS))
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
     """left joined with right, which has one row a key, and in ``count`` how many rows of left have that key.
 
-    The rows of hot keys stay where they are and meet a broadcast of those keys, under HOT_SHARE rows; all
-    others shuffle. So no task gets more rows of one key than a HOT_SHARE-th of the table.
+    The rows of hot keys stay where they are and meet a broadcast of those keys, under HOT_KEYS rows; all
+    others shuffle. So no task gets more rows of one key than hot_above() says.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    hot = right.where(F.col(count) * HOT_SHARE > F.lit(total)).drop(count)
+    most = hot_above(right.agg(F.sum(count)).first()[0] or 0)
+    hot = right.where(F.col(count) > most).drop(count)
     if hot.isEmpty():
         return left.join(right.drop(count), key, how)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) * HOT_SHARE <= F.lit(total)).drop(count), key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= most).drop(count), key, how)
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sphaera.llm import decontaminate, langid, licenses, linededup, mixing, queries, simhash, syncmers, urlfilter, warc, wrappers
-from sphaera.llm.common import Bloom, hash_of, join_hot
+from sphaera.llm.common import Bloom, hash_of, hot_above, join_hot
 
 SF = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -446,6 +446,14 @@ def test_hot_keys_join_alike(spark):
     assert sorted(map(tuple, join_hot(left, right, "k").collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
 
 
+def test_hot_keys_are_bounded_in_rows_and_in_number():
+    for total in (0, 100, 10**6, 10**9, 10**12, 10**15):
+        most = hot_above(total)
+        assert most <= total / 256 and (most + 1) * 65_536 > total or total < 256 * 65_536
+        assert most <= max(1_000_000, total / 65_536)
+        assert total // (most + 1) <= 65_536
+
+
 def test_bloom_filters_miss_no_key(spark):
     keys = spark.range(0, 400_000, 7).select(hash_of(F.col("id")).alias("h"))
     passed = {r["id"] for r in spark.range(400_000).where(Bloom(keys).maybe(hash_of(F.col("id")))).collect()}
