@@ -144,19 +144,40 @@ balls as materialized (select structure_id, ball_id, x, y, z, case when ball_id
 
 _FIRST = geometry("select 'cell' as kind, structure_id, index as i, cast(null as bigint) as j, sas_area as v from cell union all select 'contact', structure_id, a, b, area from con")
 _GOLDEN = "with t as (select (1 + sqrt(5)) / 2 as t), v as (select a * t as x, b * 1.0 as y, 0.0 as z from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select a * 1.0, 0.0, b * t from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b) union all select 0.0, a * t, b * 1.0 from t, (values (1), (-1)) p(a), (values (1), (-1)) q(b))"
-#: Balls without their probe, and solvent on the twelve corners of an icosahedron around each exposed one that no contact is nearer to.
-_SOLVATED = f"""
+
+
+def _corners(depth: int) -> str:
+    """The corners of an icosahedron as unit vectors (ux, uy, uz, k), and after each split the middles of all edges."""
+    unit = "select {0} / n as ux, {1} / n as uy, {2} / n as uz, row_number() over () - 1 as k from (select *, sqrt({0} * {0} + {1} * {1} + {2} * {2}) as n from {3})"
+    steps = [f"c0 as materialized ({unit.format('x', 'y', 'z', f'({_GOLDEN} select * from v)')})"]
+    for i, edge in enumerate((1.06, 0.65, 0.33, 0.17)[:depth]):
+        middles = f"(select a.ux + b.ux as x, a.uy + b.uy as y, a.uz + b.uz as z from c{i} a join c{i} b on a.k < b.k and (a.ux - b.ux) * (a.ux - b.ux) + (a.uy - b.uy) * (a.uy - b.uy) + (a.uz - b.uz) * (a.uz - b.uz) < {edge * edge})"
+        steps.append(f"c{i + 1} as materialized (select ux, uy, uz, row_number() over () - 1 as k from (select ux, uy, uz from c{i} union all select ux, uy, uz from ({unit.format('x', 'y', 'z', middles)})))")
+    return ", ".join(steps) + f", corner as materialized (select * from c{depth})"
+
+
+def _solvated(depth: int) -> str:
+    """Balls without their probe, and solvent on the points around each exposed one that no contact is nearer to."""
+    return f"""
 first as materialized ({_FIRST}),
 atom as materialized (with {BALLS} select *, max(ball_id) over (partition by structure_id) + 1 as n from balls),
-corner as materialized ({_GOLDEN} select x / sqrt(x * x + y * y + z * z) as ux, y / sqrt(x * x + y * y + z * z) as uy, z / sqrt(x * x + y * y + z * z) as uz, row_number() over () - 1 as k from v),
+{_corners(depth)},
 halves as (select structure_id, i, j from first where kind = 'contact' union all select structure_id, j, i from first where kind = 'contact'),
-tried as materialized (select a.structure_id, a.ball_id as parent, a.n + a.ball_id * 12 + k as id, a.x + ux * (a.r + 1.4e0) as x, a.y + uy * (a.r + 1.4e0) as y, a.z + uz * (a.r + 1.4e0) as z, a.x as c_x, a.y as c_y, a.z as c_z, a.r as c_r
+tried as materialized (select a.structure_id, a.ball_id as parent, a.n + a.ball_id * (select count(*) from corner) + k as id, a.x + ux * (a.r + 1.4e0) as x, a.y + uy * (a.r + 1.4e0) as y, a.z + uz * (a.r + 1.4e0) as z, a.x as c_x, a.y as c_y, a.z as c_z, a.r as c_r
       from atom a join first f on f.kind = 'cell' and f.v > 0 and f.structure_id = a.structure_id and f.i = a.ball_id, corner),
 beaten as (select distinct t.structure_id, t.id from tried t join halves h on h.structure_id = t.structure_id and h.i = t.parent join atom o on o.structure_id = h.structure_id and o.ball_id = h.j
       where sqrt({_sq('t.', 'o.')}) - o.r <= sqrt({_sq('t.', 't.c_')}) - t.c_r),
 drop_ as materialized (select * from tried anti join beaten using (structure_id, id)),
 balls as materialized (select structure_id, ball_id, x, y, z, greatest(r - 1.4e0, 1e-2) as r from atom union all select structure_id, id, x, y, z, 1.4e0 from drop_)"""
 
+
+def solvent_sql(depth: int) -> str:
+    """Solvent spheres with their weights."""
+    return geometry(
+        f"select d.structure_id, {_r('d.x', 'd.y', 'd.z', places=3)}, 1.4e0 as radius, round(coalesce(volume, 0), 3) + 0 as weight, parent as parent_index from drop_ d left join cell on cell.structure_id = d.structure_id and cell.index = d.id",
+        balls=_solvated(depth), probe="0")
+
+
 ORACLE_SQL = {
     "overlap_pairs": geometry(f"select structure_id, a, b, round(sqrt(d2), {PLACES}) + 0 as d from o"),
     "hidden_balls": geometry("select structure_id, a as ball_id from hid"),
@@ -201,9 +222,9 @@ ORACLE_SQL = {
     "incremental_update": geometry(_CONTACTS, moved=True),
     "incremental_cells": geometry(f"select structure_id, index, {_r('sas_area', 'volume', places=3)} from cell anti join (select structure_id, a as index from hid) using (structure_id, index)", moved=True),
     "restore": geometry(_CONTACTS),
-    "solvent": geometry(
-        f"select d.structure_id, {_r('d.x', 'd.y', 'd.z', places=3)}, 1.4e0 as radius, round(coalesce(volume, 0), 3) + 0 as weight, parent as parent_index from drop_ d left join cell on cell.structure_id = d.structure_id and cell.index = d.id",
-        balls=_SOLVATED, probe="0"),
+    "solvent": solvent_sql(2),
+    "solvent_corners": solvent_sql(0),
+    "solvent_points": f"with {_solvated(2).lstrip()} select structure_id, parent as parent_index, {_r('x', 'y', 'z')} from drop_",
     "json_document": geometry(
         "select b.structure_id, num_balls, coalesce(num_contacts, 0) as num_contacts, coalesce(num_central, 0) as num_central, coalesce(num_cells, 0) as num_cells, num_balls - coalesce(num_cells, 0) as num_without, "
         "round(coalesce(ca, 0), 2) + 0 as contact_area, round(coalesce(al, 0), 2) + 0 as arc_length, round(coalesce(sa, 0), 2) + 0 as sas_area, round(coalesce(vo, 0), 2) + 0 as volume "

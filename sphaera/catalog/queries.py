@@ -17,7 +17,7 @@ from sphaera.operators import overlap
 from sphaera.operators.groups import chain_groups, residue_groups, selection_groups
 from sphaera.operators.periodic import PeriodicBox, images
 from sphaera.plans.incremental import UpdateableTessellation
-from sphaera.plans.solvent import solvent_spheres
+from sphaera.plans.solvent import sample_points, solvent_spheres
 from sphaera.plans.tessellation import Tessellation, tessellate
 from sphaera.sources.radii import Radii
 from sphaera.sources.sinks import json_documents, pymol_lines
@@ -321,8 +321,19 @@ def icosahedron_points(spark, sf_dir):
 
 
 def solvent(spark, sf_dir):
-    rows = solvent_spheres(balls(spark, sf_dir), PROBE, depth=0)
-    return _rounded(rows, "x", "y", "z", "weight", places=3)
+    """Solvent at the default depth, 162 points around each ball."""
+    return _rounded(solvent_spheres(balls(spark, sf_dir), PROBE), "x", "y", "z", "weight", places=3)
+
+
+def solvent_corners(spark, sf_dir):
+    """Solvent at depth 0, which SQL can follow with its weights."""
+    return _rounded(solvent_spheres(balls(spark, sf_dir), PROBE, depth=0), "x", "y", "z", "weight", places=3)
+
+
+def solvent_points(spark, sf_dir):
+    """Where solvent goes at the default depth."""
+    t = tess(spark, sf_dir).kept()
+    return _rounded(sample_points(t.balls, t.contacts, t.cells, PROBE).drop("k"), "x", "y", "z")
 
 
 def json_document(spark, sf_dir):
@@ -386,7 +397,7 @@ QUERIES = {
     for f in (
         overlap_pairs, hidden_balls, neighbour_lists, pair_groups, contact_discs, clip_lines, contacts_area_arc, contact_central, contacts_full, grouped_contacts, cells, totals,
         per_ball, network_edges, network_vertices, periodic_images, periodic_overlaps, periodic_contacts, periodic_contacts_only, group_chain, group_residue, group_selection,
-        radii_lookup, xyzr_parse, pdb_parse, mmcif_parse, icosahedron_points, solvent, json_document, pymol, incremental_update, exclusion, restore,
+        radii_lookup, xyzr_parse, pdb_parse, mmcif_parse, icosahedron_points, solvent, solvent_corners, solvent_points, json_document, pymol, incremental_update, exclusion, restore,
         periodic_cells, skew_overlaps, skew_contacts, uneven_overlaps, pdb_assembly, pdb_first_model, mmcif_first_model, mmcif_assembly, selected_contacts, incremental_cells,
     )
 } | {name: _selection(text) for name, text in SELECTION_QUERIES.items()}

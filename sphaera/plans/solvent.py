@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sphaera.functions.geometry import Vec, distance
-from sphaera.functions.icosahedron import sphere_points
+from sphaera.functions.exposure import free_points
+from sphaera.functions.icosahedron import SphereTree, sphere_points
 from sphaera.operators.overlap import KEY
 from sphaera.operators.periodic import PeriodicBox
 from sphaera.plans.tessellation import tessellate
 from sphaera.staging import staged
 
 DEPTH = 2
+#: Balls whose points are looked at together, at most 2,562 of each.
+BALLS_AT_ONCE = 256
 
 
 class SolventError(ValueError):
@@ -43,14 +49,27 @@ def sample_points(balls: DataFrame, contacts: DataFrame, cells: DataFrame, probe
     half = contacts.select("structure_id", F.explode(ends).alias("e")).select("structure_id", "e.*")
     others = half.join(place.select("structure_id", F.col("ball_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyzr"]), ["structure_id", "other"])
     around = others.groupBy(*KEY).agg(F.collect_list(F.struct("ox", "oy", "oz", "or")).alias("near"))
-    # At most 2562 unit vectors, whatever the number of balls.
-    points = F.array(*[F.struct(F.lit(i).alias("k"), *[F.lit(v).alias(c) for c, v in zip("xyz", p)]) for i, p in enumerate(sphere_points(depth))])
-    rows = place.join(exposed, KEY, "left_semi").join(around, KEY, "left").withColumn("p", F.explode(points))
-    rows = rows.select("structure_id", F.col("ball_id").alias("parent_index"), "p.k", *[F.col(c).alias(f"c{c}") for c in "xyzr"], "near", *[(F.col(c) + F.col(f"p.{c}") * (F.col("r") + probe)).alias(c) for c in "xyz"])
-    point = Vec(F.col("x"), F.col("y"), F.col("z"))
-    own = distance(point, Vec(F.col("cx"), F.col("cy"), F.col("cz"))) - F.col("cr")
-    beaten = F.exists("near", lambda o: distance(point, Vec(o["ox"], o["oy"], o["oz"])) - o["or"] <= own)
-    return rows.where(~F.coalesce(beaten, F.lit(False))).select("structure_id", "parent_index", "k", "x", "y", "z")
+    rows = place.join(exposed, KEY, "left_semi").join(around, KEY, "left").select(*KEY, "x", "y", "z", "r", "near")
+    schema = T.StructType([rows.schema["structure_id"], *T._parse_datatype_string("parent_index long, k int, x double, y double, z double").fields])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+
+    def run(batches):
+        tree = SphereTree(depth)
+        for batch in (b.slice(i, BALLS_AT_ONCE) for b in batches for i in range(0, len(b), BALLS_AT_ONCE)):
+            column = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
+            centre, r = np.stack([column(i) for i in (2, 3, 4)], axis=1), column(5)
+            near = batch.column(6)
+            flat = near.flatten()
+            owner = np.repeat(np.arange(len(batch)), near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            other = [flat.field(f"o{c}").to_numpy(zero_copy_only=False) for c in "xyzr"]
+            free, _ = free_points(tree, centre, r, probe, owner, np.stack(other[:3], axis=1), other[3])
+            ball, point = np.nonzero(free)
+            at = centre[ball] + tree.points[point] * (r[ball] + probe)[:, None]
+            own = pa.array(ball)
+            columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(tree.k[point]), *map(pa.array, at.T)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def solvent_spheres(balls: DataFrame, probe: float = 1.4, volume_probe: float = 0.0, depth: int = DEPTH, box: PeriodicBox | None = None) -> DataFrame:
