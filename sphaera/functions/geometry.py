@@ -148,3 +148,12 @@ def rotate(axis: Vec, angle, v: Vec) -> Vec:
     """v turned around a unit axis."""
     c, s = F.cos(angle), F.sin(angle)
     return v.times(c).plus(axis.cross(v).times(s)).plus(axis.times(axis.dot(v) * (F.lit(1.0) - c)))
+
+
+def exact_sum(column: Column) -> Column:
+    """The sum of doubles of up to about 10^12 in all, the same whatever the order: each is split into two integers, of
+    2^-20 and of 2^-48, whose sums are exact."""
+    scaled = column * float(1 << 20)
+    whole = F.floor(scaled)
+    rest = F.round((scaled - whole) * float(1 << 28)).cast("long")
+    return F.sum(whole).cast("double") / float(1 << 20) + F.sum(rest).cast("double") / float(1 << 48)

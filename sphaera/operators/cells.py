@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sphaera.functions.geometry import PI
+from sphaera.functions.geometry import PI, exact_sum
 from sphaera.operators.overlap import KEY
 
 
@@ -22,10 +22,10 @@ def half_contacts(rows: DataFrame) -> DataFrame:
 
 def summaries(rows: DataFrame) -> DataFrame:
     """Per ball that has neighbours: number of contacts, and arc length, solid angles and volumes, by sign."""
-    plus = lambda c: F.sum(F.greatest(F.col(c), F.lit(0.0)))
-    minus = lambda c: F.sum(F.greatest(-F.col(c), F.lit(0.0)))
+    plus = lambda c: exact_sum(F.greatest(F.col(c), F.lit(0.0)))
+    minus = lambda c: exact_sum(F.greatest(-F.col(c), F.lit(0.0)))
     return half_contacts(rows).groupBy(*KEY).agg(
-        F.count("area").alias("n_contacts"), F.sum("arc_length").alias("arc_length"),
+        F.count("area").alias("n_contacts"), exact_sum(F.col("arc_length")).alias("arc_length"),
         plus("solid").alias("solid_plus"), minus("solid").alias("solid_minus"), plus("volume").alias("volume_plus"), minus("volume").alias("volume_minus"),
     )
 
@@ -61,8 +61,8 @@ def totals(balls: DataFrame, contact: DataFrame, cell: DataFrame) -> DataFrame:
     sid = F.col("structure_id") if "structure_id" in balls.columns else F.lit(0)
     parts = [
         balls.select(sid.alias("structure_id")).groupBy("structure_id").agg(F.count("*").alias("num_balls")),
-        contact.groupBy("structure_id").agg(F.count("*").alias("num_contacts"), F.sum("area").alias("total_contact_area")),
-        cell.groupBy("structure_id").agg(F.count("*").alias("num_cells"), F.sum("sas_area").alias("total_sas_area"), F.sum("volume").alias("total_volume")),
+        contact.groupBy("structure_id").agg(F.count("*").alias("num_contacts"), exact_sum(F.col("area")).alias("total_contact_area")),
+        cell.groupBy("structure_id").agg(F.count("*").alias("num_cells"), exact_sum(F.col("sas_area")).alias("total_sas_area"), exact_sum(F.col("volume")).alias("total_volume")),
     ]
     out = parts[0].join(parts[1], "structure_id", "left").join(parts[2], "structure_id", "left")
     zero = {"num_contacts": 0, "num_cells": 0, "total_contact_area": 0.0, "total_sas_area": 0.0, "total_volume": 0.0}

@@ -39,3 +39,33 @@ def test_written_by_many_tasks(spark, tmp_path):
     for s in (0, 1, 2, 7, 8):
         assert json.loads(text("json", s))["num_balls"] == (25 if s < 3 else s - 6)
     assert text("pymol", 1) == "\n".join(pymol_script(t, 1)) + "\n"
+
+
+def test_totals_do_not_depend_on_partitions(spark):
+    """Bit for bit the same totals and cells, however the balls and the shuffles are dealt."""
+    balls = some_balls(spark, 2, 120)
+    results = []
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            t = tessellate(balls.repartition(n), 0.7).kept()
+            results.append((sorted(map(tuple, t.totals.collect())), sorted(map(tuple, t.cells.collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert results[0] == results[1] == results[2]
+
+
+def test_exact_sums(spark):
+    from pyspark.sql import functions as F
+
+    from sphaera.functions.geometry import exact_sum
+
+    rng = random.Random(8)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 7) for _ in range(5000)]
+    exact = sum(map(__import__("fractions").Fraction, values))
+    sums = {spark.createDataFrame([(v,) for v in rng.sample(values, len(values))], "v double").repartition(n).agg(exact_sum(F.col("v"))).first()[0] for n in (1, 7, 40)}
+    assert len(sums) == 1 and sums.pop() == pytest.approx(float(exact), abs=1e-8)
+    assert spark.createDataFrame([(None,)], "v double").agg(exact_sum(F.col("v"))).first()[0] is None
