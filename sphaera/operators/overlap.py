@@ -53,13 +53,16 @@ CELL_ROWS = 20_000
 _CELL = ["structure_id", "level", "fine", "gx", "gy", "gz"]
 
 
-def _with_classes(spheres: DataFrame, *more: DataFrame) -> list[DataFrame]:
+def _with_classes(spheres: DataFrame, *more: DataFrame) -> tuple[list[DataFrame], bool]:
     """Each frame with the class of every sphere, the power of two below its radius, and the classes of its
-    structure with their largest radii, as an array: of those there are as many as there are powers of two."""
+    structure with their largest radii, as an array: of those there are as many as there are powers of two. Also
+    whether a structure has so many spheres that a cell might be crowded. The classes are looked up once and
+    written, a row for each structure."""
     level = F.floor(F.log2(F.greatest("r", F.lit(LEAST_RADIUS)))).cast("int").alias("level")
-    found = spheres.groupBy("structure_id", level).agg(F.greatest(F.max("r"), F.lit(LEAST_RADIUS)).alias("reach"))
-    found = found.groupBy("structure_id").agg(F.collect_list(F.struct("level", "reach")).alias("classes"))
-    return [f.select("*", level).join(found, "structure_id") for f in (spheres, *more)]
+    found = spheres.groupBy("structure_id", level).agg(F.greatest(F.max("r"), F.lit(LEAST_RADIUS)).alias("reach"), F.count("*").alias("n"))
+    found = staged(found.groupBy("structure_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "reach")).alias("classes")), "classes")
+    many = not found.where(F.col("n") > CELL_ROWS).isEmpty()
+    return [f.select("*", level).join(found.drop("n"), "structure_id") for f in (spheres, *more)], many
 
 
 def _cells(df: DataFrame, size: Column, box: PeriodicBox | None) -> DataFrame:
@@ -118,16 +121,16 @@ def _calls(classed: DataFrame, box: PeriodicBox | None, half: bool, fine_only: b
     return rows.select(*kept, mine, *[(at[c] - off[c] * F.col(f"n{c}")).alias(f"g{c}") for c in "xyz"], *[off[c].alias(f"q{c}") for c in "xyz"])
 
 
-def _split(stays: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def _split(stays: DataFrame, calls: DataFrame, many: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with blocks of the cells that have more than CELL_ROWS rows of either side, and the columns to join
-    on: a block of one side meets each block of the other. Where no cell can have that many, they come back as
-    they are; that is looked up first, by structure and class and then by cell."""
-    crowded = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
-    if crowded(stays, _CELL[:3]).isEmpty() or crowded(stays, _CELL).isEmpty():
+    on: a block of one side meets each block of the other. Where no cell has that many, they come back as they are;
+    that is looked up first, if there are structures that are large enough."""
+    crowded = lambda rows: rows.groupBy(*_CELL).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    if not many or crowded(stays).isEmpty():
         # No cell around one has more than its 27 or 125 times as many callers.
         return stays, calls, _CELL
     parts = F.ceil(F.col("n") / CELL_ROWS).cast("int")
-    a, b = (crowded(rows, _CELL).select(*_CELL, parts.alias(n)) for rows, n in ((stays, "a_parts"), (calls, "b_parts")))
+    a, b = (crowded(rows).select(*_CELL, parts.alias(n)) for rows, n in ((stays, "a_parts"), (calls, "b_parts")))
     both = staged(a.join(b, _CELL, "full").fillna(1, ["a_parts", "b_parts"]), "crowded")
     if both.limit(CROWDED_CELLS + 1).count() <= CROWDED_CELLS:
         both = F.broadcast(both)
@@ -139,10 +142,10 @@ def _split(stays: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame, li
     return *out, [*_CELL, "a_block", "b_block"]
 
 
-def _met(stays: DataFrame, calls: DataFrame, box: PeriodicBox | None) -> DataFrame:
+def _met(stays: DataFrame, calls: DataFrame, box: PeriodicBox | None, many: bool) -> DataFrame:
     """Overlapping (p, q): p stays, q calls, each a struct (ball_id, x, y, z, r, grp). In a box, q moved by sx, sy, sz
     boxes touches p; only moves by up to one box along each vector count."""
-    stays, calls, on = _split(stays, calls)
+    stays, calls, on = _split(stays, calls, many)
     whole = lambda df, n: df.select(*on, *[c for c in df.columns if c in ("own", "wx", "wy", "wz", "qx", "qy", "qz")], F.struct("ball_id", *SPHERE, "grp").alias(n))
     found = whole(stays, "p").join(whole(calls, "q"), on)
     moves = [F.col(f"w{c}") - F.col(f"q{c}") for c in "xyz"] if box else [F.lit(0).cast("long")] * 3
@@ -189,14 +192,14 @@ def overlaps(spheres: DataFrame, box: PeriodicBox | None = None, some: DataFrame
     boxes apart its cells are.
     """
     if some is None:
-        (classed,) = _with_classes(spheres)
-        found = _met(_stays(classed, box), _calls(classed, box, half=True), box)
+        (classed,), many = _with_classes(spheres)
+        found = _met(_stays(classed, box), _calls(classed, box, half=True), box, many)
         both = F.array(_seen("p", "q", box, 1), _seen("q", "p", box, -1))
         return found.select("structure_id", F.explode(both).alias("o")).select("structure_id", "o.*")
-    classed, left = _with_classes(spheres, spheres.join(some, KEY, "left_semi"))
+    (classed, left), many = _with_classes(spheres, spheres.join(some, KEY, "left_semi"))
     # Those call others of their class and finer ones, and coarser ones call them.
-    called = _met(_stays(classed, box), _calls(left, box, half=False).withColumn("own", F.lit(False)), box).select("structure_id", _seen("q", "p", box, -1).alias("o"))
-    heard = _met(_stays(left, box, coarser_only=True), _calls(classed, box, half=False, fine_only=True), box).select("structure_id", _seen("p", "q", box, 1).alias("o"))
+    called = _met(_stays(classed, box), _calls(left, box, half=False).withColumn("own", F.lit(False)), box, many).select("structure_id", _seen("q", "p", box, -1).alias("o"))
+    heard = _met(_stays(left, box, coarser_only=True), _calls(classed, box, half=False, fine_only=True), box, many).select("structure_id", _seen("p", "q", box, 1).alias("o"))
     return called.unionByName(heard).select("structure_id", "o.*")
 
 

@@ -76,8 +76,9 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     rng = np.random.default_rng(4)
     balls = [np.vstack([sizes(rng, 150, 6.0), sizes(rng, 100, 30.0), [[3.0, 3.0, 3.0, 40.0]]])]
     spheres = table(spark, balls)
-    classed = overlap._with_classes(spheres)[0]
-    stays, calls, on = overlap._split(overlap._stays(classed, None), overlap._calls(classed, None, half=True))
+    (classed,), many = overlap._with_classes(spheres)
+    assert many
+    stays, calls, on = overlap._split(overlap._stays(classed, None), overlap._calls(classed, None, half=True), many)
     assert on[-2:] == ["a_block", "b_block"]
     assert stays.groupBy(*on).count().agg(F.max("count")).first()[0] <= 3 * 20
     assert calls.groupBy(*on).count().agg(F.max("count")).first()[0] <= 3 * 20
@@ -92,8 +93,9 @@ def test_one_large_ball_among_many_small(spark):
     large = np.array([150.0, 150.0, 150.0, 150.0])
     df = spark.createDataFrame([(0, i, *map(float, b)) for i, b in enumerate(np.vstack([small, [large]]))], "structure_id long, ball_id long, x double, y double, z double, r double")
     spheres = spheres_of(df.repartition(16))
-    classed = overlap._with_classes(spheres)[0]
-    stays, calls, on = overlap._split(overlap._stays(classed, None), overlap._calls(classed, None, half=True))
+    (classed,), many = overlap._with_classes(spheres)
+    assert many
+    stays, calls, on = overlap._split(overlap._stays(classed, None), overlap._calls(classed, None, half=True), many)
     sizes_of = lambda df, n: df.groupBy(*on).agg(F.count("*").alias(n))
     both = sizes_of(stays, "m").join(sizes_of(calls, "n"), on)
     candidates, most = both.agg(F.sum(F.col("m") * F.col("n")), F.max("m")).first()
