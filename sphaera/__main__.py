@@ -61,7 +61,7 @@ def main(args: list[str] | None = None) -> int:
         box = PeriodicBox.from_corners(c[:3], c[3:])
     elif c := a.periodic_box_directions:
         box = PeriodicBox.from_vectors(c[:3], c[3:6], c[6:])
-    result = tessellate(atoms, a.probe, box)
+    result = tessellate(atoms, a.probe, box).kept(bool(a.pymol))
     documents = json_documents(result)
     if a.output:
         documents.select(F.col("json").alias("value")).write.mode("overwrite").text(a.output)

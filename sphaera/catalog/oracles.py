@@ -225,6 +225,14 @@ ORACLE_SQL = {
     "solvent": solvent_sql(2),
     "solvent_corners": solvent_sql(0),
     "solvent_points": f"with {_solvated(2).lstrip()} select structure_id, parent as parent_index, {_r('x', 'y', 'z')} from drop_",
+    # Around the centre of the disc, a piece of a line and a chord of an arc each span a triangle.
+    "face_polygons": geometry(
+        f"select structure_id, a, b, cast(sum(points) as bigint) as points, round(sum(area), {PLACES}) + 0 as area, round(sum(length), {PLACES}) + 0 as boundary from ("
+        "select structure_id, a, b, 1 as points, 0.5 * dist * (hi - lo) as area, hi - lo as length from piece semi join con using (structure_id, a, b, image) union all "
+        "select structure_id, a, b, n, n * 0.5 * rr * rr * sin(len / n), n * 2 * rr * sin(len / n / 2) from (select structure_id, a, b, len, rr, "
+        "case when np is null then 13 else greatest(floor(len / 0.5), 1) end as n from arc join con using (structure_id, a, b, image) left join (select structure_id, a, b, count(*) as np from piece group by all) using (structure_id, a, b))"
+        ") group by all having sum(points) >= 3"
+    ),
     "json_document": geometry(
         "select b.structure_id, num_balls, coalesce(num_contacts, 0) as num_contacts, coalesce(num_central, 0) as num_central, coalesce(num_cells, 0) as num_cells, num_balls - coalesce(num_cells, 0) as num_without, "
         "round(coalesce(ca, 0), 2) + 0 as contact_area, round(coalesce(al, 0), 2) + 0 as arc_length, round(coalesce(sa, 0), 2) + 0 as sas_area, round(coalesce(vo, 0), 2) + 0 as volume "

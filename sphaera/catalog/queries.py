@@ -353,6 +353,19 @@ def json_document(spark, sf_dir):
     return _rounded(rows, *rows.columns[6:], places=2)
 
 
+def face_polygons(spark, sf_dir):
+    """The polygon of each face: its corners, and the area and length of boundary that they enclose."""
+    rows = tess(spark, sf_dir).faces()
+    vec = lambda p: g.Vec(p["x"], p["y"], p["z"])
+    middle, normal = vec(F.col("barycenter")), vec(F.col("normal"))
+    n = F.size("outer_points")
+    rows = rows.withColumn("edges", F.arrays_zip(F.col("outer_points").alias("p"), F.concat(F.slice("outer_points", F.lit(2), n - 1), F.slice("outer_points", 1, 1)).alias("q")))
+    total = lambda f: F.aggregate("edges", F.lit(0.0), lambda s, e: s + f(vec(e["p"]), vec(e["q"])))
+    area = total(lambda p, q: p.minus(middle).cross(q.minus(middle)).dot(normal)) / 2.0
+    rows = rows.select("structure_id", "a", "b", n.cast("long").alias("points"), area.alias("area"), total(g.distance).alias("boundary"))
+    return _rounded(rows, "area", "boundary")
+
+
 def pymol(spark, sf_dir):
     return pymol_lines(tess(spark, sf_dir))
 
@@ -398,6 +411,6 @@ QUERIES = {
         overlap_pairs, hidden_balls, neighbour_lists, pair_groups, contact_discs, clip_lines, contacts_area_arc, contact_central, contacts_full, grouped_contacts, cells, totals,
         per_ball, network_edges, network_vertices, periodic_images, periodic_overlaps, periodic_contacts, periodic_contacts_only, group_chain, group_residue, group_selection,
         radii_lookup, xyzr_parse, pdb_parse, mmcif_parse, icosahedron_points, solvent, solvent_corners, solvent_points, json_document, pymol, incremental_update, exclusion, restore,
-        periodic_cells, skew_overlaps, skew_contacts, uneven_overlaps, pdb_assembly, pdb_first_model, mmcif_first_model, mmcif_assembly, selected_contacts, incremental_cells,
+        periodic_cells, skew_overlaps, skew_contacts, uneven_overlaps, pdb_assembly, pdb_first_model, mmcif_first_model, mmcif_assembly, selected_contacts, incremental_cells, face_polygons,
     )
 } | {name: _selection(text) for name, text in SELECTION_QUERIES.items()}

@@ -74,9 +74,10 @@ def boundaries(near: DataFrame) -> DataFrame:
     return _constructed(near, f"{CONTACT}, {BOUNDARY}", lambda s: contact_columns(s, True), mark=False)
 
 
-def measured(near: DataFrame) -> DataFrame:
-    """Each contact once, and before them a row without b for each sphere that has neighbours."""
-    return _constructed(near, CONTACT, lambda s: contact_columns(s, False), mark=True)
+def measured(near: DataFrame, network: bool = False) -> DataFrame:
+    """Each contact once, and before them a row without b for each sphere that has neighbours; with network, also what
+    boundaries() has."""
+    return _constructed(near, f"{CONTACT}, {BOUNDARY}" if network else CONTACT, lambda s: contact_columns(s, network), mark=True)
 
 
 def contacts_full(rows: DataFrame) -> DataFrame:

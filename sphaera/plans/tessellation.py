@@ -25,7 +25,8 @@ class Tessellation:
     """The tables of a tessellation, each a DataFrame that is computed when it is asked for.
 
     balls has ball_id, x, y, z, r and, as far as they apply, structure_id and grp. kept() gives one whose
-    contacts are constructed once and written, for callers that need several tables.
+    contacts, and with network their boundaries, are constructed once and written, for callers that need several
+    tables: contacts, cells, totals, edges, vertices and faces then come from one overlap join and one pass.
     """
 
     balls: DataFrame
@@ -33,8 +34,10 @@ class Tessellation:
     box: PeriodicBox | None = None
     written: DataFrame | None = None
 
-    def kept(self) -> Tessellation:
-        return self if self.written is not None else replace(self, written=staged(self.measured, "contacts"))
+    def kept(self, network: bool = False) -> Tessellation:
+        if self.written is not None and (not network or "pieces" in self.written.columns):
+            return self
+        return replace(self, written=staged(contact_ops.measured(self.neighbours, network), "contacts"))
 
     @cached_property
     def spheres(self) -> DataFrame:
@@ -50,6 +53,8 @@ class Tessellation:
 
     @cached_property
     def boundaries(self) -> DataFrame:
+        if self.written is not None and "pieces" in self.written.columns:
+            return contact_ops.contacts_full(self.written)
         return contact_ops.boundaries(self.neighbours)
 
     @cached_property
@@ -101,7 +106,7 @@ class Tessellation:
 
     def faces(self, angle_step: float = face_ops.ANGLE_STEP) -> DataFrame:
         """Polygons to draw; the periodic box does not count."""
-        plain = Tessellation(self.balls, self.probe)
+        plain = Tessellation(self.balls, self.probe) if self.box else self
         return face_ops.faces(plain.boundaries, angle_step)
 
 

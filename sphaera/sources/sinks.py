@@ -108,7 +108,7 @@ def pymol_script(t: Tessellation, structure_id=0, **options) -> Iterator[str]:
 def result_dict(t: Tessellation, network: bool = False) -> dict:
     """One structure as plain Python values, for callers with small inputs."""
     rows = lambda df, *order: [{k: v for k, v in r.asDict().items() if k != "structure_id"} for r in df.orderBy(*order).collect()]
-    t = t.kept()
+    t = t.kept(network)
     out = {k: v for k, v in (t.totals.first() or {"num_balls": 0}).asDict().items() if k.startswith(("num_balls", "total"))}
     out |= {"contacts": rows(t.contacts, "id_a", "id_b"), "cells": rows(t.cells, "index")}
     if network:
