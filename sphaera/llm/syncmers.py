@@ -3,7 +3,8 @@
 A text is a sequence of characters (code points). Of its k-mers, runs of k characters, the closed syncmers are
 those whose smallest s-mer, by hash, stands at the first or the last place: whether a k-mer is one depends on
 nothing around it, so an unchanged passage keeps its anchors wherever it moves. A fingerprint is the bottom
-sketch of the anchors' hashes: its ``SKETCH`` smallest different ones, all of them where there are fewer.
+sketch of the anchors' hashes, those that repeat mixed with their number: its ``SKETCH`` smallest different ones, all
+of them where there are fewer.
 
 Arrays of a text's length are made one from another, each in one pass: hashes of characters, of runs of two,
 four and more characters by pairing an array with itself moved, and sliding minima in the same way.
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 K = 12
 S = 8
 SKETCH = 64
+#: A bound on how many anchors a text can have: arrays are no longer.
+MOST_ANCHORS = 1 << 31
 
 
 def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -71,12 +74,36 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return F.array_compact(placed)
 
 
+def occurrences(hashes: Column) -> Column:
+    """The hashes of a multiset as a set: of equal ones, all but one are mixed with their number. So a text that repeats
+    itself is as long a set as another one.
+
+    Among sorted hashes, where the run of an element ends is the least place from there on that differs from the next
+    one: minima over 2, 4, 8... elements, as long as there are so many.
+    """
+    last = (1 << 31) - 1
+
+    def numbered(h: Column) -> Column:
+        ends = F.zip_with(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _moved(h, 1), lambda a, b: F.when(a["x"].eqNullSafe(b), F.lit(last)).otherwise(a["i"]))
+
+        def least(x: Column, step: int) -> Column:
+            if step == MOST_ANCHORS:
+                return F.transform(F.zip_with(h, x, lambda a, e: F.struct(a.alias("x"), e.alias("e"))), lambda a, i: F.when(a["e"] == i, a["x"]).otherwise(F.shiftrightunsigned(F.xxhash64(a["x"], a["e"] - i), 32)))
+            grown = F.when(F.size(h) > step, F.zip_with(x, _moved(x, step), lambda a, b: F.least(a, b))).otherwise(x)
+            return _bind(grown, lambda y: least(y, 2 * step))
+
+        return _bind(ends, lambda x: least(x, 1))
+
+    # Most texts repeat no anchor.
+    return _bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(_bind(F.sort_array(h), numbered)))
+
+
 def sketch(hashes: Column, size: int = SKETCH) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+    return F.slice(F.sort_array(F.array_distinct(occurrences(hashes))), 1, size)
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """The Jaccard similarity of two sets of anchors as their sketches tell it; two empty ones are alike."""
+    """The Jaccard similarity of two multisets of anchors as their sketches tell it; two empty ones are alike."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
     common = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
