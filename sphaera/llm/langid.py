@@ -174,7 +174,9 @@ class Model:
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, least_count: int = LEAST_COUNT) -> Model:
     """Learn from a bounded sample of labelled documents (null labels and texts teach nothing).
 
-    Spark counts words and n-grams; the driver gets those that occur at least ``least_count`` times.
+    Spark counts words and n-grams; the driver gets those that occur at least ``least_count`` times. Rows that repeat
+    teach again as often; very long texts teach whole; other columns are not looked at. An empty table, or one
+    without labels, gives a model that tells nothing.
     """
     sample = training_sample(docs, id, text, lang, per_language).select("lang", "text")
     # Words repeat, so their n-grams are taken from each language's distinct words.
@@ -190,7 +192,8 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1). Texts that are null or have no letter are ``und`` with score
-    0, and so is everything if the model learned from nothing. Ties go to the first language by name."""
+    0, and so is everything if the model learned from nothing. Ties go to the first language by name. Repeated rows
+    come back as they came, columns named like a result are replaced, and very long texts are judged whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

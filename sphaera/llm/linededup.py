@@ -154,7 +154,8 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with kept_text, n_lines (before) and n_dropped. A null or empty text is one empty line.
 
-    Repeated rows come back as they came, and columns of docs named like a result are replaced. Documents
+    Repeated rows come back as they came, and columns of docs named like a result are replaced; an empty table stays
+    empty. Very long texts are taken whole, a line at a time in their task. Documents
     that lose no line stay where they are; only those that may lose one shuffle.
     """
     drops = repeated_lines(docs, id, text, min_chars, min_docs).groupBy("id").agg(F.collect_set("key").alias("__drop"))

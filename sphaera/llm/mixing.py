@@ -130,7 +130,8 @@ def mix(
     rate times weight: it has their whole part for sure and is drawn for the rest, so that the expected mix
     meets the targets even where rare documents must repeat. probability is that of at least one copy.
     Documents without tokens have weight 0. targets default to tempered token shares. Columns of docs named
-    like a result are replaced; repeated rows are drawn alike.
+    like a result are replaced; repeated rows are drawn alike. Nulls in a dimension are a value of their own; texts, very
+    long ones too, count by their tokens alone. An empty table stays empty.
     """
     results = ("weight", "probability", "copies")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])

@@ -221,7 +221,7 @@ def near_duplicates(
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows come back as often as
     they came; a null id never becomes a component_id unless the whole component has none. Other columns
-    of df are not looked at. An empty table gives an empty result.
+    of df are not looked at. Very long texts count with all of their shingles. An empty table gives an empty result.
     """
     base = staged(with_fingerprints(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "fingerprints")
     lowest = staged(base.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")

@@ -46,7 +46,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     Between full responses of one second the largest record_id counts; a response of the revisit's own second
     is not earlier. outcome: "resolved", "unverified" (the revisit has no validator that the response has as
     well; still resolved), "mismatch" or "missing" (nothing earlier, or a null url or ts); the last two have
-    no headers and no digest. Entity tags compare weakly and go before Last-Modified, which goes before the
+    no headers and no digest. Repeated records are records of their own; very long urls are compared whole. Entity tags compare weakly and go before Last-Modified, which goes before the
     payload digest. Columns beyond the six are not looked at.
 
     A URL's history is dealt out by time: each bucket finds its own latest responses and, from one summary

@@ -542,7 +542,8 @@ def extract_articles(pages: DataFrame, url: str = "url", html: str = "html") ->
     Null html is empty; pages without a host share one wrapper. Repeated rows come back as they came and
     columns named text are replaced; an empty table stays empty. Pages may be of any length, depth and width:
     a node with more than MAX_KIDS different children, or MAX_DEPTH deep, is one slot to its wrapper, and its
-    text is extracted whole. Results do not depend on the order of pages.
+    text is extracted whole. Results do not depend on the order of pages: where shapes tie, or regions do, the
+    digest of the shape decides, and of several regions with text that differs the node above them is taken.
     """
     rules = staged(infer_wrappers(pages, url, html).mapInArrow(_rules, "host string, rule string"), "rules")
     # Two rules a host at most.
