@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each takes the documents that the one before it kept."""
+"""A corpus pipeline of five stages; each takes the documents that the one before it kept.
+
+Every stage takes tables with nulls in any column, empty and very long texts, repeated rows and further columns, also
+such as are named like an operator's own; it returns the columns that it got, and an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from sphaera.llm.common import read, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without letters go. Learns from four fifths of docs; where
+    """Documents whose language can be told; texts without letters, and nulls, go. Learns from four fifths of docs; where
     nothing could be learnt, all texts with letters stay."""
     model = langid.fit(docs.where(~langid.held_out()))
     if not model.rows.num_rows:
@@ -24,24 +28,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three or more documents share stay in one of them."""
+    """Lines that three or more documents share stay in the one with the largest id. Null texts stay null; a text that
+    loses all of its lines is empty and stays."""
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     out = linededup.dedup_lines(docs).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id; null ids go before all others. Rows that repeat
+    the document that stays are copies of it and stay with it."""
     return simhash.without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null texts and benchmarks have none."""
     return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn with calibrated probabilities, with their weights."""
+    """The documents drawn with calibrated probabilities, with their weights. Nulls of source and lang are values of
+    their own; documents without tokens have weight 0 and are not drawn."""
     tokens = mixing.token_count(F.col("text"))
     found = mixing.mix(docs.withColumn("n_tokens", tokens).withColumn("topic", mixing.topic_of(F.col("text"), F.col("n_tokens"))), ("source", "lang", "topic"), "n_tokens")
     return found.where("copies > 0")
