@@ -1,7 +1,7 @@
 """Which spheres overlap: a range join on a grid, the hidden spheres, and the neighbours of each sphere.
 
 Tables are keyed by (structure_id, ball_id). The grid is a hash join of several levels, one for each class of
-radii (powers of two): a sphere stays in the cell of its own class, and in one of each coarser class of its
+radii (powers of four): a sphere stays in the cell of its own class, and in one of each coarser class of its
 structure; it calls, in the cells around, those of its class and of finer ones. So a pair meets once, on the level of
 the larger one, and large spheres do not make the cells of small ones large. A giant structure spreads over as many
 keys as it has cells, and a crowded cell over blocks.
@@ -54,11 +54,11 @@ _CELL = ["structure_id", "level", "fine", "gx", "gy", "gz"]
 
 
 def _with_classes(spheres: DataFrame, *more: DataFrame) -> tuple[list[DataFrame], bool]:
-    """Each frame with the class of every sphere, the power of two below its radius, and the classes of its
-    structure with their largest radii, as an array: of those there are as many as there are powers of two. Also
+    """Each frame with the class of every sphere, the power of four below its radius, and the classes of its
+    structure with their largest radii, as an array: of those there are as many as there are powers of four. Also
     whether a structure has so many spheres that a cell might be crowded. The classes are looked up once and
     written, a row for each structure."""
-    level = F.floor(F.log2(F.greatest("r", F.lit(LEAST_RADIUS)))).cast("int").alias("level")
+    level = F.floor(F.log2(F.greatest("r", F.lit(LEAST_RADIUS))) / 2.0).cast("int").alias("level")
     found = spheres.groupBy("structure_id", level).agg(F.greatest(F.max("r"), F.lit(LEAST_RADIUS)).alias("reach"), F.count("*").alias("n"))
     found = staged(found.groupBy("structure_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "reach")).alias("classes")), "classes")
     many = not found.where(F.col("n") > CELL_ROWS).isEmpty()
