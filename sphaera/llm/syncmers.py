@@ -78,24 +78,28 @@ def occurrences(hashes: Column) -> Column:
     """The hashes of a multiset as a set: of equal ones, all but one are mixed with their number. So a text that repeats
     itself is as long a set as another one.
 
-    Among sorted hashes, where the run of an element ends is the least place from there on that differs from the next
-    one: minima over 2, 4, 8... elements, as long as there are so many.
+    Only what repeats is looked at: among the sorted repetitions, where the run of an element ends is the least place
+    from there on that differs from the next one, by minima over 2, 4, 8... elements as far as there are so many.
     """
     last = (1 << 31) - 1
 
-    def numbered(h: Column) -> Column:
-        ends = F.zip_with(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _moved(h, 1), lambda a, b: F.when(a["x"].eqNullSafe(b), F.lit(last)).otherwise(a["i"]))
+    def numbered(again: Column) -> Column:
+        ends = F.zip_with(F.transform(again, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _moved(again, 1), lambda a, b: F.when(a["x"].eqNullSafe(b), F.lit(last)).otherwise(a["i"]))
 
         def least(x: Column, step: int) -> Column:
+            mixed = F.transform(F.zip_with(again, x, lambda a, e: F.struct(a.alias("x"), e.alias("e"))), lambda a, i: F.shiftrightunsigned(F.xxhash64(a["x"], a["e"] - i + 1), 32))
             if step == MOST_ANCHORS:
-                return F.transform(F.zip_with(h, x, lambda a, e: F.struct(a.alias("x"), e.alias("e"))), lambda a, i: F.when(a["e"] == i, a["x"]).otherwise(F.shiftrightunsigned(F.xxhash64(a["x"], a["e"] - i), 32)))
-            grown = F.when(F.size(h) > step, F.zip_with(x, _moved(x, step), lambda a, b: F.least(a, b))).otherwise(x)
-            return _bind(grown, lambda y: least(y, 2 * step))
+                return mixed
+            grown = F.zip_with(x, _moved(x, step), lambda a, b: F.least(a, b))
+            return F.when(F.size(again) <= step, mixed).otherwise(_bind(grown, lambda y: least(y, 2 * step)))
 
         return _bind(ends, lambda x: least(x, 1))
 
-    # Most texts repeat no anchor.
-    return _bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(_bind(F.sort_array(h), numbered)))
+    def whole(h: Column, once: Column) -> Column:
+        again = F.array_compact(_bind(F.sort_array(h), lambda x: F.zip_with(x, _moved(x, 1), lambda a, b: F.when(a == b, b))))
+        return F.when(F.size(once) == F.size(h), once).otherwise(F.concat(once, _bind(again, numbered)))
+
+    return _bind(hashes, lambda h: _bind(F.array_distinct(h), lambda once: whole(h, once)))
 
 
 def sketch(hashes: Column, size: int = SKETCH) -> Column:
