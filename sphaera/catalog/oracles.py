@@ -220,7 +220,12 @@ ORACLE_SQL = {
         f"select structure_id, least(a, b) as id_a, greatest(a, b) as id_b, {_r('area')} from con qualify row_number() over (partition by structure_id, least(a, b), greatest(a, b), image <> 0 {_PERIODIC_ORDER}) = 1", box=_SKEW),
     "uneven_overlaps": geometry(f"select structure_id, a, b, round(sqrt(d2), {PLACES}) + 0 as d from o", balls=_UNEVEN),
     "incremental_update": geometry(_CONTACTS, moved=True),
-    "incremental_cells": geometry(f"select structure_id, index, {_r('sas_area', 'volume', places=3)} from cell anti join (select structure_id, a as index from hid) using (structure_id, index)", moved=True),
+    # Of the balls that an update reaches, those with neighbours but without a contact keep a whole cell.
+    "incremental_cells": geometry(
+        f"select structure_id, index, {_r('sas_area', 'volume', places=3)} from cell anti join (select structure_id, a as index from hid) using (structure_id, index) union all "
+        f"select structure_id, id, round(4 * {PI} * r * r, 3) + 0, round(4 * {PI} * r * r * r / 3, 3) + 0 from s semi join (select structure_id, id from s where id % 100 = 7 union select structure_id, b from o where a % 100 = 7 "
+        f"union select p.structure_id, q.ball_id from balls p join balls q on p.structure_id = q.structure_id and p.ball_id % 100 = 7 and {_sq('p.', 'q.')} < (p.r + q.r + 2.8e0) * (p.r + q.r + 2.8e0)) using (structure_id, id) "
+        "anti join (select structure_id, index as id from cell) using (structure_id, id) anti join (select structure_id, a as id from hid) using (structure_id, id)", moved=True),
     "restore": geometry(_CONTACTS),
     "solvent": solvent_sql(2),
     "solvent_corners": solvent_sql(0),

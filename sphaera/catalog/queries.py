@@ -383,7 +383,8 @@ def incremental_update(spark, sf_dir):
 
 
 def incremental_cells(spark, sf_dir):
-    """Cells after some balls moved: those of a full computation, but that hidden balls have none."""
+    """Cells after some balls moved: those of a full computation, but that hidden balls have none, and balls that the
+    update reached and left with neighbours but without a contact have a whole one."""
     t = UpdateableTessellation()
     t.init(balls(spark, sf_dir), PROBE)
     t.update(moved(balls(spark, sf_dir)))
