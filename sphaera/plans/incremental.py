@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from sphaera.functions.geometry import eq
 from sphaera.operators import cells as cell_ops
 from sphaera.operators import contacts as contact_ops
-from sphaera.operators.overlap import KEY, hidden, neighbours, overlaps, spheres_of
+from sphaera.operators.overlap import KEY, Neighbourhoods, neighbourhoods, spheres_of
 from sphaera.operators.periodic import PeriodicBox, first_of_pair
 from sphaera.staging import shared_dir, staged
 
@@ -116,31 +116,33 @@ class UpdateableTessellation:
     def _written(self, balls: DataFrame, tables: dict[str, DataFrame], digests: dict[int, tuple[int, int]]) -> State:
         return State(**{n: Kept.written(df, self.buckets, f"state-{n}") for n, df in {"balls": balls, **tables}.items()}, digests=digests)
 
-    def _around(self, balls: DataFrame, some: DataFrame | None, excluded: DataFrame) -> DataFrame:
+    def _around(self, balls: DataFrame, some: DataFrame | None, excluded: DataFrame) -> Neighbourhoods:
         spheres = spheres_of(balls, self.probe)
         if not self.excluded_clip:
             spheres = spheres.join(excluded, KEY, "left_anti")
-        return overlaps(spheres, self.box, some)
-
-    def _measured(self, near: DataFrame, excluded: DataFrame, some: DataFrame | None) -> DataFrame:
-        """What contacts.measured() gives, without contacts of excluded balls, and only those of two of some."""
-        rows = contact_ops.measured(near)
+        return neighbourhoods(spheres, self.box, some)
+
+    def _measured(self, near: Neighbourhoods, excluded: DataFrame, some: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """What contacts.measured() gives, without contacts of excluded balls, and only those of two of some; and, from the
+        same pass, (structure_id, a, links, hidden) of each sphere that overlaps any."""
+        found = staged(contact_ops.measured(near, links=True), "state")
+        over = found.where("links is not null").select("structure_id", "a", F.array_distinct("links").alias("links"), "hidden")
+        rows = found.where("b is not null or around").drop("links", "hidden", "around")
         for end in "ab":
             rows = rows.join(excluded.select("structure_id", F.col("ball_id").alias(end)), ["structure_id", end], "left_anti")
         if some is not None:
             inside = some.select("structure_id", F.col("ball_id").alias("b"), F.lit(True).alias("inside"))
             rows = rows.join(inside, ["structure_id", "b"], "left").where("b is null or inside").drop("inside")
-        return staged(rows, "state")
+        return rows, over
 
     def _cells(self, balls, over, rows, excluded, after_update: bool) -> DataFrame:
-        spheres = spheres_of(balls, self.probe).join(excluded, KEY, "left_anti").join(hidden(over), KEY, "left_anti")
+        hidden = over.where("hidden").select("structure_id", F.col("a").alias("ball_id"))
+        spheres = spheres_of(balls, self.probe).join(excluded, KEY, "left_anti").join(hidden, KEY, "left_anti")
         return cell_ops.cells(spheres, rows, detached_without_contacts=after_update)
 
     def _computed(self, balls: DataFrame, excluded: DataFrame, after_update: bool) -> dict[str, DataFrame]:
-        over = self._around(balls, None, excluded)
-        rows = self._measured(neighbours(over), excluded, None)
-        links = over.select("structure_id", "a", "b").distinct()
-        return {"excluded": excluded, "links": links, "full": contact_ops.contacts_full(rows), "cells": self._cells(balls, over, rows, excluded, after_update)}
+        rows, over = self._measured(self._around(balls, None, excluded), excluded, None)
+        return {"excluded": excluded, "links": over.drop("hidden"), "full": contact_ops.contacts_full(rows), "cells": self._cells(balls, over, rows, excluded, after_update)}
 
     def _changes(self, new: DataFrame, here: Iterable[int]) -> tuple[DataFrame, bool]:
         """The balls of some buckets that differ between the state and new, and whether they are the same ones."""
@@ -213,8 +215,8 @@ class UpdateableTessellation:
             return False
         digests = {b: d for b, d in self.state.digests.items() if b not in here} | self._digests(balls)
         limit = max(sum(n for n, _ in digests.values()) // 2, LEAST_FULL)
-        old = self._read("links", here).join(changed.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_semi").select("structure_id", F.col("b").alias("ball_id"))
-        new = self._around(balls, changed, excluded).select("structure_id", F.col("b").alias("ball_id"))
+        old = self._read("links", here).join(changed.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_semi").select("structure_id", F.explode("links").alias("ball_id"))
+        new = self._around(balls, changed, excluded).rows().select("structure_id", F.explode("links").alias("ball_id"))
         affected = staged(changed.unionByName(old).unionByName(new).distinct(), "affected")
         if not same_balls or may_start_over and (count > limit or affected.count() >= limit):
             self.last_update_was_full_reinit = True
@@ -225,7 +227,7 @@ class UpdateableTessellation:
             self.state = self._written(balls, self._computed(balls, excluded, True), digests)
             return True
         self.affected = affected
-        over = self._around(balls, affected, excluded)
+        rows, over = self._measured(self._around(balls, affected, excluded), excluded, affected)
         # Contacts of two affected balls are replaced, all others stand.
         touched = self._read("full", here)
         columns = touched.columns
@@ -233,13 +235,12 @@ class UpdateableTessellation:
             mark = affected.select("structure_id", F.col("ball_id").alias(end), F.lit(True).alias(f"hit_{end}"))
             touched = touched.join(mark, ["structure_id", end], "left")
         stand = touched.where("hit_a is null or hit_b is null").select(*columns)
-        rows = self._measured(neighbours(over), excluded, affected)
         full = staged(stand.unionByName(contact_ops.contacts_full(rows).select(*columns)), "full")
         fresh = self._cells(balls.join(affected, KEY, "left_semi"), over, full, excluded, True)
         cells = self._read("cells", here).join(affected.withColumnRenamed("ball_id", "index"), ["structure_id", "index"], "left_anti").unionByName(fresh)
         before = self._read("links", here).join(affected.withColumnRenamed("ball_id", "a"), ["structure_id", "a"], "left_anti")
         # Links from balls that are not affected to those that are do not change either: both ends would be.
-        links = before.unionByName(over.select("structure_id", "a", "b").distinct())
+        links = before.unionByName(over.drop("hidden"))
         part = self._written(balls, {"excluded": excluded, "links": links, "full": full, "cells": cells}, digests)
         self.state = State(**{n: getattr(self.state, n).replaced(here, getattr(part, n)) for n in TABLES}, digests=digests)
         return True
@@ -300,12 +301,12 @@ class UpdateableTessellation:
     def collisions(self) -> DataFrame:
         """(structure_id, collisions): pairs of balls whose spheres overlap, images counted as their balls."""
         pair = F.array_sort(F.array("a", "b"))
-        return self._read("links").select("structure_id", pair.alias("pair")).distinct().groupBy("structure_id").agg(F.count("*").alias("collisions"))
+        return self._read("links").select("structure_id", "a", F.explode("links").alias("b")).select("structure_id", pair.alias("pair")).distinct().groupBy("structure_id").agg(F.count("*").alias("collisions"))
 
     def colliding(self, ball_id: int, structure_id=0) -> DataFrame:
         """(structure_id, ball_id) of the balls that overlap one."""
         mine = (F.col("a") == ball_id) & (F.col("structure_id") == F.lit(structure_id))
-        return self._read("links").where(mine).select("structure_id", F.col("b").alias("ball_id")).distinct()
+        return self._read("links").where(mine).select("structure_id", F.explode("links").alias("ball_id")).distinct()
 
     @property
     def cells(self) -> DataFrame:
