@@ -6,7 +6,8 @@ nothing around it, so an unchanged passage keeps its anchors wherever it moves.
 sketch of the anchors' hashes: its ``SKETCH`` smallest different ones, all of them where there are fewer.
 
 Arrays of a text's length are made one from another, each in one pass: hashes of characters, of runs of two,
-four and more characters by pairing an array with itself moved, and sliding minima in the same way.
+four and more characters by pairing an array with itself moved, and of those k-mers that are syncmers. An edited
+text shares the anchors of the passage that it shares.
 """
 
 from __future__ import annotations
@@ -27,10 +28,6 @@ def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.array(value), then))
 
 
-def _moved(array: Column, by: int) -> Column:
-    return F.slice(array, by + 1, 1 << 30)
-
-
 def _runs(array: Column, length: int, pair: Callable[[Column, Column], Column], then: Callable[[Column], Column]) -> Column:
     """then(runs), where runs combines every ``length`` consecutive elements: runs of twice the length are pairs
     of runs, and those of other lengths pairs of overlapping ones. What starts too late has no meaning."""
@@ -39,29 +36,49 @@ def _runs(array: Column, length: int, pair: Callable[[Column, Column], Column],
         if n == length:
             return then(runs)
         step = min(n, length - n)
-        return _bind(F.zip_with(runs, _moved(runs, step), pair), lambda x: grown(x, n + step))
+        return _bind(F.transform(runs, lambda x, i: pair(x, F.get(runs, i + step))), lambda x: grown(x, n + step))
 
     return grown(array, 1)
 
 
-def _anchor_hashes(text: Column, k: int, s: int) -> Column:
-    """array<bigint>: the 32-bit hash of each k-mer that is a closed syncmer, null for the others."""
+def _syncmer_hashes(text: Column, k: int, s: int) -> Column:
+    """array<bigint>: for each character, the 32-bit hash of the k-mer from there if it is a closed syncmer, else null.
+    What starts too late for a k-mer has no meaning."""
     if not 1 <= s < k <= 2 * s:
         raise ValueError("k-mers need s-mers of at least half their length")
     w = k - s + 1
-    both = lambda a, b: F.xxhash64(a, b)
 
     def chosen(smers: Column) -> Column:
-        last = _moved(smers, w - 1)
-        ends = F.zip_with(smers, last, lambda a, b: F.least(a, b))
-        # The first and the last s-mer of a k-mer hold all of its characters.
-        kmers = F.zip_with(smers, last, lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 32))
-        return _runs(smers, w, lambda a, b: F.least(a, b), lambda low: F.zip_with(kmers, F.zip_with(ends, low, lambda e, m: e == m), lambda h, yes: F.when(yes, h)))
+        def kmer(first: Column, i: Column) -> Column:
+            last, between = F.get(smers, i + (w - 1)), [F.get(smers, i + j) for j in range(1, w - 1)]
+            # The first and the last s-mer of a k-mer hold all of its characters.
+            return F.when(F.least(first, last) == F.least(first, *between, last), F.shiftrightunsigned(F.xxhash64(first, last), 32))
+
+        return F.transform(smers, kmer)
+
+    return _bind(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda c: _runs(c, s, lambda a, b: F.xxhash64(a, b), chosen))
+
 
-    all_of = _bind(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda c: _runs(c, s, both, chosen))
+def _anchor_hashes(text: Column, k: int, s: int) -> Column:
+    """array<bigint>: the 32-bit hash of each k-mer that is a closed syncmer, null for the others; of a text of fewer
+    characters, but not none, its own."""
     n = F.length(text)
+    return F.when(n >= k, F.slice(_syncmer_hashes(text, k, s), F.lit(1), n - (k - 1))).otherwise(_short(text))
+
+
+def _short(text: Column) -> Column:
+    """The anchor of a text that has no k-mer."""
     whole = F.array(F.shiftrightunsigned(F.xxhash64(text), 32))
-    return F.when(n >= k, F.slice(all_of, F.lit(1), n - (k - 1))).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(text) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def _edited_hashes(hashes: Column, edited: Column, same: Column, k: int, s: int) -> Column:
+    """_anchor_hashes() of an edited text from those of the text, with which it shares its first ``same`` characters:
+    only k-mers that reach beyond those are looked at."""
+    kept = F.greatest(same - (k - 1), F.lit(0))
+    rest = F.substring(edited, kept + 1, F.lit((1 << 31) - 1))
+    new = F.slice(_syncmer_hashes(rest, k, s), F.lit(1), F.greatest(F.length(rest) - (k - 1), F.lit(0)))
+    return F.when(F.length(edited) >= k, F.concat(F.slice(hashes, F.lit(1), kept), new)).otherwise(_short(edited))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -163,9 +180,11 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     rows = rows.withColumn("next", F.lead("text").over(window))
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
-    of = lambda c: sketch(F.array_compact(_anchor_hashes(F.col(c), k, s)), size)
+    of = lambda hashes: sketch(F.array_compact(hashes), size)
+    rows = rows.withColumn("hashes", _anchor_hashes(F.col("text"), k, s))
+    edited = _edited_hashes(F.col("hashes"), F.col("edited"), n - cut, k, s)
     rows = rows.select(
-        id, "__b", "__guest", "__tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of("text").alias("a"), of("edited").alias("e")
+        id, "__b", "__guest", "__tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of(F.col("hashes")).alias("a"), of(edited).alias("e")
     )
     rows = rows.withColumn("x", F.lead("a").over(window)).where(own)
     return rows.select(
