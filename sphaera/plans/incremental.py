@@ -49,7 +49,10 @@ class Kept:
     def read(self, spark: SparkSession, only: Iterable[int] | None = None) -> DataFrame:
         """All of it, or the rows of some buckets."""
         paths = sorted({self.folders[b] for b in (self.folders if only is None else only) if b in self.folders})
-        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+        if paths:
+            return spark.read.schema(self.schema).parquet(*paths)
+        # Spark knows that this is empty and leaves joins with it out.
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).where("false")
 
     def replaced(self, here: set[int], other: Kept) -> Kept:
         return replace(self, folders={b: p for b, p in self.folders.items() if b not in here} | other.folders)
