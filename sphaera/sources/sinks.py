@@ -8,17 +8,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sphaera.operators import cells as cell_ops
 from sphaera.plans.tessellation import Tessellation
+from sphaera.staging import staged
 
 
 def json_documents(t: Tessellation) -> DataFrame:
     """(structure_id, json): one document a structure, with contacts, cells, areas and volumes by ball (null
     where a ball has no cell) and totals. A document is one row here; json_pieces() has structures of any size."""
     t = t.kept()
+    # Three tables come from the cells.
+    cells = staged(t.cells, "cells")
     contact = t.contacts.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("id_a", "id_b", "area", "arc_length", "central"))).alias("contacts"))
-    ball = t.per_ball.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("ball_id", "sas_area", "volume"))).alias("balls"))
-    cell = t.cells.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("index", "sas_area", "volume"))).alias("cells"))
-    rows = t.totals.join(contact, "structure_id", "left").join(cell, "structure_id", "left").join(ball, "structure_id", "left")
+    ball = cell_ops.per_ball(t.balls, cells).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("ball_id", "sas_area", "volume"))).alias("balls"))
+    cell = cells.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("index", "sas_area", "volume"))).alias("cells"))
+    rows = cell_ops.totals(t.balls, t.contacts, cells).join(contact, "structure_id", "left").join(cell, "structure_id", "left").join(ball, "structure_id", "left")
     document = F.struct(
         "num_balls", F.coalesce("contacts", F.array().cast("array<struct<id_a:bigint,id_b:bigint,area:double,arc_length:double,central:boolean>>")).alias("contacts"),
         F.coalesce("cells", F.array().cast("array<struct<index:bigint,sas_area:double,volume:double>>")).alias("cells"),
