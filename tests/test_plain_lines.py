@@ -70,6 +70,16 @@ def test_most_lines_have_no_exact_look(monkeypatch):
     assert sum(met) < 0.02 * rows
 
 
+def test_neighbours_are_in_the_order_of_all_keys():
+    """Most were compared by four keys each."""
+    rng = np.random.default_rng(3)
+    for n, most, steps in ((1, 1, 1), (5000, 90, 4), (5000, 90, 100000), (150000, 140000, 3)):
+        a, h = np.sort(rng.integers(0, most, n)) + 7, rng.integers(-steps, steps, n) / 50 + 0.0
+        image, ball = rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 500, n)
+        got, want = (np.stack([x[by] for x in (a, h, image, ball)]) for by in (search._by_offset(a, h, image, ball), np.lexsort((ball, image, h, a))))
+        assert (got == want).all()
+
+
 def test_numbers_are_rounded_as_by_decimal_numbers(spark):
     rng = np.random.default_rng(5)
     odd = [0.0, -0.0, 0.00005, -0.00005, 0.12345, -0.12345, 2.00015, 1.00005, 1e-300, -1e-9, 99999.99995, 123456.78905, 1e5 + 0.00005, 3.3e12, -1.5e17, 1e300, math.inf, -math.inf, math.nan, None]
